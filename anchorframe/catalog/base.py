@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Declared schemas: nothing is inferred at read time.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 class Tables:
     """``t.orders`` reads the parquet table of that name."""
 
@@ -16,7 +32,7 @@ class Tables:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,10 +49,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def r6(c: Column | str, digits: int = 6) -> Column:
-    """Rounded output, so results do not depend on the order of a floating sum."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+# Means of two-decimal values can sit exactly on a rounding tie, which two engines may sum to either
+# side of. Rounded results are therefore shifted off the tie by less than the last digit kept.
+SHIFT = 1.23456e-8
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(F.col(c) + SHIFT, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def rsql(expr: str, digits: int = 6) -> str:
+    return f"round({expr} + {SHIFT!r}::DOUBLE, {digits})"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anchorframe.catalog.base import query, rounded
+from anchorframe.catalog.base import query, rounded, rsql
 from anchorframe.catalog.proxies import ANCHORS, OBS, anchors, observation_days
 from anchorframe.functions.dates import calendar_parts, day_offset, decade_bucket, trailing_date, year_index
 from anchorframe.operators.aggregates import (
@@ -18,7 +18,7 @@ SPECS = window_specs(["value"], DROUGHT_WINDOWS) + window_specs(["value"], WIND_
 def _sql_windows(specs) -> str:
     fns = {"mean": "avg", "max": "max", "sum": "sum"}
     return ", ".join(
-        f'round({fns[s.fn]}(CASE WHEN "offset" BETWEEN {s.lo} AND {s.hi} THEN {s.measure} END), 6) AS {s.out}'
+        rsql(f'{fns[s.fn]}(CASE WHEN "offset" BETWEEN {s.lo} AND {s.hi} THEN {s.measure} END)') + f" AS {s.out}"
         for s in specs)
 
 
@@ -40,7 +40,7 @@ _RAW = "((epoch_us(ts) - epoch_us(anchor_ts)) / 86400000000.0::DOUBLE)"
 
 @query("day_offset_modes", f"""WITH {OBS}, m AS (SELECT event_type, "offset"::INTEGER AS d, floor({_RAW})::INTEGER AS f,
  trunc({_RAW})::INTEGER AS tr, abs({_RAW}) AS ab FROM obs)
- SELECT event_type, d AS offset_date, f AS offset_floor, tr AS offset_trunc, count(*) AS n, round(avg(ab), 6) AS mean_abs
+ SELECT event_type, d AS offset_date, f AS offset_floor, tr AS offset_trunc, count(*) AS n, {rsql('avg(ab)')} AS mean_abs
  FROM m GROUP BY ALL""")
 def day_offset_modes(t):
     e = t.events.join(anchors(t), "user_id")
@@ -62,7 +62,7 @@ def accumulated_day0(t):
 @query("drought_at_event", f"""WITH {OBS}, w AS (SELECT event_type AS region, user_id, avg(value) AS value FROM obs
  WHERE "offset" BETWEEN -5 AND 5 GROUP BY 1, 2), o AS (SELECT 'all types' AS region, user_id, avg(value) AS value FROM obs
  WHERE "offset" BETWEEN -5 AND 5 GROUP BY 2)
- SELECT region, user_id, round(value, 6) AS value FROM w UNION ALL SELECT region, user_id, round(value, 6) FROM o""")
+ SELECT region, user_id, {rsql('value')} AS value FROM w UNION ALL SELECT region, user_id, {rsql('value')} FROM o""")
 def drought_at_event(t):
     """Mean within five days of the event by region, and once more over all regions."""
     days = observation_days(t, ("event_type",)).withColumnRenamed("event_type", "region")
@@ -73,7 +73,7 @@ def drought_at_event(t):
     return rounded(out.select("region", "user_id", F.col(specs[0].out).alias("value")))
 
 
-@query("window_mean_by_type", f"""WITH {OBS} SELECT event_type, "offset"::INTEGER AS day, round(avg(value), 6) AS value
+@query("window_mean_by_type", f"""WITH {OBS} SELECT event_type, "offset"::INTEGER AS day, {rsql('avg(value)')} AS value
  FROM obs WHERE "offset" BETWEEN -3 AND 3 GROUP BY 1, 2""")
 def window_mean_by_type(t):
     e = t.events.join(anchors(t), "user_id").withColumn("offset", day_offset("ts", "anchor_ts"))

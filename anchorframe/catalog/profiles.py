@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anchorframe.catalog.base import query, rounded
+from anchorframe.catalog.base import query, rounded, rsql
 from anchorframe.catalog.proxies import COVER, REG_ORDERS, order_cover, regional_orders
 from anchorframe.catalog.tables import _SHARES, _TYPES, _class_shares
 from anchorframe.operators.aggregates import (
@@ -22,14 +22,14 @@ def maxima(t):
 @query("mean_profile_long", f"""WITH {_SHARES}, n AS (SELECT DISTINCT l_suppkey, s_nationkey FROM sh JOIN supplier ON l_suppkey = s_suppkey),
  x AS (SELECT n.s_nationkey AS nation, c.cls AS nlcd_class, coalesce(share, 0.0) AS share FROM n CROSS JOIN (SELECT unnest({_TYPES}) AS cls) c
   LEFT JOIN sh ON sh.l_suppkey = n.l_suppkey AND sh.p_type = c.cls)
- SELECT nation, nlcd_class, round(avg(share), 6) AS mean_share FROM x GROUP BY 1, 2""")
+ SELECT nation, nlcd_class, {rsql('avg(share)')} AS mean_share FROM x GROUP BY 1, 2""")
 def profile(t):
     wide = pivot_wide(_class_shares(t), ["l_suppkey"], "p_type", "share", _TYPES)
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
     return rounded(mean_profile_long(wide.join(s, "l_suppkey").drop("l_suppkey"), ["nation"], "nlcd_class", "mean_share"))
 
 
-@query("share_in_group", f"""WITH {REG_ORDERS} SELECT nation, o_orderpriority, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY nation), 6)::DOUBLE AS share
+@query("share_in_group", f"""WITH {REG_ORDERS} SELECT nation, o_orderpriority, count(*) AS n, {rsql('(count(*) / sum(count(*)) OVER (PARTITION BY nation))::DOUBLE')} AS share
  FROM reg_orders GROUP BY 1, 2""")
 def shares(t):
     return rounded(share_in_group(regional_orders(t), ["nation"], "o_orderpriority"))
@@ -39,8 +39,8 @@ _COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _profile_sql(c):
-    return f"""SELECT '{c}' AS variable, round(avg({c}), 6) AS mean, count(*) - count({c}) AS n_missing, round(min({c}), 6) AS min,
- round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max FROM x"""
+    return f"""SELECT '{c}' AS variable, {rsql(f'avg({c})')} AS mean, count(*) - count({c}) AS n_missing, round(min({c}), 6) AS min,
+ {rsql(f'quantile_cont({c}, 0.25)')} AS q25, {rsql(f'quantile_cont({c}, 0.5)')} AS median, {rsql(f'quantile_cont({c}, 0.75)')} AS q75, round(max({c}), 6) AS max FROM x"""
 
 
 @query("value_profile", "WITH x AS (SELECT l_quantity, l_extendedprice, l_discount, CASE WHEN l_tax > 0 THEN l_tax END AS l_tax FROM lineitem) "
@@ -51,7 +51,7 @@ def profile5(t):
 
 
 @query("correlation_matrix", " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, {'1.0::DOUBLE' if a == b else f'round(corr({a}, {b}), 6)'} AS r" + ("" if a == b else " FROM lineitem")
+    f"SELECT '{a}' AS a, '{b}' AS b, {'1.0::DOUBLE' if a == b else rsql(f'corr({a}, {b})')} AS r" + ("" if a == b else " FROM lineitem")
     for a in _COLS for b in _COLS))
 def correlations(t):
     return rounded(correlation_matrix(t.lineitem, _COLS))
@@ -66,7 +66,7 @@ def bad_values(t):
     return bad_value_report(x, ["discount", "l_tax"])
 
 
-@query("share_below", f"""WITH {REG_ORDERS} SELECT nation, round(avg(CASE WHEN o_totalprice < 100000 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS share FROM reg_orders GROUP BY 1""")
+@query("share_below", f"""WITH {REG_ORDERS} SELECT nation, {rsql('avg(CASE WHEN o_totalprice < 100000 THEN 1.0::DOUBLE ELSE 0.0 END)')} AS share FROM reg_orders GROUP BY 1""")
 def below(t):
     return rounded(regional_orders(t).groupBy("nation").agg(share_below("o_totalprice", 100000).alias("share")))
 
@@ -85,7 +85,7 @@ def audit(t):
 def _balance_sql(c):
     parts = []
     for s, cond in (("case", "pa = 1"), ("control_before", "pa = 0"), ("control_after", "pa = 0 AND crop <= 0.6::DOUBLE")):
-        parts.append(f"round(avg({c}) FILTER ({cond}), 6) AS {s}_mean, round(quantile_cont({c}, 0.5) FILTER ({cond}), 6) AS {s}_median")
+        parts.append(f"{rsql(f'avg({c}) FILTER ({cond})')} AS {s}_mean, {rsql(f'quantile_cont({c}, 0.5) FILTER ({cond})')} AS {s}_median")
     return f"SELECT region, '{c}' AS variable, {', '.join(parts)} FROM cover GROUP BY 1"
 
 

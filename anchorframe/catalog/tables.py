@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anchorframe.catalog.base import query, rounded
+from anchorframe.catalog.base import query, rounded, rsql
 from anchorframe.catalog.proxies import REG_ORDERS, regional_orders
 from anchorframe.operators.tables import (
     beyond_case_range, complete_cases, duplicate_entities, fill_missing, keep_groups, pivot_wide, range_limits,
@@ -84,8 +84,8 @@ def unpivot(t):
     return unpivot_long(w, ["o_orderkey"], ["d1", "d2", "d3"], "name", "date", "ignition_id").drop("name")
 
 
-@query("overall_group", f"""WITH {REG_ORDERS} SELECT region, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM reg_orders GROUP BY 1
- UNION ALL SELECT 'all regions', count(*), round(avg(o_totalprice), 4) FROM reg_orders""")
+@query("overall_group", f"""WITH {REG_ORDERS} SELECT region, count(*) AS n, {rsql("avg(o_totalprice)", 4)} AS mean_price FROM reg_orders GROUP BY 1
+ UNION ALL SELECT 'all regions', count(*), {rsql("avg(o_totalprice)", 4)} FROM reg_orders""")
 def overall(t):
     d = with_overall_group(regional_orders(t).select("o_orderkey", "region", "o_totalprice"), "region", "all regions", ["o_orderkey"])
     return rounded(d.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean_price")), 4)

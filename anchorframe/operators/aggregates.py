@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from anchorframe.operators.joins import keyed_join
 from anchorframe.operators.ranking import exact_quantiles
 from anchorframe.operators.tables import append, numeric_columns, unpivot_long
+from anchorframe.session import materialize
 
 
 def _bound_name(v: int) -> str:
@@ -159,6 +160,7 @@ def balance_report(cases: DataFrame, before: DataFrame, after: DataFrame, by: Se
     """Mean and median by group and set, before and after matching, long over the covariates."""
     tagged = append(*[d.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).withColumn("set", F.lit(s))
                       for s, d in (("case", cases), ("control_before", before), ("control_after", after))])
+    tagged = materialize(tagged)  # read three times below
     keys = [*by, "set"]
     med = exact_quantiles(tagged, keys, cols, [0.5]).drop("q").withColumnRenamed("value", "median")
     means = unpivot_long(tagged.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols]), keys, cols, "variable", "mean")

@@ -15,6 +15,8 @@ from anchorframe.functions.hashing import key_bucket, order_key
 from anchorframe.session import materialize
 
 VALUE_BUCKETS = 64
+SKETCH_ACCURACY = 10_000
+SMALL_GROUP = 50_000
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -113,13 +115,6 @@ def _value_bounds(df: DataFrame, keys: list[str], value: str, parts: int) -> Dat
     return materialize(bounds)
 
 
-def _value_buckets(df: DataFrame, keys: list[str], value: str, parts: int = VALUE_BUCKETS) -> DataFrame:
-    bounds = _value_bounds(df, keys, value, parts)
-    tagged = attach(df, bounds, keys, "inner")
-    bkt = F.size(F.filter("__bounds", lambda b: b < F.col(value)))
-    return tagged.withColumn("__bkt", bkt).drop("__bounds")
-
-
 def value_rank(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[str], out: str = "rank") -> DataFrame:
     """1-based row number of every row in its group by ``value``, ties in hash order of ``ids``.
 
@@ -141,43 +136,44 @@ def value_rank(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[str],
 def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: Sequence[float]) -> DataFrame:
     """Linear-interpolated quantiles, long form: ``by..., variable, q, value``. NULL and NaN are skipped.
 
-    Passes: sketch split points; count per bucket; then only the buckets that hold a wanted rank are
-    reduced to distinct values and ranked.
+    A mergeable sketch brackets each wanted rank. The second pass counts the rows below a bracket
+    where they are scanned and sorts only the distinct values inside it. Groups of up to
+    ``SMALL_GROUP`` rows need no bracket.
     """
     df, keys0 = _with_group(df, by)
     pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("__v")) for c in cols])
     long = df.select(*keys0, F.explode(pairs).alias("__p")).select(*keys0, "__p.variable", "__p.__v")
     long = long.filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
     keys = [*keys0, "variable"]
-    rows = _value_buckets(long, keys, "__v")
-    starts = _starts(rows.groupBy(*keys, "__bkt").agg(F.count(F.lit(1)).alias("__n")), keys, "__bkt")
-    totals = starts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    pos = F.transform(F.array(*[F.lit(float(q)) for q in qs]),
-                      lambda q: F.struct(q.alias("q"), (q * (F.col("__total") - 1)).alias("pos")))
-    wanted = totals.withColumn("__t", F.explode(pos)).select(
-        *keys, F.col("__t.q").alias("q"), F.floor("__t.pos").alias("__lo"), F.ceil("__t.pos").alias("__hi"),
-        (F.col("__t.pos") - F.floor("__t.pos")).alias("__frac"))
-    ranks = wanted.select(*keys, F.explode(F.array("__lo", "__hi")).alias("__rank")).distinct()
-    hits = attach(starts, ranks, keys, "inner").filter(
-        (F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__n")))
-    need = hits.select(*keys, "__bkt", "__before").distinct()
-    cells = attach(rows, need, [*keys, "__bkt"], "inner").groupBy(*keys, "__bkt", "__before", "__v").agg(
-        F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*keys, "__bkt").orderBy("__v")
-    cells = cells.withColumn("__end", F.col("__before") + F.sum("__c").over(w))
-    cells = cells.withColumn("__start", F.col("__end") - F.col("__c"))
-    hit_ranks = hits.select(*keys, "__bkt", "__rank")
-    picked = attach(cells, hit_ranks, [*keys, "__bkt"], "inner").filter(
-        (F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__end")))
-    picked = picked.select(*keys, "__rank", "__v")
-    ends = wanted.select(*keys, "q", "__frac", "__lo", "__hi",
-                         F.explode(F.array("__lo", "__hi")).alias("__rank")).distinct()
-    joined = attach(ends, picked, [*keys, "__rank"], "inner")
-    lo = F.max(F.when(F.col("__rank") == F.col("__lo"), F.col("__v")))
-    hi = F.max(F.when(F.col("__rank") == F.col("__hi"), F.col("__v")))
-    out = joined.groupBy(*keys, "q", "__frac").agg(lo.alias("__l"), hi.alias("__h"))
-    value = F.col("__l") * (1 - F.col("__frac")) + F.col("__h") * F.col("__frac")
-    return out.select(*[k for k in keys if k != "__all"], "q", value.alias("value"))
+    margin = 4.0 / SKETCH_ACCURACY
+    probs = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-margin, margin)]
+    stats = materialize(long.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__total"),
+        F.percentile_approx("__v", F.array(*[F.lit(p) for p in probs]), F.lit(SKETCH_ACCURACY)).alias("__b")))
+    small = F.col("__total") <= SMALL_GROUP
+    inf = F.lit(float("inf"))
+    wanted = []
+    for i, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.col("__total") - 1)
+        wanted.append(F.struct(
+            F.lit(float(q)).alias("q"), F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"),
+            (pos - F.floor(pos)).alias("frac"),
+            F.when(small, -inf).otherwise(F.col("__b")[2 * i]).alias("from"),
+            F.when(small, inf).otherwise(F.col("__b")[2 * i + 1]).alias("to")))
+    targets = stats.select(*keys, F.array(*wanted).alias("__t"))
+    rows = attach(long, targets, keys, "inner").select(*keys, "__v", F.explode("__t").alias("__t"))
+    rows = rows.filter(F.col("__v") <= F.col("__t.to")).select(
+        *keys, "__t.q", "__t.lo", "__t.hi", "__t.frac",
+        F.when(F.col("__v") >= F.col("__t.from"), F.col("__v")).alias("__cell"))
+    group = [*keys, "q", "lo", "hi", "frac"]
+    cells = rows.groupBy(*group, "__cell").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*keys, "q").orderBy(F.asc_nulls_first("__cell"))
+    cells = cells.withColumn("__end", F.sum("__c").over(w)).withColumn("__start", F.col("__end") - F.col("__c"))
+    at = lambda r: F.max(F.when((F.col(r) >= F.col("__start")) & (F.col(r) < F.col("__end")), F.col("__cell")))
+    out = cells.groupBy(*group).agg(at("lo").alias("__l"), at("hi").alias("__h"))
+    value = F.col("__l") * (1 - F.col("frac")) + F.col("__h") * F.col("frac")
+    checked = F.when(value.isNull(), F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")).otherwise(value)
+    return out.select(*[k for k in keys if k != "__all"], "q", checked.alias("value"))
 
 
 def quantiles_wide(df: DataFrame, by: Sequence[str], col: str, named: dict[str, float]) -> DataFrame:
