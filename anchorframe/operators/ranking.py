@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorframe.functions.hashing import key_bucket, order_key
-from anchorframe.session import materialize
+from anchorframe.session import small_table
 
 VALUE_BUCKETS = 64
 SKETCH_ACCURACY = 10_000
@@ -61,8 +61,9 @@ def _hash_parts(df, by, n, seed, op, ids):
     cuts = starts.groupBy(*keys).agg(
         F.min(F.when(F.col("__before") + F.col("__n") >= want, F.struct("__bkt", "__before"))).alias("__cut"),
         F.max(want).alias("__want"))
-    cuts = cuts.select(*keys, F.col("__cut.__bkt").alias("__cut_bkt"),
-                       (F.col("__want") - F.col("__cut.__before")).alias("__left"))
+    # one row per group, read by the two scans below
+    cuts = small_table(cuts.select(*keys, F.col("__cut.__bkt").alias("__cut_bkt"),
+                                   (F.col("__want") - F.col("__cut.__before")).alias("__left")))
     return attach(rows, cuts, keys, "inner"), keys
 
 
@@ -112,7 +113,7 @@ def _value_bounds(df: DataFrame, keys: list[str], value: str, parts: int) -> Dat
     """Sketched split points per group, written once so that all readers cut at the same places."""
     qs = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)])
     bounds = df.groupBy(*keys).agg(F.percentile_approx(value, qs, F.lit(20 * parts)).alias("__bounds"))
-    return materialize(bounds)
+    return small_table(bounds)
 
 
 def value_rank(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[str], out: str = "rank") -> DataFrame:
@@ -147,7 +148,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: S
     keys = [*keys0, "variable"]
     margin = 4.0 / SKETCH_ACCURACY
     probs = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-margin, margin)]
-    stats = materialize(long.groupBy(*keys).agg(
+    stats = small_table(long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__total"),
         F.percentile_approx("__v", F.array(*[F.lit(p) for p in probs]), F.lit(SKETCH_ACCURACY)).alias("__b")))
     small = F.col("__total") <= SMALL_GROUP

@@ -11,6 +11,7 @@ from anchorframe.functions.hashing import order_key, uniform
 from anchorframe.functions.numbers import bin_fixed
 from anchorframe.operators.joins import anti_join
 from anchorframe.operators.ranking import attach, drop_per_group, hash_rank, take_per_group
+from anchorframe.session import small_table
 
 
 def assign_random_date(df: DataFrame, start: str | Column, end: str | Column, seed, ids: Sequence[str],
@@ -121,7 +122,7 @@ def match_distribution(controls: DataFrame, cases: DataFrame, by: Sequence[str],
 
     ``rounding`` is ``half_even`` or ``floor``. Values outside [0, 1] have no bin and are never kept.
     """
-    quotas = bin_quotas(cases, controls, by, col, step, targets, rounding).select(*by, "bin", "n_keep")
+    quotas = small_table(bin_quotas(cases, controls, by, col, step, targets, rounding).select(*by, "bin", "n_keep"))
     binned = controls.withColumn("bin", bin_fixed(col, step)).filter(F.col("bin").isNotNull())
     rows = attach(binned, quotas, [*by, "bin"], "inner")
     return take_per_group(rows, [*by, "bin"], "n_keep", seed, f"match_{col}", ids).select(*controls.columns)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def checkpoint_dir_ready(spark: SparkSession) -> None:
@@ -27,6 +31,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_table(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """Evaluate a table expected to be small, once.
+
+    Up to ``limit`` rows it comes back as a local relation marked for broadcast, so the large side of
+    a join is never shuffled for it. Beyond the limit it is written out and joined like any table.
+    """
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return materialize(df)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def local_table(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
+    """Driver-held rows (a bounded result table) as a local relation."""
+    columns = [pa.array([r.get(f.name) for r in rows], type=to_arrow_type(f.dataType)) for f in schema]
+    table = pa.Table.from_arrays(columns, names=schema.names)
+    return spark.createDataFrame(table, schema)
+
+
 def collect_bounded(df: DataFrame, limit: int, what: str) -> list:
     """Collect a table that must stay small; one row over the limit is an error, never a truncation."""
     rows = df.limit(limit + 1).collect()
