@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from anchorframe.catalog.base import query, rounded, rsql
-from anchorframe.catalog.proxies import OBS, REG_ORDERS, anchors, regional_orders
+from anchorframe.catalog.proxies import OBS, REG_ORDERS, anchored_events, regional_orders
 from anchorframe.functions.classes import drought_class
 from anchorframe.functions.dates import day_offset
 from anchorframe.operators.distributions import DENSITY_CELLS, density, histogram, quantile_band, seasonal_density
@@ -70,7 +70,7 @@ _BAND_SRC = OBS + """, b AS (SELECT CASE WHEN value / 20 - 5 <= -4 THEN 'Extreme
 
 
 def _band(t):
-    e = t.events.join(anchors(t), "user_id")
+    e = anchored_events(t)
     return e.select(drought_class(F.col("value") / 20 - 5, "pdsi_zone").alias("zone"), day_offset("ts", "anchor_ts").alias("day"), "value")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from anchorframe.catalog.base import query, rounded, rsql
-from anchorframe.catalog.proxies import ANCHORS, OBS, anchors, observation_days
+from anchorframe.catalog.proxies import ANCHORS, OBS, anchored_events, observation_days
 from anchorframe.functions.dates import calendar_parts, day_offset, decade_bucket, trailing_date, year_index
 from anchorframe.operators.aggregates import (
     DROUGHT_WINDOWS, WIND_MAX_WINDOWS, event_window_agg, event_window_agg_moments, window_mean, window_specs)
@@ -31,7 +31,7 @@ def event_window_features(t):
  GROUP BY user_id, event_type""")
 def event_window_sparse(t):
     """Per event type, so that some windows are empty; observations already carry their anchor."""
-    e = t.events.join(anchors(t), "user_id").withColumn("offset", day_offset("ts", "anchor_ts"))
+    e = anchored_events(t).withColumn("offset", day_offset("ts", "anchor_ts"))
     return rounded(event_window_agg(e, ["user_id", "event_type"], SPECS))
 
 
@@ -43,7 +43,7 @@ _RAW = "((epoch_us(ts) - epoch_us(anchor_ts)) / 86400000000.0::DOUBLE)"
  SELECT event_type, d AS offset_date, f AS offset_floor, tr AS offset_trunc, count(*) AS n, {rsql('avg(ab)')} AS mean_abs
  FROM m GROUP BY ALL""")
 def day_offset_modes(t):
-    e = t.events.join(anchors(t), "user_id")
+    e = anchored_events(t)
     m = e.select("event_type", *[day_offset("ts", "anchor_ts", k).alias(f"offset_{k}")
                                  for k in ("date", "floor", "trunc", "abs")])
     return rounded(m.groupBy("event_type", "offset_date", "offset_floor", "offset_trunc").agg(
@@ -54,7 +54,7 @@ def day_offset_modes(t):
  FROM events JOIN anchors USING (user_id)
  WHERE floor((epoch_us(ts) - epoch_us(anchor_ts)) / 86400000000.0::DOUBLE) = 0 GROUP BY user_id""")
 def accumulated_day0(t):
-    e = t.events.join(anchors(t), "user_id").withColumn("d", day_offset("ts", "anchor_ts", "floor"))
+    e = anchored_events(t).withColumn("d", day_offset("ts", "anchor_ts", "floor"))
     return rounded(e.filter((F.col("d") > -1) & (F.col("d") < 1)).groupBy("user_id").agg(
         F.sum("value").alias("accumulated"), F.count(F.lit(1)).alias("n_obs")))
 
@@ -76,7 +76,7 @@ def drought_at_event(t):
 @query("window_mean_by_type", f"""WITH {OBS} SELECT event_type, "offset"::INTEGER AS day, {rsql('avg(value)')} AS value
  FROM obs WHERE "offset" BETWEEN -3 AND 3 GROUP BY 1, 2""")
 def window_mean_by_type(t):
-    e = t.events.join(anchors(t), "user_id").withColumn("offset", day_offset("ts", "anchor_ts"))
+    e = anchored_events(t).withColumn("offset", day_offset("ts", "anchor_ts"))
     return rounded(window_mean(e.withColumn("day", F.col("offset")), ["event_type", "day"], ["value"], -3, 3))
 
 

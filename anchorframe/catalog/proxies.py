@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from anchorframe.catalog.base import Tables
 from anchorframe.functions.dates import day_offset
 from anchorframe.operators.aggregates import daily_moments
+from anchorframe.operators.joins import anchor_join
 
 FIRST_ANCHOR_DAY = "2024-01-11"
 
@@ -23,13 +24,18 @@ ANCHORS = """anchors AS (SELECT user_id, min(ts) AS anchor_ts FROM events
  WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-11 00:00:00' GROUP BY user_id)"""
 
 
+def anchored_events(t: Tables) -> DataFrame:
+    """Every event with its user's anchor."""
+    return anchor_join(t.events, anchors(t), ["user_id"])
+
+
 def observation_days(t: Tables, extra: tuple[str, ...] = ()) -> DataFrame:
     """Daily partial sums of ``value`` per user joined to the anchor, with the day offset.
 
     Reducing to user-days first bounds what one user can send to the join.
     """
     days = daily_moments(t.events.withColumn("obs_date", F.to_date("ts")), ["user_id", *extra, "obs_date"], ["value"])
-    return days.join(anchors(t), "user_id").withColumn("offset", day_offset("obs_date", "anchor_ts"))
+    return anchor_join(days, anchors(t), ["user_id"]).withColumn("offset", day_offset("obs_date", "anchor_ts"))
 
 
 OBS = ANCHORS + """, obs AS (SELECT e.*, a.anchor_ts, date_diff('day', CAST(a.anchor_ts AS DATE), CAST(e.ts AS DATE)) AS "offset"

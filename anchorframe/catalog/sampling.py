@@ -9,7 +9,7 @@ from anchorframe.catalog.expressions import _cut_sql
 from anchorframe.catalog.proxies import COVER, REG_ORDERS, order_cover, regional_orders
 from anchorframe.functions.hashing import uniform
 from anchorframe.operators.sampling import (
-    assign_k_dates_within_year, assign_random_date, bin_quotas, case_counts, dedupe_multi_region, draw_from_empirical,
+    assign_k_dates_within_year, assign_random_date, bin_quotas, case_counts, collect_values, dedupe_multi_region, draw_from_empirical,
     match_distribution, one_per_entity, padded_target, rebalance_controls, remainder, sample_n, sample_n_per_group,
     spread_dates, top_up)
 from anchorframe.operators.tables import unpivot_long
@@ -72,6 +72,11 @@ def draw(t):
     return draw_from_empirical(d.filter("pa = 0").drop("size", "pa"), cases, ["nation"], "size", SEED, ["o_orderkey"], ["o_orderkey"])
 
 
+@query("collect_values", f"""WITH {REG_ORDERS} SELECT nation, row_number() OVER (PARTITION BY nation ORDER BY {key_sql('index', 'o_orderkey')}) AS idx, o_totalprice FROM reg_orders WHERE pa = 1""")
+def values(t):
+    return collect_values(regional_orders(t).filter("pa = 1"), ["nation"], "o_totalprice", SEED, ["o_orderkey"])
+
+
 @query("one_per_entity", f"""WITH r AS (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey
  ORDER BY {key_sql('one', 'l_orderkey', 'l_partkey', 'l_linenumber')}, l_partkey, l_linenumber) AS rn FROM lineitem WHERE l_discount <= 0.05::DOUBLE)
  SELECT l_orderkey, l_partkey, l_linenumber FROM r WHERE rn = 1""")

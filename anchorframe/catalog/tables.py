@@ -67,7 +67,7 @@ _SHARES = """s AS (SELECT l_suppkey, p_type, sum(l_quantity) AS q FROM lineitem
 
 
 @query("pivot_wide", f"WITH {_SHARES} SELECT l_suppkey, " + ", ".join(
-    f"round(coalesce(max(CASE WHEN p_type = '{c}' THEN share END), 0.0), 6)::DOUBLE AS {c.lower()}" for c in _TYPES) + " FROM sh GROUP BY 1")
+    rsql(f"coalesce(max(CASE WHEN p_type = '{c}' THEN share END), 0.0)::DOUBLE") + f" AS {c.lower()}" for c in _TYPES) + " FROM sh GROUP BY 1")
 def pivot(t):
     wide = pivot_wide(_class_shares(t), ["l_suppkey"], "p_type", "share", _TYPES)
     return rounded(wide.toDF("l_suppkey", *[c.lower() for c in _TYPES]))

@@ -11,6 +11,7 @@ from anchorframe.functions.numbers import cut
 from anchorframe.operators.joins import anti_join
 from anchorframe.operators.ranking import attach, exact_quantiles, quantiles_wide
 from anchorframe.operators.tables import complete_scaffold
+from anchorframe.session import small_table
 
 DENSITY_CELLS = 4096
 
@@ -23,7 +24,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = (), free:
     rows = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
     keys = list(by) if free else []
     span = rows.groupBy(*keys).agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
-    wide = attach(rows.select(*by, col), span, keys, "inner")
+    wide = attach(rows.select(*by, col), small_table(span), keys, "inner")
     width = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins - 1))
     idx = F.when(width == 0, 0).otherwise(F.greatest(F.lit(0), F.ceil((F.col(col) - F.col("__lo")) / width - 0.5)))
     binned = wide.withColumn("bin", idx.cast("int")).withColumn("width", width)
@@ -51,7 +52,8 @@ def _curve(df: DataFrame, col: str, groups: Sequence[str], params: DataFrame, ke
     Rows are first split linearly onto ``DENSITY_CELLS`` cells, so the kernel work depends on cells
     and grid, not on the number of rows.
     """
-    x = attach(df.filter(F.col(col).isNotNull()).select(*groups, col), params.select(*keys, "lo", "hi"), keys, "inner")
+    params = small_table(params.select(*keys, "lo", "hi", "bw"))
+    x = attach(df.filter(F.col(col).isNotNull()).select(*groups, col), params.drop("bw"), keys, "inner")
     last = DENSITY_CELLS - 1
     pos = F.when(F.col("hi") > F.col("lo"), (F.col(col) - F.col("lo")) / (F.col("hi") - F.col("lo")) * last).otherwise(0.0)
     x = x.select(*groups, pos.alias("__p"))
@@ -61,7 +63,7 @@ def _curve(df: DataFrame, col: str, groups: Sequence[str], params: DataFrame, ke
     cells = x.select(*groups, F.explode(parts).alias("s")).groupBy(*groups, F.col("s.c").alias("c")).agg(
         F.sum("s.w").alias("w")).filter(F.col("w") > 0)
     total = cells.groupBy(*groups).agg(F.sum("w").alias("__total"))
-    cells = attach(attach(cells, total, groups, "inner"), params.select(*keys, "lo", "hi", "bw"), keys, "inner")
+    cells = attach(attach(cells, total, groups, "inner"), params, keys, "inner")
     step = (F.col("hi") - F.col("lo"))
     at = cells.withColumn("__x", F.col("lo") + step * F.col("c") / float(last))
     at = at.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
@@ -94,7 +96,7 @@ def quantile_band(df: DataFrame, x: str, y: str, by: Sequence[str], qs: Sequence
     rows = df.select(*by, F.col(x).cast("int").alias(x), y)
     if pool_days:
         around = F.sequence(F.col(x) - pool_days, F.col(x) + pool_days)
-        days = rows.select(*by, x).distinct()
+        days = small_table(rows.select(*by, x).distinct())
         rows = attach(rows.withColumn(x, F.explode(around)), days, [*by, x], "inner")
     long = exact_quantiles(rows, [*by, x], [y], qs).drop("variable")
     return long

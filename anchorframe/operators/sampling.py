@@ -45,7 +45,7 @@ def spread_dates(df: DataFrame, dates: str, prefix: str, k: int) -> DataFrame:
 def sample_n_per_group(pool: DataFrame, by: Sequence[str], targets: DataFrame, n_col: str, seed,
                        ids: Sequence[str]) -> DataFrame:
     """Exactly ``n_col`` rows per group (all when fewer), the counts coming from a target table."""
-    rows = attach(pool, targets.select(*by, F.col(n_col).alias("__n_wanted")), by, "inner")
+    rows = attach(pool, small_table(targets.select(*by, F.col(n_col).alias("__n_wanted"))), by, "inner")
     return take_per_group(rows, by, "__n_wanted", seed, "sample", ids).drop("__n_wanted")
 
 
@@ -58,6 +58,11 @@ def case_counts(cases: DataFrame, by: Sequence[str], out: str = "n_cases") -> Da
     return cases.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
 
 
+def collect_values(df: DataFrame, by: Sequence[str], col: str, seed, ids: Sequence[str], out: str = "idx") -> DataFrame:
+    """The values of each group as numbered rows (a list per group would have to fit one task)."""
+    return hash_rank(df, by, seed, "index", ids, out).select(*by, out, col)
+
+
 def draw_from_empirical(targets: DataFrame, cases: DataFrame, by: Sequence[str], value: str, seed,
                         target_ids: Sequence[str], case_ids: Sequence[str], keep_empty: bool = False) -> DataFrame:
     """Give each target a value drawn with replacement from the cases of its group.
@@ -65,8 +70,8 @@ def draw_from_empirical(targets: DataFrame, cases: DataFrame, by: Sequence[str],
     Cases are numbered within their group, the target draws a number, and the two meet on
     (group, number). A group without cases gives 0, and its targets are dropped unless kept.
     """
-    indexed = hash_rank(cases, by, seed, "index", case_ids, "__idx").select(*by, "__idx", F.col(value).alias(value))
-    counts = case_counts(cases, by, "__n")
+    indexed = collect_values(cases, by, value, seed, case_ids, "__idx")
+    counts = small_table(case_counts(cases, by, "__n"))
     drawn = attach(targets, counts, by).withColumn(
         "__idx", (F.floor(uniform(seed, "draw", *target_ids) * F.col("__n")) + 1).cast("bigint"))
     out = attach(drawn, indexed, [*by, "__idx"]).withColumn(
@@ -152,7 +157,7 @@ def dedupe_multi_region(df: DataFrame, key: str, region: str, seed) -> tuple[Dat
 def rebalance_controls(df: DataFrame, by: str, drop_counts: DataFrame, seed, ids: Sequence[str],
                        pa: str = "pa") -> DataFrame:
     """Remove as many random controls per region as cases were dropped there; never below zero left."""
-    rows = attach(df.filter(F.col(pa) == 0), drop_counts.select(by, "n_drop"), [by])
+    rows = attach(df.filter(F.col(pa) == 0), small_table(drop_counts.select(by, "n_drop")), [by])
     rows = rows.withColumn("n_drop", F.coalesce("n_drop", F.lit(0)))
     left = drop_per_group(rows, [by], "n_drop", seed, "rebalance", ids).select(*df.columns)
     return df.filter(F.col(pa) == 1).unionByName(left)

@@ -31,16 +31,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_table(df: DataFrame, limit: int = 100_000) -> DataFrame:
+SMALL_ROWS = 100_000
+
+
+def try_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame | None:
+    """The table as a local relation marked for broadcast, or None when it has more than ``limit`` rows."""
+    rows = df.limit(limit + 1).toArrow()
+    return None if rows.num_rows > limit else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Evaluate a table expected to be small, once.
 
     Up to ``limit`` rows it comes back as a local relation marked for broadcast, so the large side of
     a join is never shuffled for it. Beyond the limit it is written out and joined like any table.
     """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return materialize(df)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    small = try_small(df, limit)
+    return materialize(df) if small is None else small
 
 
 def local_table(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
