@@ -163,8 +163,7 @@ def both(t):
  row_number() OVER (PARTITION BY a.region ORDER BY {key_sql('rebalance', 'a.user_id', 'a.region')}) AS k FROM a LEFT JOIN drops USING (region))
  SELECT user_id, region, 1 AS pa FROM pr WHERE rn = 1 UNION ALL SELECT user_id, region, 0 FROM ar WHERE k > n_drop""")
 def coarse(t):
-    p, a = materialize(_presence(t)), materialize(_absence(t))
-    return presence_absence(p, a, SEED, NAMES)[1].select("user_id", "region", "pa")
+    return presence_absence(_presence(t), _absence(t), SEED, NAMES)[1].select("user_id", "region", "pa")
 
 
 @query("drought_at_event_regions", f"""WITH {OBS}, k AS (SELECT event_type FROM obs GROUP BY 1 HAVING count(DISTINCT user_id) >= 10), w AS (SELECT event_type AS region, * EXCLUDE (event_type) FROM obs WHERE event_type IN (SELECT event_type FROM k)

@@ -174,7 +174,7 @@ def drop_counts(t):
  c AS (SELECT b.*, coalesce(n_drop, 0) AS n_drop, row_number() OVER (PARTITION BY b.region ORDER BY {key_sql('rebalance', 'l_orderkey', 'b.region')}) AS k FROM base b LEFT JOIN drops d ON d.region = b.region WHERE pa = 0)
  SELECT l_orderkey, region, pa::INTEGER AS pa FROM base WHERE pa = 1 UNION ALL SELECT l_orderkey, region, pa::INTEGER FROM c WHERE k > n_drop""")
 def rebalance(t):
-    p = _pairs(t)
+    p = materialize(_pairs(t))
     kept, dropped, _ = dedupe_multi_region(p.filter("pa = 1"), "l_orderkey", "region", SEED)
     drops = dropped.filter("region < 20").groupBy("region").agg(F.count(F.lit(1)).alias("n_drop"))
     return rebalance_controls(kept.unionByName(p.filter("pa = 0")), "region", drops, SEED, ["l_orderkey", "region"])

@@ -65,6 +65,8 @@ def _curve(df: DataFrame, col: str, groups: Sequence[str], params: DataFrame, ke
     total = cells.groupBy(*groups).agg(F.sum("w").alias("__total"))
     cells = attach(attach(cells, total, groups, "inner"), params, keys, "inner")
     step = (F.col("hi") - F.col("lo"))
+    # a few thousand cells per group fan out to the grid, so spread them over all tasks first
+    cells = cells.repartition(df.sparkSession.sparkContext.defaultParallelism, *groups, "c")
     at = cells.withColumn("__x", F.col("lo") + step * F.col("c") / float(last))
     at = at.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
     at = at.withColumn("x", F.col("lo") + step * F.col("grid") / float(n_grid - 1))

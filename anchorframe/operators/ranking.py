@@ -153,28 +153,32 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: S
         F.percentile_approx("__v", F.array(*[F.lit(p) for p in probs]), F.lit(SKETCH_ACCURACY)).alias("__b")))
     small = F.col("__total") <= SMALL_GROUP
     inf = F.lit(float("inf"))
+    edge = lambda i, open_end: F.when(small, open_end).otherwise(F.col("__b")[i])
+    sides = F.array(*[e for i in range(len(qs)) for e in (edge(2 * i, -inf), edge(2 * i + 1, inf))])
     wanted = []
-    for i, q in enumerate(qs):
+    for q in qs:
         pos = F.lit(float(q)) * (F.col("__total") - 1)
-        wanted.append(F.struct(
-            F.lit(float(q)).alias("q"), F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"),
-            (pos - F.floor(pos)).alias("frac"),
-            F.when(small, -inf).otherwise(F.col("__b")[2 * i]).alias("from"),
-            F.when(small, inf).otherwise(F.col("__b")[2 * i + 1]).alias("to")))
-    targets = stats.select(*keys, F.array(*wanted).alias("__t"))
-    rows = attach(long, targets, keys, "inner").select(*keys, "__v", F.explode("__t").alias("__t"))
-    rows = rows.filter(F.col("__v") <= F.col("__t.to")).select(
-        *keys, "__t.q", "__t.lo", "__t.hi", "__t.frac",
-        F.when(F.col("__v") >= F.col("__t.from"), F.col("__v")).alias("__cell"))
-    group = [*keys, "q", "lo", "hi", "frac"]
-    cells = rows.groupBy(*group, "__cell").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*keys, "q").orderBy(F.asc_nulls_first("__cell"))
-    cells = cells.withColumn("__end", F.sum("__c").over(w)).withColumn("__start", F.col("__end") - F.col("__c"))
-    at = lambda r: F.max(F.when((F.col(r) >= F.col("__start")) & (F.col(r) < F.col("__end")), F.col("__cell")))
-    out = cells.groupBy(*group).agg(at("lo").alias("__l"), at("hi").alias("__h"))
+        wanted.append(F.struct(F.lit(float(q)).alias("q"), F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"),
+                               (pos - F.floor(pos)).alias("frac")))
+    rows = attach(long, stats.select(*keys, sides.alias("__s")), keys, "inner")
+    # the segment grows with the value: it counts bracket edges passed, so brackets and gaps alternate
+    seg = " + ".join(f"int(__v >= __s[{2 * i}]) + int(__v > __s[{2 * i + 1}])" for i in range(len(qs)))
+    inside = " OR ".join(f"(__v >= __s[{2 * i}] AND __v <= __s[{2 * i + 1}])" for i in range(len(qs)))
+    rows = rows.select(*keys, F.expr(seg).alias("__seg"), F.expr(f"IF({inside}, __v, NULL)").alias("__cell"))
+    cells = rows.groupBy(*keys, "__seg", "__cell").agg(F.count(F.lit(1)).alias("__c"))
+    before = cells.groupBy(*keys, "__seg").agg(F.sum("__c").alias("__n"))
+    before = before.withColumn("__before", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__seg")) - F.col("__n")).drop("__n")
+    w = Window.partitionBy(*keys, "__seg").orderBy("__cell")
+    cells = attach(cells.filter(F.col("__cell").isNotNull()).withColumn("__run", F.sum("__c").over(w)), before, [*keys, "__seg"], "inner")
+    cells = cells.withColumn("__end", F.col("__before") + F.col("__run")).withColumn("__start", F.col("__end") - F.col("__c"))
+    hit = attach(cells, stats.select(*keys, F.explode(F.array(*wanted)).alias("__t")), keys, "inner").select(
+        *keys, "__t.*", "__cell", "__start", "__end")
+    at = lambda r: (F.col(r) >= F.col("__start")) & (F.col(r) < F.col("__end"))
+    hit = hit.filter(at("lo") | at("hi"))
+    ends = hit.groupBy(*keys, "q", "frac").agg(F.max(F.when(at("lo"), F.col("__cell"))).alias("__l"),
+                                               F.max(F.when(at("hi"), F.col("__cell"))).alias("__h"))
     value = F.col("__l") * (1 - F.col("frac")) + F.col("__h") * F.col("frac")
-    checked = F.when(value.isNull(), F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")).otherwise(value)
-    return out.select(*[k for k in keys if k != "__all"], "q", checked.alias("value"))
+    return ends.select(*[k for k in keys if k != "__all"], "q", value.alias("value"))
 
 
 def quantiles_wide(df: DataFrame, by: Sequence[str], col: str, named: dict[str, float]) -> DataFrame:

@@ -19,6 +19,7 @@ from anchorframe.session import materialize
 EARTH_RADIUS_M = 6371007.2  # radius of the sphere with the earth's surface
 M2_PER_HA = 10_000.0
 SALT = 16
+DRAW_BLOCK = 1024
 
 
 def _ring_sum(geom: str, term: str) -> str:
@@ -195,27 +196,38 @@ def region_key(events: DataFrame, regions: DataFrame, event_cols: Sequence[str],
 
 def _draw(polygons: DataFrame, ids: Sequence[str], seed) -> DataFrame:
     """Numbered uniform points in each polygon's box that fall inside it; ``__draws`` says how many to try."""
-    p = polygons.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("__draws") - 1)))
-    p = p.withColumn("x", F.col("xmin") + uniform(seed, "px", *ids, "draw") * (F.col("xmax") - F.col("xmin")))
-    p = p.withColumn("y", F.col("ymin") + uniform(seed, "py", *ids, "draw") * (F.col("ymax") - F.col("ymin")))
+    spread = lambda axis, d: F.col(f"{axis}min") + uniform(seed, f"p{axis}", *ids, d) * (F.col(f"{axis}max") - F.col(f"{axis}min"))
+    # tries are dealt out in blocks, so neither few polygons nor one with many tries end up in one task
+    blocks = F.sequence(F.lit(0), F.expr(f"(__draws - 1) div {DRAW_BLOCK}"))
+    polygons = polygons.withColumn("__block", F.explode(blocks)).repartition(
+        polygons.sparkSession.sparkContext.defaultParallelism, *ids, "__block")
+    first = F.col("__block") * DRAW_BLOCK
+    tries = F.transform(F.sequence(first, F.least(first + DRAW_BLOCK, F.col("__draws").cast("bigint")) - 1),
+                        lambda d: F.struct(d.alias("draw"), spread("x", d).alias("x"), spread("y", d).alias("y")))
+    # exploding finished points keeps the hashes out of the per-edge test below
+    p = polygons.withColumn("__p", F.explode(tries)).select(*ids, "__edges", "__p.*")
     return p.filter(F.expr(_inside("__edges", "x", "y"))).select(*ids, "draw", "x", "y")
 
 
 def thin_points(points: DataFrame, ids: Sequence[str], min_dist: float) -> DataFrame:
     """Drop every point with an earlier one of the same polygon nearer than ``min_dist``.
 
-    In a cell whose diagonal is ``min_dist`` only the earliest point can stay, so each point is compared
-    with at most one survivor in each of the 5 x 5 cells around it.
+    In a cell whose diagonal is ``min_dist`` only the earliest point can stay. Those few per
+    neighbourhood are compared with all points near them, so the pairs grow with the points only.
     """
-    side = min_dist / math.sqrt(2.0)
-    c = points.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
-    first = c.groupBy(*ids, "cx", "cy").agg(F.min(F.struct("draw", "x", "y")).alias("f")).select(
-        *ids, "cx", "cy", F.col("f.draw").alias("draw"), F.col("f.x").alias("x"), F.col("f.y").alias("y"))
-    around = F.sequence(F.lit(-2), F.lit(2))
-    near = c.select(*ids, F.col("draw").alias("o_draw"), F.col("x").alias("o_x"), F.col("y").alias("o_y"), "cx", "cy")
-    near = near.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-    near = near.withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy")).drop("dx", "dy")
-    close = first.join(near, [*ids, "cx", "cy"]).filter(
+    small = min_dist / math.sqrt(2.0)
+    c = points.withColumn("sx", F.floor(F.col("x") / small)).withColumn("sy", F.floor(F.col("y") / small))
+    first = c.groupBy(*ids, "sx", "sy").agg(F.min(F.struct("draw", "x", "y")).alias("f")).select(*ids, "f.draw", "f.x", "f.y")
+
+    def reach(df):
+        """Cells of side ``min_dist`` under the square of that side around the point: at most four."""
+        for axis in "xy":
+            lo, hi = ((F.floor((F.col(axis) + s * min_dist / 2) / min_dist)) for s in (-1, 1))
+            df = df.withColumn(f"c{axis}", F.explode(F.sequence(lo, hi)))
+        return df
+
+    near = reach(points.select(*ids, F.col("draw").alias("o_draw"), F.col("x"), F.col("y"))).withColumnsRenamed({"x": "o_x", "y": "o_y"})
+    close = reach(first).join(near, [*ids, "cx", "cy"]).filter(
         (F.col("o_draw") < F.col("draw")) & (F.expr("pow(x - o_x, 2) + pow(y - o_y, 2)") < min_dist * min_dist))
     return first.join(close.select(*ids, "draw").distinct(), [*ids, "draw"], "left_anti").select(*ids, "draw", "x", "y")
 
@@ -232,7 +244,7 @@ def random_points(polygons: DataFrame, ids: Sequence[str], n: int, min_dist: flo
     w = Window.partitionBy(*ids).orderBy("draw")
     done = None
     for turn in range(rounds):
-        pts = _draw(todo, ids, seed)
+        pts = materialize(_draw(todo, ids, seed))  # thinning reads it twice
         pts = thin_points(pts, ids, min_dist) if min_dist > 0 else pts
         pts = materialize(pts.withColumn("point", F.row_number().over(w)).filter(F.col("point") <= n).drop("draw"))
         full = pts.groupBy(*ids).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= n)

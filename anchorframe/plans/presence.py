@@ -14,6 +14,7 @@ from anchorframe.operators.joins import keyed_join, lagged_period_join, pair_sem
 from anchorframe.operators.ranking import attach
 from anchorframe.operators.sampling import dedupe_multi_region, rebalance_controls
 from anchorframe.operators.tables import shared_columns_union
+from anchorframe.session import materialize
 
 
 @dataclass(frozen=True)
@@ -82,7 +83,7 @@ def presence_absence(presence: DataFrame, absence: DataFrame, seed, names: Names
     The large-region table keeps one region per case and then removes as many controls from each region
     as it lost cases.
     """
-    fine = shared_columns_union(presence, absence)
+    fine = materialize(shared_columns_union(presence, absence))  # both tables and the dedupe start from it
     cases, controls = fine.filter("pa = 1"), fine.filter("pa = 0")
     kept, _, dropped = dedupe_multi_region(cases, names.id, names.region, seed)
     coarse = rebalance_controls(kept.unionByName(controls), names.region, dropped, seed, [names.id, names.region])
