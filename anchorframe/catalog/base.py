@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 # Declared schemas: nothing is inferred at read time.
@@ -55,7 +54,7 @@ SHIFT = 1.23456e-8
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(c) + SHIFT, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.selectExpr(*[f"round(`{c}` + {SHIFT!r}D, {digits}) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes])
 
 
 def rsql(expr: str, digits: int = 6) -> str:

@@ -46,11 +46,9 @@ def window_specs(measures: Sequence[str], windows: Sequence[tuple[int, int]], fn
 
 def event_window_agg(df: DataFrame, by: Sequence[str], specs: Sequence[WindowSpec], offset: str = "offset") -> DataFrame:
     """All window features of an event in one hash aggregate; an empty window gives NULL."""
-    lo, hi = min(s.lo for s in specs), max(s.hi for s in specs)
-    inside = lambda s: F.col(offset).between(s.lo, s.hi)
-    fns = {"mean": F.avg, "max": F.max, "sum": F.sum}
-    aggs = [fns[s.fn](F.when(inside(s) & F.col(offset).between(lo, hi), F.nanvl(s.measure, F.lit(None))))
-            .alias(s.out) for s in specs]
+    fns = {"mean": "avg", "max": "max", "sum": "sum"}
+    aggs = [F.expr(f"{fns[s.fn]}(CASE WHEN `{offset}` BETWEEN {s.lo} AND {s.hi} THEN nanvl(`{s.measure}`, NULL) END)").alias(s.out)
+            for s in specs]
     return df.groupBy(*by).agg(*aggs)
 
 
@@ -68,10 +66,10 @@ def event_window_agg_moments(df: DataFrame, by: Sequence[str], specs: Sequence[W
     """:func:`event_window_agg` over rows reduced by :func:`daily_moments`."""
     aggs = []
     for s in specs:
-        pick = lambda part: F.when(F.col(offset).between(s.lo, s.hi), F.col(f"{s.measure}__{part}"))  # noqa: E731,B023
-        value = {"mean": lambda: F.try_divide(F.sum(pick("sum")), F.sum(pick("n"))),
-                 "max": lambda: F.max(pick("max")), "sum": lambda: F.sum(pick("sum"))}[s.fn]()
-        aggs.append(value.alias(s.out))
+        part = lambda kind: f"CASE WHEN `{offset}` BETWEEN {s.lo} AND {s.hi} THEN `{s.measure}__{kind}` END"  # noqa: E731,B023
+        value = {"mean": f"try_divide(sum({part('sum')}), sum({part('n')}))", "max": f"max({part('max')})",
+                 "sum": f"sum({part('sum')})"}[s.fn]
+        aggs.append(F.expr(value).alias(s.out))
     return df.groupBy(*by).agg(*aggs)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorframe.functions.text import in_list
-from anchorframe.operators.ranking import attach
+from anchorframe.operators.ranking import attach, same_keys
 from anchorframe.session import small_table, try_small
 
 
@@ -16,22 +16,14 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     """Join on named keys where NULL matches NULL; outer joins return one coalesced key column."""
     if how in ("left_semi", "left_anti", "inner", "left"):
         return attach(left, right, keys, how) if how in ("inner", "left") else _filter_join(left, right, keys, how)
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                     *[F.col(c) for c in right.columns if c not in keys])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    joined = left.join(r, cond, how)
+    joined = left.join(right.withColumnsRenamed({k: f"__r_{k}" for k in keys}), same_keys(keys), how)
     cols = [F.coalesce(F.col(k), F.col(f"__r_{k}")).alias(k) if k in keys else F.col(k) for k in left.columns]
     return joined.select(*cols, *[F.col(c) for c in right.columns if c not in keys])
 
 
 def _filter_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return left.join(r, cond, how)
+    return left.join(r, same_keys(keys), how)
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:

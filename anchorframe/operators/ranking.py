@@ -19,21 +19,22 @@ SKETCH_ACCURACY = 10_000
 SMALL_GROUP = 50_000
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def same_keys(keys: Sequence[str]) -> Column:
+    """Join condition on ``key`` and its copy ``__r_key`` where NULL matches NULL."""
+    return F.expr(" AND ".join(f"`{k}` <=> `__r_{k}`" for k in keys) or "true")
 
 
 def attach(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join ``side`` (one row per key) onto ``df`` with NULL keys matching each other."""
-    r = side.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                    *[F.col(c) for c in side.columns if c not in keys])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return df.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
+    """Join ``side`` (one row per key) onto ``df`` with NULL keys matching each other.
+
+    Without keys ``side`` is the one row of a whole-table aggregate and becomes literal columns.
+    """
+    if not keys:
+        row = side.first()
+        value = lambda f: F.lit(row[f.name]).cast(f.dataType)
+        return df.select("*", *[value(f).alias(f.name) for f in side.schema])
+    copies = {k: f"__r_{k}" for k in keys}
+    return df.join(side.withColumnsRenamed(copies), same_keys(keys), how).drop(*copies.values())
 
 
 def _starts(counts: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
@@ -42,15 +43,9 @@ def _starts(counts: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
     return counts.withColumn("__before", F.sum("__n").over(w) - F.col("__n"))
 
 
-def _with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    if by:
-        return df, list(by)
-    return df.withColumn("__all", F.lit(0)), ["__all"]
-
-
 def _hash_parts(df, by, n, seed, op, ids):
     """Rows tagged with key, bucket and the group's cut bucket and remaining count."""
-    df, keys = _with_group(df, by)
+    keys = list(by)
     n_col = F.col(n) if isinstance(n, str) else F.lit(n)
     rows = df.withColumn("__key", order_key(seed, op, *ids)).withColumn("__bkt", key_bucket(F.col("__key")))
     counts = rows.groupBy(*keys, "__bkt").agg(
@@ -72,7 +67,7 @@ def _edge_rank(rows: DataFrame, keys: list[str], ids: Sequence) -> DataFrame:
     return rows.filter(F.col("__bkt") == F.col("__cut_bkt")).withColumn("__rn", F.row_number().over(w))
 
 
-_TMP = ("__all", "__key", "__bkt", "__cut_bkt", "__left", "__rn")
+_TMP = ("__key", "__bkt", "__cut_bkt", "__left", "__rn")
 
 
 def take_per_group(df: DataFrame, by: Sequence[str], n: int | str, seed, op: str,
@@ -100,7 +95,7 @@ def drop_per_group(df: DataFrame, by: Sequence[str], n: int | str, seed, op: str
 def hash_rank(df: DataFrame, by: Sequence[str], seed, op: str, ids: Sequence[str],
               out: str = "rank") -> DataFrame:
     """1-based rank of every row in its group by hash key."""
-    df, keys = _with_group(df, by)
+    keys = list(by)
     rows = df.withColumn("__key", order_key(seed, op, *ids)).withColumn("__bkt", key_bucket(F.col("__key")))
     starts = _starts(rows.groupBy(*keys, "__bkt").agg(F.count(F.lit(1)).alias("__n")), keys, "__bkt").drop("__n")
     w = Window.partitionBy(*keys, "__bkt").orderBy("__key", *ids)
@@ -121,7 +116,7 @@ def value_rank(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[str],
 
     A value frequent enough to span several split points gets buckets of its own, cut by that hash.
     """
-    df, keys = _with_group(df, by)
+    keys = list(by)
     tagged = attach(df, _value_bounds(df, keys, value, VALUE_BUCKETS), keys, "inner")
     tagged = tagged.withColumn("__key", order_key(0, "tie", *ids))
     part = F.size(F.filter("__bounds", lambda b: b < F.col(value)))
@@ -141,7 +136,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: S
     where they are scanned and sorts only the distinct values inside it. Groups of up to
     ``SMALL_GROUP`` rows need no bracket.
     """
-    df, keys0 = _with_group(df, by)
+    keys0 = list(by)
     pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("__v")) for c in cols])
     long = df.select(*keys0, F.explode(pairs).alias("__p")).select(*keys0, "__p.variable", "__p.__v")
     long = long.filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
@@ -178,7 +173,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: S
     ends = hit.groupBy(*keys, "q", "frac").agg(F.max(F.when(at("lo"), F.col("__cell"))).alias("__l"),
                                                F.max(F.when(at("hi"), F.col("__cell"))).alias("__h"))
     value = F.col("__l") * (1 - F.col("frac")) + F.col("__h") * F.col("frac")
-    return ends.select(*[k for k in keys if k != "__all"], "q", value.alias("value"))
+    return ends.select(*keys, "q", value.alias("value"))
 
 
 def quantiles_wide(df: DataFrame, by: Sequence[str], col: str, named: dict[str, float]) -> DataFrame:
