@@ -49,13 +49,14 @@ def query(name: str, sql: str | None = None):
 
 
 # Means of two-decimal values can sit exactly on a rounding tie, which two engines may sum to either
-# side of. Rounded results are therefore shifted off the tie by less than the last digit kept.
-SHIFT = 1.23456e-8
+# side of. Rounded results are therefore shifted off the tie by about a hundredth of the last digit.
+def _shift(digits: int) -> float:
+    return float(f"1.23456e-{digits + 2}")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.selectExpr(*[f"round(`{c}` + {SHIFT!r}D, {digits}) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes])
+    return df.selectExpr(*[f"round(`{c}` + {_shift(digits)!r}D, {digits}) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes])
 
 
 def rsql(expr: str, digits: int = 6) -> str:
-    return f"round({expr} + {SHIFT!r}::DOUBLE, {digits})"
+    return f"round({expr} + {_shift(digits)!r}::DOUBLE, {digits})"

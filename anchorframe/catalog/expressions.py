@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anchorframe.catalog.base import query, rounded
+from anchorframe.catalog.base import query, rounded, rsql
 from anchorframe.functions.classes import drought_class
 from anchorframe.functions.numbers import (
     bin_fixed, format_effect, p_band, percent_change, round_half_even, row_sum, signif)
@@ -124,7 +124,7 @@ def p_bands(t):
     return p.withColumn("band", p_band("p"))
 
 
-@query("effect_percent_change", """SELECT DISTINCT l_discount AS estimate, round((exp(l_discount) - 1) / 10, 9) AS change, round(exp(l_discount), 9) AS odds
+@query("effect_percent_change", f"""SELECT DISTINCT l_discount AS estimate, {rsql('(exp(l_discount) - 1) / 10', 9)} AS change, {rsql('exp(l_discount)', 9)} AS odds
  FROM lineitem""")
 def percent(t):
     change, odds = percent_change("estimate")

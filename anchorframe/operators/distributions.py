@@ -131,7 +131,7 @@ def odds_map_table(coefs: DataFrame, regions: DataFrame, region: str, breaks: di
         region, F.explode(F.split("term", ":")).alias("term")).distinct().withColumn("__inter", F.lit(True))
     main = c.filter(~F.col("term").contains(":"))
     absent = anti_join(regions.select(region).distinct(), coefs.select(region).distinct(), [region])
-    levels = sorted(r[0] for r in main.select("term").distinct().collect())
+    levels = sorted({r[0] for r in main.select("term").distinct().collect()} | set(breaks))
     scaffold = complete_scaffold(absent.withColumn("term", F.lit("")), region, "term", levels)
     scaffold = scaffold.select(region, "term", F.lit(None).cast("double").alias("odds_ratio"), F.lit("Excluded").alias("bins"))
     both = attach(binned.unionByName(scaffold), involved, [region, "term"])

@@ -173,7 +173,11 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: S
     ends = hit.groupBy(*keys, "q", "frac").agg(F.max(F.when(at("lo"), F.col("__cell"))).alias("__l"),
                                                F.max(F.when(at("hi"), F.col("__cell"))).alias("__h"))
     value = F.col("__l") * (1 - F.col("frac")) + F.col("__h") * F.col("frac")
-    return ends.select(*keys, "q", value.alias("value"))
+    every = stats.select(*keys, F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+    out = attach(every, ends.select(*keys, "q", value.alias("value")), [*keys, "q"])
+    # a sketch further off than its stated error must not pass as a missing value
+    checked = F.when(F.col("value").isNull(), F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
+    return out.withColumn("value", checked.otherwise(F.col("value")))
 
 
 def quantiles_wide(df: DataFrame, by: Sequence[str], col: str, named: dict[str, float]) -> DataFrame:
