@@ -12,14 +12,14 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from anchorframe.operators.ranking import attach
 from anchorframe.operators.tables import complete_cases
-from anchorframe.session import local_table, materialize, small_table
+from anchorframe.session import collect_bounded, local_table, materialize, small_table
 
 INTERCEPT = "(Intercept)"
 TOLERANCE = 1e-8
@@ -74,18 +74,31 @@ def design(df: DataFrame, y: str, by: Sequence[str], terms: Sequence[Term], keep
     return rows.select(*by, *keep, F.col(y).cast("double").alias("__y"), *xs)
 
 
-def _scaled(d: DataFrame, p: int) -> tuple[DataFrame, np.ndarray, np.ndarray, float]:
-    """Centre and scale the term columns over all rows; returns the mean and spread used."""
-    stats = [F.avg("__y").alias("y")]
+def _scaled(d: DataFrame, p: int, by: Sequence[str] = ()) -> tuple[DataFrame, np.ndarray, np.ndarray, float, list[dict] | None]:
+    """Centre and scale the term columns over all rows.
+
+    Returns the rows, the mean and spread used, the mean response, and the groups (None when there
+    are too many for the driver). One job serves all of it: overall moments are pooled from the groups.
+    """
+    stats = ["count(1) AS n", "avg(__y) AS y"]
     for i in range(1, p):
-        stats += [F.avg(f"__x{i}").alias(f"m{i}"), F.stddev_pop(f"__x{i}").alias(f"s{i}")]
-    r = d.agg(*stats).first()
-    m = np.array([0.0] + [r[f"m{i}"] or 0.0 for i in range(1, p)])
-    s = np.array([1.0] + [r[f"s{i}"] or 1.0 for i in range(1, p)])
-    cols = [((F.col(f"__x{i}") - F.lit(float(m[i]))) / F.lit(float(s[i]))).alias(f"__x{i}") if i else F.col("__x0")
-            for i in range(p)]
-    rest = [c for c in d.columns if not c.startswith("__x")]
-    return d.select(*rest, *cols), m, s, float(r["y"] or 0.0)
+        stats += [f"avg(__x{i}) AS m{i}", f"var_pop(__x{i}) AS v{i}"]
+    moments = [F.expr(e) for e in stats]
+    rows = d.groupBy(*by).agg(*moments).limit(DRIVER_SYSTEMS + 1).collect()
+    groups = [{k: r[k] for k in by} for r in rows] if len(rows) <= DRIVER_SYSTEMS else None
+    if groups is None:
+        rows = [d.agg(*moments).first()]
+    n = np.array([r["n"] for r in rows], float)
+    total = max(n.sum(), 1.0)
+    m, s = np.zeros(p), np.ones(p)
+    for i in range(1, p):
+        gm, gv = (np.array([r[f"{c}{i}"] or 0.0 for r in rows]) for c in "mv")
+        m[i] = (n * gm).sum() / total
+        s[i] = math.sqrt((n * (gv + (gm - m[i]) ** 2)).sum() / total) or 1.0
+    mean_y = float(sum(k * (r["y"] or 0.0) for k, r in zip(n, rows)) / total)
+    xs = [f"(__x{i} - {float(m[i])!r}D) / {float(s[i])!r}D AS __x{i}" if i else "__x0" for i in range(p)]
+    rest = [f"`{c}`" for c in d.columns if not c.startswith("__x")]
+    return d.selectExpr(*rest, *xs), m, s, mean_y, groups
 
 
 def _state_schema(d: DataFrame, by: Sequence[str]) -> T.StructType:
@@ -99,6 +112,9 @@ def _state_schema(d: DataFrame, by: Sequence[str]) -> T.StructType:
     return T.StructType(fields)
 
 
+CARRY = ("b", "used", "shift", "prev_b", "prev_dev", "it")
+
+
 def _statistics(rows: DataFrame, state: DataFrame, by: Sequence[str], p: int, family: str) -> DataFrame:
     """Normal equations and fit sums per (group, model) at the state's coefficients."""
     j = attach(rows, state.select(*by, "model", "b", "shift"), by, "inner")
@@ -117,10 +133,7 @@ def _statistics(rows: DataFrame, state: DataFrame, by: Sequence[str], p: int, fa
     gram = ", ".join(f"sum(__w * __u{a} * __u{b})" for a in range(p) for b in range(a, p))
     score = ", ".join(f"sum(__u{a} * __r)" for a in range(p))
     aggs = ["count(1) AS n", *sums, f"array({gram}) AS gram", f"array({score}) AS score"]
-    sums = j.groupBy(*by, "model").agg(*[F.expr(e) for e in aggs])
-    # the state joins back afterwards: arrays inside the aggregate would force a sort of all rows
-    carry = ["b", "used", "shift", "prev_b", "prev_dev", "it"]
-    return attach(sums, state.select(*by, "model", *carry), [*by, "model"], "inner")
+    return j.groupBy(*by, "model").agg(*[F.expr(e) for e in aggs])
 
 
 def _independent(g: np.ndarray) -> list[int]:
@@ -188,20 +201,24 @@ def _advance(records: Iterable[dict], p: int, family: str) -> list[dict]:
     return out
 
 
-def _iterate(rows: DataFrame, state: DataFrame, by: Sequence[str], p: int, family: str, schema: T.StructType,
-             n_systems: int) -> DataFrame:
-    """Run all (group, model) fits to the end and return the final state."""
+def _iterate(rows: DataFrame, state: DataFrame | list[dict], by: Sequence[str], p: int, family: str, schema: T.StructType) -> DataFrame | list[dict]:
+    """Run all (group, model) fits to the end and return the final state.
+
+    The state is a list while its systems are solved on the driver, and a table beyond that.
+    """
     spark = rows.sparkSession
-    if n_systems <= DRIVER_SYSTEMS:
+    if isinstance(state, list):
         finished: list[dict] = []
-        while True:
-            stats = [r.asDict() for r in _statistics(rows, state, by, p, family).collect()]
+        while state:
+            held = {(*[r[k] for k in by], r["model"]): r for r in state}
+            table = F.broadcast(local_table(spark, state, schema))
+            stats = [r.asDict() for r in _statistics(rows, table, by, p, family).collect()]
+            for r in stats:
+                r.update({c: held[(*[r[k] for k in by], r["model"])][c] for c in CARRY})
             moved = _advance(stats, p, family)
             finished += [m for m in moved if m["done"]]
-            going = [m for m in moved if not m["done"]]
-            if not going:
-                return local_table(spark, finished, schema)
-            state = F.broadcast(local_table(spark, going, schema))
+            state = [m for m in moved if not m["done"]]
+        return finished
 
     def solve(batches):
         import pandas as pd
@@ -211,7 +228,9 @@ def _iterate(rows: DataFrame, state: DataFrame, by: Sequence[str], p: int, famil
 
     done = None
     while True:
-        moved = materialize(_statistics(rows, state, by, p, family).mapInPandas(solve, schema))
+        # the state joins back after the sums: arrays inside the aggregate would force a sort of all rows
+        sums = attach(_statistics(rows, state, by, p, family), state.select(*by, "model", *CARRY), [*by, "model"], "inner")
+        moved = materialize(sums.mapInPandas(solve, schema))
         ended = moved.filter("done")
         done = ended if done is None else done.unionByName(ended)
         state = moved.filter("not done")
@@ -227,24 +246,19 @@ def _records(pdf) -> list[dict]:
     return out
 
 
-def _initial_state(rows: DataFrame, by: Sequence[str], models: Mapping[str, list[float]], start: float,
-                   schema: T.StructType, p: int) -> tuple[DataFrame, int]:
+def _initial_state(rows: DataFrame, by: Sequence[str], groups: list[dict] | None, models: Mapping[str, list[float]],
+                   start: float, schema: T.StructType, p: int) -> DataFrame | list[dict]:
     """Starting coefficients for every group and model: intercept ``start``, slopes 0."""
-    groups = small_table(rows.select(*by).distinct() if by else rows.limit(1).select(F.lit(1).alias("__one")))
-    if not by:
-        groups = groups.drop("__one")
     zero = [0.0] * p
-    start_b = [float(start), *zero[1:]]
-    lit_arr = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    kinds = F.array(*[F.struct(F.lit(m).alias("model"), lit_arr(u).alias("used")) for m, u in models.items()])
-    s = groups.withColumn("__m", F.explode(kinds)).select(*by, "__m.model", "__m.used")
-    s = s.withColumn("b", lit_arr(start_b)).withColumn("shift", lit_arr(zero)).withColumn("it", F.lit(0))
-    for f in schema:
-        if f.name not in s.columns:
-            s = s.withColumn(f.name, F.lit(None).cast(f.dataType))
-    n = groups.count() * len(models) if by else len(models)
-    s = s.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-    return (F.broadcast(s) if n <= DRIVER_SYSTEMS else s), n
+    if groups is not None and len(groups) * len(models) <= DRIVER_SYSTEMS:
+        return [{**g, "model": m, "used": used, "b": [start, *zero[1:]], "shift": zero, "it": 0, "prev_b": None, "prev_dev": None}
+                for g in groups for m, used in models.items()]
+    arr = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    kinds = F.array(*[F.struct(F.lit(m).alias("model"), arr(u).alias("used")) for m, u in models.items()])
+    s = rows.select(*by).distinct().withColumn("__m", F.explode(kinds)).select(*by, "__m.model", "__m.used")
+    s = s.withColumns({"b": arr([start, *zero[1:]]), "shift": arr(zero), "it": F.lit(0)})
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in s.columns}
+    return materialize(s.withColumns(missing).select(*[F.col(f.name).cast(f.dataType) for f in schema]))
 
 
 def _union_terms(models: Mapping[str, Sequence[Term]]) -> list[Term]:
@@ -256,10 +270,11 @@ def _union_terms(models: Mapping[str, Sequence[Term]]) -> list[Term]:
     return out
 
 
-def _finish(final: DataFrame, by: Sequence[str], m: np.ndarray, s: np.ndarray, p: int, family: str) -> DataFrame:
+def _finish(final: DataFrame | list[dict], spark: SparkSession, state_schema: T.StructType, by: Sequence[str], m: np.ndarray,
+            s: np.ndarray, p: int, family: str) -> DataFrame:
     """Back to the original scale: coefficients, covariance, AICc and variance inflation per fit."""
     dbl, arr = T.DoubleType(), T.ArrayType(T.DoubleType())
-    keep = [f for f in final.schema if f.name in [*by, "model", "used", "n", "loglik", "dispersion", "converged"]]
+    keep = [f for f in state_schema if f.name in [*by, "model", "used", "n", "loglik", "dispersion", "converged"]]
     schema = T.StructType([*keep, T.StructField("k", T.IntegerType()), T.StructField("deviance", dbl),
                            T.StructField("iterations", T.IntegerType()), T.StructField("aicc", dbl),
                            T.StructField("beta", arr), T.StructField("vcov", arr), T.StructField("p", arr), T.StructField("vif", arr)])
@@ -296,9 +311,8 @@ def _finish(final: DataFrame, by: Sequence[str], m: np.ndarray, s: np.ndarray, p
                         "vcov": list(vb.ravel()), "p": pv, "vif": list(vif)})
         return out
 
-    rows = final.limit(DRIVER_SYSTEMS + 1).collect()
-    if len(rows) <= DRIVER_SYSTEMS:
-        return local_table(final.sparkSession, convert([r.asDict() for r in rows]), schema)
+    if isinstance(final, list):
+        return local_table(spark, convert(final), schema)
 
     def batches(it):
         import pandas as pd
@@ -317,12 +331,12 @@ def fit_candidates(df: DataFrame, y: str, by: Sequence[str], models: Mapping[str
     by = list(by)
     raw = design(df, y, by, terms).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows, m, s, mean_y = _scaled(raw, p)
+        rows, m, s, mean_y, groups = _scaled(raw, p, by)
         schema = _state_schema(rows, by)
         used = {name: [1.0] + [1.0 if t in list(ts) else 0.0 for t in terms] for name, ts in models.items()}
-        state, n = _initial_state(rows, by, used, 0.0 if family == "binomial" else mean_y, schema, p)
-        final = _iterate(rows, state, by, p, family, schema, n)
-        return Fits(_finish(final, by, m, s, p, family), by, terms, y, family)
+        state = _initial_state(rows, by, groups, used, 0.0 if family == "binomial" else mean_y, schema, p)
+        final = _iterate(rows, state, by, p, family, schema)
+        return Fits(_finish(final, df.sparkSession, schema, by, m, s, p, family), by, terms, y, family)
     finally:
         raw.unpersist()
 
@@ -456,17 +470,17 @@ def profile_intervals(df: DataFrame, fits: Fits, level_z: float = Z975, steps: i
     by, p = fits.by, len(fits.names)
     raw = design(df, fits.y, by, fits.terms).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows, m, s, _ = _scaled(raw, p)
+        rows, m, s, _, _ = _scaled(raw, p)
         spark, schema = rows.sparkSession, _state_schema(rows, by)
         jobs = {}
-        for r in (x.asDict() for x in fits.table.collect()):
+        for r in (x.asDict() for x in collect_bounded(fits.table, DRIVER_SYSTEMS, "profiled fits")):
             used, b, v = np.array(r["used"]) > 0, np.array(r["beta"], float), np.array(r["vcov"], float).reshape(p, p)
             for j in np.flatnonzero(used):
                 for side in (-1, 1):
                     se = math.sqrt(v[j, j])
                     key = (*[r[k] for k in by], r["model"], int(j), side)
                     jobs[key] = dict(group={k: r[k] for k in by}, model=r["model"], used=used, b=np.where(used, b, 0.0), hat=b[j], dev=r["deviance"],
-                                     side=side, j=int(j), pts=[(b[j], 0.0)], t=b[j] + side * level_z * se, se=se, bound=None)
+                                     side=side, j=int(j), along=np.where(used, v[:, j] / v[j, j], 0.0), pts=[(b[j], 0.0)], t=b[j] + side * level_z * se, se=se, bound=None)
         for _ in range(steps):
             todo = {k: q for k, q in jobs.items() if q["bound"] is None}
             if not todo:
@@ -475,18 +489,18 @@ def profile_intervals(df: DataFrame, fits: Fits, level_z: float = Z975, steps: i
             for key, q in todo.items():
                 j, used = q["j"], q["used"].copy()
                 used[j] = False
-                g = q["b"] * s
+                # start the others where the quadratic approximation expects them
+                start = q["b"] + q["along"] * (q["t"] - q["hat"])
+                g = start * s
                 if j == 0:  # the intercept refers to uncentred columns
                     shift, g[0] = m / s, q["t"]
                 else:
-                    shift, g[0] = np.zeros(p), q["b"][0] + float(np.dot(q["b"][1:], m[1:]))
-                    g[j] = q["t"] * s[j]
+                    shift, g[0] = np.zeros(p), start[0] + float(np.dot(start[1:], m[1:]))
                 shift[0] = 0.0
                 records.append({**q["group"], "model": f"{q['model']}|{j}|{q['side']}", "b": list(g), "used": list(used.astype(float)),
                                 "shift": list(shift), "it": 0, "prev_b": None, "prev_dev": None})
-            state = F.broadcast(local_table(spark, records, schema))
-            final = _iterate(rows, state, by, p, "binomial", schema, len(records))
-            for r in (x.asDict() for x in final.collect()):
+            final = _iterate(rows, records, by, p, "binomial", schema)
+            for r in final:
                 model, j, side = r["model"].rsplit("|", 2)
                 q = jobs[(*[r[k] for k in by], model, int(j), int(side))]
                 root = q["side"] * math.sqrt(max(r["dev"] - q["dev"], 0.0))

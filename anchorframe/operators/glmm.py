@@ -185,7 +185,7 @@ def fit_random_intercept(df: DataFrame, y: str, terms: Sequence[Term], factors:
     factors, p = list(factors), len(terms) + 1
     raw = design(df, y, factors, terms).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows, m, s, mean_y = _scaled(raw, p)
+        rows, m, s, mean_y, _ = _scaled(raw, p)
         obj = _Laplace(rows, factors, p)
         nf = len(factors)
         beta0 = np.zeros(p)

@@ -135,6 +135,8 @@ def test_profile_interval_costs_the_right_deviance(data):
 
     for side in ("prof_lo", "prof_hi"):
         assert cost(prof["b"][side]) == pytest.approx(3.841459, abs=1e-4)
+    tidy = {r.term: r for r in regional_models(d, "y", "g", ["b"], min_cases=1, intervals="profile").collect()}
+    assert tidy["b"].ci_hi == pytest.approx(prof["b"].prof_hi, rel=1e-6) and tidy["b"].or_hi == pytest.approx(math.exp(prof["b"].prof_hi), rel=1e-6)
     assert prof["(Intercept)"].prof_lo == pytest.approx(wald["(Intercept)"].ci_lo, abs=0.02)
 
 
@@ -173,7 +175,7 @@ def test_p_value_expression(spark):
 
 
 def test_regional_models_with_an_override(data):
-    out = regional_models(data, "y", "g", ["a", "b"], {"small": crossed("a", "b")}, min_cases=50, intervals="profile")
+    out = regional_models(data, "y", "g", ["a", "b"], {"small": crossed("a", "b")}, min_cases=50)
     terms = {(r.g, r.term) for r in out.collect()}
     assert ("small", "a:b") in terms and ("big", "a:b") not in terms and len(terms) == 7
     assert regional_models(data, "y", "g", ["a"], min_cases=800).select("g").distinct().count() == 1
