@@ -20,6 +20,7 @@ from anchorframe.operators.glm import (
     interaction_gate, profile_intervals, selection_table, standardized_average, standardized_effects, vif)
 from anchorframe.operators.glmm import compare_mixed_windows, fit_random_intercept, random_effects
 from anchorframe.operators.tables import keep_groups
+from anchorframe.session import materialize
 
 
 def signal_rows(t):
@@ -93,8 +94,13 @@ _COEF_COLS = (f"region, term_pos, term, {rsql('est')} AS estimate, {rsql('se')}
               f"{rsql('exp(est - 1.959963984540054::DOUBLE * se)')} AS or_lo, {rsql('exp(est + 1.959963984540054::DOUBLE * se)')} AS or_hi")
 
 
+def signal_table(t):
+    """Written once, for queries that read it after the fit as well."""
+    return materialize(signal_rows(t))
+
+
 def _fit2(t):
-    d = signal_rows(t)
+    d = signal_table(t)
     return d, fit_logistic(d, "y", ["region"], ["price", "crop"])
 
 
@@ -234,6 +240,11 @@ def _diag(t):
     return row_diagnostics(d, f, ["o_orderkey"])
 
 
+def _diag_table(t):
+    """Written once: ranks read it three times."""
+    return materialize(_diag(t).select("o_orderkey", "region", "model", "y", "fitted", "resid_response"))
+
+
 @query("row_diagnostics", f"""{_DIAG} SELECT o_orderkey, {rsql('mu')} AS fitted, {rsql('(y - mu) / sqrt(w)')} AS resid_pearson, {rsql('sign(y - mu) * sqrt(-2 * ln(CASE y WHEN 1 THEN mu ELSE 1 - mu END))')} AS resid_deviance,
  {rsql('(y - mu) / w')} AS resid_working, {rsql('h')} AS leverage, {rsql('sign(y - mu) * sqrt(-2 * ln(CASE y WHEN 1 THEN mu ELSE 1 - mu END)) / sqrt(1 - h)')} AS std_resid, {rsql('cooks * 1000')} AS cooks_d FROM dd""")
 def diagnostics(t):
@@ -252,7 +263,7 @@ def influence(t):
  SELECT region, ((k * nb + n - 1) // n)::BIGINT AS bin, count(*) AS n, {rsql('avg(mu)')} AS mean_x, {rsql('avg(r)')} AS mean_residual, {rsql('2 * stddev_samp(r) / sqrt(count(*))')} AS two_se
  FROM rk GROUP BY 1, 2""")
 def binned(t):
-    return rounded(binned_residuals(_diag(t), ["region"], ["o_orderkey"]).drop("model"))
+    return rounded(binned_residuals(_diag_table(t), ["region"], ["o_orderkey"]).drop("model"))
 
 
 _QRES = f"""{_DIAG}, qr AS (SELECT o_orderkey, region, n, CASE y WHEN 0 THEN {u_sql('qres', 'o_orderkey')} * (1 - mu) ELSE (1 - mu) + {u_sql('qres', 'o_orderkey')} * mu END AS qres FROM dd)"""
@@ -266,14 +277,14 @@ def qres(t):
 @query("ks_distance", f"""{_QRES} SELECT region, n, {rsql('max(abs(rk::DOUBLE / n - qres))')} AS ks FROM
  (SELECT *, row_number() OVER (PARTITION BY region ORDER BY qres) AS rk FROM qr) GROUP BY 1, 2""")
 def ks(t):
-    return rounded(ks_distance(quantile_residuals(_diag(t), SEED, ["o_orderkey"]), ["region"], ["o_orderkey"]).drop("model"))
+    return rounded(ks_distance(quantile_residuals(_diag_table(t), SEED, ["o_orderkey"]), ["region"], ["o_orderkey"]).drop("model"))
 
 
 @query("standardized_effects", f"""WITH RECURSIVE {SIGNAL}, z AS (SELECT region, y, (price - avg(price) OVER g) / stddev_samp(price) OVER g AS price, (crop - avg(crop) OVER g) / stddev_samp(crop) OVER g AS crop
  FROM sig WINDOW g AS (PARTITION BY region)), {newton_sql('m', 'z', 'region', 'y', 'price', 'crop')}
  {_terms_sql('m', 'region', ['price', 'crop'], f'''region, term, {rsql('exp(est)')} AS odds_ratio, {rsql('exp(est - 1.959963984540054::DOUBLE * se)')} AS or_lo''')}""")
 def standardized(t):
-    s = standardized_effects(signal_rows(t), "y", ["region"], ["price", "crop"])
+    s = standardized_effects(signal_table(t), "y", ["region"], ["price", "crop"])
     return rounded(s.select("region", "term", "odds_ratio", "or_lo"))
 
 
@@ -296,7 +307,7 @@ def grid(t):
 @query("predict_interaction", f"""WITH RECURSIVE {SIGNAL}, {newton_sql('m', 'sig', 'region', 'y', 'price', 'price * crop')} SELECT region, price, crop, {_curve_sql('price', '(price * crop)')}
  FROM m CROSS JOIN (SELECT unnest([{', '.join(f'{v}::DOUBLE' for v in _GRID)}]) AS price) CROSS JOIN (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS crop)""")
 def grid2(t):
-    d = signal_rows(t)
+    d = signal_table(t)
     f = fit_logistic(d, "y", ["region"], ["price", ("price", "crop")])
     return rounded(predict_interaction(d, f, "price", _GRID, "crop", [0.1, 0.5, 0.9]).drop("model"))
 
@@ -317,7 +328,7 @@ def _bins_sql() -> str:
  SELECT nation, term, orr AS odds_ratio, {_bins_sql()} AS bins FROM c WHERE term <> '(Intercept)' UNION ALL
  SELECT nation, term, NULL, 'Excluded' FROM (SELECT DISTINCT nation FROM sig WHERE nation NOT IN (SELECT nation FROM big)) CROSS JOIN (VALUES ('price'), ('crop')) v(term)""")
 def odds_map(t):
-    d = signal_rows(t)
+    d = signal_table(t)
     kept = keep_groups(d, ["nation"], min_rows=190, where=F.col("y") == 1)
     c = coef_table(fit_logistic(kept, "y", ["nation"], ["price", "crop"]))
     return odds_map_table(c, d.select("nation"), "nation", _BREAKS)
@@ -340,4 +351,4 @@ def random_levels(t):
 
 @query("compare_mixed_windows")
 def mixed_windows(t):
-    return compare_mixed_windows(signal_rows(t), "y", {"size": ["price"], "cover": ["crop", "hay"]}, ["nation"])
+    return compare_mixed_windows(signal_table(t), "y", {"size": ["price"], "cover": ["crop", "hay"]}, ["nation"])

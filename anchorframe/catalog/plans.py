@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from anchorframe.catalog.base import query, rounded, rsql
-from anchorframe.catalog.models import SIGNAL, _terms_sql, newton_sql, signal_rows
+from anchorframe.catalog.models import SIGNAL, _terms_sql, newton_sql, signal_table
 from anchorframe.catalog.proxies import ANCHORS, COVER, OBS, anchored_events, anchors, order_cover
 from anchorframe.catalog.sampling import SEED, _match_sql, key_sql
 from anchorframe.functions.dates import day_offset
@@ -202,5 +202,5 @@ _REG_COLS = f"nation, term, {rsql('est')} AS estimate, {rsql('est - 1.9599639845
 @query("regional_models", f"{_REG} {_terms_sql('m', 'nation', ['price', 'crop'], _REG_COLS)} UNION ALL {_terms_sql('o', 'nation', ['price', 'price:crop'], _REG_COLS)}")
 def regional(t):
     own = ["price", ("price", "crop")]
-    r = regional_models(signal_rows(t), "y", "nation", ["price", "crop"], {"NATION_3": own, "NATION_11": own}, min_cases=150)
+    r = regional_models(signal_table(t), "y", "nation", ["price", "crop"], {"NATION_3": own, "NATION_11": own}, min_cases=150)
     return rounded(r.select("nation", "term", "estimate", "ci_lo", "ci_hi", "odds_ratio"))

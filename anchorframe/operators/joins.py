@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from anchorframe.functions.text import in_list
 from anchorframe.operators.ranking import attach, same_keys
-from anchorframe.session import small_table, try_small
+from anchorframe.session import SMALL_ROWS, materialize
 
 
 def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -53,12 +53,12 @@ def anchor_join(observations: DataFrame, anchors: DataFrame, keys: Sequence[str]
     Few anchors are broadcast. Many are joined on key and salt, so an entity with a large share of the
     observations is spread over ``salt`` tasks and a later aggregate by the key still combines first.
     """
-    side = try_small(anchors)
-    if side is not None:
-        return observations.join(side, list(keys))
+    side = materialize(anchors)
+    if side.count() <= SMALL_ROWS:
+        return observations.join(F.broadcast(side), list(keys))
     spread = F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))
     left = observations.withColumn("__salt", F.pmod(F.xxhash64(*observations.columns), F.lit(salt)))
-    return left.join(anchors.withColumn("__salt", F.explode(spread)), [*keys, "__salt"]).drop("__salt")
+    return left.join(side.withColumn("__salt", F.explode(spread)), [*keys, "__salt"]).drop("__salt")
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -76,7 +76,7 @@ def lagged_period_join(anchors: DataFrame, facts: DataFrame, id_col: str, anchor
 def pair_semi_join(df: DataFrame, listing: DataFrame, id_col: str, pair_col: str, order_col: str) -> DataFrame:
     """Keep the (id, replicate) pairs of a listing; the last listing of an id wins."""
     last = listing.groupBy(id_col).agg(F.max_by(pair_col, order_col).alias(pair_col))
-    return semi_join(df, small_table(last), [id_col, pair_col])
+    return semi_join(df, materialize(last), [id_col, pair_col])
 
 
 def id_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from anchorframe.functions.numbers import is_missing
 from anchorframe.operators.joins import semi_join
 from anchorframe.operators.ranking import attach
-from anchorframe.session import collect_bounded, small_table
+from anchorframe.session import collect_bounded, materialize, small_table
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -115,12 +115,12 @@ def keep_groups(df: DataFrame, by: Sequence[str], min_rows: int | None = None, m
         col = F.col(distinct_col)
         test = F.count_distinct(F.when(where, col) if where is not None else col) >= min_distinct
     sizes = df.groupBy(*by).agg(test.alias("__keep")).filter("__keep")
-    return semi_join(df, small_table(sizes), by)
+    return semi_join(df, materialize(sizes), by)
 
 
 def with_group_stats(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
     """Add group aggregates as columns by aggregate and join back."""
-    return attach(df, small_table(df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()])), by)
+    return attach(df, materialize(df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()])), by)
 
 
 def duplicate_entities(df: DataFrame, key: str) -> DataFrame:
