@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from anchorframe.llm import packing
+from anchorframe.llm import idcoder, langid, packing
 from anchorframe.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +26,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fold(remainder: int, of: int) -> Column:
+    """Whether crc32 of the document id as text leaves the remainder."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == remainder
+
+
 @query
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in full windows of 512 to 4096 ids."""
     return packing.pack(table(spark, folder, "documents"), tokenizer_path(WORD_BPE), WORD_END)
+
+
+@query
+def op4_id_coder(spark: SparkSession, folder: str) -> DataFrame:
+    """Places and checksums of all documents' ids, read back from coded blocks."""
+    return idcoder.round_trip(table(spark, folder, "documents"), tokenizer_path(BYTE_BPE), BYTE_END, 50257)
+
+
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from three quarters of the labelled ones."""
+    docs = table(spark, folder, "documents")
+    return langid.predict(docs, langid.train(docs, ~fold(2, 4)), fold(2, 4))
