@@ -97,9 +97,9 @@ def _calibrate(logits: np.ndarray, labels: np.ndarray, lost: float) -> tuple[flo
     return t, float(min(0.5, best[int(lost * len(best))]))
 
 
-def fit(windows: list[tuple[str, str]], width: int = 16, epochs: int = 6, rate: float = 2.0, batch: int = 32, lost: float = 0.001,
+def fit(windows: list[tuple[str, str]], width: int = 16, passes: int = 800, rate: float = 3.0, batch: int = 32, lost: float = 0.001,
         seed: int = 17) -> Model:
-    """Train on (text, language) windows."""
+    """Train on (text, language) windows, ``passes`` batches of them."""
     languages = sorted({lang for _, lang in windows})
     rng = np.random.default_rng(seed)
     data = [(rows, languages.index(lang)) for text, lang in windows if len(rows := grams(text))]
@@ -109,10 +109,10 @@ def fit(windows: list[tuple[str, str]], width: int = 16, epochs: int = 6, rate:
     held, data = data[:len(data) // 5], data[len(data) // 5:]
     table = rng.normal(0, 1 / width, (ROWS, width)).astype(np.float32)
     out, bias = np.zeros((width, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    steps, step = epochs * -(-len(data) // batch), 0
-    for _ in range(epochs):
+    steps, step = passes, 0
+    while step < steps:
         order = rng.permutation(len(data))
-        for at in range(0, len(data), batch):
+        for at in range(0, min(len(data), (steps - step) * batch), batch):
             own = [data[i] for i in order[at:at + batch]]
             rows, sizes = np.concatenate([r for r, _ in own]), np.array([len(r) for r, _ in own])
             labels = np.array([k for _, k in own])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorframe.llm import idcoder, langid, packing
+from anchorframe.llm import embeddings, idcoder, langid, packing
 from anchorframe.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,9 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from three quarters of the labelled ones."""
     docs = table(spark, folder, "documents")
     return langid.predict(docs, langid.train(docs, ~fold(2, 4)), fold(2, 4))
+
+
+@query
+def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings within their labels."""
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
