@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorframe.llm import embeddings, idcoder, langid, packing
+from anchorframe.llm import embeddings, idcoder, jaccard, langid, packing
 from anchorframe.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,9 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all embeddings within their labels."""
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents whose 4-word shingle sets have similarity 0.85 or more."""
+    return jaccard.link(table(spark, folder, "documents"))
