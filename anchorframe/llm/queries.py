@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorframe.llm import embeddings, idcoder, jaccard, langid, packing
+from anchorframe.llm import embeddings, html, idcoder, jaccard, langid, packing
 from anchorframe.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,9 @@ def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of all documents whose 4-word shingle sets have similarity 0.85 or more."""
     return jaccard.link(table(spark, folder, "documents"))
+
+
+@query
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(table(spark, folder, "pages"))
