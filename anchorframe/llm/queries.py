@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorframe.llm import embeddings, html, idcoder, jaccard, langid, packing
+from anchorframe.llm import embeddings, html, idcoder, jaccard, langid, mixing, packing
 from anchorframe.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,59 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of all pages."""
     return html.extract(table(spark, folder, "pages"))
+
+
+def mix_target() -> dict:
+    """Tree, weights and token counts. Of the synthetic sources src0, src1, ... the number modulo 4 stands for a domain."""
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int)")
+    return {
+        "path": {"domain": F.coalesce(F.concat(F.lit("d"), (number % 4).cast("string")), F.lit("other")), "language": F.col("lang"), "source": F.col("source")},
+        "weights": {"domain": F.expr("CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END"),
+                    "language": F.expr("CASE language WHEN 'en' THEN 5 WHEN 'fr' THEN 2 WHEN 'de' THEN 2 ELSE 1 END"), "source": F.lit(1)},
+        "tokens": F.expr("coalesce(octet_length(text), 0) div 4 + 1"),  # the usual estimate, and an end
+    }
+
+
+@query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents taken from three fifths of all tokens by weights, in up to two epochs."""
+    return mixing.mix(table(spark, folder, "documents"), **mix_target(), share=(3, 5))
+
+
+def _fill_sql(name: str, nodes: str, parents: str, node: str) -> str:
+    part = f"PARTITION BY {parents}" if parents else ""
+    keys = f"{parents}, {node}" if parents else node
+    return f"""{name}_a AS (SELECT *, capacity / weight <= (budget - coalesce(sum(capacity) OVER ({part} ORDER BY capacity / weight, {node}
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER ({part} ORDER BY capacity / weight, {node}
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sated FROM ({nodes})),
+{name} AS (SELECT {keys}, CAST(CASE WHEN sated THEN capacity ELSE floor(weight * (budget - coalesce(sum(CASE WHEN sated THEN capacity END)
+    OVER ({part}), 0)) / sum(CASE WHEN NOT sated THEN weight END) OVER ({part})) END AS BIGINT) AS budget FROM {name}_a)"""
+
+
+def _mix_nodes(level: str, parents: str, weight: str, budget: str) -> str:
+    keys = f"{parents}, {level}" if parents else level
+    join = f" JOIN {budget} USING ({parents})" if parents else ""
+    given = "budget" if parents else f"{budget} AS budget"
+    return (f"SELECT n.*, {given} FROM (SELECT {keys}, CAST(sum(tokens) * 2 AS BIGINT) AS capacity, {weight} AS weight FROM leaves "
+            f"GROUP BY {keys}) n{join}")
+
+
+def mix_sql(docs: str, share: tuple[int, int], epochs: int, seed: int = 7) -> str:
+    """DuckDB: the rows of ``docs`` taken in each epoch."""
+    domain = "CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END"
+    language = "CASE language WHEN 'en' THEN 5 WHEN 'fr' THEN 2 WHEN 'de' THEN 2 ELSE 1 END"
+    budget = f"(SELECT CAST(sum(tokens) AS BIGINT) * {share[0]} // {share[1]} FROM leaves)"
+    levels = ",\n".join(_fill_sql(name, _mix_nodes(level, parents, weight, given).replace("* 2 AS", f"* {epochs} AS"), parents, level) for name, level, parents, weight, given in (
+        ("b1", "domain", "", domain, budget), ("b2", "language", "domain", language, "b1"), ("b3", "source", "domain, language", "1", "b2")))
+    place = f"md5(concat_ws('|', '{seed}', CAST(epoch AS VARCHAR), CAST(doc_id AS VARCHAR)))"
+    return f"""WITH plain AS (SELECT doc_id, coalesce('d' || CAST(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 AS VARCHAR), 'other') AS domain,
+    coalesce(lang, '') AS language, coalesce(source, '') AS source, coalesce(strlen(text), 0) // 4 + 1 AS tokens FROM {docs}),
+leaves AS (SELECT domain, language, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM plain GROUP BY ALL),
+{levels},
+takes AS (SELECT domain, language, source, budget // tokens AS whole, budget % tokens AS rest FROM leaves JOIN b3 USING (domain, language, source)),
+offered AS (SELECT p.*, whole, rest, unnest(range(whole + 1)) AS epoch FROM plain p JOIN takes USING (domain, language, source)),
+ordered AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, source, epoch ORDER BY {place}) AS upto FROM offered)
+SELECT doc_id, domain, language, source, tokens, epoch FROM ordered WHERE epoch < whole OR upto <= rest"""
+
+
+ORACLES["op7_mixing"] = mix_sql("documents", (3, 5), 2)
