@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorframe.llm import embeddings, html, idcoder, jaccard, langid, mixing, packing
+from anchorframe.llm import embeddings, html, idcoder, jaccard, langid, mixing, packing, substrings
 from anchorframe.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ SELECT doc_id, domain, language, source, tokens, epoch FROM ordered WHERE epoch
 
 
 ORACLES["op7_mixing"] = mix_sql("documents", (3, 5), 2)
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What 50-byte strings of earlier documents leave of each document."""
+    return substrings.report(table(spark, folder, "documents"))
