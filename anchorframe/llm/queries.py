@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorframe.llm import embeddings, html, idcoder, jaccard, langid, mixing, packing, substrings
+from anchorframe.llm import embeddings, html, idcoder, jaccard, langid, mixing, packing, substrings, syncmers, toxicity
 from anchorframe.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,16 @@ ORACLES["op7_mixing"] = mix_sql("documents", (3, 5), 2)
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What 50-byte strings of earlier documents leave of each document."""
     return substrings.report(table(spark, folder, "documents"))
+
+
+@query
+def op2_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return syncmers.fingerprints(table(spark, folder, "documents"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labelled ones."""
+    docs = table(spark, folder, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, table(spark, folder, "labels"), ~fold(0, 5)), fold(0, 5))
