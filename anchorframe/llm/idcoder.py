@@ -41,32 +41,37 @@ _EVERY = 16  # steps between two refreshes of the order-0 table
 _LANES = 4096
 U = np.uint64
 BLOCK_SCHEMA = "shard int, block int, start long, ids long, payload binary"
-PIECE_SCHEMA = "shard int, doc_start long, doc_id long, piece_start long, n long, doc_tokens long, crc long"
+PIECE_SCHEMA = "shard int, doc_start long, doc_id long, doc_tokens long, crc long"
 
 
 class _Guesses:
     """One guess and its confidence (0 to 7) for each context."""
 
     def __init__(self, slots: int):
-        self.guess = np.zeros(slots, np.int64)
-        self.sure = np.zeros(slots, np.int64)
+        self.guess = np.zeros(slots, np.int32)
+        self.sure = np.zeros(slots, np.int8)
         self.right = np.ones(8, np.int64)
         self.tried = np.full(8, 2, np.int64)
+        self.chance = np.zeros(8, U)
 
     def look(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Guess, confidence, and the chance in 65536ths that it is right."""
         sure = self.sure[at]
-        chance = (self.right << 16) // self.tried
-        chance[0] = 0
-        return self.guess[at], sure, chance[sure].astype(U)
+        return self.guess[at], sure, self.chance[sure]
 
-    def learn(self, at: np.ndarray, guess: np.ndarray, sure: np.ndarray, ids: np.ndarray) -> None:
+    def learn(self, at: np.ndarray, guess: np.ndarray, sure: np.ndarray, ids: np.ndarray, count: bool) -> None:
         hit = guess == ids
-        self.tried += np.bincount(sure, minlength=8)
-        self.right += np.bincount(sure[hit], minlength=8)
-        weak = ~hit & (sure <= 1)
-        self.guess[at] = np.where(weak, ids, guess)
-        self.sure[at] = np.where(hit, np.minimum(sure + 1, 7), np.maximum(sure >> 1, 1))
+        if count:
+            self.tried += np.bincount(sure, minlength=8)
+            self.right += np.bincount(sure[hit], minlength=8)
+            self.chance = ((self.right << 16) // self.tried).astype(U)
+            self.chance[0] = 0
+        self.guess[at] = np.where(hit | (sure > 1), guess, ids)
+        self.sure[at] = _NEXT[sure + 8 * hit]
+
+
+# The confidence that follows each one: after a miss (0 to 7), after a hit.
+_NEXT = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.int8)
 
 
 class _Model:
@@ -75,14 +80,22 @@ class _Model:
         self.count = np.ones(size, np.int64)
         self.one, self.two = _Guesses(1 << 16), _Guesses(1 << _SLOTS)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.steps = 0
+        self.steps, self.seen = 0, []
+
+    def _refresh(self) -> None:
+        if self.seen:
+            self.count += 24 * np.bincount(np.concatenate(self.seen), minlength=self.size)
+            self.seen = []
+        grown = np.concatenate([[0], np.cumsum(self.count)])
+        base = grown * ((1 << _BASE) - self.size) // grown[-1] + np.arange(self.size + 1)
+        self.base = base.astype(U)
+        # For each 32nd value the last id that begins at or below it.
+        self.near = np.cumsum(np.bincount((base + 31) >> 5, minlength=(1 << (_BASE - 5)) + 1)) - 1
 
     def begin(self, active: int) -> None:
         """Look up what the models say about the next id of each active lane."""
         if self.steps % _EVERY == 0:
-            grown = np.concatenate([[0], np.cumsum(self.count)])
-            self.base = (grown * ((1 << _BASE) - self.size) // grown[-1] + np.arange(self.size + 1)).astype(U)
-        self.steps += 1
+            self._refresh()
         last, before = self.last[:active], self.before[:active]
         self.at1 = last & 0xFFFF
         self.at2 = ((last * 0x9E3779B1 + before * 0x85EBCA77) >> 9) & ((1 << _SLOTS) - 1)
@@ -92,29 +105,54 @@ class _Model:
         self.w1 = (chance1 * (U(7 << (_TOTAL - 3)) - self.w2)) >> U(16)
         self.w0 = U(1 << _TOTAL) - self.w1 - self.w2
 
-    def below(self, ids: np.ndarray) -> np.ndarray:
-        """The chances of all ids below each of ``ids``, summed."""
-        return ((self.base[ids] * self.w0) >> U(_BASE)) + self.w2 * (self.guess2 < ids) + self.w1 * (self.guess1 < ids)
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The id whose share of the distribution holds each value."""
-        over2, over1 = value >= self.below(self.guess2 + 1), value >= self.below(self.guess1 + 1)
-        in2 = ~over2 & (value >= self.below(self.guess2))
-        in1 = ~over1 & (value >= self.below(self.guess1))
-        ids = np.where(in2, self.guess2, self.guess1)
+    def _own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the order-0 shares of ``ids`` begin and end, other weights left out."""
+        return (self.base[ids] * self.w0) >> U(_BASE), (self.base[ids + 1] * self.w0) >> U(_BASE)
+
+    def share(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the share of each of ``ids`` begins, and its size."""
+        begin, end = self._own(ids)
+        return (begin + self.w2 * (self.guess2 < ids) + self.w1 * (self.guess1 < ids),
+                end - begin + self.w2 * (self.guess2 == ids) + self.w1 * (self.guess1 == ids))
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose share of the distribution holds each value, where that begins, and its size."""
+        begin2, end2 = self._own(self.guess2)
+        begin1, end1 = self._own(self.guess1)
+        first, both = self.guess1 < self.guess2, self.guess1 == self.guess2
+        begin2 += self.w1 * first
+        end2 += self.w2 + self.w1 * (first | both)
+        begin1 += self.w2 * ~(first | both)
+        end1 += self.w1 + self.w2 * ~first
+        over2, over1 = value >= end2, value >= end1
+        in2 = ~over2 & (value >= begin2)
+        in1 = ~over1 & (value >= begin1)
+        ids = np.where(in2, self.guess2, self.guess1).astype(np.int64)
+        begin, end = np.where(in2, begin2, begin1), np.where(in2, end2, end1)
         rest = np.flatnonzero(~(in2 | in1))
         if len(rest):
-            left = (value - self.w2 * over2 - self.w1 * over1)[rest]
-            ids[rest] = np.searchsorted(self.base, (((left + U(1)) << U(_BASE)) - U(1)) // self.w0[rest], "right") - 1
-        return ids
+            added = (self.w2 * over2 + self.w1 * over1)[rest]
+            weight = self.w0[rest]
+            goal = (((value[rest] - added + U(1)) << U(_BASE)) - U(1)) // weight
+            found = self.near[(goal >> U(5)).astype(np.int64)]
+            late = np.flatnonzero(self.base[found + 1] <= goal)
+            while len(late):
+                found[late] += 1
+                late = late[self.base[found[late] + 1] <= goal[late]]
+            ids[rest] = found
+            begin[rest] = ((self.base[found] * weight) >> U(_BASE)) + added
+            end[rest] = ((self.base[found + 1] * weight) >> U(_BASE)) + added
+        return ids, begin, end - begin
 
     def end(self, ids: np.ndarray) -> None:
-        self.one.learn(self.at1, self.guess1, self.sure1, ids)
-        self.two.learn(self.at2, self.guess2, self.sure2, ids)
-        np.add.at(self.count, ids, 24)
+        count = self.steps % 4 == 0
+        self.one.learn(self.at1, self.guess1, self.sure1, ids, count)
+        self.two.learn(self.at2, self.guess2, self.sure2, ids, count)
+        self.seen.append(ids)
         active = len(ids)
         self.before[:active] = self.last[:active]
         self.last[:active] = ids
+        self.steps += 1
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -145,10 +183,10 @@ def encode_block(ids: np.ndarray, size: int) -> bytes:
         active = -(-(n - step) // steps)
         now = grid[step, :active]
         model.begin(active)
-        under = model.below(now)
+        begin, size_of = model.share(now)
         part = width[:active] >> U(_TOTAL)
-        low[:active] += part * under
-        width[:active] = part * (model.below(now + 1) - under)
+        low[:active] += part * begin
+        width[:active] = part * size_of
         while len(small := np.flatnonzero(width[:active] < U(1 << 32))):
             shift(small)
             width[small] <<= U(16)
@@ -182,11 +220,9 @@ def decode_block(data: bytes) -> np.ndarray:
             active = -(-(n - step) // steps)
             model.begin(active)
             part = width[:active] >> U(_TOTAL)
-            now = model.find(np.minimum(value[:active] // part, U((1 << _TOTAL) - 1)))
-            now = np.minimum(now, size - 1)  # only where the data is damaged
-            under = model.below(now)
-            value[:active] -= part * under
-            width[:active] = part * (model.below(now + 1) - under)
+            now, begin, size_of = model.find(np.minimum(value[:active] // part, U((1 << _TOTAL) - 1)))
+            value[:active] -= part * begin
+            width[:active] = part * size_of
             while len(small := np.flatnonzero(width[:active] < U(1 << 32))):
                 value[small] = (value[small] << U(16)) | digits[np.minimum(place[small], len(digits) - 1)]
                 place[small] += 1
@@ -274,27 +310,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for shard, start, payload in zip(*(got.column(n).to_pylist() for n in range(3))):
                 rows, at = [], start
                 for doc_id, first, total, own, ids in _unpack(payload):
-                    rows.append((shard, at - first, doc_id, first, own, total, zlib.crc32(ids)))
+                    # Moved by what follows in the document, the parts' checksums add up bit by bit to its own.
+                    crc = join_crc(zlib.crc32(ids), 0, 4 * (total - first - own)) if own < total else zlib.crc32(ids)
+                    rows.append((shard, at - first, doc_id, total, crc))
                     at += own
-                kinds = [pa.int32()] + [pa.int64()] * 6
+                kinds = [pa.int32()] + [pa.int64()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in PIECE_SCHEMA.split(", ")])
 
-    @F.udf("long")
-    def joined(pieces):
-        total = 0
-        for p in pieces:
-            total = join_crc(total, p.crc, 4 * p.n)
-        return total
-
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     shards = (blocks.groupBy("shard").agg(F.sum("ids").alias("ids"))
               .select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("before")))
     pieces = blocks.select("shard", "start", "payload").mapInArrow(run, PIECE_SCHEMA)
-    docs = pieces.groupBy("shard", "doc_start", "doc_id", "doc_tokens").agg(
-        F.count("*").alias("k"), F.first("crc").alias("crc"), F.sort_array(F.collect_list(F.struct("piece_start", "n", "crc"))).alias("pieces"))
-    whole = docs.where("k = 1").drop("pieces")
-    split = docs.where("k > 1").select("shard", "doc_start", "doc_id", "doc_tokens", "k", joined("pieces").alias("crc"))
-    return whole.unionByName(split).join(shards, "shard").select(
+    docs = pieces.groupBy("shard", "doc_start", "doc_id", "doc_tokens").agg(F.bit_xor("crc").alias("crc"))
+    return docs.join(shards, "shard").select(
         "doc_id", (F.col("before") + F.col("doc_start")).alias("start"), F.col("doc_tokens").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 

@@ -59,7 +59,7 @@ def pieces_of(text: str, blanks: bool) -> list[str]:
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids; keeps at most ``2 * limit`` pieces in memory."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,13 +96,12 @@ class PieceEncoder:
     def _piece(self, piece: str) -> bytes:
         body = piece.rstrip(_MARKS)
         word = body[1:] if body[:1] == " " else body
-        if not word.isalpha() or max(word) >= _LATIN:
+        plain = word.isascii()
+        if not word.isalpha() or not plain and max(word) >= _LATIN:
             return self.whole(piece)
+        marks = piece[len(body):]
         if self.lower:
-            if not word.isascii() and not unicodedata.is_normalized("NFC", word):
-                return self.whole(piece)
-            body = "".join([c.lower() for c in body]) if not body.isascii() else body.lower()
-        marks = piece[len(piece.rstrip(_MARKS)):]
+            body = body.lower() if plain else "".join([c.lower() for c in unicodedata.normalize("NFC", body)])
         return self._run(body) + (self._run(marks) if marks else b"")
 
     def encode(self, texts: Iterable[str | None]) -> Iterable[bytes]:
