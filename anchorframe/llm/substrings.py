@@ -5,14 +5,15 @@ A byte goes if a string of ``length`` bytes (50) that covers it also starts in a
 1. Of equal texts all but the first are known to go as a whole.
 2. In every window of ``length`` bytes the 16 bytes with the smallest hash (the leftmost of them) are its anchor. Equal windows
    have equal anchors, so only windows whose anchor occurs in several documents can repeat.
-3. The windows of such an anchor, a few dozen bytes of text around it, are one fragment. Equal fragments are counted once for
-   each task, and fragments are dealt out by anchor, so that equal windows meet.
-4. There, block by block, the fragments' windows are put into suffix order (``suffixes``: buckets and difference-cover ranks)
-   and windows that agree in all their bytes get the smallest id of any document they are in.
-5. The verdicts go back to the fragments' places by an equi-join, and each document's windows are united to spans.
+3. The windows of such an anchor, a few dozen bytes of text around it, are one fragment. Of equal fragments in a task only the
+   first document's is passed on, as it shows that the others lose all its windows; fragments are dealt out by anchor, so that
+   equal windows meet.
+4. There, block by block, the fragments' windows are put into suffix order (``suffixes``: buckets and difference-cover ranks),
+   windows that agree in all their bytes get the smallest id of any document they are in, and places in others lose them.
+5. Each document's spans are united.
 
-No step gathers a document's partners: a hot passage is one fragment with a row for each task, its places are joined (a
-join that Spark can split), and a document meets only its own spans. Long texts are read in slices.
+A hot passage costs a row for each of its fragments and tasks, not for each document, and a document meets only its own spans.
+Long texts are read in slices.
 
 Null ids and null texts: a null text is empty; a row with a null id loses nothing and takes nothing from others. Rows with the
 same id take nothing from each other. Texts shorter than ``length`` are kept whole. An empty table gives an empty result.
@@ -33,8 +34,7 @@ from anchorframe.session import materialize
 _ANCHOR = 16  # bytes
 _SLICE = 1 << 19  # windows looked at together
 _BLOCK = 1 << 20  # bytes of fragments sorted together, where one anchor has no more
-_HELD = 1 << 24  # bytes of fragments that a task holds before it hands them on
-_PLACES = 4096  # places in one row
+_HELD = 1 << 27  # bytes of fragments and places that a task holds before it hands them on
 _BROADCAST_ROWS = 2_000_000
 U4, U8 = np.uint32, np.uint64
 
@@ -117,25 +117,37 @@ def _shared(batches):
     yield pa.RecordBatch.from_arrays([pa.array(doc[several]), pa.array(hashed[several])], names=["doc", "hash"])
 
 
-FRAGMENTS = "anchor long, name long, fragment binary, low long, high long, places binary"
-_PLACE = np.dtype([("doc", "<i8"), ("start", "<i8")])
+FRAGMENTS = "anchor long, fragment binary, doc long, start long, stop long"
+_NAMES = [f.split()[0] for f in FRAGMENTS.split(", ")]
+_KINDS = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def _fragments(length: int):
-    """Rows of equal fragments: anchor, 64-bit name, bytes, first and last document, and the places (document, byte)."""
-    from xxhash import xxh64_intdigest
+    """Rows of two kinds. Of equal fragments in a task, the places in the first document: anchor, bytes, document, byte.
 
+    All windows of the other documents with the fragment go for certain, as the first one has them: their spans, without bytes.
+    """
     def rows(held):
-        columns = [[], [], [], [], [], []]
+        columns: list[list] = [[], [], [], []]
+        docs, starts, stops = [], [], []
         for (anchor, fragment), flat in held.items():
-            for n in range(0, len(flat), 2 * _PLACES):
-                places = np.array(flat[n:n + 2 * _PLACES], np.int64)
-                docs = places[::2]
-                for column, value in zip(columns, (anchor, xxh64_intdigest(fragment) - (1 << 63), fragment, int(docs.min()), int(docs.max()), places.tobytes())):
-                    column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+            first = min(flat[::2])
+            for doc, start in zip(flat[::2], flat[1::2]):
+                if doc == first:
+                    for column, value in zip(columns, (anchor, fragment, doc, start)):
+                        column.append(value)
+                else:
+                    docs.append(doc)
+                    starts.append(start)
+                    stops.append(start + len(fragment))
         for n in range(0, len(columns[0]), 1 << 14):
-            yield pa.RecordBatch.from_arrays([pa.array(c[n:n + (1 << 14)], k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in FRAGMENTS.split(", ")])
+            part = [pa.array(c[n:n + (1 << 14)], k) for c, k in zip(columns, _KINDS)]
+            yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), pa.int64())], names=_NAMES)
+        if docs:
+            doc, start, stop = _merged(np.array(docs), np.array(starts), np.array(stops))
+            for n in range(0, len(doc), 1 << 16):
+                part = [x[n:n + (1 << 16)] for x in (doc, start, stop)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.nulls(len(part[0]), pa.binary()), *map(pa.array, part)], names=_NAMES)
 
     def run(batches):
         held, size = {}, 0
@@ -156,7 +168,7 @@ def _fragments(length: int):
                         else:
                             known += doc, start + i
                             size += 64
-                if size >= 8 * _HELD:
+                if size >= _HELD:
                     yield from rows(held)
                     held, size = {}, 0
         yield from rows(held)
@@ -164,78 +176,97 @@ def _fragments(length: int):
     return run
 
 
-VERDICTS = "anchor long, name long, ends binary, lows binary"
-
-
-def _judge(anchor: list, name: list, fragment: list, low: list, high: list, length: int):
-    """For each distinct fragment the smallest document of each of its windows, as runs, where it matters to a place."""
-    known: dict[tuple, int] = {}
-    rows: list[list] = []
-    for row in zip(anchor, name, fragment, low, high):
-        n = known.setdefault(row[:3], len(rows))
-        if n == len(rows):
-            rows.append(list(row))
-        else:
-            rows[n][3], rows[n][4] = min(rows[n][3], row[3]), max(rows[n][4], row[4])
-    text = np.frombuffer(b"".join(r[2] for r in rows) + bytes(length + 8), np.uint8)
-    size = np.array([len(r[2]) for r in rows])
+def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans, those of a document that touch united."""
+    if not len(doc):
+        return doc, start, stop
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    span = int(stop.max()) + 1
+    rank = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+    top = np.maximum.accumulate(stop + rank * span)
+    new = np.concatenate([[True], start[1:] + rank[1:] * span > top[:-1]])
+    new[1:] |= rank[1:] != rank[:-1]
+    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(doc) - 1]])
+    return doc[new], start[new], top[last] - rank[last] * span
+
+
+def _least(fragments: list[bytes], anchor: np.ndarray, own: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of distinct fragments the smallest document (``own``: of each fragment) that has them; begins, numbers."""
+    size = np.array([len(f) for f in fragments])
     windows = size - length + 1
-    begin = np.concatenate([[0], np.cumsum(windows)[:-1]])
-    starts = np.repeat(np.cumsum(size) - size - begin, windows) + np.arange(windows.sum())
-    own = np.array([r[3] for r in rows], np.int64)
-    order = suffix_order(text, starts, length)
-    first = np.flatnonzero(~same_before(text, starts[order], length))
-    least = np.empty(len(starts), np.int64)
-    docs = np.repeat(own, windows)[order]
-    least[order] = np.repeat(np.minimum.reduceat(docs, first), np.diff(np.concatenate([first, [len(order)]])))
-    lower = np.minimum.reduceat(least, begin) < own
-    out = [[], [], [], []]
-    for n, (row, some) in enumerate(zip(rows, lower)):
-        if some or row[3] < row[4]:
-            values = least[begin[n]:begin[n] + windows[n]]
-            ends = np.flatnonzero(np.concatenate([values[1:] != values[:-1], [True]]))
-            for column, value in zip(out, (row[0], row[1], (ends + 1).astype("<i8").tobytes(), values[ends].tobytes())):
-                column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["anchor", "name", "ends", "lows"])
+    begin = np.cumsum(windows) - windows
+    least = np.repeat(own, windows)
+    # A fragment alone with its anchor has no equal windows elsewhere.
+    _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
+    mixed = np.flatnonzero(members[group] > 1)
+    if len(mixed):
+        text = np.frombuffer(b"".join([fragments[n] for n in mixed]) + bytes(length + 8), np.uint8)
+        count, bytes_of = windows[mixed], size[mixed]
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        starts = np.repeat(np.cumsum(bytes_of) - bytes_of, count) + inner
+        target = np.repeat(begin[mixed], count) + inner
+        order = suffix_order(text, starts, length)
+        first = np.flatnonzero(~same_before(text, starts[order], length))
+        docs = least[target[order]]
+        least[target[order]] = np.repeat(np.minimum.reduceat(docs, first), np.diff(np.concatenate([first, [len(order)]])))
+    return least, begin, windows
+
+
+def _judge(anchor: list, fragment: list, doc: list, start: list, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the places whose windows are in a smaller document."""
+    known: dict[tuple, int] = {}
+    which = np.array([known.setdefault(key, len(known)) for key in zip(anchor, fragment)], np.int64)
+    doc, start = np.array(doc, np.int64), np.array(start, np.int64)
+    own = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(own, which, doc)
+    least, begin, windows = _least([f for _, f in known], np.array([a for a, _ in known], np.int64), own, length)
+    count = windows[which]
+    row = np.repeat(np.arange(len(which)), count)
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    gone = least[begin[which][row] + inner] < doc[row]
+    left = gone & np.concatenate([[True], ~gone[:-1] | (row[1:] != row[:-1])])
+    right = gone & np.concatenate([~gone[1:] | (row[1:] != row[:-1]), [True]])
+    return _merged(doc[row[left]], (start[row] + inner)[left], (start[row] + inner)[right] + length)
 
 
 def _verdicts(length: int):
-    """Rows come in the order of anchors; whole anchors are judged together."""
+    """Spans (doc, start, stop). Rows come in the order of anchors; whole anchors are judged together, spans go through."""
+    def out(doc, start, stop):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, stop)], names=["doc", "start", "stop"])
+
     def run(batches):
-        held: list[list] = [[], [], [], [], []]
+        held: list[list] = [[], [], [], []]
         size = 0
         for got in batches:
-            for row in zip(*(got.column(n).to_pylist() for n in range(5))):
+            known = pa.compute.is_valid(got.column(4))
+            done = got.filter(known)
+            if done.num_rows:
+                yield out(done.column(2), done.column(3), done.column(4))
+            got = got.filter(pa.compute.invert(known))
+            for row in zip(*(got.column(n).to_pylist() for n in range(4))):
                 if size >= _BLOCK and row[0] != held[0][-1]:
-                    yield _judge(*held, length)
-                    held, size = [[], [], [], [], []], 0
+                    yield out(*_judge(*held, length))
+                    held, size = [[], [], [], []], 0
                 for column, value in zip(held, row):
                     column.append(value)
-                size += len(row[2])
+                size += len(row[1])
         if held[0]:
-            yield _judge(*held, length)
+            yield out(*_judge(*held, length))
 
     return run
 
 
-def _spans(length: int):
-    """Document and the (start, end) bytes of the windows that go."""
-    def run(batches):
-        for got in batches:
-            docs, starts, ends = [], [], []
-            for places, run_ends, lows in zip(*(got.column(n).to_pylist() for n in range(3))):
-                places = np.frombuffer(places, _PLACE)
-                run_ends, lows = np.frombuffer(run_ends, "<i8"), np.frombuffer(lows, "<i8")
-                run_starts = np.concatenate([[0], run_ends[:-1]])
-                gone = lows[None, :] < places["doc"][:, None]
-                at, which = np.nonzero(gone)
-                docs.append(places["doc"][at])
-                starts.append(places["start"][at] + run_starts[which])
-                ends.append(places["start"][at] + run_ends[which] + length - 1)
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (docs, starts, ends)], names=["doc", "start", "end"])
-
-    return run
+def _united(batches):
+    """The spans of each document, united: doc, starts, ends."""
+    for got in batches:
+        starts, ends = [], []
+        for s, e in zip(got.column(1).to_pylist(), got.column(2).to_pylist()):
+            runs = united(np.array(s, np.int64), np.array(e, np.int64))
+            starts.append([x for x, _ in runs])
+            ends.append([x for _, x in runs])
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([got.column(0), pa.array(starts, kind), pa.array(ends, kind)], names=["doc", "starts", "ends"])
 
 
 def united(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -261,10 +292,9 @@ def repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[D
     shared = found.repartition("hash").mapInArrow(_shared, "doc long, hash long")
     lists = materialize(shared.groupBy("doc").agg(F.collect_list("hash").alias("shared")))
     fragments = rows.join(lists, "doc").select("doc", "text", "shared").mapInArrow(_fragments(length), FRAGMENTS)
-    judged = fragments.select("anchor", "name", "fragment", "low", "high").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_verdicts(length), VERDICTS)
-    spans = fragments.select("anchor", "name", "places").join(judged, ["anchor", "name"]).select("places", "ends", "lows")
-    spans = spans.mapInArrow(_spans(length), "doc long, start long, end long")
-    spans = spans.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list(F.col("end")).alias("ends"))
+    spans = fragments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_verdicts(length), "doc long, start long, stop long")
+    spans = spans.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("ends"))
+    spans = spans.mapInArrow(_united, "doc long, starts array<long>, ends array<long>")
     return copies, materialize(spans)
 
 
