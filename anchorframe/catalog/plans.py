@@ -167,7 +167,7 @@ def coarse(t):
 
 
 @query("drought_at_event_regions", f"""WITH {OBS}, k AS (SELECT event_type FROM obs GROUP BY 1 HAVING count(DISTINCT user_id) >= 10), w AS (SELECT event_type AS region, * EXCLUDE (event_type) FROM obs WHERE event_type IN (SELECT event_type FROM k)
- UNION ALL SELECT 'all regions', * EXCLUDE (event_type) FROM obs WHERE event_type IN (SELECT event_type FROM k))
+ UNION ALL SELECT 'all regions', * EXCLUDE (event_type) FROM obs)
  SELECT region, user_id, {rsql('avg(value)')} AS value FROM w WHERE "offset" BETWEEN -5 AND 5 GROUP BY 1, 2""")
 def drought(t):
     e = anchored_events(t).withColumn("offset", day_offset("ts", "anchor_ts")).withColumnRenamed("event_type", "region")

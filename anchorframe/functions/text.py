@@ -13,10 +13,13 @@ def _c(c: str | Column) -> Column:
 
 
 def normalize_id(c: str | Column) -> Column:
-    """One canonical text form: ``"005"`` and ``"123.0"`` become whole numbers, the rest is trimmed."""
+    """One canonical text form: ``"005"`` and ``"123.0"`` become whole numbers, the rest is trimmed.
+
+    Only plain decimal numbers count: a cast alone would also take ``"12d"`` or ``"7f"`` for numbers.
+    """
     s = F.trim(_c(c).cast("string"))
     num = s.try_cast("double")
-    whole = num.isNotNull() & ~F.isnan(num) & (F.abs(num) < F.lit(9.0e15))
+    whole = s.rlike(r"^[+-]?[0-9]+([.][0-9]*)?([eE][+-]?[0-9]+)?$") & (F.abs(num) < F.lit(9.0e15))
     return F.when(whole, num.cast("bigint").cast("string")).otherwise(s)
 
 
@@ -52,6 +55,11 @@ def with_levels(df: DataFrame, col: str, levels: Sequence[str], rank_col: str =
     )
 
 
+def sort_by_level(df: DataFrame, col: str, levels: Sequence[str], *then: str) -> DataFrame:
+    """Rows in the order of the level list, values outside it last, ties by the columns ``then``."""
+    return df.orderBy(level_rank(col, levels).asc_nulls_last(), *then)
+
+
 def in_list(c: str | Column, values: Sequence) -> Column:
     """Membership that is false, never NULL, for a NULL value."""
     return F.coalesce(_c(c).isin(list(values)), F.lit(False))

@@ -75,9 +75,9 @@ def event_window_agg_moments(df: DataFrame, by: Sequence[str], specs: Sequence[W
 
 def window_mean(df: DataFrame, by: Sequence[str], measures: Sequence[str], lo: int, hi: int,
                 offset: str = "offset") -> DataFrame:
-    """Mean within one window; events without a row in it do not appear."""
+    """Mean within one window, days with a missing or NaN measure left out; events without a row in it do not appear."""
     inside = df.filter(F.col(offset).between(lo, hi))
-    return inside.groupBy(*by).agg(*[F.avg(m).alias(m) for m in measures])
+    return inside.groupBy(*by).agg(*[F.avg(F.nanvl(F.col(m).cast("double"), F.lit(None))).alias(m) for m in measures])
 
 
 def max_all_numeric(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -87,7 +87,7 @@ def max_all_numeric(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def mean_profile_long(df: DataFrame, by: Sequence[str], name: str, value: str) -> DataFrame:
     """Mean of every numeric column by group in long form (the data of a class profile)."""
     cols = numeric_columns(df, by)
-    means = df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in cols])
+    means = df.groupBy(*by).agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in cols])
     return unpivot_long(means, by, cols, name, value, drop_null=False)
 
 

@@ -101,6 +101,25 @@ def _scaled(d: DataFrame, p: int, by: Sequence[str] = ()) -> tuple[DataFrame, np
     return d.selectExpr(*rest, *xs), m, s, mean_y, groups
 
 
+def _scaled_by_group(d: DataFrame, p: int, by: Sequence[str]) -> tuple[DataFrame, DataFrame, float, list[dict] | None]:
+    """Centre and scale the term columns within each group, as groups may differ far more than their rows.
+
+    Returns the rows, the table of what was used (``__m`` and ``__s`` per group), the mean response and the groups with
+    their ``__m`` and ``__s`` (None when there are too many for the driver).
+    """
+    xs = range(1, p)
+    mean = F.array(F.lit(0.0), *[F.avg(f"__x{i}") for i in xs])
+    spread = F.array(F.lit(1.0), *[F.coalesce(F.nullif(F.stddev_pop(f"__x{i}"), F.lit(0.0)), F.lit(1.0)) for i in xs])
+    table = materialize(d.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.avg("__y").alias("__mean_y"), mean.alias("__m"), spread.alias("__s")))
+    mean_y = table.agg(F.try_divide(F.sum(F.col("__n") * F.col("__mean_y")), F.sum("__n"))).first()[0] or 0.0
+    table = table.select(*by, "__m", "__s")
+    found = table.limit(DRIVER_SYSTEMS + 1).collect()
+    groups = [r.asDict() for r in found] if len(found) <= DRIVER_SYSTEMS else None
+    rest = [f"`{c}`" for c in d.columns if not c.startswith("__x")]
+    rows = attach(d, table, by, "inner").selectExpr(*rest, "__x0", *[f"(__x{i} - __m[{i}]) / __s[{i}] AS __x{i}" for i in xs])
+    return rows, table, float(mean_y), groups
+
+
 def _state_schema(d: DataFrame, by: Sequence[str]) -> T.StructType:
     arr, dbl = T.ArrayType(T.DoubleType()), T.DoubleType()
     fields = [T.StructField(k, d.schema[k].dataType) for k in by]
@@ -251,7 +270,7 @@ def _initial_state(rows: DataFrame, by: Sequence[str], groups: list[dict] | None
     """Starting coefficients for every group and model: intercept ``start``, slopes 0."""
     zero = [0.0] * p
     if groups is not None and len(groups) * len(models) <= DRIVER_SYSTEMS:
-        return [{**g, "model": m, "used": used, "b": [start, *zero[1:]], "shift": zero, "it": 0, "prev_b": None, "prev_dev": None}
+        return [{**{k: g[k] for k in by}, "model": m, "used": used, "b": [start, *zero[1:]], "shift": zero, "it": 0, "prev_b": None, "prev_dev": None}
                 for g in groups for m, used in models.items()]
     arr = lambda v: F.array(*[F.lit(float(x)) for x in v])
     kinds = F.array(*[F.struct(F.lit(m).alias("model"), arr(u).alias("used")) for m, u in models.items()])
@@ -270,21 +289,21 @@ def _union_terms(models: Mapping[str, Sequence[Term]]) -> list[Term]:
     return out
 
 
-def _finish(final: DataFrame | list[dict], spark: SparkSession, state_schema: T.StructType, by: Sequence[str], m: np.ndarray,
-            s: np.ndarray, p: int, family: str) -> DataFrame:
-    """Back to the original scale: coefficients, covariance, AICc and variance inflation per fit."""
+def _finish(final: DataFrame | list[dict], spark: SparkSession, state_schema: T.StructType, by: Sequence[str], scale: DataFrame,
+            groups: list[dict] | None, p: int, family: str) -> DataFrame:
+    """Back to the original scale of each group: coefficients, covariance, AICc and variance inflation per fit."""
     dbl, arr = T.DoubleType(), T.ArrayType(T.DoubleType())
     keep = [f for f in state_schema if f.name in [*by, "model", "used", "n", "loglik", "dispersion", "converged"]]
     schema = T.StructType([*keep, T.StructField("k", T.IntegerType()), T.StructField("deviance", dbl),
                            T.StructField("iterations", T.IntegerType()), T.StructField("aicc", dbl),
                            T.StructField("beta", arr), T.StructField("vcov", arr), T.StructField("p", arr), T.StructField("vif", arr)])
-    back = np.diag(1.0 / s)
-    back[0, :] = -m / s
-    back[0, 0] = 1.0
-
     def convert(records):
         out = []
         for r in records:
+            m, s = np.array(r["__m"], float), np.array(r["__s"], float)
+            back = np.diag(1.0 / s)
+            back[0, :] = -m / s
+            back[0, 0] = 1.0
             g = np.array(r["b"], float)
             v = np.array(r["vcov"], float).reshape(p, p)
             used = np.array(r["used"], float) > 0
@@ -312,7 +331,8 @@ def _finish(final: DataFrame | list[dict], spark: SparkSession, state_schema: T.
         return out
 
     if isinstance(final, list):
-        return local_table(spark, convert(final), schema)
+        held = {tuple(g[k] for k in by): g for g in groups}
+        return local_table(spark, convert({**r, **held[tuple(r[k] for k in by)]} for r in final), schema)
 
     def batches(it):
         import pandas as pd
@@ -320,7 +340,7 @@ def _finish(final: DataFrame | list[dict], spark: SparkSession, state_schema: T.
         for pdf in it:
             yield pd.DataFrame(convert(pdf.to_dict("records")), columns=schema.names)
 
-    return materialize(final.mapInPandas(batches, schema))
+    return materialize(attach(final, scale, by, "inner").mapInPandas(batches, schema))
 
 
 def fit_candidates(df: DataFrame, y: str, by: Sequence[str], models: Mapping[str, Sequence[Term]],
@@ -331,12 +351,12 @@ def fit_candidates(df: DataFrame, y: str, by: Sequence[str], models: Mapping[str
     by = list(by)
     raw = design(df, y, by, terms).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows, m, s, mean_y, groups = _scaled(raw, p, by)
+        rows, scale, mean_y, groups = _scaled_by_group(raw, p, by)
         schema = _state_schema(rows, by)
         used = {name: [1.0] + [1.0 if t in list(ts) else 0.0 for t in terms] for name, ts in models.items()}
         state = _initial_state(rows, by, groups, used, 0.0 if family == "binomial" else mean_y, schema, p)
         final = _iterate(rows, state, by, p, family, schema)
-        return Fits(_finish(final, df.sparkSession, schema, by, m, s, p, family), by, terms, y, family)
+        return Fits(_finish(final, df.sparkSession, schema, by, scale, groups, p, family), by, terms, y, family)
     finally:
         raw.unpersist()
 
@@ -460,12 +480,25 @@ def standardized_effects(df: DataFrame, y: str, by: Sequence[str], terms: Sequen
     return attach(std.select(*by, "term_pos", "term", "odds_ratio", "or_lo", "or_hi"), raw, [*by, "term"])
 
 
-def profile_intervals(df: DataFrame, fits: Fits, level_z: float = Z975, steps: int = 8, tol: float = 1e-6) -> DataFrame:
+def _next_bound(q: dict, guess: float, level_z: float) -> float:
+    """Where to look next for a profile bound: the secant's guess if it lies between the values known on its two sides."""
+    side, hat = q["side"], q["hat"]
+    reach = [(side * (t - hat), abs(z)) for t, z in q["pts"]]
+    inner = max(d for d, z in reach if z < level_z)
+    outer = min((d for d, z in reach if z >= level_z), default=math.inf)
+    d = side * (guess - hat)
+    if math.isinf(outer):
+        return hat + side * (d if inner < d < 4 * inner + q["se"] else 2 * inner + q["se"])
+    return hat + side * (d if inner < d < outer else (inner + outer) / 2)
+
+
+def profile_intervals(df: DataFrame, fits: Fits, level_z: float = Z975, steps: int = 16, tol: float = 1e-6) -> DataFrame:
     """Profile-likelihood intervals of a logistic fit, all groups and coefficients together.
 
     A bound is where fixing the coefficient costs ``level_z`` squared in deviance. The signed root of
-    that cost is almost linear in the coefficient, so secant steps on it settle fast; each step refits
-    the other coefficients.
+    that cost is almost linear in the coefficient, so secant steps on it settle fast; a step outside the values known to
+    lie on both sides of the bound becomes a bisection. Each step refits the other coefficients. A bound that is not found, and
+    every bound of a fit that did not converge (as where a coefficient separates a group), is NULL.
     """
     by, p = fits.by, len(fits.names)
     raw = design(df, fits.y, by, fits.terms).persist(StorageLevel.MEMORY_AND_DISK)
@@ -480,9 +513,9 @@ def profile_intervals(df: DataFrame, fits: Fits, level_z: float = Z975, steps: i
                     se = math.sqrt(v[j, j])
                     key = (*[r[k] for k in by], r["model"], int(j), side)
                     jobs[key] = dict(group={k: r[k] for k in by}, model=r["model"], used=used, b=np.where(used, b, 0.0), hat=b[j], dev=r["deviance"],
-                                     side=side, j=int(j), along=np.where(used, v[:, j] / v[j, j], 0.0), pts=[(b[j], 0.0)], t=b[j] + side * level_z * se, se=se, bound=None)
+                                     sound=r["converged"], side=side, j=int(j), along=np.where(used, v[:, j] / v[j, j], 0.0), pts=[(b[j], 0.0)], t=b[j] + side * level_z * se, se=se, bound=None)
         for _ in range(steps):
-            todo = {k: q for k, q in jobs.items() if q["bound"] is None}
+            todo = {k: q for k, q in jobs.items() if q["bound"] is None and q["sound"]}
             if not todo:
                 break
             records = []
@@ -506,16 +539,15 @@ def profile_intervals(df: DataFrame, fits: Fits, level_z: float = Z975, steps: i
                 root = q["side"] * math.sqrt(max(r["dev"] - q["dev"], 0.0))
                 q["pts"].append((q["t"], root))
                 if abs(abs(root) - level_z) < tol:
-                    q["bound"] = q["t"]
+                    q["bound"] = float(q["t"])
                     continue
                 (t0, z0), (t1, z1) = sorted(q["pts"], key=lambda pt: abs(abs(pt[1]) - level_z))[:2]
-                q["t"] = t1 + (q["side"] * level_z - z1) * (t0 - t1) / (z0 - z1) if z0 != z1 else q["t"] + q["side"] * q["se"]
+                q["t"] = _next_bound(q, t1 + (q["side"] * level_z - z1) * (t0 - t1) / (z0 - z1) if z0 != z1 else math.nan, level_z)
         out = []
         for (key, q) in jobs.items():
             if q["side"] == 1:
                 lo = jobs[(*key[:-1], -1)]
-                pick = lambda x: x["bound"] if x["bound"] is not None else x["t"]
-                out.append({**q["group"], "model": q["model"], "term": fits.names[q["j"]], "prof_lo": float(pick(lo)), "prof_hi": float(pick(q))})
+                out.append({**q["group"], "model": q["model"], "term": fits.names[q["j"]], "prof_lo": lo["bound"], "prof_hi": q["bound"]})
         dbl = T.DoubleType()
         sch = T.StructType([schema[k] for k in by] + [T.StructField("model", T.StringType()), T.StructField("term", T.StringType()),
                                                       T.StructField("prof_lo", dbl), T.StructField("prof_hi", dbl)])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorframe.functions.hashing import uniform
+from anchorframe.operators.joins import keyed_join
 from anchorframe.session import materialize
 
 EARTH_RADIUS_M = 6371007.2  # radius of the sphere with the earth's surface
@@ -46,9 +47,9 @@ def polygon_area_ha(geom: str = "geometry", mode: str = "planar") -> Column:
 
 
 def centroid(geom: str = "geometry") -> Column:
-    """Area-weighted centroid as a struct."""
+    """Area-weighted centroid as a struct; its fields are NULL without an area."""
     area2 = _ring_sum(geom, CROSS)
-    x, y = (f"{_ring_sum(geom, f'(p.{a} + q.{a}) * {CROSS}')} / (3 * {area2})" for a in "xy")
+    x, y = (f"try_divide({_ring_sum(geom, f'(p.{a} + q.{a}) * {CROSS}')}, 3 * {area2})" for a in "xy")
     return F.expr(f"named_struct('x', {x}, 'y', {y})")
 
 
@@ -116,7 +117,7 @@ def dissolve(df: DataFrame, by: Sequence[str], geom: str = "geometry") -> DataFr
         F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"))
     line = boundary_edges(df, by, geom).groupBy(*by).agg(
         F.sum(F.expr("sqrt(pow(bx - ax, 2) + pow(by - ay, 2))")).alias("boundary_length"), F.count(F.lit(1)).alias("n_edges"))
-    return box.join(line, list(by))
+    return keyed_join(box, line, list(by), "inner")
 
 
 def equal_area_buffer(df: DataFrame, x: str, y: str, area_ha: str, vertices: int = 64) -> DataFrame:
@@ -171,8 +172,9 @@ def spatial_intersects_join(events: DataFrame, regions: DataFrame, event_cols: S
         return df.withColumn("cx", F.explode(F.expr(span("x")))).withColumn("cy", F.explode(F.expr(span("y"))))
 
     r_cells = celled(rg.withColumn("r_edges", _edges("r_geometry")), "r_")
-    r_cells = r_cells.drop("r_geometry")
-    e_cells = celled(ev.withColumn("edges", _edges("geometry")), "").drop("geometry")
+    starts = "transform(filter({}, r -> size(r) > 1), r -> r[0])"  # a vertex of every ring: a part may lie apart from the others
+    r_cells = r_cells.withColumn("r_starts", F.expr(starts.format("r_geometry"))).drop("r_geometry")
+    e_cells = celled(ev.withColumn("edges", _edges("geometry")), "").withColumn("starts", F.expr(starts.format("geometry"))).drop("geometry")
     if (r_cells.agg(F.sum(F.size("r_edges")).alias("n")).first()["n"] or 0) <= broadcast_points:
         j = e_cells.join(F.broadcast(r_cells), ["cx", "cy"])
     else:
@@ -183,8 +185,8 @@ def spatial_intersects_join(events: DataFrame, regions: DataFrame, event_cols: S
         AND cx = floor(greatest(xmin, r_xmin) / {s!r}D) AND cy = floor(greatest(ymin, r_ymin) / {s!r}D)"""))
     near = ("filter(r_edges, b -> least(b.x1, b.x2) <= xmax AND greatest(b.x1, b.x2) >= xmin "
             "AND least(b.y1, b.y2) <= ymax AND greatest(b.y1, b.y2) >= ymin)")
-    within = _inside("r_edges", "edges[0].x1", "edges[0].y1")
-    around = _inside("edges", "r_edges[0].x1", "r_edges[0].y1")
+    within = f"exists(starts, v -> {_inside('r_edges', 'v.x', 'v.y')})"
+    around = f"exists(r_starts, v -> {_inside('edges', 'v.x', 'v.y')})"
     j = j.filter(F.expr(f"exists({near}, b -> exists(edges, a -> {_edges_meet()})) OR {within} OR {around}"))
     return j.select(*event_cols, *[F.col(f"r_{c}").alias(c) for c in region_cols])
 
@@ -210,14 +212,13 @@ def _draw(polygons: DataFrame, ids: Sequence[str], seed) -> DataFrame:
 
 
 def thin_points(points: DataFrame, ids: Sequence[str], min_dist: float) -> DataFrame:
-    """Drop every point with an earlier one of the same polygon nearer than ``min_dist``.
+    """Keep a point unless an earlier kept one of the same polygon is nearer than ``min_dist``.
 
-    In a cell whose diagonal is ``min_dist`` only the earliest point can stay. Those few per
-    neighbourhood are compared with all points near them, so the pairs grow with the points only.
+    In rounds: a point is kept when no undecided one before it is near, and then decides against all points near it. In a
+    cell whose diagonal is ``min_dist`` only the earliest undecided point can be kept, so a round compares those few with
+    the points around them. Every round is written; the earliest point left is always decided, so rounds end.
     """
     small = min_dist / math.sqrt(2.0)
-    c = points.withColumn("sx", F.floor(F.col("x") / small)).withColumn("sy", F.floor(F.col("y") / small))
-    first = c.groupBy(*ids, "sx", "sy").agg(F.min(F.struct("draw", "x", "y")).alias("f")).select(*ids, "f.draw", "f.x", "f.y")
 
     def reach(df):
         """Cells of side ``min_dist`` under the square of that side around the point: at most four."""
@@ -226,25 +227,36 @@ def thin_points(points: DataFrame, ids: Sequence[str], min_dist: float) -> DataF
             df = df.withColumn(f"c{axis}", F.explode(F.sequence(lo, hi)))
         return df
 
-    near = reach(points.select(*ids, F.col("draw").alias("o_draw"), F.col("x"), F.col("y"))).withColumnsRenamed({"x": "o_x", "y": "o_y"})
-    close = reach(first).join(near, [*ids, "cx", "cy"]).filter(
-        (F.col("o_draw") < F.col("draw")) & (F.expr("pow(x - o_x, 2) + pow(y - o_y, 2)") < min_dist * min_dist))
-    return first.join(close.select(*ids, "draw").distinct(), [*ids, "draw"], "left_anti").select(*ids, "draw", "x", "y")
+    left, kept = points.select(*ids, "draw", "x", "y"), None
+    while True:
+        c = left.withColumn("sx", F.floor(F.col("x") / small)).withColumn("sy", F.floor(F.col("y") / small))
+        first = c.groupBy(*ids, "sx", "sy").agg(F.min(F.struct("draw", "x", "y")).alias("f")).select(*ids, "f.draw", "f.x", "f.y")
+        around = reach(left.select(*ids, F.col("draw").alias("o_draw"), "x", "y")).withColumnsRenamed({"x": "o_x", "y": "o_y"})
+        near = F.expr("pow(x - o_x, 2) + pow(y - o_y, 2)") < min_dist * min_dist
+        early = reach(first).join(around, [*ids, "cx", "cy"]).filter((F.col("o_draw") < F.col("draw")) & near)
+        now = materialize(first.join(early.select(*ids, "draw").distinct(), [*ids, "draw"], "left_anti"))
+        kept = now if kept is None else kept.unionByName(now)
+        gone = reach(now).join(around, [*ids, "cx", "cy"]).filter(near).select(*ids, F.col("o_draw").alias("draw")).distinct()
+        left = materialize(left.join(gone, [*ids, "draw"], "left_anti"))
+        if left.isEmpty():
+            return kept.select(*ids, "draw", "x", "y")
 
 
 def random_points(polygons: DataFrame, ids: Sequence[str], n: int, min_dist: float, seed, rounds: int = 8) -> DataFrame:
     """``n`` random points in each polygon, at least ``min_dist`` apart, numbered in drawing order.
 
-    Polygons that come out short are drawn again with twice the tries. A point is judged against
-    earlier draws only, so more tries never change the points already found.
+    Polygons that come out short are drawn again with twice the tries, at most ``rounds`` times. A point is judged against
+    earlier draws only, so more tries never change the points already found. ``shortfall`` says how many points of a
+    polygon are missing after the last round (more may not fit); a polygon without any point has one row with NULL points.
     """
     p = with_bbox(polygons.select(*ids, "geometry")).withColumn("__edges", _edges("geometry"))
-    ratio = F.expr("(xmax - xmin) * (ymax - ymin)") / polygon_area()
-    todo = p.withColumn("__draws", F.ceil(1.3 * n * ratio + 10).cast("int")).drop("geometry")
+    ratio = F.try_divide(F.expr("(xmax - xmin) * (ymax - ymin)"), polygon_area())
+    p = p.withColumn("__draws", F.ceil(1.3 * n * ratio + 10).cast("long")).drop("geometry")
+    todo = p.filter("__draws IS NOT NULL")
     w = Window.partitionBy(*ids).orderBy("draw")
     done = None
     for turn in range(rounds):
-        pts = materialize(_draw(todo, ids, seed))  # thinning reads it twice
+        pts = materialize(_draw(todo, ids, seed))  # thinning reads it several times
         pts = thin_points(pts, ids, min_dist) if min_dist > 0 else pts
         pts = materialize(pts.withColumn("point", F.row_number().over(w)).filter(F.col("point") <= n).drop("draw"))
         full = pts.groupBy(*ids).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= n)
@@ -255,4 +267,6 @@ def random_points(polygons: DataFrame, ids: Sequence[str], n: int, min_dist: flo
         if last:
             break
         todo = materialize(short.withColumn("__draws", F.col("__draws") * 2))
-    return done
+    found = done.groupBy(*ids).agg(F.count(F.lit(1)).alias("__n"))
+    missing = materialize(p.select(*ids).join(found, list(ids), "left").select(*ids, (n - F.coalesce("__n", F.lit(0))).cast("int").alias("shortfall")))
+    return missing.join(done, list(ids), "left").select(*ids, "x", "y", "point", "shortfall")

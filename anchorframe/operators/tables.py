@@ -67,8 +67,9 @@ def append_strict(*frames: DataFrame) -> DataFrame:
 def with_overall_group(df: DataFrame, by: str, label: str, entity: Sequence[str] | None = None) -> DataFrame:
     """Append the whole population as one more group; ``entity`` removes repeats across groups first."""
     whole = df.drop(by)
-    if entity:
-        whole = whole.dropDuplicates(list(entity))
+    if entity:  # of an entity's rows the one with the smallest hash, whatever the partitioning
+        every = F.struct(*whole.columns)
+        whole = whole.groupBy(*entity).agg(F.min_by(every, F.xxhash64(*whole.columns)).alias("__row")).select("__row.*")
     return df.unionByName(whole.withColumn(by, F.lit(label)))
 
 
@@ -129,7 +130,18 @@ def duplicate_entities(df: DataFrame, key: str) -> DataFrame:
 
 
 def range_limits(cases: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    return cases.groupBy(*by).agg(*[F.max(c).alias(f"max_{c}") for c in cols])
+    """Largest value of each column by group; NaN (which would sort above all numbers) is left out."""
+    return cases.groupBy(*by).agg(*[F.max(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"max_{c}") for c in cols])
+
+
+def exclude_ids(df: DataFrame, key: str, values: Sequence) -> DataFrame:
+    """Rows but those of the named entities, as for a refit without an influential one; rows without an id stay."""
+    return df.filter(F.coalesce(~F.col(key).isin(list(values)), F.lit(True)))
+
+
+def first_rows(df: DataFrame, k: int, *order: str | Column) -> DataFrame:
+    """The first k rows in an order that should be total; each task keeps k rows at most."""
+    return df.orderBy(*order).limit(k)
 
 
 def beyond_case_range(rows: DataFrame, limits: DataFrame, by: Sequence[str], all_of: Sequence[str],

@@ -39,9 +39,9 @@ def select_controls(cases: DataFrame, controls: DataFrame, region: str, ids: Seq
 
 
 def accumulated_on_day(daily: DataFrame, by: Sequence[str], measure: str, obs: str, anchor: str) -> DataFrame:
-    """Sum of a measure on the event day (the 24 hours from the anchor)."""
+    """Sum of a measure on the event day (the 24 hours from the anchor); missing and NaN values are left out."""
     rows = daily.withColumn("__d", day_offset(obs, anchor, "floor")).filter((F.col("__d") > -1) & (F.col("__d") < 1))
-    return rows.groupBy(*by).agg(F.sum(measure).alias("accumulated"))
+    return rows.groupBy(*by).agg(F.sum(F.nanvl(F.col(measure).cast("double"), F.lit(None))).alias("accumulated"))
 
 
 def restrict_dates(case_daily: DataFrame, control_daily: DataFrame, region: str, id_col: str, replicate: str,

@@ -12,7 +12,7 @@ from anchorframe.functions.text import in_list
 from anchorframe.operators.aggregates import window_mean
 from anchorframe.operators.glm import Fits, Term, coef_table, fit_logistic, profile_intervals
 from anchorframe.operators.joins import keyed_join
-from anchorframe.operators.tables import keep_groups, with_overall_group
+from anchorframe.operators.tables import keep_groups
 
 
 def _tidy(df: DataFrame, fits: Fits, region: str, intervals: str) -> DataFrame:
@@ -44,7 +44,8 @@ def regional_models(df: DataFrame, y: str, region: str, terms: Sequence[Term], o
 
 def drought_at_event(daily: DataFrame, region: str, id_col: str, measures: Sequence[str], min_events: int = 10,
                      half_window: int = 5, overall: str = "all regions", offset: str = "offset") -> DataFrame:
-    """Mean index around each event by region (regions with enough events), and over all regions."""
+    """Mean index around each event by region (regions with enough events), and of all events over all regions."""
     kept = keep_groups(daily, [region], min_distinct=min_events, distinct_col=id_col)
-    both = with_overall_group(kept, region, overall)
-    return window_mean(both, [region, id_col], measures, -half_window, half_window, offset)
+    means = window_mean(kept, [region, id_col], measures, -half_window, half_window, offset)
+    whole = window_mean(daily, [id_col], measures, -half_window, half_window, offset)
+    return means.unionByName(whole.withColumn(region, F.lit(overall)))

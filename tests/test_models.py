@@ -211,3 +211,21 @@ def test_no_group_variance_ends_near_the_plain_fit(spark, data):
     f = fit_random_intercept(d, "y", ["b"], ["level"], errors=False)
     plain = fit_table(fit_logistic(data, "y", [], ["b"])).first()
     assert f.fit.first().loglik == pytest.approx(plain.loglik, abs=2.0) and f.fit.first().sigma_level < 0.3
+
+
+def test_groups_far_apart_keep_their_slopes(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=800)
+    y = (rng.random(800) < 1 / (1 + np.exp(-0.8 * x))).astype(int)
+    d = pd.concat([pd.DataFrame({"g": "near", "x": x, "y": y}), pd.DataFrame({"g": "far", "x": x + 1e5, "y": y})])
+    fits = glm.fit_logistic(spark.createDataFrame(d), "y", ["g"], ["x"])
+    got = {r.g: (r.beta[1], r.converged) for r in fits.table.collect()}
+    assert got["near"][1] and got["far"][1] and got["far"][0] == pytest.approx(got["near"][0], rel=1e-5) and got["near"][0] > 0.4
+
+
+def test_a_separated_group_has_no_profile_bound(spark):
+    d = pd.DataFrame({"g": ["a"] * 40, "x": np.linspace(-1, 1, 40)})
+    d["y"] = (d.x > 0).astype(int)
+    rows = spark.createDataFrame(d)
+    found = glm.profile_intervals(rows, glm.fit_logistic(rows, "y", ["g"], ["x"])).filter("term = 'x'").first()
+    assert found.prof_hi is None

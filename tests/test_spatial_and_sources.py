@@ -81,7 +81,28 @@ def test_thinning_by_brute_force(spark):
     rng = np.random.default_rng(8)
     pts = [("p", i, *map(float, xy)) for i, xy in enumerate(np.vstack([rng.uniform(0, 10, (150, 2)), rng.uniform(3, 3.5, (100, 2))]))]
     got = {r.draw for r in thin_points(spark.createDataFrame(pts, "id string, draw int, x double, y double"), ["id"], 0.5).collect()}
-    assert got == {i for _, i, x, y in pts if not any(j < i and math.hypot(x - a, y - b) < 0.5 for _, j, a, b in pts)}
+    kept = []
+    for _, i, x, y in pts:  # a point goes only for an earlier one that stays
+        if all(math.hypot(x - a, y - b) >= 0.5 for _, a, b in kept):
+            kept.append((i, x, y))
+    assert got == {i for i, _, _ in kept}
+
+
+def test_a_tight_polygon_says_what_is_missing(spark):
+    flat = [[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 0.0, "y": 0.0}]]
+    d = spark.createDataFrame([("tight", [square(0, 0, 10)]), ("flat", flat)], SCHEMA)
+    got = random_points(d, ["id"], 40, 5.0, 3, rounds=3).toPandas()
+    tight = got[got.id == "tight"]
+    assert 3 <= len(tight) < 40 and set(tight.shortfall) == {40 - len(tight)}
+    assert got[got.id == "flat"][["point", "shortfall"]].isna().point.tolist() == [True] and set(got[got.id == "flat"].shortfall) == {40}
+    assert d.filter("id = 'flat'").select(centroid().alias("c")).first().c.x is None
+
+
+def test_every_part_of_a_multipart_polygon_counts(spark):
+    ev = spark.createDataFrame([("second_inside", [square(100, 100, 1), square(5, 5, 1)]), ("around_island", [square(49, 49, 4)]), ("apart", [square(80, 0, 1)])], SCHEMA)
+    reg = spark.createDataFrame([("main_and_island", [square(0, 0, 20), square(50, 50, 2)])], SCHEMA).withColumnRenamed("id", "reg")
+    got = {r.id for r in spatial_intersects_join(ev, reg, ["id"], ["reg"]).collect()}
+    assert got == {"second_inside", "around_island"}
 
 
 def test_random_points(spark, shapes):

@@ -1,6 +1,10 @@
 import datetime as dt
 
 import pytest
+from anchorframe.functions.text import normalize_id, sort_by_level
+from anchorframe.operators.aggregates import window_mean
+from anchorframe.operators.tables import exclude_ids, first_rows, range_limits
+from anchorframe.plans.regional import drought_at_event
 from pyspark.sql import functions as F
 
 from anchorframe.operators.aggregates import (
@@ -121,6 +125,25 @@ def test_case_range(spark):
     assert rows(beyond_case_range(controls, limits, ["g"], ["w"], ["d1", "d2"], keep_beyond=True).select("i")) == [(1,), (4,), (6,)]
 
 
+def test_nan_days_and_cases_are_left_out(spark):
+    nan = float("nan")
+    d = spark.createDataFrame([("r", 1, 0, 2.0), ("r", 1, 1, nan), ("r", 1, 2, 4.0), ("s", 2, 0, 8.0)], "region string, id int, offset int, v double")
+    assert rows(window_mean(d, ["id"], ["v"], -5, 5)) == [(1, 3.0), (2, 8.0)]
+    assert rows(range_limits(d, ["region"], ["v"])) == [("r", 4.0), ("s", 8.0)]
+    # the overall group has the events of regions that are too small themselves
+    got = rows(drought_at_event(d, "region", "id", ["v"], min_events=2).select("region", "id", "v"))
+    assert got == [("all regions", 1, 3.0), ("all regions", 2, 8.0)]
+
+
+def test_ids_levels_and_first_rows(spark):
+    d = spark.createDataFrame([("005",), ("123.0",), (" 7 ",), ("12d",), ("7f",), ("NaN",), ("",)], "id string")
+    assert [r[0] for r in d.select(normalize_id("id")).collect()] == ["5", "123", "7", "12d", "7f", "NaN", ""]
+    e = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("z", 4), ("a", 1)], "k string, n int")
+    assert [tuple(r) for r in sort_by_level(e, "k", ["b", "a"], "n").collect()] == [("b", 1), ("a", 1), ("a", 2), (None, 3), ("z", 4)]
+    assert [tuple(r) for r in first_rows(e, 2, "n", "k").collect()] == [("a", 1), ("b", 1)]
+    assert rows(exclude_ids(e, "k", ["a"]).filter("k is not null")) == [("b", 1), ("z", 4)] and exclude_ids(e, "k", ["a"]).count() == 3
+
+
 def test_audit_and_reconcile(spark):
     a = spark.createDataFrame([("r", 1), ("r", 2), ("s", 3)], "g string, i int")
     cases = spark.createDataFrame([("r", 1), ("q", 1)], "g string, i int")
