@@ -20,14 +20,14 @@ def maxima(t):
     return max_all_numeric(t.lineitem.select("l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_linestatus"), ["l_returnflag"])
 
 
-@query("mean_profile_long", f"""WITH {_SHARES}, n AS (SELECT DISTINCT l_suppkey, s_nationkey FROM sh JOIN supplier ON l_suppkey = s_suppkey),
- x AS (SELECT n.s_nationkey AS nation, c.cls AS nlcd_class, coalesce(share, 0.0) AS share FROM n CROSS JOIN (SELECT unnest({_TYPES}) AS cls) c
-  LEFT JOIN sh ON sh.l_suppkey = n.l_suppkey AND sh.p_type = c.cls)
- SELECT nation, nlcd_class, {rsql('avg(share)')} AS mean_share FROM x GROUP BY 1, 2""")
+@query("mean_profile_long", f"""WITH {_SHARES}, n AS (SELECT DISTINCT l_orderkey, o_orderpriority FROM sh JOIN orders ON l_orderkey = o_orderkey),
+ x AS (SELECT n.o_orderpriority AS priority, c.cls AS nlcd_class, coalesce(share, 0.0) AS share FROM n CROSS JOIN (SELECT unnest({_TYPES}) AS cls) c
+  LEFT JOIN sh ON sh.l_orderkey = n.l_orderkey AND sh.p_type = c.cls)
+ SELECT priority, nlcd_class, {rsql('avg(share)')} AS mean_share FROM x GROUP BY 1, 2""")
 def profile(t):
-    wide = pivot_wide(_class_shares(t), ["l_suppkey"], "p_type", "share", _TYPES)
-    s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
-    return rounded(mean_profile_long(wide.join(s, "l_suppkey").drop("l_suppkey"), ["nation"], "nlcd_class", "mean_share"))
+    wide = pivot_wide(_class_shares(t), ["l_orderkey"], "p_type", "share", _TYPES)
+    s = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("priority"))
+    return rounded(mean_profile_long(wide.join(s, "l_orderkey").drop("l_orderkey"), ["priority"], "nlcd_class", "mean_share"))
 
 
 @query("share_in_group", f"""WITH {REG_ORDERS} SELECT nation, o_orderpriority, count(*) AS n, {rsql('(count(*) / sum(count(*)) OVER (PARTITION BY nation))::DOUBLE')} AS share

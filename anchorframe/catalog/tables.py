@@ -55,22 +55,22 @@ _TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def _class_shares(t):
-    """Long land-cover table: share of each supplier's quantity by part type, small sizes only."""
-    p = t.part.filter("p_size <= 2").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    long = t.lineitem.select("l_partkey", "l_suppkey", "l_quantity").join(p, "l_partkey").groupBy("l_suppkey", "p_type").agg(F.sum("l_quantity").alias("q"))
-    total = long.groupBy("l_suppkey").agg(F.sum("q").alias("total"))
-    return long.join(total, "l_suppkey").select("l_suppkey", "p_type", (F.col("q") / F.col("total")).alias("share"))
+    """Long land-cover table: share of each order's quantity by part type; most orders lack some types."""
+    p = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    long = t.lineitem.select("l_partkey", "l_orderkey", "l_quantity").join(p, "l_partkey").groupBy("l_orderkey", "p_type").agg(F.sum("l_quantity").alias("q"))
+    total = long.groupBy("l_orderkey").agg(F.sum("q").alias("total"))
+    return long.join(total, "l_orderkey").select("l_orderkey", "p_type", (F.col("q") / F.col("total")).alias("share"))
 
 
-_SHARES = """s AS (SELECT l_suppkey, p_type, sum(l_quantity) AS q FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 2 GROUP BY 1, 2),
- sh AS (SELECT l_suppkey, p_type, q / sum(q) OVER (PARTITION BY l_suppkey) AS share FROM s)"""
+_SHARES = """s AS (SELECT l_orderkey, p_type, sum(l_quantity) AS q FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
+ sh AS (SELECT l_orderkey, p_type, q / sum(q) OVER (PARTITION BY l_orderkey) AS share FROM s)"""
 
 
-@query("pivot_wide", f"WITH {_SHARES} SELECT l_suppkey, " + ", ".join(
+@query("pivot_wide", f"WITH {_SHARES} SELECT l_orderkey, " + ", ".join(
     rsql(f"coalesce(max(CASE WHEN p_type = '{c}' THEN share END), 0.0)::DOUBLE") + f" AS {c.lower()}" for c in _TYPES) + " FROM sh GROUP BY 1")
 def pivot(t):
-    wide = pivot_wide(_class_shares(t), ["l_suppkey"], "p_type", "share", _TYPES)
-    return rounded(wide.toDF("l_suppkey", *[c.lower() for c in _TYPES]))
+    wide = pivot_wide(_class_shares(t), ["l_orderkey"], "p_type", "share", _TYPES)
+    return rounded(wide.toDF("l_orderkey", *[c.lower() for c in _TYPES]))
 
 
 @query("unpivot_long", """WITH w AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END AS d1,
@@ -107,17 +107,17 @@ def group_stats(t):
                     F.round(F.col("o_totalprice") - F.col("lo"), 2).alias("above_min"))
 
 
-@query("exclude_beyond_case_range", """WITH f AS (SELECT l_suppkey % 20 AS region, l_returnflag = 'R' AS is_case, l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax,
-  l_extendedprice FROM lineitem WHERE l_returnflag <> 'N'),
- m AS (SELECT region, max(l_extendedprice) AS mp, max(l_extendedprice * l_discount) AS md, max(l_extendedprice * l_tax) AS mt FROM f WHERE is_case AND l_quantity < 25 GROUP BY 1)
+@query("exclude_beyond_case_range", """WITH f AS (SELECT l_suppkey % 20 AS region, l_returnflag = 'R' AND l_quantity < 25 AS is_case, l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax,
+  l_extendedprice FROM lineitem),
+ m AS (SELECT region, max(l_extendedprice) AS mp, max(l_extendedprice * l_discount) AS md, max(l_extendedprice * l_tax) AS mt FROM f WHERE is_case GROUP BY 1)
  SELECT f.region, l_orderkey, l_linenumber, l_partkey FROM f JOIN m USING (region) WHERE NOT is_case
  AND NOT (l_extendedprice > mp AND (l_extendedprice * l_discount > md OR l_extendedprice * l_tax > mt))""")
 def beyond(t):
-    li = t.lineitem.filter("l_returnflag <> 'N'").select(
+    li = t.lineitem.select(
         (F.col("l_suppkey") % 20).alias("region"), "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
         F.col("l_extendedprice").alias("water"), (F.col("l_extendedprice") * F.col("l_discount")).alias("developed_low"),
         (F.col("l_extendedprice") * F.col("l_tax")).alias("developed_high"))
     cases = li.filter("l_returnflag = 'R' and l_quantity < 25")
     limits = range_limits(cases, ["region"], ["water", "developed_low", "developed_high"])
-    kept = beyond_case_range(li.filter("l_returnflag = 'A'"), limits, ["region"], ["water"], ["developed_low", "developed_high"])
+    kept = beyond_case_range(li.filter("NOT (l_returnflag = 'R' AND l_quantity < 25)"), limits, ["region"], ["water"], ["developed_low", "developed_high"])
     return kept.select("region", "l_orderkey", "l_linenumber", "l_partkey")
