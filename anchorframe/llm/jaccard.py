@@ -10,10 +10,11 @@ Signatures of partitions without any element would bring unlike sets together. T
 ``spare`` extra ones, more than ``spare`` groups agree, so a set with at most that many groups that have an empty subset
 can leave those signatures out without losing a link. A set with more of them emits them all.
 
-Equal sets are one class from the start. Sets that share a signature are linked to the smallest of them, by the one most often
-shared first; these candidates are verified on their whole sets and merged, and what still stands in different components
-under one signature is then compared pair by pair. So links are complete, and a group of near copies costs one
-comparison for each member and not one for each pair.
+Equal sets are one class from the start. Each set is first compared with the hub it shares most signatures with (of each
+signature, the set with most company), and linked sets are merged; then what still stands in different components under one signature is compared pair by
+pair. So links are complete, and a group of near copies costs one comparison for each member and not one for each pair. A
+pair's sizes and parity bits, a 64th of its sets, show first whether it can be similar at all; pairs that they rule out are
+never written as rows.
 
 Null and empty texts, and texts of white space, have an empty set and link with nothing. Null ids are carried through; of rows
 with the same id each is a row of its own. An empty table gives an empty result. Other columns are not read.
@@ -90,7 +91,11 @@ def band_of(n: int, num: int, den: int) -> int:
 
 @lru_cache(maxsize=4096)
 def scheme(instance: int, num: int, den: int) -> tuple[int, int, int, int]:
-    """n1, n2, k2 and the spare groups of the instance that covers bands ``instance`` and the next."""
+    """n1, n2, k2 and the spare groups of the instance that covers bands ``instance`` and the next.
+
+    With k2 = 1, n1 groups hold k differences with at most one in some group if n1 > k / 2; a signature is two of a group's three
+    partitions, six elements or so, which unlike sets that share a passage seldom have in common.
+    """
     tops = _BANDS[num, den]
     while len(tops) < instance + 2:
         tops.append(max(tops[-1] + 1, tops[-1] * den // num))
@@ -99,7 +104,7 @@ def scheme(instance: int, num: int, den: int) -> tuple[int, int, int, int]:
         return 1, 1, 0, 0
     need = k // 2 + 1
     spare = 1 + need // 8
-    return need + spare, 2, 1, spare
+    return need + spare, 3, 1, spare
 
 
 def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -128,6 +133,25 @@ def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    """Bits (a power of two, about as many as elements) that count the elements of each hash class modulo 2.
+
+    Where two sets' bits differ, they differ in an element of that class, so sets have at least as many differences as bits.
+    """
+    size = max(64, 1 << (len(elements) - 1).bit_length())
+    bits = np.bincount((_mix(elements) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8))
+
+
+def far(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, num: int, den: int) -> bool:
+    """Whether the parity bits of two sets show that they differ too much to be similar."""
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return (den + num) * int(np.bitwise_count(a ^ b).sum()) > (den - num) * (size_a + size_b)
+
+
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return den * both >= num * (len(a) + len(b) - both)
@@ -177,45 +201,76 @@ def _runs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(batches):
-    """Of the partition's signatures those that several sets have: sig, key, and the smallest key with it."""
+    """Of the partition's signatures those that several sets have: sig, key, and how many others have it."""
     got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if not got:
         return
     sig, key = (np.concatenate(x) for x in zip(*got))
     if not len(sig):
         return
-    order = np.lexsort((key, sig))
+    order = np.argsort(key, kind="stable")
+    sig, key = sig[order], key[order]
+    order = np.argsort(sig, kind="stable")
     sig, key = sig[order], key[order]
     keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
     sig, key = sig[keep], key[keep]
     first, size = _runs(sig)
     many = np.repeat(size > 1, size)
-    yield _table({"sig": sig[many], "key": key[many], "least": np.repeat(key[first], size)[many]})
-
+    yield _table({"sig": sig[many], "key": key[many], "others": np.repeat(size - 1, size)[many]})
+
+
+def near_rows(bits: list[bytes], sizes: np.ndarray, component: np.ndarray, num: int, den: int):
+    """Index pairs of sets in different components whose sizes and parity bits allow them to be similar."""
+    least = min(map(len, bits))
+    folded = np.empty((len(bits), least), np.uint8)
+    for n, x in enumerate(bits):
+        x = np.frombuffer(x, np.uint8)
+        while len(x) > least:
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        folded[n] = x
+    words = folded.view(np.uint64)
+    step = max(1, (1 << 20) // (words.shape[0] * words.shape[1]))
+    for at in range(0, len(bits), step):
+        rows = np.arange(at, min(at + step, len(bits)))
+        apart = np.bitwise_count(words[rows, None, :] ^ words[None, at:, :]).sum(2, dtype=np.int64)
+        both = sizes[rows, None] + sizes[None, at:]
+        maybe = ((den + num) * apart <= (den - num) * both) & (component[rows, None] != component[None, at:])
+        maybe &= den * np.minimum(sizes[rows, None], sizes[None, at:]) >= num * np.maximum(sizes[rows, None], sizes[None, at:])
+        i, j = np.nonzero(maybe)
+        yield rows[i[i < j]], at + j[i < j]
+
+
+def _crossing(num: int, den: int):
+    """Pairs of sets under one signature that are in different components and may be similar.
+
+    Rows: sig, key, component, n, bits. Parity bits are compared where the sets of a signature meet, so only pairs that they
+    do not rule out become rows.
+    """
+    def run(batches):
+        got = [tuple(b.column(n) for n in range(5)) for b in batches]
+        if not sum(len(g[0]) for g in got):
+            return
+        sig, key, component, size = (np.concatenate([g[n].to_numpy() for g in got]) for n in range(4))
+        bits = [x for g in got for x in g[4].to_pylist()]
+        order = np.argsort(sig, kind="stable")
+        sig = sig[order]
+        found = []
+        for first, length in zip(*_runs(sig)):
+            own = order[first:first + length]
+            for i, j in near_rows([bits[n] for n in own], size[own], component[own], num, den):
+                if len(i):
+                    x, y = key[own[i]], key[own[j]]
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            if len(found) > 4096:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                if len(found[0]) > 1 << 18:
+                    yield _table({"a": found[0][:, 0].copy(), "b": found[0][:, 1].copy()})
+                    found = []
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield _table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
 
-def _crossing(batches):
-    """Pairs of sets under one signature that are in different components. Rows: sig, key, component."""
-    got = [tuple(b.column(n).to_numpy() for n in range(3)) for b in batches]
-    if not got:
-        return
-    sig, key, component = (np.concatenate(x) for x in zip(*got))
-    if not len(sig):
-        return
-    order = np.lexsort((component, sig))
-    sig, key, component = sig[order], key[order], component[order]
-    end = np.cumsum(_runs(sig)[1])[np.cumsum(np.concatenate([[0], sig[1:] != sig[:-1]]))]
-    both = np.concatenate([[True], (sig[1:] != sig[:-1]) | (component[1:] != component[:-1])])
-    block = np.flatnonzero(both)
-    after = np.concatenate([block[1:], [len(sig)]])[np.cumsum(both) - 1]
-    for at in range(0, len(sig), 4096):
-        rows = np.arange(at, min(at + 4096, len(sig)))
-        count = end[rows] - after[rows]
-        for part in np.array_split(rows, max(1, int(count.sum() // (1 << 20)))):
-            n = end[part] - after[part]
-            if n.sum():
-                a = np.repeat(key[part], n)
-                b = key[np.repeat(after[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                yield _table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return run
 
 
 def _sets(width: int):
@@ -223,7 +278,18 @@ def _sets(width: int):
         for got in batches:
             sets = [shingle_set(t, width) for t in got.column(1).to_pylist()]
             own = pa.array([set_key(s) == k for s, k in zip(sets, got.column(0).to_pylist())], pa.bool_())  # else another row with this id
-            yield pa.RecordBatch.from_arrays([got.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "elements"]).filter(own)
+            yield pa.RecordBatch.from_arrays([got.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s).tobytes() for s in sets], pa.binary()),
+                                              pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "n", "bits", "elements"]).filter(own)
+
+    return run
+
+
+def _possible(num: int, den: int):
+    """Keeps the pairs (a, b, n, bits of a, m, bits of b) that may be similar."""
+    def run(batches):
+        for got in batches:
+            near = [not far(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), n, m, num, den) for n, x, m, y in zip(*(got.column(i).to_pylist() for i in range(2, 6)))]
+            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
@@ -242,33 +308,39 @@ def link(docs: DataFrame, num: int = 85, den: int = 100, width: int = 4, id_col:
     """doc_id, n_shingles and component_id of every row; rows link where ``den * |both| >= num * |either|``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sized = materialize(rows.mapInArrow(_sized(width), "doc_id long, n long, key long"))
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = rows.select("text").mapInArrow(_signed_rows(width, num, den), "sig long, key long")
-    shared = materialize(signed.repartition("sig").mapInArrow(_shared, "sig long, key long, least long"))
+    shared = materialize(signed.repartition(parts, "sig").mapInArrow(_shared, "sig long, key long, others long"))
     # One row with each set that has candidates. Few ids are sent to all tasks; many are joined.
     first = sized.where("n > 0").join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     first = materialize(first)
     wanted = (F.broadcast(first) if first.count() <= _BROADCAST_ROWS else first).withColumnRenamed("doc_id", "id")
-    sets = materialize(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "text").mapInArrow(_sets(width), "key long, elements binary"))
+    sets = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "text")
+    sets = materialize(sets.mapInArrow(_sets(width), "key long, n long, bits binary, elements binary"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        mine, other = sets.toDF("a", "x"), sets.toDF("b", "y")
-        return materialize(pairs.join(mine, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(_verified(num, den), "a long, b long, linked boolean"))
-
-    # The smallest set under most of its signatures, for each set; then the others that are still apart.
-    stars = shared.where("key <> least").groupBy(F.col("least").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("times"))
-    stars = materialize(stars)
-    best = stars.groupBy("b").agg(F.max(F.struct("times", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
-    tested = verify(best)
-    tree = materialize(components(tested.where("linked")))
-    apart = _apart(stars, tree).join(tested, ["a", "b"], "left_anti")
-    more = verify(apart)
-    tested = tested.unionByName(more)
-    tree = materialize(components(tested.where("linked")))
+        """(a, b, linked) of the pairs. Sizes and parity bits show most unlike pairs; the sets of the others are compared."""
+        mine, other = sets.select("key", "n", "bits").toDF("a", "n", "x"), sets.select("key", "n", "bits").toDF("b", "m", "y")
+        sized_alike = (den * F.least("n", "m") >= num * F.greatest("n", "m"))
+        near = pairs.join(mine, "a").join(other, "b").where(sized_alike).select("a", "b", "n", "x", "m", "y").mapInArrow(_possible(num, den), "a long, b long")
+        near = materialize(near)
+        mine, other = sets.select("key", "elements").toDF("a", "x"), sets.select("key", "elements").toDF("b", "y")
+        return materialize(near.join(mine, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(_verified(num, den), "a long, b long, linked boolean"))
+
+    # The hub of a signature is its set with most company, as the origin of near copies is; each set first meets the hub it
+    # shares most signatures with. Then what is still apart under a signature is compared pair by pair.
+    company = materialize(shared.groupBy("key").agg(F.sum("others").alias("company")))
+    hubs = shared.join(company, "key").groupBy("sig").agg(F.max(F.struct("company", "key")).alias("hub")).select("sig", F.col("hub.key").alias("hub"))
+    stars = shared.join(hubs, "sig").where("key <> hub").groupBy(F.col("hub").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("times"))
+    best = materialize(stars.groupBy("b").agg(F.max(F.struct("times", "a")).alias("top")).select(F.col("top.a").alias("a"), "b"))
+    links = verify(best).where("linked")
+    tree = materialize(components(links))
     named = shared.join(tree, shared["key"] == tree["node"], "left").select("sig", "key", F.coalesce("component", "key").alias("component"))
     mixed = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    crossing = named.join(mixed, "sig").repartition("sig").mapInArrow(_crossing, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-    tested = tested.unionByName(verify(crossing))
-    tree = components(tested.where("linked"))
+    crossing = named.join(mixed, "sig").join(sets.select("key", "n", "bits"), "key").select("sig", "key", "component", "n", "bits")
+    crossing = crossing.repartition(parts, "sig").mapInArrow(_crossing(num, den), "a long, b long").distinct()
+    links = links.unionByName(verify(materialize(crossing.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))).where("linked"))
+    tree = components(links)
     known = sized.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(tree, F.col("key") == F.col("node"), "left")
     known = known.select("key", F.coalesce("component", "key").alias("component"), "least")
     names = known.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -277,12 +349,6 @@ def link(docs: DataFrame, num: int = 85, den: int = 100, width: int = 4, id_col:
                                                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _apart(pairs: DataFrame, tree: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    x, y = tree.toDF("a", "ca"), tree.toDF("b", "cb")
-    return pairs.select("a", "b").join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def keep_first(docs: DataFrame, num: int, den: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose id is the smallest of its component."""
     found = materialize(link(docs, num, den, width, id_col, text_col))
