@@ -4,8 +4,8 @@ A string of ``k`` bytes is a closed syncmer if, of its inner strings of ``s`` by
 start or its end. Whether it is one depends on its own bytes alone, so equal passages have equal anchors wherever they stand,
 and the anchors of a text that is put together from parts are those of the parts and of the places where they meet.
 
-``anchors_sql`` gives the place (byte) and the 32-bit hash of each syncmer of a text; a text shorter than ``k`` bytes has one anchor,
-all of it, at place -1. A fingerprint is made of the ``width`` smallest distinct hashes as hex digits, eight each; equal texts
+``anchors_sql`` gives the place (byte) and the 32-bit hash of each syncmer of a text; a text without any (it has less than
+two ``k`` bytes) has one anchor, all of it, at place -1. A fingerprint is made of the ``width`` smallest distinct hashes as hex digits, eight each; equal texts
 have equal fingerprints. The likeness of two fingerprints is the share of hashes in both among the ``width`` smallest of their
 union, an estimate of the Jaccard similarity of all anchors.
 
@@ -34,22 +34,27 @@ def _mark(k: int, s: int) -> str:
     return f"({start}) OR ({end})"
 
 
+def _hash(data: str) -> str:
+    return f"shiftrightunsigned(xxhash64({data}), 32)"
+
+
 def anchors_sql(data: str, k: int = K, s: int = S) -> str:
     """SQL: array of (place, hash) of the syncmers of a binary expression.
 
     ``transform(array(e), v -> ...)[0]`` gives an expression a name, so that it is computed (and a binary value copied) once.
     """
-    short = "array(struct(-1 AS place, shiftrightunsigned(xxhash64(bb), 32) AS hash))"
+    whole = f"array(struct(-1 AS place, {_hash('bb')} AS hash))"
     inner = (f"transform(array(transform(sequence(1, length(cc) - {s - 1}), i -> xxhash64(substring(cc, i, {s})))), h -> "
              f"array_compact(transform(h, (x, i) -> CASE WHEN {_mark(k, s)} THEN struct(o + i AS place, "
-             f"shiftrightunsigned(xxhash64(substring(cc, i + 1, {k})), 32) AS hash) END)))[0]")
+             f"{_hash(f'substring(cc, i + 1, {k})')} AS hash) END)))[0]")
     blocks = f"flatten(transform(sequence(0, length(bb) - {k}, {_BLOCK}), o -> transform(array(substring(bb, o + 1, {_BLOCK + k - 1})), cc -> {inner})[0]))"
-    return f"transform(array({data}), bb -> CASE WHEN length(bb) < {k} THEN {short} ELSE {blocks} END)[0]"
+    found = f"CASE WHEN length(bb) < {k} THEN array() ELSE {blocks} END"
+    return f"transform(array({data}), bb -> transform(array({found}), f -> CASE WHEN size(f) = 0 THEN {whole} ELSE f END)[0])[0]"
 
 
 def sketch_sql(hashes: str, width: int = WIDTH) -> str:
     """SQL: the smallest distinct hashes of an array."""
-    return f"slice(array_sort(array_distinct({hashes})), 1, {width})"
+    return f"slice(sort_array(array_distinct({hashes})), 1, {width})"
 
 
 def fingerprint_sql(sketch: str) -> str:
@@ -103,9 +108,10 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, width: int = WIDTH, id
     both = both.withColumn("kept_n", kept).withColumn("new_n", new)
     # Anchors of the edited text: those of its two parts, and of the bytes around the place where they meet.
     edge = f"concat(substring(encode(kept, 'UTF-8'), greatest(kept_n - {k - 2}, 1), {k - 1}), substring(encode(new, 'UTF-8'), 1, {k - 1}))"
-    met = f"transform(filter({anchors_sql(edge, k, s)}, a -> a.place >= 0 OR kept_n + new_n < {k}), a -> a.hash)"
+    met = f"transform(filter({anchors_sql(edge, k, s)}, a -> a.place >= 0), a -> a.hash)"
     parts = (f"concat(transform(filter(found, a -> a.place >= 0 AND a.place + {k} <= kept_n), a -> a.hash), {met}, "
              f"transform(filter(next.found, a -> a.place >= 0 AND a.place + {k} <= new_n), a -> a.hash))")
+    parts = f"transform(array({parts}), p -> CASE WHEN size(p) = 0 THEN array({_hash("encode(concat(kept, new), 'UTF-8')")}) ELSE p END)[0]"
     both = both.withColumn("edited", F.expr(sketch_sql(parts, width)))
     return both.select("doc_id", "n_chars", F.sha2(F.concat("kept", "new"), 256).alias("edited_sha256"),
                        F.expr(fingerprint_sql("sketch")).alias("fingerprint"), F.expr(fingerprint_sql("edited")).alias("edited_fingerprint"),
