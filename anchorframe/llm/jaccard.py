@@ -12,10 +12,14 @@ can leave those signatures out without losing a link. A set with more of them em
 
 Equal sets are one class from the start. Each set is first compared with the hub it shares most signatures with (of each
 signature, the set with most company), and linked sets are merged; then what still stands in different components under one signature is compared pair by
-pair. So links are complete, and a group of near copies costs one comparison for each member and not one for each pair. A
+pair. So components are complete, and a group of near copies costs one comparison for each member to find them. A
 pair's sizes and parity bits, a 64th of its sets, show first whether it can be similar at all; pairs that they rule out are
 never written as rows.
 
+All links lie inside components, so the links of each set are counted there: a component's sets are cut into bands of size and
+blocks of at most some ``_TILE`` sets, and each pair of blocks whose sizes allow a link is one tile, in which the common elements of
+every pair of sets are counted exactly. The work grows with the square of a component's sets, as its links may.
+
 Null and empty texts, and texts of white space, have an empty set and link with nothing. Null ids are carried through; of rows
 with the same id each is a row of its own. An empty table gives an empty result. Other columns are not read.
 """
@@ -38,6 +42,8 @@ _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SLICE = 1 << 20  # bytes of a text whose words are held at once
 _SPACE = re.compile(rb"[ \t-\r]")
 _BROADCAST_ROWS = 2_000_000  # ids of 8 bytes
+_TILE, _TILE_ELEMENTS = 1024, 1 << 20  # sets in a block, and their elements
+_COLUMNS = 4096  # elements whose incidence is held at once
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -304,8 +310,128 @@ def _verified(num: int, den: int):
     return run
 
 
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Numbers of elements that each set of ``a`` has in common with each of ``b``, exactly (below 2 ** 24)."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    left, right = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(left, right)
+    sides = []
+    for sets, every in ((a, left), (b, right)):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(both, every), max(0, len(both) - 1))
+        own = both[at] == every if len(both) else np.zeros(len(every), bool)
+        order = np.argsort(at[own], kind="stable")
+        sides.append((row[own][order], at[own][order]))
+    for low in range(0, len(both), _COLUMNS):
+        parts = []
+        for n, (row, at) in zip((len(a), len(b)), sides):
+            i, j = np.searchsorted(at, [low, low + _COLUMNS])
+            parts.append(np.zeros((n, min(_COLUMNS, len(both) - low)), np.float32))
+            parts[-1][row[i:j], at[i:j] - low] = 1
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def tile_links(a: list[np.ndarray], b: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
+    """Whether each set of ``a`` is similar to each of ``b``, or to each other one of ``a``."""
+    other = a if b is None else b
+    both = common(a, other)
+    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in other])
+    linked = den * both >= num * (n[:, None] + m[None, :] - both)
+    if b is None:
+        np.fill_diagonal(linked, False)
+    return linked
+
+
+def _grouped(batches, keys: int):
+    """Rows of sorted batches by their first ``keys`` columns, one group at a time."""
+    name, held = None, []
+    for got in batches:
+        for row in zip(*(c.to_pylist() for c in got.columns)):
+            if row[:keys] != name:
+                if held:
+                    yield held
+                name, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield held
+
+
+def _counted(num: int, den: int):
+    """Of each tile (rows: its name, side, key, copies, elements) the linked rows of its sets: key, links."""
+    def run(batches):
+        keys, links, n = [], [], 0
+        for rows in _grouped(batches, 5):
+            sides = []
+            for side in (0, 1):
+                own = {key: (copies, np.frombuffer(x, np.uint64)) for s, key, copies, x, _ in rows if s == side}  # a set with a null id may come twice
+                sides.append((np.array(list(own), np.int64), np.array([c for c, _ in own.values()], np.int64), [x for _, x in own.values()]))
+            (key, copies, sets), (key2, copies2, sets2) = sides
+            if not sets:
+                continue
+            alone = rows[0][4]
+            if not alone and not sets2:
+                continue
+            linked = tile_links(sets, None if alone else sets2, num, den)
+            found = [(key, linked @ (copies if alone else copies2))] + ([] if alone else [(key2, copies @ linked)])
+            for k, x in found:
+                keys.append(k[x > 0])
+                links.append(x[x > 0])
+                n += len(keys[-1])
+            if n > 1 << 16:
+                yield _table({"key": np.concatenate(keys), "links": np.concatenate(links)})
+                keys, links, n = [], [], 0
+        if n:
+            yield _table({"key": np.concatenate(keys), "links": np.concatenate(links)})
+
+    return run
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= _BROADCAST_ROWS else rows
+
+
+def _links_of(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, links): of sets (component, key, copies, n, elements) the numbers of rows in other sets that link with theirs."""
+    # Similar sets differ by less than one band in the logarithm of their sizes, so that they are in one band or in neighbouring ones.
+    width = max(1e-3, 1.001 * float(np.log(den / num)))
+    members = members.withColumn("band", F.floor(F.log("n") / width))
+    cells = members.groupBy("component", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
+    cells = materialize(cells.select("component", "band", F.ceil(F.greatest(F.col("sets") / _TILE, F.col("size") / _TILE_ELEMENTS)).alias("blocks")))
+    near = cells.select("component", F.col("band").alias("near_band"), F.col("blocks").alias("near_blocks"))
+    near = cells.join(near, "component").where("abs(band - near_band) <= 1")
+    near = near.groupBy("component", "band").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct("near_band", "near_blocks")).alias("others"))
+    dealt = members.join(_few(materialize(near)), ["component", "band"]).withColumn("block", F.expr("pmod(xxhash64(key), blocks)"))
+    # The names (band and block) of all blocks that this one meets; the smaller name is the tile's left side.
+    met = "flatten(transform(others, o -> transform(sequence(0L, o.near_blocks - 1), x -> struct(o.near_band AS band, x AS block))))"
+    dealt = dealt.withColumn("met", F.explode(F.expr(met))).withColumn("own", F.struct("band", "block"))
+    low, high = F.least("own", "met"), F.greatest("own", "met")
+    tiles = dealt.select("component", low["band"].alias("band"), low["block"].alias("block"), high["band"].alias("band2"), high["block"].alias("block2"),
+                         F.when(F.col("own") == low, 0).otherwise(1).alias("side"), "key", "copies", "elements", (F.col("own") == F.col("met")).alias("alone"))
+    names = ["component", "band", "block", "band2", "block2"]
+    parts = 2 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = tiles.repartition(parts, *names).sortWithinPartitions(*names).mapInArrow(_counted(num, den), "key long, links long")
+    return found.groupBy("key").agg(F.sum("links").alias("links"))
+
+
 def link(docs: DataFrame, num: int = 85, den: int = 100, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; rows link where ``den * |both| >= num * |either|``."""
+    """doc_id, n_shingles, component_id and n_links of every row; rows link where ``den * |both| >= num * |either|``.
+
+    n_links is the number of other rows that link with the row, those of equal sets among them.
+    """
+    sized, known, sets = _linked(docs, num, den, width, id_col, text_col)
+    known = materialize(known)
+    several = known.groupBy("component").agg(F.count("*").alias("sets")).where("sets > 1").select("component")
+    members = known.join(several, "component").select("component", "key", "copies").join(sets.select("key", "n", "elements"), "key")
+    links = _links_of(members.select("component", "key", "copies", "n", "elements"), num, den)
+    known = known.join(links, "key", "left").select("key", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return sized.join(known, "key", "left").select("doc_id", F.col("n").alias("n_shingles"),
+                                                   F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                                                   F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
+
+
+def _linked(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, key), sets (key, component, component_id, copies) and those with company (key, n, bits, elements)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sized = materialize(rows.mapInArrow(_sized(width), "doc_id long, n long, key long"))
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -341,17 +467,16 @@ def link(docs: DataFrame, num: int = 85, den: int = 100, width: int = 4, id_col:
     crossing = crossing.repartition(parts, "sig").mapInArrow(_crossing(num, den), "a long, b long").distinct()
     links = links.unionByName(verify(materialize(crossing.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))).where("linked"))
     tree = components(links)
-    known = sized.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(tree, F.col("key") == F.col("node"), "left")
-    known = known.select("key", F.coalesce("component", "key").alias("component"), "least")
+    known = sized.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(tree, F.col("key") == F.col("node"), "left")
+    known = known.select("key", F.coalesce("component", "key").alias("component"), "least", "copies")
     names = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = known.join(names, "component").select("key", "component_id")
-    return sized.join(known, "key", "left").select("doc_id", F.col("n").alias("n_shingles"),
-                                                   F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return sized, known.join(names, "component").select("key", "component", "component_id", "copies"), sets
 
 
 def keep_first(docs: DataFrame, num: int, den: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose id is the smallest of its component."""
-    found = materialize(link(docs, num, den, width, id_col, text_col))
+    sized, known, _ = _linked(docs, num, den, width, id_col, text_col)
+    found = materialize(sized.where("n > 0").join(known.select("key", "component_id"), "key").select("doc_id", "component_id"))
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     few = F.broadcast(gone) if gone.count() <= _BROADCAST_ROWS else gone
     return docs.join(few, docs[id_col] == few["_gone"], "left_anti")

@@ -283,6 +283,27 @@ def test_near_copies_that_only_their_origin_links(spark, odd):
     assert kept.columns == odd.columns and 1 not in {r.doc_id for r in kept.collect()}
 
 
+def test_jaccard_links_of_every_row_by_brute_force(spark, odd, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{n}" for n in rng.integers(0, 5000, 160)]
+    rows = [(n, t) for n, t in ODD if n is not None]
+    for n in range(100, 220):
+        own = base[:int(rng.integers(130, 161))]
+        for at in rng.choice(len(own), rng.integers(0, 5), replace=False):
+            own[at] = f"x{n % 40}_{at}"
+        rows.append((n, " ".join(own)))
+    rows += [(300 + n, t) for n, t in rows[-5:]]  # equal texts
+    sets = {i: _shingles(t, 4) for i, t in rows}
+    want = {i: sum(1 for j in sets if i != j and a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j])) for i, a in sets.items()}
+    d = spark.createDataFrame([*rows, (None, rows[-1][1]), (None, rows[-1][1])], "doc_id long, text string").repartition(3)
+    for i, a in sets.items():  # the two rows without an id link too
+        want[i] += 2 * bool(a and 100 * len(a & sets[rows[-1][0]]) >= 85 * len(a | sets[rows[-1][0]]))
+    monkeypatch.setattr(jaccard, "_TILE", 16)  # several blocks
+    got = [(r.doc_id, r.n_links) for r in jaccard.link(d).collect()]
+    assert {i: n for i, n in got if i is not None} == want and max(want.values()) > 30
+    assert [n for i, n in got if i is None] == [want[rows[-1][0]]] * 2 and len(got) == len(rows) + 2
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(5)
     for size in (1, 3, 7, 20, 90, 400):
