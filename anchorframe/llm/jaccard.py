@@ -14,7 +14,8 @@ Equal sets are one class from the start. Each set is first compared with the hub
 signature, the set with most company), and linked sets are merged; then what still stands in different components under one signature is compared pair by
 pair. So components are complete, and a group of near copies costs one comparison for each member to find them. A
 pair's sizes and parity bits, a 64th of its sets, show first whether it can be similar at all; pairs that they rule out are
-never written as rows.
+never written as rows. A signature's sets meet in pairs of blocks of some ``_BLOCK`` sets, so that no task holds more than two
+blocks of a hot signature.
 
 All links lie inside components, so the links of each set are counted there: a component's sets are cut into bands of size and
 blocks of at most some ``_TILE`` sets, and each pair of blocks whose sizes allow a link is one tile, in which the common elements of
@@ -43,6 +44,7 @@ _SLICE = 1 << 20  # bytes of a text whose words are held at once
 _SPACE = re.compile(rb"[ \t-\r]")
 _BROADCAST_ROWS = 2_000_000  # ids of 8 bytes
 _TILE, _TILE_ELEMENTS = 1024, 1 << 20  # sets in a block, and their elements
+_BLOCK = 2048  # sets under one signature in a block
 _COLUMNS = 4096  # elements whose incidence is held at once
 
 
@@ -225,53 +227,61 @@ def _shared(batches):
     yield _table({"sig": sig[many], "key": key[many], "others": np.repeat(size - 1, size)[many]})
 
 
-def near_rows(bits: list[bytes], sizes: np.ndarray, component: np.ndarray, num: int, den: int):
-    """Index pairs of sets in different components whose sizes and parity bits allow them to be similar."""
-    least = min(map(len, bits))
-    folded = np.empty((len(bits), least), np.uint8)
+def _folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Parity bits of sets, brought to ``size`` bytes each, as rows of 64-bit words."""
+    folded = np.empty((len(bits), size), np.uint8)
     for n, x in enumerate(bits):
         x = np.frombuffer(x, np.uint8)
-        while len(x) > least:
+        while len(x) > size:
             x = x[:len(x) // 2] ^ x[len(x) // 2:]
         folded[n] = x
-    words = folded.view(np.uint64)
-    step = max(1, (1 << 20) // (words.shape[0] * words.shape[1]))
-    for at in range(0, len(bits), step):
-        rows = np.arange(at, min(at + step, len(bits)))
-        apart = np.bitwise_count(words[rows, None, :] ^ words[None, at:, :]).sum(2, dtype=np.int64)
-        both = sizes[rows, None] + sizes[None, at:]
-        maybe = ((den + num) * apart <= (den - num) * both) & (component[rows, None] != component[None, at:])
-        maybe &= den * np.minimum(sizes[rows, None], sizes[None, at:]) >= num * np.maximum(sizes[rows, None], sizes[None, at:])
+    return folded.view(np.uint64)
+
+
+def near_rows(left: tuple, right: tuple, num: int, den: int):
+    """Index pairs of sets (bits, sizes, components) on two sides, in different components, whose sizes and parity bits allow them to be similar."""
+    least = min(map(len, left[0] + right[0]))
+    (words, n, own), (words2, m, other) = ((_folded(x[0], least), *x[1:]) for x in (left, right))
+    step = max(1, (1 << 20) // (words2.shape[0] * words2.shape[1]))
+    for at in range(0, len(words), step):
+        rows = slice(at, at + step)
+        apart = np.bitwise_count(words[rows, None, :] ^ words2[None]).sum(2, dtype=np.int64)
+        both = n[rows, None] + m[None]
+        maybe = ((den + num) * apart <= (den - num) * both) & (own[rows, None] != other[None])
+        maybe &= den * np.minimum(n[rows, None], m[None]) >= num * np.maximum(n[rows, None], m[None])
         i, j = np.nonzero(maybe)
-        yield rows[i[i < j]], at + j[i < j]
+        yield at + i, j
 
 
 def _crossing(num: int, den: int):
     """Pairs of sets under one signature that are in different components and may be similar.
 
-    Rows: sig, key, component, n, bits. Parity bits are compared where the sets of a signature meet, so only pairs that they
-    do not rule out become rows.
+    Rows come in the order of block pairs: sig, low block, high block, whether the row is of the low block, key, component, n,
+    bits. Two blocks are held at a time. Parity bits are compared where they meet, so only pairs that they do not rule out become rows.
     """
     def run(batches):
-        got = [tuple(b.column(n) for n in range(5)) for b in batches]
-        if not sum(len(g[0]) for g in got):
-            return
-        sig, key, component, size = (np.concatenate([g[n].to_numpy() for g in got]) for n in range(4))
-        bits = [x for g in got for x in g[4].to_pylist()]
-        order = np.argsort(sig, kind="stable")
-        sig = sig[order]
-        found = []
-        for first, length in zip(*_runs(sig)):
-            own = order[first:first + length]
-            for i, j in near_rows([bits[n] for n in own], size[own], component[own], num, den):
+        found, n = [], 0
+        for rows in _grouped(batches, 3):
+            sides = []
+            for low in (True, False):
+                own = [r[1:] for r in rows if r[0] == low]
+                sides.append((np.array([r[0] for r in own], np.int64), ([r[3] for r in own], np.array([r[2] for r in own], np.int64), np.array([r[1] for r in own], np.int64))))
+            (key, left), (key2, right) = sides
+            if not len(key2):  # a block and itself, or one that meets an empty block
+                key2, right = key, left
+            if not len(key):
+                continue
+            for i, j in near_rows(left, right, num, den):
                 if len(i):
-                    x, y = key[own[i]], key[own[j]]
+                    x, y = key[i], key2[j]
                     found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-            if len(found) > 4096:
+                    n += len(i)
+            if len(found) > 4096 or n > 1 << 20:
                 found = [np.unique(np.concatenate(found), axis=0)]
-                if len(found[0]) > 1 << 18:
+                n = len(found[0])
+                if n > 1 << 18:
                     yield _table({"a": found[0][:, 0].copy(), "b": found[0][:, 1].copy()})
-                    found = []
+                    found, n = [], 0
         if found:
             pairs = np.unique(np.concatenate(found), axis=0)
             yield _table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
@@ -279,6 +289,14 @@ def _crossing(num: int, den: int):
     return run
 
 
+def _block_pairs(crossing: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (sig, key, component, n, bits) dealt to the pairs of their signature's blocks of some ``_BLOCK`` sets."""
+    sizes = sizes.select("sig", F.ceil(F.col("sets") / _BLOCK).alias("blocks"))
+    dealt = crossing.join(_few(sizes), "sig").withColumn("block", F.expr("pmod(xxhash64(key), blocks)"))
+    dealt = dealt.withColumn("met", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    return dealt.select("sig", F.least("block", "met").alias("low"), F.greatest("block", "met").alias("high"), (F.col("block") <= F.col("met")).alias("side"), "key", "component", "n", "bits")
+
+
 def _sets(width: int):
     def run(batches):
         for got in batches:
@@ -462,9 +480,11 @@ def _linked(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_c
     links = verify(best).where("linked")
     tree = materialize(components(links))
     named = shared.join(tree, shared["key"] == tree["node"], "left").select("sig", "key", F.coalesce("component", "key").alias("component"))
-    mixed = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    crossing = named.join(mixed, "sig").join(sets.select("key", "n", "bits"), "key").select("sig", "key", "component", "n", "bits")
-    crossing = crossing.repartition(parts, "sig").mapInArrow(_crossing(num, den), "a long, b long").distinct()
+    mixed = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("sets")).where("low < high").select("sig", "sets")
+    mixed = materialize(mixed)
+    crossing = named.join(mixed.select("sig"), "sig").join(sets.select("key", "n", "bits"), "key").select("sig", "key", "component", "n", "bits")
+    crossing = _block_pairs(crossing, mixed)
+    crossing = crossing.repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(_crossing(num, den), "a long, b long").distinct()
     links = links.unionByName(verify(materialize(crossing.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))).where("linked"))
     tree = components(links)
     known = sized.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(tree, F.col("key") == F.col("node"), "left")

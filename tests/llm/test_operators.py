@@ -283,6 +283,21 @@ def test_near_copies_that_only_their_origin_links(spark, odd):
     assert kept.columns == odd.columns and 1 not in {r.doc_id for r in kept.collect()}
 
 
+def test_hot_signatures_are_compared_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    elements = [np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64)) for _ in range(3)]
+    sets = [np.concatenate([elements[n % 3][n % 7:], rng.integers(0, 1 << 63, 2).astype(np.uint64)]) for n in range(90)]
+    rows = [(5, n, n, len(s), bytearray(jaccard.parity(s).tobytes())) for n, s in enumerate(sets)]
+    monkeypatch.setattr(jaccard, "_BLOCK", 8)
+    dealt = jaccard._block_pairs(spark.createDataFrame(rows, "sig long, key long, component long, n long, bits binary"), spark.createDataFrame([(5, 90)], "sig long, sets long"))
+    groups = dealt.groupBy("sig", "low", "high").count().collect()
+    assert len(groups) == 12 * 13 // 2 and max(r["count"] for r in groups) < 45
+    found = dealt.repartition(5, "sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(jaccard._crossing(85, 100), "a long, b long").distinct().collect()
+    want = {(i, j) for j in range(90) for i in range(j) if not jaccard.far(jaccard.parity(sets[i]), jaccard.parity(sets[j]), len(sets[i]), len(sets[j]), 85, 100)
+            and 100 * min(len(sets[i]), len(sets[j])) >= 85 * max(len(sets[i]), len(sets[j]))}
+    assert {(r.a, r.b) for r in found} == want and len(want) > 1000
+
+
 def test_jaccard_links_of_every_row_by_brute_force(spark, odd, monkeypatch):
     rng = np.random.default_rng(8)
     base = [f"w{n}" for n in rng.integers(0, 5000, 160)]
