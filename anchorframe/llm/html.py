@@ -1,11 +1,16 @@
 """Main text of web pages by the distribution of line blocks.
 
-Markup is stripped to lines, one for each block element. A line's length counts where it may be content: not inside a menu,
-header, footer, side bar, notice, advert, form, script or reader comment (by element, role or the words of its class and id),
-and, on a page that marks its main part (``article``, ``main``), inside that part. Lengths are summed over sliding windows of
-three lines. The text surges where a window first exceeds the threshold and dives where one falls to nothing; lines between
-are kept. On a page with a marked main part any length is a surge, elsewhere ``SURGE`` characters are, or the page's
-largest window if that is smaller, and lines that are mostly link text count as nothing.
+Markup is stripped to lines, one for each block element. Lines of a menu, header, footer, side bar, notice, advert, form, script or
+reader comment (by element, role or names of its class and id) are left out, and lines that are mostly link text, outside of a
+marked main part, count as nothing. Lengths are summed over sliding windows of three lines. The text surges where a window first
+reaches ``SURGE`` characters, or the page's largest window if that is smaller, and dives where one falls to nothing; lines between
+are kept.
+
+A page's marked main part (``article``, ``main``) is a check on that: lines in it weigh ``MARKED`` times their length and those
+outside nothing, and short lines ahead of a surge in it are kept, unless the windows find more text outside it than in it, as around a teaser card; then it is not heeded.
+
+Names of class and id count by their first or last part. They never count on ``html``, ``body``, ``main`` and ``article``, nor on an
+element that holds most of the page's text where no window of ``SURGE`` characters is left without it.
 
 Null and empty pages give an empty text with 0 characters, null ids and urls are carried through, repeated rows are pages of
 their own. Character references are decoded after the markup is gone, white space inside a line becomes one blank, and lines
@@ -23,6 +28,7 @@ from pyspark.sql import functions as F
 
 SURGE = 86
 WINDOW = 3
+MARKED = 4
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|title|textarea|iframe)\b.*?(?:</(?P=raw)\s*>|\Z)"
@@ -38,40 +44,54 @@ _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menu
 _WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
                    "disqus footer masthead menu modal nav navbar navigation newsletter notice pagination popup promo related replies reply "
                    "respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+_SWITCHES = frozenset("has with without no not is enabled disabled free on off content wrapper layout".split())  # names of a page's state or of what is around
 _MAIN = frozenset(("article", "main"))
+_WHOLE = _MAIN | {"html", "body"}
+
 
+def _named_other(value: str) -> bool:
+    for name in value.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        if parts and (parts[0] in _WORDS or parts[-1] in _WORDS) and _SWITCHES.isdisjoint(parts):
+            return True
+    return False
 
-def _is_other(name: str, rest: str, in_main: bool) -> bool:
-    """Whether an element holds something else than content."""
+
+def _is_other(name: str, rest: str, in_main: bool) -> str | None:
+    """Whether an element holds something else than content: by its "kind", or only by the "name" of its class or id."""
     if name in _OTHER or name == "header" and not in_main:
-        return True
+        return "kind"
     if "=" not in rest and "hidden" not in rest.lower():
-        return False
+        return None
+    named = None
     for key, *values, hidden in _ATTRIBUTE.findall(rest):
         value = "".join(values).lower()
         key = key.lower()
         if hidden or key == "style" and re.search(r"display\s*:\s*none", value) or key == "role" and value.strip() in _ROLES:
-            return True
-        if key in ("class", "id") and not _WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return "kind"
+        if key in ("class", "id") and name not in _WHOLE and _named_other(value):
+            named = "name"
+    return named
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, float]], bool]:
-    """(text, other, main, share of link text) of each line, and whether the page marks its main part."""
-    lines: list[tuple[str, bool, bool, float]] = []
+def lines_of(page: str, heeded: frozenset[int] = frozenset()) -> list[tuple[str, bool, bool, float, int | None]]:
+    """(text, other, main, share of link text, place of the element that makes it other by its name) of each line.
+
+    Names of the elements at the places in ``heeded`` do not count.
+    """
+    lines: list[tuple[str, bool, bool, float, int | None]] = []
     parts: list[str] = []
     links = 0
     other: list[str] = []  # open elements from the outermost that is not content
     main: list[str] = []
-    link, marked, at = 0, False, 0
+    link, holder, at = 0, None, 0
 
     def close_line():
         nonlocal links
         raw = "".join(parts)
         text = " ".join(references.unescape(raw).split())
         if text:
-            lines.append((text, bool(other), bool(main), links / max(1, len(raw))))
+            lines.append((text, bool(other), bool(main), links / max(1, len(raw)), holder if other else None))
         parts.clear()
         links = 0
 
@@ -93,9 +113,11 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, float]], bool]:
             continue
         opens = not end and name not in _VOID and not m["rest"].endswith("/")
         boundary = name not in _INLINE
-        if opens and not other and _is_other(name, m["rest"], bool(main)):
+        why = _is_other(name, m["rest"], bool(main)) if opens and not other else None
+        if why == "kind" or why and m.start() not in heeded:
             close_line()
             other.append(name)
+            holder = m.start() if why == "name" else None
             continue
         if boundary:
             close_line()
@@ -108,29 +130,68 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, float]], bool]:
         elif name in _MAIN:
             if opens:
                 main.append(name)
-                marked = True
             elif end and main:
                 main.pop()
     if at < len(page):
         parts.append(page[at:])
     close_line()
-    return lines, marked and any(m and not o for _, o, m, _ in lines)
+    return lines
+
+
+def _sums(size: list[int]) -> list[int]:
+    return [sum(size[n:n + WINDOW]) for n in range(len(size))]
+
+
+def _between(size: list[int], whole: bool = False) -> list[int]:
+    """Lines of some length between surge and dive; with ``whole``, those ahead of a surge too, back to the last dive."""
+    sums = _sums(size)
+    surge = min(SURGE, max(sums, default=0)) or 1
+    kept, ahead, inside = [], [], False
+    for n, total in enumerate(sums):
+        inside = total > 0 if inside else total >= surge
+        if total == 0:
+            ahead = []
+        elif inside:
+            kept += ahead + [n] * (size[n] > 0)
+            ahead = []
+        elif whole and size[n]:
+            ahead.append(n)
+    return kept
+
+
+def _content_lines(page: str) -> list[tuple]:
+    """Lines that are not something else."""
+    heeded: frozenset[int] = frozenset()
+    while True:
+        lines = lines_of(page, heeded)
+        own = [line for line in lines if not line[1]]
+        held: dict[int, int] = {}
+        for text, _, _, _, holder in lines:
+            if holder is not None:
+                held[holder] = held.get(holder, 0) + len(text)
+        most = max(held, key=held.get, default=None)
+        if most is None or 2 * held[most] <= sum(len(line[0]) for line in lines):
+            return own
+        if max(_sums([0 if line[3] > 0.6 else len(line[0]) for line in own]), default=0) >= SURGE:
+            return own
+        heeded |= {most}
 
 
 def main_text(page: str | None) -> str:
     """The lines between surge and dive."""
     if not page:
         return ""
-    lines, marked = lines_of(page)
-    size = [0 if other or marked and not main or not marked and links > 0.6 else len(text) for text, other, main, links in lines]
-    sums = [sum(size[n:n + WINDOW]) for n in range(len(size))]
-    surge = 1 if marked else min(SURGE, max(sums, default=0)) or 1
-    kept, inside = [], False
-    for n, total in enumerate(sums):
-        inside = total > 0 if inside else total >= surge
-        if inside and size[n]:
-            kept.append(lines[n][0])
-    return "\n\n".join(kept)
+    lines = _content_lines(page)
+    size = [0 if links > 0.6 and not main else len(text) for text, _, main, links, _ in lines]
+    trusted = False
+    if any(main for _, _, main, _, _ in lines):
+        outside = [0 if line[2] else n for n, line in zip(size, lines)]
+        inside = [n if line[2] else 0 for n, line in zip(size, lines)]
+        if sum(outside[n] for n in _between(outside)) <= sum(inside[n] for n in _between(inside)):
+            size, trusted = [MARKED * n for n in inside], True
+        else:
+            size = [0 if links > 0.6 else len(text) for text, _, _, links, _ in lines]
+    return "\n\n".join(lines[n][0] for n in _between(size, trusted))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

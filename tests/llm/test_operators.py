@@ -130,6 +130,18 @@ def test_unmarked_page_surges_and_dives():
     assert html.main_text(page).split("\n\n")[1] == "short." and "item" not in html.main_text(page)
 
 
+def test_windows_choose_the_text_of_marked_pages():
+    long = "".join(f"<p>{'long text of the page ' * 9}{n}</p>" for n in range(6))
+    teaser = "<article><h3>More</h3><p>A teaser.</p></article>"
+    links = "<ul>" + "".join(f"<li><a href={n}>item {n}</a></li>" for n in range(5)) + "</ul>"
+    got = html.main_text(f"<body><div>{long}</div>{links}{teaser}").split("\n\n")
+    assert len(got) == 6 and all(line.startswith("long text") for line in got)
+    got = html.main_text(f"<body><p>a line outside</p><article>{long}</article><p>another one</p>").split("\n\n")
+    assert len(got) == 6 and "outside" not in "".join(got)
+    got = html.main_text(f"<body><article><h1>T</h1><p>x</p><p>y</p>{long}</article>{'<p>outside</p>' * 4}<article>A teaser.</article>").split("\n\n")
+    assert got[:3] == ["T", "x", "y"] and len(got) == 9 and all(line.startswith("long text") for line in got[3:])
+
+
 # ---- language, toxicity
 
 def test_languages_are_known_on_held_out_rows(spark, docs, odd):
