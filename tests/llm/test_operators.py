@@ -142,6 +142,21 @@ def test_windows_choose_the_text_of_marked_pages():
     assert got[:3] == ["T", "x", "y"] and len(got) == 9 and all(line.startswith("long text") for line in got[3:])
 
 
+@pytest.mark.parametrize("body", [
+    "<body class='has-sidebar'><div>{}</div>", "<body><div class='content-with-sidebar'>{}</div>", "<body><article class='post ad-free'>{}</article>",
+    "<body id=social-page><div class='social-enabled'>{}</div>", "<html class='no-js cookie'><body><main class='share'>{}</main>", "<body><div class='social box'><div>{}</div></div>"])
+def test_names_of_wrappers_do_not_empty_a_page(body):
+    long = "".join(f"<p>{'long text of the page ' * 9}{n}</p>" for n in range(3))
+    aside = "<div class='comments'><p>" + "nice " * 30 + "</p></div><div class='site-footer'>imprint</div><p class=ad>buy</p>"
+    got = html.main_text(body.format(long + aside)).split("\n\n")
+    assert len(got) == 3 and all(line.startswith("long text") for line in got)
+
+
+def test_long_comments_stay_out():
+    page = f"<body><div><p>{'the text ' * 30}</p></div><section id=comments><p>{'a comment ' * 200}</p></section>"
+    assert html.main_text(page) == " ".join(["the text"] * 30)
+
+
 # ---- language, toxicity
 
 def test_languages_are_known_on_held_out_rows(spark, docs, odd):
