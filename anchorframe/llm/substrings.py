@@ -7,7 +7,8 @@ A byte goes if a string of ``length`` bytes (50) that covers it also starts in a
    have equal anchors, so only windows whose anchor occurs in several documents can repeat.
 3. The windows of such an anchor, a few dozen bytes of text around it, are one fragment. Of equal fragments in a task only the
    first document's is passed on, as it shows that the others lose all its windows; fragments are dealt out by anchor, so that
-   equal windows meet.
+   equal windows meet. An anchor with more than some ``_HOT`` places is too much for a task: each of its windows is a fragment of its
+   own, dealt out by a hash of all its bytes.
 4. There, block by block, the fragments' windows are put into suffix order (``suffixes``: buckets and difference-cover ranks),
    windows that agree in all their bytes get the smallest id of any document they are in, and places in others lose them.
 5. Each document's spans are united.
@@ -34,6 +35,7 @@ from anchorframe.session import materialize
 _ANCHOR = 16  # bytes
 _SLICE = 1 << 19  # windows looked at together
 _BLOCK = 1 << 20  # bytes of fragments sorted together, where one anchor has no more
+_HOT = 1 << 14  # places of an anchor whose fragments one task judges
 _HELD = 1 << 27  # bytes of fragments and places that a task holds before it hands them on
 _BROADCAST_ROWS = 2_000_000
 U4, U8 = np.uint32, np.uint64
@@ -78,8 +80,7 @@ def _anchor_rows(length: int):
     def run(batches):
         for got in batches:
             for doc, text in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
-                found = [np.unique(anchors(part, length)[1]) for _, part in _slices(text.encode(), length)]
-                found = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+                found = np.concatenate([anchors(part, length)[1] for _, part in _slices(text.encode(), length)])  # each place counts
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), doc, np.int64))], names=["hash", "doc"])
 
     return _gathered(run)
@@ -101,20 +102,27 @@ def _gathered(run, rows: int = 1 << 16):
     return wrapped
 
 
-def _shared(batches):
-    """Of the partition's (hash, doc) those whose hash is in several documents."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not got:
-        return
-    hashed, doc = (np.concatenate(x) for x in zip(*got))
-    if not len(hashed):
-        return
-    order = np.argsort(hashed, kind="stable")
-    hashed, doc = hashed[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]]))
-    size = np.diff(np.concatenate([first, [len(hashed)]]))
-    several = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), size)
-    yield pa.RecordBatch.from_arrays([pa.array(doc[several]), pa.array(hashed[several])], names=["doc", "hash"])
+def _shared(hot: int):
+    """Of the partition's (hash, doc) those whose hash is in several documents, each once, and whether the hash has more than ``hot`` places."""
+    def run(batches):
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not got:
+            return
+        hashed, doc = (np.concatenate(x) for x in zip(*got))
+        if not len(hashed):
+            return
+        order = np.argsort(hashed, kind="stable")
+        hashed, doc = hashed[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]]))
+        size = np.diff(np.concatenate([first, [len(hashed)]]))
+        several = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), size)
+        hashed, doc, many = hashed[several], doc[several], np.repeat(size > hot, size)[several]
+        order = np.lexsort((doc, hashed))
+        hashed, doc, many = hashed[order], doc[order], many[order]
+        new = np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (doc[1:] != doc[:-1])])[:len(hashed)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(hashed[new]), pa.array(many[new])], names=["doc", "hash", "hot"])
+
+    return run
 
 
 FRAGMENTS = "anchor long, fragment binary, doc long, start long, stop long"
@@ -126,14 +134,28 @@ def _fragments(length: int):
     """Rows of two kinds. Of equal fragments in a task, the places in the first document: anchor, bytes, document, byte.
 
     All windows of the other documents with the fragment go for certain, as the first one has them: their spans, without bytes.
+    Windows of a hot anchor are fragments of their own, under a hash of their bytes in place of the anchor.
     """
-    def rows(held):
+    from xxhash import xxh64_intdigest
+
+    def rows(held, hots):
         columns: list[list] = [[], [], [], []]
         docs, starts, stops = [], [], []
-        for (anchor, fragment), flat in held.items():
+        windows: dict[bytes, list] = {}
+
+        def every():
+            for (anchor, fragment), flat in held.items():
+                yield anchor, fragment, flat, anchor in hots
+            for window, flat in windows.items():
+                yield xxh64_intdigest(window) - (1 << 63), window, flat, False
+
+        for anchor, fragment, flat, hot in every():
             first = min(flat[::2])
             for doc, start in zip(flat[::2], flat[1::2]):
-                if doc == first:
+                if doc == first and hot:
+                    for n in range(len(fragment) - length + 1):
+                        windows.setdefault(fragment[n:n + length], []).extend((doc, start + n))
+                elif doc == first:
                     for column, value in zip(columns, (anchor, fragment, doc, start)):
                         column.append(value)
                 else:
@@ -150,9 +172,10 @@ def _fragments(length: int):
                 yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.nulls(len(part[0]), pa.binary()), *map(pa.array, part)], names=_NAMES)
 
     def run(batches):
-        held, size = {}, 0
+        held, hots, size = {}, set(), 0
         for got in batches:
-            for doc, text, shared in zip(*(got.column(n).to_pylist() for n in range(3))):
+            for doc, text, shared, hot in zip(*(got.column(n).to_pylist() for n in range(4))):
+                hot = set(hot)
                 shared = np.sort(np.array(shared, np.int64))
                 for start, part in _slices(text.encode(), length):
                     place, hashed = anchors(part, length)
@@ -165,13 +188,16 @@ def _fragments(length: int):
                         if known is None:
                             held[key] = [doc, start + i]
                             size += j - i + length + 200
+                            if a in hot:
+                                hots.add(a)
+                                size += (j - i) * (length + 250)  # as so many windows
                         else:
                             known += doc, start + i
                             size += 64
                 if size >= _HELD:
-                    yield from rows(held)
-                    held, size = {}, 0
-        yield from rows(held)
+                    yield from rows(held, hots)
+                    held, hots, size = {}, set(), 0
+        yield from rows(held, hots)
 
     return run
 
@@ -278,6 +304,14 @@ def united(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), top[last].tolist()))
 
 
+def fragments_of(rows: DataFrame, length: int) -> DataFrame:
+    """What documents (doc, text) may share, by anchor, and spans that go for certain."""
+    found = rows.mapInArrow(_anchor_rows(length), "hash long, doc long")
+    shared = found.repartition("hash").mapInArrow(_shared(_HOT), "doc long, hash long, hot boolean")
+    lists = shared.groupBy("doc").agg(F.collect_list("hash").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("hash"))).alias("hots"))
+    return rows.join(materialize(lists), "doc").select("doc", "text", "shared", "hots").mapInArrow(_fragments(length), FRAGMENTS)
+
+
 def repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Documents that go as a whole (doc), and spans of others (doc, starts, ends)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -288,11 +322,7 @@ def repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[D
     copies = materialize(texts.join(groups, ["x", "y", "n"]).where("doc > least").select("doc").distinct())
     few = F.broadcast(copies) if copies.count() <= _BROADCAST_ROWS else copies
     rows = rows.join(few, "doc", "left_anti")
-    found = rows.mapInArrow(_anchor_rows(length), "hash long, doc long")
-    shared = found.repartition("hash").mapInArrow(_shared, "doc long, hash long")
-    lists = materialize(shared.groupBy("doc").agg(F.collect_list("hash").alias("shared")))
-    fragments = rows.join(lists, "doc").select("doc", "text", "shared").mapInArrow(_fragments(length), FRAGMENTS)
-    spans = fragments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_verdicts(length), "doc long, start long, stop long")
+    spans = fragments_of(rows, length).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_verdicts(length), "doc long, start long, stop long")
     spans = spans.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("ends"))
     spans = spans.mapInArrow(_united, "doc long, starts array<long>, ends array<long>")
     return copies, materialize(spans)

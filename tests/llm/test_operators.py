@@ -426,6 +426,23 @@ def test_repeats_by_brute_force(docs, texts, odd):
     assert substrings.removed(odd).columns == odd.columns
 
 
+def test_windows_of_hot_anchors_are_dealt_out(spark, odd, monkeypatch):
+    rng = np.random.default_rng(6)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    rule, ends = "=" * 10 + " end of the common part " + "=" * 12, [letters(60) for _ in range(7)]
+    rows = [(n, letters(60) + rule + ends[n % 7] + rule + letters(int(rng.integers(60)))) for n in range(70)]
+    rows += [(100, rows[3][1]), (101, rule * 3), (102, rule * 3 + "x")]
+    d = spark.createDataFrame(rows, "doc long, text string").repartition(5)
+    largest = lambda: substrings.fragments_of(d, 50).where("fragment IS NOT NULL").groupBy("anchor").count().agg(F.max("count")).first()[0]
+    before = largest()
+    monkeypatch.setattr(substrings, "_HOT", 8)
+    assert before > 60 and largest() <= 20
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.report(d.withColumnRenamed("doc", "doc_id")).collect()}
+    assert got == _repeats(rows)
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.report(odd).collect()}
+    assert got.pop(None)[1] == 0 and got == _repeats([r for r in ODD if r[0] is not None])
+
+
 # ---- mixing
 
 def test_shortages_go_to_siblings_first(spark):
