@@ -6,8 +6,8 @@ with a set of landmark words, times the inverse root of the landmarks' own kerne
 gives it a margin. The largest margins of a text's sentences, three words' in all, go through a logistic curve to its score.
 
 Labels are known for texts only, so the training is that of multiple instances, on a bounded sample of labelled texts: the first
-witnesses are words that occur in several toxic texts and in no other, weighted by how many, with copies that have characters put
-in; the machine's own best words in clean texts join the other examples, and it is trained again. The landmarks are
+witnesses are words that occur in several toxic texts and in no other, or far more often than in others (by the odds, ``ODDS``),
+weighted by how many, with copies that have characters put in; the machine's own best words in clean texts join the other examples, and it is trained again. The landmarks are
 witnesses unlike each other, the hardest other words and common ones.
 
 Tokens are runs without white space, lower-cased, without other characters at their ends; runs of single letters are also read
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 ORDER, DECAY = 4, 0.7
 _START, _END = "\x02", "\x03"  # stand around every word
 _WINDOW, _STEP = 17, 8  # characters of a long token read together
-_LETTERS = 56  # most characters told apart in a worker's table
+_LETTERS = 56  # characters in a worker's table; subsequences with others are searched for
+ODDS = 3.0  # least log-odds ratio of a witness that clean texts have too
 TOP = 3  # words of a text that its score depends on
 _KNOWN = 400_000  # margins of words kept by a worker
 _EDGE = "".join(c for c in map(chr, range(0x3000)) if not c.isalpha() and not c.isspace())
@@ -92,48 +93,64 @@ class Landmarks:
     """
 
     def __init__(self, words: list[str]):
-        letters = [c for c, _ in Counter("".join(words)).most_common(_LETTERS - 1)]
-        self.code = np.zeros(0x110000, np.uint8)
+        letters = [c for c, _ in Counter("".join(words)).most_common()]
+        assert len(letters) < 1 << 15  # a key of four characters has 64 bits
+        self.code = np.zeros(0x110000, np.uint16)
         for n, c in enumerate(letters):
             self.code[ord(c)] = n + 1
-        self.size = len(letters) + 1
-        keys, marks, weights = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        self.every, self.size = len(letters) + 1, min(len(letters) + 1, _LETTERS)
+        keys, marks, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         for n, (word, norm) in enumerate(zip(words, norms(_codes(words)) if words else ())):
             places, decay = _places(len(word))
-            own = self.code[_codes([word])]
-            keys.append(self._keys(own, places)[0])
+            keys.append(self._keys(self.code[_codes([word])], places, self.every, np.int64)[0])
             marks.append(np.full(len(decay), n))
-            weights.append(decay / norm * (own[0][places] > 0).all(0))  # without characters that are not told apart
+            weights.append(decay / norm)
         self.keys, at = np.unique(np.concatenate(keys), return_inverse=True)
         self.features = np.zeros((len(self.keys) + 1, len(words)), np.float32)  # the last row is of all other subsequences
         np.add.at(self.features, (at, np.concatenate(marks)), np.concatenate(weights))
+        # Subsequences of the most frequent characters have a place in a table.
+        digits = [self.keys // self.every ** n % self.every for n in range(ORDER - 1, -1, -1)]
+        frequent = np.all([d < self.size for d in digits], axis=0)
+        small = np.zeros(int(frequent.sum()), np.int64)
+        for d in digits:
+            small = small * self.size + d[frequent]
         self.row = np.full(self.size ** ORDER, len(self.keys), np.int32)
-        self.row[self.keys] = np.arange(len(self.keys))
+        self.row[small] = np.flatnonzero(frequent)
 
-    def _keys(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
-        keys = np.zeros((len(codes), places.shape[1]), np.int32)
+    def _keys(self, codes: np.ndarray, places: np.ndarray, base: int, kind: type) -> np.ndarray:
+        keys = np.zeros((len(codes), places.shape[1]), kind)
         for row in places:
-            keys *= self.size
+            keys *= kind(base)
             keys += codes[:, row]
         return keys
 
+    def _rows(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The feature of each subsequence of words that have all frequent characters, or all some other one."""
+        own = self.code[codes]
+        if own.size and own.max() < self.size:
+            return self.row[self._keys(own, places, self.size, np.int32)]
+        keys = self._keys(own, places, self.every, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return np.where(self.keys[at] == keys, at, len(self.keys)) if len(self.keys) else np.zeros(keys.shape, np.int64)
+
     def _blocks(self, words: list[str]):
-        """Indexes of words of one length, their codes, subsequence keys and weights, in blocks."""
+        """Indexes of words of one length, their codes, features and weights of their subsequences, in blocks."""
         lengths = np.array([len(w) for w in words])
         for size in np.unique(lengths[lengths >= ORDER]):
             places, decay = _places(int(size))
             own = np.flatnonzero(lengths == size)
+            rare = (self.code[_codes([words[i] for i in own])] >= self.size).any(1)
             step = max(1, (1 << 19) // places.shape[1])
-            for at in range(0, len(own), step):
-                rows = own[at:at + step]
-                codes = _codes([words[i] for i in rows])
-                yield rows, codes, self._keys(self.code[codes], places), decay
+            for part in (own[~rare], own[rare]):
+                for at in range(0, len(part), step):
+                    rows = part[at:at + step]
+                    codes = _codes([words[i] for i in rows])
+                    yield rows, codes, self._rows(codes, places), decay
 
     def kernels(self, words: list[str]) -> np.ndarray:
         """Normalised kernels of words with each landmark; 0 for words shorter than the order."""
         out = np.zeros((len(words), self.features.shape[1]), np.float32)
-        for rows, codes, keys, decay in self._blocks(words):
-            at = self.row[keys]
+        for rows, codes, at, decay in self._blocks(words):
             word, place = np.nonzero(at < len(self.keys))
             for part in range(0, len(word), 1 << 15):
                 w, p = word[part:part + (1 << 15)], place[part:part + (1 << 15)]
@@ -144,9 +161,9 @@ class Landmarks:
 
     def sums(self, words: list[str], weights: np.ndarray) -> np.ndarray:
         """Weighted sums of the kernels."""
-        out, value = np.zeros(len(words)), (self.features @ weights.astype(np.float32))[self.row]
-        for rows, codes, keys, decay in self._blocks(words):
-            found = value[keys] @ decay
+        out, value = np.zeros(len(words)), self.features @ weights.astype(np.float32)
+        for rows, codes, at, decay in self._blocks(words):
+            found = value[at] @ decay
             some = np.flatnonzero(found)
             if len(some):
                 out[rows[some]] = found[some] / norms(codes[some])
@@ -334,10 +351,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 25
         counted.unpersist()
         return Model([], np.zeros(0), 0.0, constant=float(1 in size))
     least = max(3, size[1] // 200)
+
+    def odds(toxic: float, clean: float) -> float:
+        return float(np.log((toxic + 0.5) / (size[1] - toxic + 0.5) * (max(size[0] - clean, 0) + 0.5) / (clean + 0.5)))
+
+    ratio = F.log((F.col("toxic") + 0.5) / (F.lit(size[1]) - F.col("toxic") + 0.5) * (F.lit(size[0]) - F.col("clean") + 0.5) / (F.col("clean") + 0.5))
+    telling = (F.col("toxic") >= least) & ((F.col("clean") == 0) | (ratio >= ODDS))
     marked = lambda rows, n: {_START + r["word"] + _END: float(r[n]) for r in rows.collect()}
-    witnesses = marked(counted.where((F.col("clean") == 0) & (F.col("toxic") >= least)).orderBy(F.desc("toxic"), "word").limit(600), "toxic")
-    common = marked(counted.where("clean > 0").orderBy(F.desc("clean"), "word").limit(400), "clean")
-    other = marked(counted.where("clean > 0").orderBy(F.xxhash64("word", F.lit(seed)), "word").limit(negatives), "clean")
+    witnesses = marked(counted.where(telling).orderBy(F.desc("toxic"), "word").limit(600), "toxic")
+    common = marked(counted.where(~telling & (F.col("clean") > 0)).orderBy(F.desc("clean"), "word").limit(400), "clean")
+    other = marked(counted.where(~telling & (F.col("clean") > 0)).orderBy(F.xxhash64("word", F.lit(seed)), "word").limit(negatives), "clean")
     counted.unpersist()
     if not witnesses:
         return Model([], np.zeros(0), 0.0, constant=size[1] / (size[0] + size[1]))
@@ -348,6 +371,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 25
         hard = Counter()
         for r in _best_words(sample.where("label = 0"), model):
             hard.update(w for t in dict.fromkeys(r["words"]) if t for w in _plain(t))
+        hard = {w: n for w, n in hard.items() if w not in witnesses or odds(witnesses[w], n) < ODDS}  # a witness stays one in spite of a few clean texts
         for w, n in hard.items():
             negative[w] = max(negative.get(w, 0.0), n ** 0.5)
         margin = dict(zip(hard, model.margins(list(hard))))

@@ -215,6 +215,32 @@ def test_insults_with_gaps_are_found(spark):
     assert {r.score for r in toxicity.predict(odd, alone, F.lit(False)).collect()} == {0.0}
 
 
+def test_kernel_loses_no_character():
+    letters = [chr(c) for c in (*range(0x61, 0x7b), *range(0x3b1, 0x3ca), *range(0x430, 0x450))]
+    words = ["\x02" + "".join(letters[n:n + 6]) + "\x03" for n in range(len(letters) - 6)]
+    marks = toxicity.Landmarks(words)
+    got, want = marks.kernels(words + ["\x02abc\x03"]), toxicity.raw_kernel(toxicity._codes(words), toxicity._codes(words))
+    size = toxicity.norms(toxicity._codes(words))
+    assert np.allclose(got[:-1], want / size[:, None] / size, atol=1e-4) and np.allclose(np.diag(got), 1, atol=1e-4)
+    assert np.allclose(marks.sums(words, np.arange(len(words)) / 9), got[:-1] @ (np.arange(len(words)) / 9), atol=1e-3)
+
+
+def test_one_quoted_insult_does_not_strike_it(spark):
+    rng = np.random.default_rng(5)
+    syllables = ["ka", "lo", "mi", "ren", "tus", "vel", "dor", "an", "pe", "shi"]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 4)))
+    rows = []
+    for n in range(600):
+        own = [word() for _ in range(30)]
+        if n % 3 == 0 or n in (1, 2, 4):  # the last three are clean texts that quote one each
+            own[int(rng.integers(30))] = ["wretched", "blockhead", "numbskull"][n % 3 if n in (1, 2) else 0 if n == 4 else n // 3 % 3]
+        rows.append((n, " ".join(own), int(n % 3 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(d.drop("toxic"), d.select("doc_id", "toxic"), F.lit(True))
+    got = toxicity.predict(d, model, F.lit(False)).join(d, "doc_id").toPandas()
+    assert got[got.toxic == 1].predicted.mean() > 0.97 and got[got.toxic == 0].predicted.mean() < 0.05
+
+
 # ---- fingerprints
 
 def _anchors(data):
