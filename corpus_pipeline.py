@@ -45,7 +45,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", known_language), ("jaccard_join", one_of_each), ("suffix_dedup", without_repeats), ("mixing", mixed), ("packing", packed)]
 
-# The first and second stage are a trained model and a join over shingle sets of whole texts; tested against brute force.
+# The first and second stage are a trained model and a join over shingle sets of whole texts. tests/llm/test_pipeline.py
+# compares the rows of the second to the last stage with plain Python and SQL, and those of the first with the model's own predictions.
 ORACLE_SQL = None
 
 
