@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorframe.llm import embeddings, html, idcoder, jaccard, langid, mixing, packing, substrings, syncmers, toxicity
+from anchorframe.llm import chat, embeddings, html, idcoder, jaccard, langid, manifest, mixing, packing, spelling, substrings, syncmers, toxicity
 from anchorframe.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,126 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the labelled ones."""
     docs = table(spark, folder, "documents")
     return toxicity.predict(docs, toxicity.train(docs, table(spark, folder, "labels"), ~fold(0, 5)), fold(0, 5))
+
+
+def _crc_sql(codes: str) -> str:
+    """DuckDB: unsigned crc32 of a list of bytes."""
+    step = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295)"
+
+
+def _codes_sql(text: str) -> str:
+    """DuckDB: the UTF-8 bytes of a text of code points below 2048."""
+    of_letter = "CASE WHEN unicode(l) < 128 THEN [unicode(l)::BIGINT] ELSE [192 + (unicode(l) >> 6), 128 + (unicode(l) & 63)]::BIGINT[] END"
+    return f"flatten(list_transform(string_split({text}, ''), lambda l: {of_letter}))"
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves, proofs and folded roots of all documents; of every second hash the text's line feeds are missing when it is checked."""
+    without = {"text": F.replace("text", F.lit("\n"), F.lit(""))}
+    return manifest.manifest(table(spark, folder, "documents"), tampered=(fold(0, 2), without))
+
+
+def merkle_sql(docs: str, levels: int = 14, source_levels: int = 10) -> str:
+    """DuckDB: the rows of ``op11_merkle_manifest`` for at most 3 ** levels rows of a source and 3 ** source_levels sources."""
+    def field(value: str) -> str:
+        return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    def tree(name: str, first: str, keys: str, high: int) -> list[str]:
+        # Of each level all nodes: place, digest, the run's digests in order and whether it is the only node.
+        out = []
+        for k in range(high):
+            rows = first if k == 0 else f"SELECT {keys}, idx // 3 AS idx, CASE WHEN alone THEN node ELSE sha256(array_to_string(run, '')) END AS node FROM {name}{k - 1} WHERE idx % 3 = 0"
+            out.append(f"""{name}{k} AS (SELECT *, list(node) OVER (PARTITION BY {keys}, idx // 3 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS run,
+    count(*) OVER (PARTITION BY {keys}) = 1 AS alone FROM ({rows}))""")
+        return out
+
+    def climb(name: str, first: str, keys: str, high: int, place: str) -> list[str]:
+        # Of each leaf the digests beside its way up, and what its changed digest comes to.
+        out = []
+        for k in range(high):
+            last = first if k == 0 else f"{name}_w{k - 1}"
+            on = " AND ".join([*(f"t.{c} = w.{c}" for c in keys.split(", ")), f"t.idx = w.{place} // {3 ** k}"])
+            out.append(f"""{name}_w{k} AS (SELECT w.* EXCLUDE (proof, folded), CASE WHEN t.alone THEN proof ELSE proof || array_to_string(list_filter(run, lambda x, i: i <> idx % 3 + 1), '') END AS proof,
+    CASE WHEN t.alone THEN folded ELSE sha256(array_to_string(run[:idx % 3], '') || folded || array_to_string(run[idx % 3 + 2:], '')) END AS folded FROM {last} w JOIN {name}{k} t ON {on})""")
+        return out
+
+    crc = _crc_sql(_codes_sql("CAST(doc_id AS VARCHAR)"))
+    changed = "replace(text, chr(10), '')"
+    parts = [f"""made AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 2 = 0 THEN {leaf(changed)} ELSE {leaf('text')} END AS folded FROM {docs})""",
+             "named AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS grp FROM (SELECT DISTINCT source FROM made))",
+             """leaves AS (SELECT doc_id, grp, leaf, folded, '' AS proof, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, 0 AS top
+    FROM made m JOIN named n ON m.source IS NOT DISTINCT FROM n.source)""",
+             *tree("t", "SELECT grp, place AS idx, leaf AS node FROM leaves", "grp", levels), *climb("t", "leaves", "grp", levels, "place"),
+             *tree("s", f"SELECT 0 AS top, grp AS idx, node FROM t{levels - 1}", "top", source_levels), *climb("s", f"t_w{levels - 1}", "top", source_levels, "grp")]
+    last = source_levels - 1
+    return "WITH " + ",\n".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in parts) + f"""
+SELECT doc_id, leaf, t.node AS subroot, s.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = s.node AS verified
+FROM s_w{last} w JOIN t{levels - 1} t ON t.grp = w.grp JOIN s{last} s ON s.top = w.top"""
+
+
+ORACLES["op11_merkle_manifest"] = merkle_sql("documents")
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def spelling_sql(docs: str) -> str:
+    """DuckDB: the rows of ``op12_spelling_variants``; near words meet by what is left of them without one code point."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    crc = _crc_sql(_codes_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))
+    return f"""WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[a-z\u00C0-\u00FF]+')) AS run FROM {docs}),
+each AS (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, times, {crc} AS h FROM each),
+words AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT times, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM hashed) WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+cuts AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+near AS MATERIALIZED (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word UNION SELECT a.word, b.word, b.n FROM words a JOIN cuts b ON b.rest = a.word),
+best AS (SELECT word, count(*) AS n_near, min({{'less': -near_n, 'near': near}}) AS top FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.less >= 5 * w.n THEN top.near END AS form, CASE WHEN -top.less >= 5 * w.n THEN -top.less END AS form_n
+    FROM words w LEFT JOIN best b ON w.word = b.word),
+ways AS (SELECT word, word AS at FROM formed UNION SELECT w.word, f.form FROM ways w JOIN formed f ON f.word = w.at AND f.form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN ways w ON w.word = f.word JOIN formed e ON e.word = w.at AND e.form IS NULL"""
+
+
+ORACLES["op12_spelling_variants"] = spelling_sql("documents")
+
+
+@query
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of all conversations, and of one that speaks in control strings, read back from their formatted texts."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    return chat.digests(rows.unionByName(more))
+
+
+def chat_sql(conversations: str) -> str:
+    """DuckDB: the rows of ``op13_chat_format``."""
+    marks = chat.Marks()
+
+    def escaped(text: str) -> str:
+        out = f"replace(coalesce({text}, ''), chr(92), chr(92) || chr(92))"
+        for mark in marks.every:
+            out = f"replace({out}, '{mark}', '{mark[0]}' || chr(92) || '{mark[1:]}')"
+        return out
+
+    block, more = len(marks.opening + marks.says + marks.closing), len(marks.more)
+    return f"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {conversations}
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+seen AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w AS place FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length({escaped('text')}) + CASE WHEN before = role THEN {more} ELSE {block} + length({escaped('role')}) END) AS BIGINT) AS formatted_chars
+FROM seen GROUP BY conv_id"""
+
+
+ORACLES["op13_chat_format"] = chat_sql("conversations")
