@@ -4,7 +4,7 @@ from importlib import import_module
 
 from anchorframe.catalog.base import ORACLES, QUERIES
 
-THEMES = ("events", "expressions", "joins", "tables", "profiles", "sampling", "distributions", "models", "spatial", "plans", "sources")
+THEMES = ("events", "expressions", "joins", "tables", "profiles", "sampling", "distributions", "models", "mixed", "spatial", "plans", "sources")
 for _theme in THEMES:
     import_module(f"anchorframe.catalog.{_theme}")
 

@@ -18,7 +18,6 @@ from anchorframe.operators.distributions import odds_map_table
 from anchorframe.operators.glm import (
     average_models, coef_table, compare_windows, crossed, fit_candidates, fit_gamma_identity, fit_logistic, fit_table,
     interaction_gate, profile_intervals, selection_table, standardized_average, standardized_effects, vif)
-from anchorframe.operators.glmm import compare_mixed_windows, fit_random_intercept, random_effects
 from anchorframe.operators.tables import keep_groups
 from anchorframe.session import materialize
 
@@ -334,21 +333,31 @@ def odds_map(t):
     return odds_map_table(c, d.select("nation"), "nation", _BREAKS)
 
 
-@query("profile_intervals")
+def profile_sql(name: str, fit: str, by: str, terms: list[str]) -> str:
+    """CTEs with the profile bounds of a fit on two columns, by Newton's method on scores and deviance together.
+
+    Of the three equations the profiled coefficient's is that the deviance costs the wanted amount; the other two are zero scores.
+    """
+    sums = """sum(w) AS g00, sum(w * x1) AS g01, sum(w * x2) AS g02, sum(w * x1 * x1) AS g11, sum(w * x1 * x2) AS g12, sum(w * x2 * x2) AS g22,
+   sum(r) AS s0, sum(r * x1) AS s1, sum(r * x2) AS s2, -2 * sum(l) AS dev"""
+    rows = f"""SELECT *, mu * (1 - mu) AS w, y - mu AS r, y * eta - greatest(eta, 0) - ln(1 + exp(-abs(eta))) AS l FROM (SELECT *, 1 / (1 + exp(-eta)) AS mu FROM
+   (SELECT i.*, dd.y, dd.x1, dd.x2, b0 + b1 * x1 + b2 * x2 AS eta FROM {name}_p i JOIN {fit}_d dd USING ({by})))"""
+    g = [[f"g{min(i, k)}{max(i, k)}" for k in range(3)] for i in range(3)]
+    m = [[f"CASE j WHEN {i} THEN 2 * s{k} ELSE {g[i][k]} END AS m{i}{k}" for k in range(3)] + [f"CASE j WHEN {i} THEN dev - target ELSE s{i} END AS r{i}"] for i in range(3)]
+    det = lambda c: f"({c[0][0]} * ({c[1][1]} * {c[2][2]} - {c[1][2]} * {c[2][1]}) - {c[0][1]} * ({c[1][0]} * {c[2][2]} - {c[1][2]} * {c[2][0]}) + {c[0][2]} * ({c[1][0]} * {c[2][1]} - {c[1][1]} * {c[2][0]}))"
+    full = [[f"m{i}{k}" for k in range(3)] for i in range(3)]
+    steps = [f"b{k} + {det([[f'r{i}' if c == k else full[i][c] for c in range(3)] for i in range(3)])} / {det(full)}" for k in range(3)]
+    v = [[f"v{min(i, k)}{max(i, k)}" for k in range(3)] for i in range(3)]
+    first = " UNION ALL ".join(f"SELECT 0 AS step, {by}, {j} AS j, {side} AS side, -2 * s0 + pow(1.959963984540054::DOUBLE, 2) AS target, " + ", ".join(
+        f"b{k} + {side} * 1.959963984540054::DOUBLE * {v[k][j]} / sqrt({v[j][j]}) AS b{k}" for k in range(3)) + f" FROM {fit}" for j in range(3) for side in (-1, 1))
+    label = "CASE j WHEN 0 THEN '(Intercept)' " + " ".join(f"WHEN {i + 1} THEN '{t}'" for i, t in enumerate(terms)) + " END"
+    return f"""{name}_p AS ({first} UNION ALL SELECT step + 1, {by}, j, side, target, {', '.join(steps)} FROM (SELECT *, {', '.join(x for row in m for x in row)} FROM
+  (SELECT step, {by}, j, side, target, b0, b1, b2, {sums} FROM ({rows}) WHERE step < 9 GROUP BY step, {by}, j, side, target, b0, b1, b2))),
+ {name} AS (SELECT {by}, {label} AS term, max(CASE WHEN side = -1 THEN CASE j WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END END) AS lo, max(CASE WHEN side = 1 THEN CASE j WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END END) AS hi
+  FROM {name}_p WHERE step = 9 GROUP BY {by}, j)"""
+
+
+@query("profile_intervals", f"""{_FIT2}, {profile_sql('pr', 'm', 'region', ['price', 'crop'])}
+ SELECT region, 'model' AS model, term, {rsql('lo')} AS prof_lo, {rsql('hi')} AS prof_hi, 'found' AS lo_status, 'found' AS hi_status FROM pr""")
 def profile(t):
-    return profile_intervals(*_fit2(t))
-
-
-@query("random_intercept")
-def random_intercept(t):
-    return fit_random_intercept(signal_rows(t), "y", ["price", "crop"], ["nation", "year"]).coefs
-
-
-@query("random_effects")
-def random_levels(t):
-    return random_effects(fit_random_intercept(signal_rows(t), "y", ["price", "crop"], ["nation"], errors=False))
-
-
-@query("compare_mixed_windows")
-def mixed_windows(t):
-    return compare_mixed_windows(signal_table(t), "y", {"size": ["price"], "cover": ["crop", "hay"]}, ["nation"])
+    return rounded(profile_intervals(*_fit2(t)))

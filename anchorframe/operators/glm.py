@@ -480,79 +480,123 @@ def standardized_effects(df: DataFrame, y: str, by: Sequence[str], terms: Sequen
     return attach(std.select(*by, "term_pos", "term", "odds_ratio", "or_lo", "or_hi"), raw, [*by, "term"])
 
 
-def _next_bound(q: dict, guess: float, level_z: float) -> float:
-    """Where to look next for a profile bound: the secant's guess if it lies between the values known on its two sides."""
-    side, hat = q["side"], q["hat"]
-    reach = [(side * (t - hat), abs(z)) for t, z in q["pts"]]
-    inner = max(d for d, z in reach if z < level_z)
-    outer = min((d for d, z in reach if z >= level_z), default=math.inf)
-    d = side * (guess - hat)
-    if math.isinf(outer):
-        return hat + side * (d if inner < d < 4 * inner + q["se"] else 2 * inner + q["se"])
-    return hat + side * (d if inner < d < outer else (inner + outer) / 2)
-
-
-def profile_intervals(df: DataFrame, fits: Fits, level_z: float = Z975, steps: int = 16, tol: float = 1e-6) -> DataFrame:
-    """Profile-likelihood intervals of a logistic fit, all groups and coefficients together.
-
-    A bound is where fixing the coefficient costs ``level_z`` squared in deviance. The signed root of
-    that cost is almost linear in the coefficient, so secant steps on it settle fast; a step outside the values known to
-    lie on both sides of the bound becomes a bisection. Each step refits the other coefficients. A bound that is not found, and
-    every bound of a fit that did not converge (as where a coefficient separates a group), is NULL.
+def _profile_starts(records: Iterable[dict], by: Sequence[str], p: int, level_z: float) -> list[dict]:
+    """For each coefficient of each fit and both sides where its search starts: at the Wald bound, the others where they are expected."""
+    out = []
+    for r in records:
+        used, beta, v = np.array(r["used"], float) > 0, np.array(r["beta"], float), np.array(r["vcov"], float).reshape(p, p)
+        m, s = np.array(r["__m"], float), np.array(r["__s"], float)
+        b = np.where(used & np.isfinite(beta), beta, 0.0)
+        for j in np.flatnonzero(used):
+            sound = bool(r["converged"]) and math.isfinite(v[j, j]) and v[j, j] > 0
+            reach = level_z * math.sqrt(v[j, j]) if sound else 1.0
+            along = np.where(used, v[:, j] / v[j, j], 0.0) if sound else np.zeros(p)
+            # The coefficient as a sum of those of the centred and scaled columns.
+            c = np.where(used, -m / s, 0.0) if j == 0 else np.zeros(p)
+            c[j] = 1.0 if j == 0 else 1.0 / s[j]
+            for side in (-1, 1):
+                start = b + along * side * reach
+                g = start * s
+                g[0] = start[0] + float(start[1:] @ m[1:])
+                out.append({**{k: r[k] for k in by}, "fit": r["model"], "model": f"{r['model']}|{j}|{side}", "j": int(j), "side": side, "it": 0, "b": list(g), "last_b": None, "c": list(c),
+                            "used": list(used.astype(float)), "shift": [0.0] * p, "hat": float(b[j]), "reach": reach, "inner": 0.0, "outer": math.inf, "bound": None,
+                            "target": r["deviance"] + level_z ** 2, "status": None if sound else "fit not converged"})
+    return out
+
+
+def _profile_step(records: Iterable[dict], p: int, rounds: int) -> list[dict]:
+    """One joint step of a coefficient and the others towards the deviance of its bound.
+
+    With the others at their best, deviance is a quadratic of the coefficient, which is solved for the target; a step that leaves what
+    is known to lie on both sides of the bound halves that instead.
     """
-    by, p = fits.by, len(fits.names)
+    out = []
+    for r in records:
+        side, b, c = r["side"], np.array(r["b"], float), np.array(r["c"], float)
+        i = np.flatnonzero(np.array(r["used"], float) > 0)
+        g = np.zeros((p, p))
+        g[np.triu_indices(p)] = r["gram"]
+        g = (g + np.triu(g, 1).T)[np.ix_(i, i)]
+        score, dev, new = np.array(r["score"], float)[i], 2.0 * r["s0"], {k: v for k, v in r.items() if k not in ("n", "s0", "s1", "s2", "s3", "bad", "gram", "score")}
+        new["it"] = r["it"] + 1
+        over = new["it"] > rounds
+        if not (math.isfinite(dev) and np.isfinite(g).all()) or np.linalg.matrix_rank(g) < len(i):  # too far out
+            new.update(b=list((b + np.array(r["last_b"], float)) / 2) if r["last_b"] is not None else list(b), status="not found" if over or r["last_b"] is None else None)
+            out.append(new)
+            continue
+        newton, towards = np.linalg.solve(g, np.column_stack([score, c[i]])).T
+        bend = 1.0 / float(c[i] @ towards)
+        towards, own = towards * bend, float(c[i] @ newton)
+        others, still = newton - towards * own, float(score @ newton) - own * own * bend  # the others' step, and what it gains
+        pull, d = own * bend, side * (float(c @ b) - r["hat"])
+        root = pull * pull - bend * (dev - still - r["target"])
+        step = (pull + side * math.sqrt(root)) / bend if root > 0 else own
+        if abs(dev - r["target"]) < 1e-8 * max(1.0, abs(r["target"])) and still < 1e-8 and root > 0:
+            new.update(status="found", bound=float(c @ b) + step)  # the last step squares what error remains
+        elif over:
+            new["status"] = "not found" if math.isfinite(r["outer"]) else "unbounded"
+        else:
+            if still < 0.1:
+                inside = dev - still < r["target"]
+                new["inner"], new["outer"] = max(r["inner"], d) if inside else r["inner"], r["outer"] if inside else min(r["outer"], d)
+            to = d + side * float(np.clip(step, -2 * r["reach"] - abs(d), 2 * r["reach"] + abs(d)))
+            if not new["inner"] <= to <= new["outer"]:
+                to = (new["inner"] + new["outer"]) / 2 if math.isfinite(new["outer"]) else max(2 * d, r["reach"])
+            moved = b.copy()
+            moved[i] += towards * side * (to - d) + others * min(1.0, 20.0 / max(float(np.abs(others).max()), 1e-12))
+            new.update(b=list(moved), last_b=list(b))
+        out.append(new)
+    return out
+
+
+def profile_intervals(df: DataFrame, fits: Fits, level_z: float = Z975, rounds: int = 40) -> DataFrame:
+    """Profile-likelihood intervals of logistic fits: all groups, models, coefficients and sides together.
+
+    A bound is where fixing the coefficient costs ``level_z`` squared in deviance. The state of all searches is a table (coefficients,
+    bracket, target, status), so their number is not limited by the driver; one pass over the rows moves all of them by one joint step.
+    ``lo_status`` and ``hi_status`` say how each search ended: ``found``, ``unbounded`` (the likelihood does not fall off on that side, as where
+    a coefficient separates a group), ``not found`` after ``rounds`` steps, or ``fit not converged``. Bounds that are not found are NULL.
+    """
+    by, p = list(fits.by), len(fits.names)
     raw = design(df, fits.y, by, fits.terms).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows, m, s, _, _ = _scaled(raw, p)
-        spark, schema = rows.sparkSession, _state_schema(rows, by)
-        jobs = {}
-        for r in (x.asDict() for x in collect_bounded(fits.table, DRIVER_SYSTEMS, "profiled fits")):
-            used, b, v = np.array(r["used"]) > 0, np.array(r["beta"], float), np.array(r["vcov"], float).reshape(p, p)
-            for j in np.flatnonzero(used):
-                for side in (-1, 1):
-                    se = math.sqrt(v[j, j])
-                    key = (*[r[k] for k in by], r["model"], int(j), side)
-                    jobs[key] = dict(group={k: r[k] for k in by}, model=r["model"], used=used, b=np.where(used, b, 0.0), hat=b[j], dev=r["deviance"],
-                                     sound=r["converged"], side=side, j=int(j), along=np.where(used, v[:, j] / v[j, j], 0.0), pts=[(b[j], 0.0)], t=b[j] + side * level_z * se, se=se, bound=None)
-        for _ in range(steps):
-            todo = {k: q for k, q in jobs.items() if q["bound"] is None and q["sound"]}
-            if not todo:
-                break
-            records = []
-            for key, q in todo.items():
-                j, used = q["j"], q["used"].copy()
-                used[j] = False
-                # start the others where the quadratic approximation expects them
-                start = q["b"] + q["along"] * (q["t"] - q["hat"])
-                g = start * s
-                if j == 0:  # the intercept refers to uncentred columns
-                    shift, g[0] = m / s, q["t"]
-                else:
-                    shift, g[0] = np.zeros(p), start[0] + float(np.dot(start[1:], m[1:]))
-                shift[0] = 0.0
-                records.append({**q["group"], "model": f"{q['model']}|{j}|{q['side']}", "b": list(g), "used": list(used.astype(float)),
-                                "shift": list(shift), "it": 0, "prev_b": None, "prev_dev": None})
-            final = _iterate(rows, records, by, p, "binomial", schema)
-            for r in final:
-                model, j, side = r["model"].rsplit("|", 2)
-                q = jobs[(*[r[k] for k in by], model, int(j), int(side))]
-                root = q["side"] * math.sqrt(max(r["dev"] - q["dev"], 0.0))
-                q["pts"].append((q["t"], root))
-                if abs(abs(root) - level_z) < tol:
-                    q["bound"] = float(q["t"])
-                    continue
-                (t0, z0), (t1, z1) = sorted(q["pts"], key=lambda pt: abs(abs(pt[1]) - level_z))[:2]
-                q["t"] = _next_bound(q, t1 + (q["side"] * level_z - z1) * (t0 - t1) / (z0 - z1) if z0 != z1 else math.nan, level_z)
-        out = []
-        for (key, q) in jobs.items():
-            if q["side"] == 1:
-                lo = jobs[(*key[:-1], -1)]
-                out.append({**q["group"], "model": q["model"], "term": fits.names[q["j"]], "prof_lo": lo["bound"], "prof_hi": q["bound"]})
-        dbl = T.DoubleType()
-        sch = T.StructType([schema[k] for k in by] + [T.StructField("model", T.StringType()), T.StructField("term", T.StringType()),
-                                                      T.StructField("prof_lo", dbl), T.StructField("prof_hi", dbl)])
-        return local_table(spark, out, sch)
+        rows, scale, _, _ = _scaled_by_group(raw, p, by)
+        txt, dbl, whole, arr = T.StringType(), T.DoubleType(), T.IntegerType(), T.ArrayType(T.DoubleType())
+        kinds = {"fit": txt, "model": txt, "j": whole, "side": whole, "it": whole, "inner": dbl, "outer": dbl, "bound": dbl, "target": dbl, "status": txt, "used": arr, "c": arr,
+                 "last_b": arr, "b": arr, "shift": arr, "hat": dbl, "reach": dbl}
+        schema = T.StructType([*[raw.schema[k] for k in by], *[T.StructField(c, k) for c, k in kinds.items()]])
+        names = schema.names
+
+        def frames(step):
+            def run(batches):
+                import pandas as pd
+
+                for pdf in batches:
+                    found = step(_plain_records(pdf))
+                    yield pd.DataFrame({c: pd.Series([f[c] for f in found], dtype=object) for c in names})
+
+            return run
+
+        table = attach(fits.table.select(*by, "model", "used", "beta", "vcov", "deviance", "converged"), scale, by, "inner")
+        state = materialize(table.mapInPandas(frames(lambda records: _profile_starts(records, by, p, level_z)), schema))
+        ended = state.where("status IS NOT NULL")
+        state = state.where("status IS NULL")
+        while not state.isEmpty():
+            sums = attach(_statistics(rows, state, by, p, "binomial"), state, [*by, "model"], "inner")
+            moved = materialize(sums.mapInPandas(frames(lambda records: _profile_step(records, p, rounds)), schema))
+            ended, state = ended.unionByName(moved.where("status IS NOT NULL")), moved.where("status IS NULL")
+        term = F.element_at(F.array(*[F.lit(nm) for nm in fits.names]), F.col("j") + 1).alias("term")
+        of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+        return ended.groupBy(*by, F.col("fit").alias("model"), term).agg(of(-1, "bound").alias("prof_lo"), of(1, "bound").alias("prof_hi"), of(-1, "status").alias("lo_status"), of(1, "status").alias("hi_status"))
     finally:
         raw.unpersist()
 
 
+def _plain_records(pdf) -> list[dict]:
+    """Rows with None for what is missing."""
+    out = pdf.to_dict("records")
+    for r in out:
+        for c, v in r.items():
+            if isinstance(v, float) and math.isnan(v) and c in ("bound", "status", "last_b"):
+                r[c] = None
+    return out

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from anchorframe.operators import glm
+from anchorframe.operators import glm, glmm
 from anchorframe.operators.diagnostics import binned_residuals, influential, ks_distance, predict_grid, quantile_residuals, row_diagnostics
 from anchorframe.operators.distributions import odds_map_table
 from anchorframe.operators.glm import (
@@ -229,3 +229,129 @@ def test_a_separated_group_has_no_profile_bound(spark):
     rows = spark.createDataFrame(d)
     found = glm.profile_intervals(rows, glm.fit_logistic(rows, "y", ["g"], ["x"])).filter("term = 'x'").first()
     assert found.prof_hi is None
+    assert found.lo_status == found.hi_status == "fit not converged"
+
+
+# ---- mixed models
+
+@pytest.mark.parametrize("levels", [[7], [9, 4], [3, 8]])
+def test_block_elimination_equals_the_dense_inverse(levels, monkeypatch):
+    monkeypatch.setattr(glmm, "_CHUNK", 8)  # several blocks
+    rng = np.random.default_rng(sum(levels))
+    codes = np.unique(np.stack([rng.integers(0, n, 20) for n in levels], 1), axis=0)
+    cells = glmm._Cells(codes, levels)
+    w, shrink = rng.random(len(codes)) * 5, np.repeat(rng.random(len(levels)) + 0.3, levels)
+    dense = np.diag(shrink)
+    for row, x in zip(cells.idx, w):
+        for i in row:
+            for j in row:
+                dense[i, j] += x
+    h, inverse = glmm._Precision(cells, w, shrink), np.linalg.inv(dense)
+    right = rng.normal(size=(cells.q, 3))
+    assert h.logdet == pytest.approx(np.linalg.slogdet(dense)[1]) and h.solve(right) == pytest.approx(inverse @ right)
+    diagonal, lever = h.variances()
+    assert diagonal == pytest.approx(np.diag(inverse)) and lever == pytest.approx([inverse[np.ix_(r, r)].sum() for r in cells.idx])
+
+
+def _dense_laplace(y, x, groups, sizes, theta):
+    """The Laplace log-likelihood by plain Newton steps on dense matrices."""
+    p = x.shape[1]
+    z = np.hstack([np.eye(n)[g] for g, n in zip(groups, sizes)])
+    d = np.repeat(np.exp(-2 * theta[p:]), sizes)
+    b = np.zeros(z.shape[1])
+    for _ in range(60):
+        mu = 1 / (1 + np.exp(-(x @ theta[:p] + z @ b)))
+        h = (z * (mu * (1 - mu))[:, None]).T @ z + np.diag(d)
+        b = b + np.linalg.solve(h, z.T @ (y - mu) - d * b)
+    eta = x @ theta[:p] + z @ b
+    mu = 1 / (1 + np.exp(-eta))
+    h = (z * (mu * (1 - mu))[:, None]).T @ z + np.diag(d)
+    return (y * eta - np.logaddexp(0, eta)).sum() - 0.5 * d @ b ** 2 + 0.5 * np.log(d).sum() - 0.5 * np.linalg.slogdet(h)[1]
+
+
+@pytest.fixture(scope="module")
+def crossed_rows():
+    rng = np.random.default_rng(8)
+    n, sizes = 3000, (12, 5)
+    g, yr, x = rng.integers(0, 12, n), rng.integers(0, 5, n), rng.normal(2, 3, n)
+    eta = -0.3 + 0.25 * x + rng.normal(0, 0.8, 12)[g] + rng.normal(0, 0.6, 5)[yr]
+    y = (rng.random(n) < 1 / (1 + np.exp(-eta))).astype(int)
+    return pd.DataFrame(dict(g=[f"r{i:02d}" for i in g], yr=yr, x=x, y=y)), (g, yr), sizes
+
+
+@pytest.mark.parametrize("factors", [["g"], ["g", "yr"]])
+def test_mixed_fit_is_the_optimum_with_its_curvature(spark, crossed_rows, factors):
+    d, codes, sizes = crossed_rows
+    k = len(factors)
+    f = fit_random_intercept(spark.createDataFrame(d), "y", ["x"], factors)
+    fit, table = f.fit.first(), f.fixed.table.first()
+    theta = np.array([*table.beta, *[np.log(fit[f"sigma_{c}"]) for c in factors]])
+    design = np.stack([np.ones(len(d)), d.x.to_numpy()], 1)
+    value = lambda t: _dense_laplace(d.y.to_numpy(), design, codes[:k], sizes[:k], t)
+    assert fit.converged and fit.passes <= 30 and fit.loglik == pytest.approx(value(theta), abs=1e-6)
+    eps = np.array([1e-3] * len(theta))
+    steps = [np.eye(len(theta))[i] * eps[i] for i in range(len(theta))]
+    grad = [(value(theta + s) - value(theta - s)) / (2 * 1e-3) for s in steps]
+    assert np.abs(grad).max() < 2e-3
+    hess = np.array([[(value(theta + a + b) - value(theta + a - b) - value(theta - a + b) + value(theta - a - b)) / 4e-6 for b in steps] for a in steps])
+    assert np.array(table.vcov).reshape(2, 2) == pytest.approx(np.linalg.inv(-hess)[:2, :2], rel=2e-3)
+
+
+def test_mixed_models_share_their_passes_and_keep_their_own_rows(spark, crossed_rows):
+    d = crossed_rows[0].copy()
+    d["part"] = np.where(np.arange(len(d)) % 3 == 0, np.nan, d.x)
+    rows = spark.createDataFrame(d)
+    alone = glmm._fit(rows, "y", {"a": ["x"]}, ["g"], False)
+    both = glmm._fit(rows, "y", {"a": ["x"], "b": ["part"], "c": []}, ["g"], False)
+    assert both[0]["a"].state.value == pytest.approx(alone[0]["a"].state.value, abs=1e-7)
+    assert both[0]["a"].n == 3000 and both[0]["b"].n == 2000
+    apart = [glmm._fit(rows, "y", {"m": ts}, ["g"], False)[2] for ts in (["x"], ["part"], [])]
+    assert both[2] == max(apart)
+    table = {r.feature: r for r in glmm.compare_mixed_windows(rows, "y", {"f": ["x", "part"]}, ["g"]).collect()}
+    assert table["part"].n == 2000 and table["x"].n == 3000 and min(r.delta_aicc for r in table.values()) == 0
+
+
+def test_many_levels_of_one_of_two_factors(spark):
+    rng = np.random.default_rng(4)
+    n, q = 60_000, 20_000
+    g, yr, x = np.arange(n) % q, rng.integers(0, 6, n), rng.normal(size=n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.5 * x + rng.normal(0, 1, q)[g] + rng.normal(0, 0.4, 6)[yr])))).astype(int)
+    f = fit_random_intercept(spark.createDataFrame(pd.DataFrame(dict(g=g, yr=yr, x=x, y=y))), "y", ["x"], ["g", "yr"])
+    fit, c = f.fit.first(), {r.term: r for r in f.coefs.collect()}
+    assert fit.converged and fit.passes <= 30 and abs(c["x"].estimate - 0.5) < 0.15 and f.random.count() == q + 6
+
+
+def test_mixed_rows_of_an_unseen_level_and_their_residuals(spark, crossed_rows):
+    rows = spark.createDataFrame(crossed_rows[0])
+    f = fit_random_intercept(rows, "y", ["x"], ["g"], errors=False)
+    more = spark.createDataFrame([("new", 0, 1.0, 1), (None, 0, 1.0, 1)], "g string, yr long, x double, y long")
+    got = glmm.mixed_diagnostics(more, f).collect()
+    assert len(got) == 1 and got[0].eta == got[0].eta_fixed
+    u = quantile_residuals(glmm.mixed_diagnostics(rows.withColumn("id", F.monotonically_increasing_id()), f, ["id"]), 3, ["id"]).toPandas().qres
+    assert abs(u.mean() - 0.5) < 0.03 and np.abs(np.sort(u) - np.arange(len(u)) / len(u)).max() < 0.04
+
+
+def test_a_mixed_fit_without_rows_says_so(spark, crossed_rows):
+    with pytest.raises(ValueError):
+        fit_random_intercept(spark.createDataFrame(crossed_rows[0]).limit(0), "y", ["x"], ["g"])
+
+
+def test_profile_bounds_cost_what_they_should(spark, data):
+    d = data.select("id", (F.col("a") - 2000).alias("a"), "b", "y", F.when(F.col("id") % 3 == 0, "u").otherwise("v").alias("g"))
+    fits = glm.fit_logistic(d, "y", ["g"], ["a", "b"])
+    found = glm.profile_intervals(d, fits).collect()
+    assert {r.lo_status for r in found} | {r.hi_status for r in found} == {"found"}
+    rows = d.toPandas()
+    hat = {r.g: (r.beta, r.deviance) for r in fits.table.collect()}
+    for r in found:
+        own = rows[rows.g == r.g]
+        x, j = np.stack([np.ones(len(own)), own.a, own.b], 1), ["(Intercept)", "a", "b"].index(r.term)
+        o = [i for i in range(3) if i != j]
+        for bound in (r.prof_lo, r.prof_hi):
+            b = np.array(hat[r.g][0], float)
+            b[j] = bound
+            for _ in range(60):
+                mu = 1 / (1 + np.exp(-(x @ b)))
+                b[o] += np.linalg.solve((x[:, o] * (mu * (1 - mu))[:, None]).T @ x[:, o], x[:, o].T @ (own.y - mu))
+            eta = x @ b
+            assert 2 * (np.logaddexp(0, eta) - own.y * eta).sum() - hat[r.g][1] == pytest.approx(glm.Z975 ** 2, abs=1e-6)
