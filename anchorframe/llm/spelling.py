@@ -3,7 +3,8 @@
 Words are arranged in a trie by the counts of their letters in sixteen groups, one group after another: a path of the trie is a
 frequency vector. An inserted code point adds one to one group, a deleted one takes one away, a replaced one does both (or
 neither, within a group), so a depth-first search for a word's neighbours follows equal counts, and counts one higher or lower
-while a surplus and a deficit of one each are not spent. Words at the leaves it reaches are compared letter by letter.
+while a surplus and a deficit of one each are not spent. Words at the leaves it reaches are compared letter by letter. Each pair is
+found from one side only: the search spends on a count one higher first, and of words with equal vectors the smaller one searches.
 
 The trie's first levels are Spark rows: words with equal counts there are one shard, a word is sent to the shards that its budget
 can reach (of those that exist), and one task searches a shard's trie for all words sent to it, some at a time. The number of
@@ -40,6 +41,8 @@ SHARD = 50_000  # words of a shard
 _LEAF = 16  # words that are compared at once instead of going deeper
 _QUERIES = 1 << 16  # words searched together
 _CELLS = 1 << 20  # numbers held in a leaf's comparison
+_PAIRS = 1 << 18  # words compared letter by letter together
+_WIDE = 32  # code points of words that are compared as rows of a table
 
 
 def runs(text: str) -> Iterator[list[str]]:
@@ -121,6 +124,24 @@ def one_edit(a: str, b: str) -> bool:
     return a[at + (len(a) == len(b)):] == b[at + 1:]
 
 
+def _letters(words: list[str]) -> np.ndarray:
+    """The first code points of words, filled with zeros."""
+    return np.frombuffer(b"".join([w[:_WIDE].encode("latin-1").ljust(_WIDE, b"\0") for w in words]), np.uint8).reshape(len(words), _WIDE)
+
+
+def edits(short: np.ndarray, long: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """:func:`one_edit` of rows of ``_letters``; ``longer``: whether the second word has one code point more (else as many)."""
+    out = np.empty(len(short), bool)
+    same = ~longer
+    out[same] = (short[same] != long[same]).sum(1) == 1
+    a, b = short[longer], long[longer]
+    differ = a != b
+    first = np.where(differ.any(1), differ.argmax(1), _WIDE)
+    behind = a[:, :-1] != b[:, 1:]
+    out[longer] = ~(behind & (np.arange(_WIDE - 1) >= first[:, None])).any(1)
+    return out
+
+
 class Trie:
     """Words in the order of their vectors; a node is a depth and a range of them."""
 
@@ -128,47 +149,76 @@ class Trie:
         vector = vectors(words)
         order = np.lexsort(vector.T[::-1])
         self.words, self.weights, self.vector = [words[i] for i in order], [weights[i] for i in order], vector[order]
-
-    def near(self, queries: list[str]) -> Iterator[tuple[int, int]]:
-        """(query, word) places of words one edit apart."""
-        asked = vectors(queries)
-        every = np.arange(len(queries))
+        self.letters, self.size = _letters(self.words), np.array([len(w) for w in self.words])
+
+    def near(self, queries: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, word) places of words one edit apart, of which the word has the first count that is higher, or equal counts and the later name."""
+        asked, letters, size = vectors(queries), _letters(queries), np.array([len(q) for q in queries])
+        held, n = [], 0
+        for own, words in self._candidates(asked):
+            held.append((own, words))
+            n += len(own)
+            if n >= _PAIRS:
+                yield self._sure(queries, asked, letters, size, held)
+                held, n = [], 0
+        if held:
+            yield self._sure(queries, asked, letters, size, held)
+
+    def _sure(self, queries, asked, letters, size, held) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs with equal or next vectors those that are one edit apart."""
+        own, words = (np.concatenate(x) for x in zip(*held))
+        sure = edits(letters[own], self.letters[words], self.size[words] > size[own])
+        for k in np.flatnonzero(np.maximum(size[own], self.size[words]) > _WIDE):
+            sure[k] = one_edit(queries[own[k]], self.words[words[k]])
+        own, words = own[sure], words[sure]
+        first = (asked[own] != self.vector[words]).any(1)
+        for k in np.flatnonzero(~first):
+            first[k] = queries[own[k]] < self.words[words[k]]
+        return own[first], words[first]
+
+    def _candidates(self, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        every = np.arange(len(asked))
         nodes = [(0, 0, len(self.words), every, np.zeros(len(every), np.int32), np.zeros(len(every), np.int32))]
         while nodes:  # depth first
             depth, low, high, alive, surplus, deficit = nodes.pop()
             if depth == DEPTH or high - low <= _LEAF:
-                yield from self._leaf(queries, asked, depth, low, high, alive, surplus, deficit)
+                yield from self._leaf(asked, depth, low, high, alive, surplus, deficit)
                 continue
             column = self.vector[low:high, depth]
             first = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
             for start, end in zip(first, [*first[1:], high - low]):
-                more = asked[alive, depth] - column[start]
+                more = column[start] - asked[alive, depth]
                 up, down = surplus + np.maximum(more, 0), deficit + np.maximum(-more, 0)
-                own = (up <= 1) & (down <= 1)
+                own = (up <= 1) & (down <= up)
                 if own.any():
                     nodes.append((depth + 1, low + start, low + end, alive[own], up[own], down[own]))
 
-    def _leaf(self, queries, asked, depth, low, high, alive, surplus, deficit):
+    def _leaf(self, asked, depth, low, high, alive, surplus, deficit):
         step = max(1, _CELLS // (min(high - low, _QUERIES) * max(1, DEPTH - depth)))
         for top in range(low, high, _QUERIES):
             words = self.vector[top:min(high, top + _QUERIES), depth:]
             for at in range(0, len(alive), step):
                 own = alive[at:at + step]
-                more = asked[own][:, None, depth:] - words[None]
-                fits = (surplus[at:at + step, None] + np.maximum(more, 0).sum(2) <= 1) & (deficit[at:at + step, None] + np.maximum(-more, 0).sum(2) <= 1)
-                for i, j in zip(*np.nonzero(fits)):
-                    if one_edit(queries[own[i]], self.words[top + j]):
-                        yield int(own[i]), int(top + j)
+                more = words[None] - asked[own][:, None, depth:]
+                up, down = (x[at:at + step, None] for x in (surplus, deficit))
+                fits = (up + np.maximum(more, 0).sum(2) <= 1) & (down + np.maximum(-more, 0).sum(2) <= 1)
+                i, j = np.nonzero(fits)
+                if len(i) and depth < DEPTH:  # the first change must be a surplus
+                    good = ((up - down)[i, 0][:, None] + np.cumsum(more[i, j], axis=1) >= 0).all(1)
+                    i, j = i[good], j[good]
+                if len(i):
+                    yield own[i], top + j
 
 
 def _searched(batches):
     """Rows (shard, block, asks, word, n) in that order, a shard's own words before those sent to it: word, near, near_n."""
     name, words, trie, asked = None, [], None, []
 
-    def found(trie: Trie, asked: list[str]):
-        pairs = list(trie.near(asked))
-        yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i, _ in pairs], pa.string()), pa.array([trie.words[j] for _, j in pairs], pa.string()),
-                                          pa.array([trie.weights[j] for _, j in pairs], pa.int64())], names=["word", "near", "near_n"])
+    def found(trie: Trie, asked: list[tuple[str, int]]):
+        for own, words in trie.near([w for w, _ in asked]):
+            pairs = [(*asked[i], trie.words[j], trie.weights[j]) for i, j in zip(own, words)]
+            both = [*((a, b, m) for a, _, b, m in pairs), *((b, a, n) for a, n, b, _ in pairs)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in both], k) for c, k in enumerate((pa.string(), pa.string(), pa.int64()))], names=["word", "near", "near_n"])
 
     for got in batches:
         for shard, block, asks, word, n in zip(*(c.to_pylist() for c in got.columns)):
@@ -183,23 +233,23 @@ def _searched(batches):
                 continue
             if trie is None:
                 trie = Trie([w for w, _ in words], [m for _, m in words])
-            asked.append(word)
+            asked.append((word, n))
     if asked:
         yield from found(trie, asked)
 
 
 def budgets(depth: int) -> list[tuple[int, ...]]:
-    """Changes of the first ``depth`` counts with one surplus and one deficit at most."""
+    """Changes of the first ``depth`` counts with one surplus and one deficit at most, the surplus first."""
     changes = {(0,) * depth}
     for up, down in product(range(depth + 1), repeat=2):
         change = [0] * (depth + 2)
         change[up] += 1  # the place behind the counts stands for a surplus spent nowhere here
         change[down if down < depth else depth + 1] -= 1
         changes.add(tuple(change[:depth]))
-    return sorted(changes)
+    return sorted(c for c in changes if next((x for x in c if x), 1) > 0)
 
 
-def near_words(words: DataFrame, shard_words: int = SHARD, first_depth: int = 4) -> DataFrame:
+def near_words(words: DataFrame, shard_words: int = SHARD, first_depth: int = 2) -> DataFrame:
     """(word, near, near_n) of all ordered pairs of words (word, n) one edit apart."""
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     depth = first_depth
