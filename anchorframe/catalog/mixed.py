@@ -11,34 +11,13 @@ from pyspark.sql import functions as F
 from anchorframe.catalog.base import _shift, query, rounded, rsql
 from anchorframe.catalog.models import _GRID, SIGNAL, signal_rows, signal_table
 from anchorframe.catalog.sampling import SEED, u_sql
+from anchorframe.catalog.sweep import pair, sweep_sql
 from anchorframe.operators.diagnostics import predict_grid, predict_interaction, quantile_residuals
 from anchorframe.operators.glmm import compare_mixed_windows, fit_random_intercept, mixed_diagnostics, mixed_standardized_effects, random_effects
 
 _STEPS = 60
 
 
-def _pair(name: str, i: int, j: int) -> str:
-    return f"{name}_{min(i, j)}_{max(i, j)}"
-
-
-def sweep_sql(rows: str, name: str, n: int) -> str:
-    """``rows`` with the symmetric matrix in columns name_i_j replaced by minus its inverse; the pivots are name_piv_k."""
-    for k in range(n):
-        new = []
-        for i in range(n):
-            for j in range(i, n):
-                if i == j == k:
-                    e = f"-1 / {_pair(name, k, k)}"
-                elif k in (i, j):
-                    e = f"{_pair(name, i, j)} / {_pair(name, k, k)}"
-                else:
-                    e = f"{_pair(name, i, j)} - {_pair(name, i, k)} * {_pair(name, j, k)} / {_pair(name, k, k)}"
-                new.append(f"{e} AS {_pair(name, i, j)}")
-        old = ", ".join(_pair(name, i, j) for i in range(n) for j in range(i, n))
-        rows = f"SELECT * EXCLUDE ({old}), {', '.join(new)}, {_pair(name, k, k)} AS {name}_piv_{k} FROM ({rows})"
-    return rows
-
-
 def _sum(parts) -> str:
     return "(" + (" + ".join(parts) or "0") + ")"
 
@@ -87,10 +66,10 @@ class MixedSql:
         pulls = {"p0": ("2 * d0 * u1", ["0" for _ in k])} | ({"p1": ("0", [f"2 * d1 * v1[{i + 1}]" for i in k])} if m else {})
         q = self._solve(q, pulls, over)
         if m:
-            reach = [_sum(f"xw0_{j} / da * -{_pair('s', i, j)}" for j in k) + f" AS reach_{i}" for i in k]
+            reach = [_sum(f"xw0_{j} / da * -{pair('s', i, j)}" for j in k) + f" AS reach_{i}" for i in k]
             q = f"SELECT *, {', '.join(reach)} FROM ({q})"
             q = f"SELECT *, 1 / da + {_sum(f'reach_{i} * xw0_{i} / da' for i in k)} AS var_a FROM ({q})"
-            q = f"SELECT *, {', '.join(f'var_a - {_pair('s', i, i)} - 2 * reach_{i} AS lever_{i}' for i in k)} FROM ({q})"
+            q = f"SELECT *, {', '.join(f'var_a - {pair('s', i, i)} - 2 * reach_{i} AS lever_{i}' for i in k)} FROM ({q})"
         else:
             q = f"SELECT *, 1 / da AS var_a, 1 / da AS lever_0 FROM ({q})"
         of = lambda side, i: f"({side}_a + {side}_b{i})" if m else f"{side}_a"
@@ -98,7 +77,7 @@ class MixedSql:
         turn = lambda f: _sum(f"lever_{i} * xt0_{i} * {of(f'p{f}', i)}" for i in k)
         grads += [f"sum(d0 * u1 * u1 - 1 + d0 * var_a - {turn(0)} / 2) {over} AS grad{p}"]
         if m:
-            of_b = _sum(f"d1 * v1[{i + 1}] * v1[{i + 1}] - 1 - d1 * {_pair('s', i, i)}" for i in k)
+            of_b = _sum(f"d1 * v1[{i + 1}] * v1[{i + 1}] - 1 - d1 * {pair('s', i, i)}" for i in k)
             grads += [f"{of_b} - sum({turn(1)} / 2) {over} AS grad{p + 1}"]
         inside = lambda i, j: f"z{i}_a * {_sum(f'xw{j}_{c}' for c in k)}" + ("".join(f" + z{i}_b{c} * xw{j}_{c}" for c in k) if m else "")
         info = [f"sum(xx_{i}_{j} - ({inside(i, j)})) {over} AS info_{i}_{j}" for i in range(p) for j in range(i, p)]
@@ -114,7 +93,7 @@ class MixedSql:
         k = self.k
         rows = f"SELECT *, {', '.join(f'({a}) AS {name}_ga' for name, (a, _) in sides.items())} FROM ({rows})"
         rows = f"SELECT *, {', '.join(f'{b[i]} - sum(xw0_{i} * {name}_ga / da) {over} AS {name}_gb{i}' for name, (_, b) in sides.items() for i in k)} FROM ({rows})"
-        xb = [_sum(f"-{_pair('s', i, j)} * {name}_gb{j}" for j in k) + f" AS {name}_b{i}" for name in sides for i in k]
+        xb = [_sum(f"-{pair('s', i, j)} * {name}_gb{j}" for j in k) + f" AS {name}_b{i}" for name in sides for i in k]
         rows = f"SELECT *, {', '.join(xb)} FROM ({rows})"
         return f"SELECT *, {', '.join(f'({name}_ga - {_sum(f'xw0_{i} * {name}_b{i}' for i in k)}) / da AS {name}_a' for name in sides)} FROM ({rows})"
 
@@ -123,7 +102,7 @@ class MixedSql:
         zero = "[" + ", ".join("0.0::DOUBLE" for _ in k) + "]"
         first = f"SELECT DISTINCT 0 AS step, lv, 0.0::DOUBLE AS u, {zero} AS v, " + ", ".join([*(f"0.0::DOUBLE AS b{j}" for j in range(p)), *(f"-0.7::DOUBLE AS l{f}" for f in range(nf))]) + f" FROM {name}_d"
         # Coefficients by the information, log sigma by twice the number of levels; intercepts follow both.
-        change = [_sum(f"-{_pair('info', i, j)} * grad{j}" for j in range(p)) + f" AS db{i}" for i in range(p)]
+        change = [_sum(f"-{pair('info', i, j)} * grad{j}" for j in range(p)) + f" AS db{i}" for i in range(p)]
         change += [f"greatest(least(grad{p + f} / (2 * {'qa' if f == 0 else m}), 0.5), -0.5) AS dl{f}" for f in range(nf)]
         moved = f"SELECT *, {', '.join(change)} FROM ({self.stages(name + '_it', 'step')})"
         along = lambda end: "".join(f" - z{j}_{end} * db{j}" for j in range(p)) + "".join(f" + p{f}_{end} * dl{f}" for f in range(nf))
@@ -134,7 +113,7 @@ class MixedSql:
         if not self.errors:
             return ",\n ".join([*out, f"{name} AS MATERIALIZED (SELECT {held} FROM {name}_e)"])
         size = p + nf
-        eps = [*(f"sqrt(-{_pair('info', j, j)}) / 100" for j in range(p)), *("0.001::DOUBLE" for _ in range(nf))]
+        eps = [*(f"sqrt(-{pair('info', j, j)}) / 100" for j in range(p)), *("0.001::DOUBLE" for _ in range(nf))]
         place = [*self.betas, *self.logs]
         near = " UNION ALL ".join(f"SELECT 0 AS step, {2 * i + (sign < 0)} AS s, {eps[i]} AS eps, lv, u, v, " + ", ".join(f"{c} {'+' if sign > 0 else '-'} {eps[i]} AS {c}" if n == i else c for n, c in enumerate(place))
                                   + f" FROM {name}_e" for i in range(size) for sign in (1, -1))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from anchorframe.catalog.base import query, rounded, rsql
 from anchorframe.catalog.proxies import COVER, order_cover
 from anchorframe.catalog.sampling import SEED, u_sql
+from anchorframe.catalog.sweep import logistic_sql, sweep_sql
 from anchorframe.functions.hashing import uniform
 from anchorframe.operators.diagnostics import (
     binned_residuals, influential, ks_distance, odds_ratio_report, predict_grid, predict_interaction, quantile_residuals,
@@ -133,10 +134,27 @@ def logistic_all(t):
     return rounded(coef_table(fit_logistic(signal_rows(t), "y", [], ["price", "crop"])).select("term", "estimate", "se"))
 
 
-@query("logistic_full")
+_FULL = ["price", "crop", "price:crop", "hay", "season", "year"]
+
+
+def _full_sql() -> str:
+    """The fit is on years since 1995; its intercept goes back to year 0. Variance inflation is that of the slopes' correlations."""
+    fit = logistic_sql("m", "sig", "region", "y", ["price", "crop", "price * crop", "hay", "season", "year - 1995"])
+    p = len(_FULL) + 1
+    slopes = ", ".join(f"v_{i}_{j} AS c_{i - 1}_{j - 1}" for i in range(1, p) for j in range(i, p))
+    swept = sweep_sql(f"SELECT m.*, {slopes} FROM m", "c", p - 1)
+    rows = [f"SELECT region, 0 AS term_pos, '(Intercept)' AS term, b0 - 1995 * b{p - 1} AS est, sqrt(v_0_0 - 2 * 1995 * v_0_{p - 1} + 1995.0::DOUBLE * 1995 * v_{p - 1}_{p - 1}) AS se, NULL::DOUBLE AS vif FROM f"]
+    rows += [f"SELECT region, {i}, '{t}', b{i}, sqrt(v_{i}_{i}), -c_{i - 1}_{i - 1} * v_{i}_{i} FROM f" for i, t in enumerate(_FULL, 1)]
+    return f"""WITH RECURSIVE {SIGNAL}, {fit}, f AS ({swept}), c AS ({' UNION ALL '.join(rows)})
+ SELECT region, term_pos, term, {rsql('est', 5)} AS estimate, {rsql('se', 5)} AS se, {rsql('est / se', 5)} AS z, round({p_sql('est / se')}, 5) AS p_value, {rsql('vif', 5)} AS vif FROM c"""
+
+
+@query("logistic_full", _full_sql())
 def logistic_full(t):
     terms = [*crossed("price", "crop"), "hay", "season", "year"]
-    return coef_table(fit_logistic(signal_rows(t), "y", ["region"], terms))
+    c = coef_table(fit_logistic(signal_rows(t), "y", ["region"], terms)).withColumn("vif", F.nanvl("vif", F.lit(None)))
+    c = c.select("region", "term_pos", "term", "estimate", "se", "z", F.col("p_value").alias("p"), "vif")
+    return rounded(c, 5).drop("p").join(c.select("region", "term", F.round("p", 5).alias("p_value")), ["region", "term"])
 
 
 @query("gamma_identity", f"""WITH RECURSIVE {SIGNAL}, {newton_sql('m', '(SELECT * FROM sig)', 'region', 'log10(price * 100000)', 'crop', None, 'gamma')}

@@ -100,17 +100,13 @@ def share_in_group(df: DataFrame, by: Sequence[str], cls: str) -> DataFrame:
 
 def value_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Five-number summary, mean and missing count per column, long form."""
-    q = exact_quantiles(df, [], cols, [0.0, 0.25, 0.5, 0.75, 1.0])
-    names = {0.0: "min", 0.25: "q25", 0.5: "median", 0.75: "q75", 1.0: "max"}
-    wide = q.groupBy("variable").agg(*[F.max(F.when(F.col("q") == k, F.col("value"))).alias(n)
-                                       for k, n in names.items()])
-    parts = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"{c}__m").alias("mean"),
-                               F.col(f"{c}__z").alias("n_missing")) for c in cols])
-    aggs = []
-    for c in cols:
-        x = F.nanvl(F.col(c).cast("double"), F.lit(None))
-        aggs += [F.avg(x).alias(f"{c}__m"), F.count(F.when(x.isNull(), 1)).alias(f"{c}__z")]
-    means = df.agg(*aggs).select(F.explode(parts).alias("p")).select("p.*")
+    q = exact_quantiles(df, [], cols, [0.25, 0.5, 0.75])
+    names = {0.25: "q25", 0.5: "median", 0.75: "q75"}
+    wide = q.groupBy("variable").agg(*[F.max(F.when(F.col("q") == k, F.col("value"))).alias(n) for k, n in names.items()])
+    stats = {"min": F.min, "max": F.max, "mean": F.avg, "n_missing": lambda x: F.count(F.when(x.isNull(), 1))}
+    x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in cols}
+    parts = F.array(*[F.struct(F.lit(c).alias("variable"), *[F.col(f"{c}__{n}").alias(n) for n in stats]) for c in cols])
+    means = df.agg(*[f(x[c]).alias(f"{c}__{n}") for c in cols for n, f in stats.items()]).select(F.explode(parts).alias("p")).select("p.*")
     return keyed_join(means, wide, ["variable"], "left")
 
 

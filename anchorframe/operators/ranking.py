@@ -1,7 +1,8 @@
 """Exact ranks, per-group samples and quantiles that never place a whole group in one task.
 
-A group is cut into ordered buckets. Bucket totals (a small table) give each bucket its starting
-rank, and only rows inside one (group, bucket) are sorted together.
+Samples cut a group into ordered hash buckets, whose totals (a small table) give each bucket its starting rank. Ranks by value come
+from one range partitioning of all rows by group, value and tie, which splits a group, and a value, wherever it is too large for a
+partition. Quantiles come from repeated histograms of the cells that hold a wanted rank.
 """
 
 from __future__ import annotations
@@ -12,11 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorframe.functions.hashing import key_bucket, order_key
-from anchorframe.session import small_table
+from anchorframe.session import materialize, small_table
 
-VALUE_BUCKETS = 64
-SKETCH_ACCURACY = 10_000
-SMALL_GROUP = 50_000
+HISTOGRAM = 4096  # parts of a cell in one pass of the quantiles
 
 
 def same_keys(keys: Sequence[str]) -> Column:
@@ -104,80 +103,75 @@ def hash_rank(df: DataFrame, by: Sequence[str], seed, op: str, ids: Sequence[str
     return ranked.withColumn(out, (F.col("__before") + F.col("__rn")).cast("bigint")).drop(*_TMP, "__before")
 
 
-def _value_bounds(df: DataFrame, keys: list[str], value: str, parts: int) -> DataFrame:
-    """Sketched split points per group, written once so that all readers cut at the same places."""
-    qs = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)])
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(value, qs, F.lit(20 * parts)).alias("__bounds"))
-    return small_table(bounds)
-
-
 def value_rank(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[str], out: str = "rank") -> DataFrame:
     """1-based row number of every row in its group by ``value``, ties in hash order of ``ids``.
 
-    A value frequent enough to span several split points gets buckets of its own, cut by that hash.
+    All rows are dealt to ranges of (group, value, tie) of about equal size, cut at sampled places, and sorted there; a rank is the place
+    in a range, and the group's rows in earlier ranges. The ranges are written, so that counts and ranks see the same ones.
     """
     keys = list(by)
-    tagged = attach(df, _value_bounds(df, keys, value, VALUE_BUCKETS), keys, "inner")
-    tagged = tagged.withColumn("__key", order_key(0, "tie", *ids))
-    part = F.size(F.filter("__bounds", lambda b: b < F.col(value)))
-    hot = F.size(F.filter("__bounds", lambda b: b == F.col(value))) >= 2
-    sub = F.when(hot, 256 + F.shiftright(key_bucket(F.col("__key")), 8)).otherwise(0)
-    rows = tagged.withColumn("__bkt", part * 512 + sub).drop("__bounds")
-    starts = _starts(rows.groupBy(*keys, "__bkt").agg(F.count(F.lit(1)).alias("__n")), keys, "__bkt").drop("__n")
-    w = Window.partitionBy(*keys, "__bkt").orderBy(value, "__key", *ids)
-    ranked = attach(rows.withColumn("__rn", F.row_number().over(w)), starts, [*keys, "__bkt"], "inner")
-    return ranked.withColumn(out, (F.col("__before") + F.col("__rn")).cast("bigint")).drop(*_TMP, "__before")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*keys, value, "__key", *ids]
+    ranged = df.withColumn("__key", order_key(0, "tie", *ids)).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.withColumn("__at", F.monotonically_increasing_id()).withColumn("__bkt", F.expr("shiftright(__at, 33)")).drop("__key"))
+    # One row for each group, and one more for each range in which a group goes on.
+    counts = materialize(ranged.groupBy(*keys, "__bkt").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")))
+    starts = _starts(counts, keys, "__bkt").select(*keys, "__bkt", (F.col("__before") - F.col("__first") + 1).alias("__base"))
+    ranked = attach(ranged, starts, [*keys, "__bkt"], "inner")
+    return ranked.withColumn(out, F.col("__at") + F.col("__base")).drop("__at", "__bkt", "__base")
+
+
+def _slot(parts: int) -> str:
+    """SQL: which part of the cell [__lo, __hi] a value ``__v`` is in, of equal parts or (``__bend``) of parts equal in logarithm.
+
+    Both grow with the value, and put the two ends in different parts. In cells of few rows each value is a part.
+    """
+    log = lambda x: f"(CASE WHEN {x} = 0 THEN 0D ELSE signum({x}) * least(log2(abs({x})) + 1080, 2200D) END)"
+    even = "try_divide(__v / 2 - __lo / 2, __hi / 2 - __lo / 2)"
+    bent = f"try_divide({log('__v')} - {log('__lo')}, {log('__hi')} - {log('__lo')})"
+    share = f"CASE WHEN __bend THEN {bent} ELSE {even} END"
+    return f"CASE WHEN __rows <= {parts} OR __v = __lo OR __v = __hi THEN __v ELSE least(greatest(floor(({share}) * {parts}), 0), {parts - 1}) END"
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: Sequence[float], parts: int = HISTOGRAM) -> DataFrame:
     """Linear-interpolated quantiles, long form: ``by..., variable, q, value``. NULL and NaN are skipped.
 
-    A mergeable sketch brackets each wanted rank. The second pass counts the rows below a bracket
-    where they are scanned and sorts only the distinct values inside it. Groups of up to
-    ``SMALL_GROUP`` rows need no bracket.
+    A cell is a range of values with the ranks in it; at first it is a group. Each pass counts the rows of the cells that hold a wanted
+    rank by ``parts`` parts, and the part with the rank is the next cell, from its smallest to its largest value. A rank is
+    found when these are one. Cells of up to ``parts`` rows are counted by value and so end at once; passes alternate between even and
+    logarithmic parts, so a few suffice for any values. Nothing is sorted but a cell's parts.
     """
-    keys0 = list(by)
+    keys = [*by, "variable"]
     pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("__v")) for c in cols])
-    long = df.select(*keys0, F.explode(pairs).alias("__p")).select(*keys0, "__p.variable", "__p.__v")
+    long = df.select(*by, F.explode(pairs).alias("__p")).select(*by, "__p.variable", "__p.__v")
     long = long.filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    keys = [*keys0, "variable"]
-    margin = 4.0 / SKETCH_ACCURACY
-    probs = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-margin, margin)]
-    stats = small_table(long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__total"),
-        F.percentile_approx("__v", F.array(*[F.lit(p) for p in probs]), F.lit(SKETCH_ACCURACY)).alias("__b")))
-    small = F.col("__total") <= SMALL_GROUP
-    inf = F.lit(float("inf"))
-    edge = lambda i, open_end: F.when(small, open_end).otherwise(F.col("__b")[i])
-    sides = F.array(*[e for i in range(len(qs)) for e in (edge(2 * i, -inf), edge(2 * i + 1, inf))])
+    groups = materialize(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")))
     wanted = []
     for q in qs:
-        pos = F.lit(float(q)) * (F.col("__total") - 1)
-        wanted.append(F.struct(F.lit(float(q)).alias("q"), F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"),
-                               (pos - F.floor(pos)).alias("frac")))
-    rows = attach(long, stats.select(*keys, sides.alias("__s")), keys, "inner")
-    # the segment grows with the value: it counts bracket edges passed, so brackets and gaps alternate
-    seg = " + ".join(f"int(__v >= __s[{2 * i}]) + int(__v > __s[{2 * i + 1}])" for i in range(len(qs)))
-    inside = " OR ".join(f"(__v >= __s[{2 * i}] AND __v <= __s[{2 * i + 1}])" for i in range(len(qs)))
-    rows = rows.select(*keys, F.expr(seg).alias("__seg"), F.expr(f"IF({inside}, __v, NULL)").alias("__cell"))
-    cells = rows.groupBy(*keys, "__seg", "__cell").agg(F.count(F.lit(1)).alias("__c"))
-    before = cells.groupBy(*keys, "__seg").agg(F.sum("__c").alias("__n"))
-    before = before.withColumn("__before", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__seg")) - F.col("__n")).drop("__n")
-    w = Window.partitionBy(*keys, "__seg").orderBy("__cell")
-    cells = attach(cells.filter(F.col("__cell").isNotNull()).withColumn("__run", F.sum("__c").over(w)), before, [*keys, "__seg"], "inner")
-    cells = cells.withColumn("__end", F.col("__before") + F.col("__run")).withColumn("__start", F.col("__end") - F.col("__c"))
-    hit = attach(cells, stats.select(*keys, F.explode(F.array(*wanted)).alias("__t")), keys, "inner").select(
-        *keys, "__t.*", "__cell", "__start", "__end")
-    at = lambda r: (F.col(r) >= F.col("__start")) & (F.col(r) < F.col("__end"))
-    hit = hit.filter(at("lo") | at("hi"))
-    ends = hit.groupBy(*keys, "q", "frac").agg(F.max(F.when(at("lo"), F.col("__cell"))).alias("__l"),
-                                               F.max(F.when(at("hi"), F.col("__cell"))).alias("__h"))
-    value = F.col("__l") * (1 - F.col("frac")) + F.col("__h") * F.col("frac")
-    every = stats.select(*keys, F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
-    out = attach(every, ends.select(*keys, "q", value.alias("value")), [*keys, "q"])
-    # a sketch further off than its stated error must not pass as a missing value
-    checked = F.when(F.col("value").isNull(), F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
-    return out.withColumn("value", checked.otherwise(F.col("value")))
+        pos = F.lit(float(q)) * (F.col("__rows") - 1)
+        wanted.append(F.struct(F.lit(float(q)).alias("q"), F.floor(pos).alias("__l"), F.ceil(pos).alias("__h"), (pos - F.floor(pos)).alias("frac")))
+    asked = materialize(groups.select(*keys, F.explode(F.array(*wanted)).alias("__w")).select(*keys, "__w.*"))
+    ranks = asked.select(*keys, F.explode(F.array("__l", "__h")).alias("__rank")).distinct()
+    cells = attach(ranks, groups.withColumn("__before", F.lit(0).cast("long")), keys, "inner")
+    found, bend = cells.where("__lo = __hi"), False
+    cells = materialize(cells.where("__lo < __hi"))
+    while not cells.isEmpty():
+        own = cells.select(*keys, "__lo", "__hi", "__rows", "__before").distinct().withColumn("__bend", (F.lit(bend) | F.isnan(F.col("__hi") / 2 - F.col("__lo") / 2) | (F.col("__hi") / 2 - F.col("__lo") / 2 == float("inf"))))
+        inside = attach(long, small_table(own), keys, "inner").where("__v BETWEEN __lo AND __hi")
+        counted = inside.groupBy(*keys, "__lo", "__before", F.expr(_slot(parts)).alias("__slot"), F.expr(f"CASE WHEN __rows <= {parts} THEN 0 WHEN __v = __lo THEN -1 WHEN __v = __hi THEN 1 ELSE 0 END").alias("__end")).agg(
+            F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+        within = Window.partitionBy(*keys, "__before").orderBy("__least")
+        counted = counted.withColumn("__start", F.col("__before") + F.sum("__c").over(within) - F.col("__c"))
+        next_cells = attach(cells.select(*keys, "__rank", "__before"), counted.drop("__lo", "__slot", "__end"), [*keys, "__before"], "inner")
+        next_cells = next_cells.where("__rank >= __start AND __rank < __start + __c")
+        next_cells = materialize(next_cells.select(*keys, "__rank", F.col("__c").alias("__rows"), F.col("__least").alias("__lo"), F.col("__most").alias("__hi"), F.col("__start").alias("__before")))
+        found = found.unionByName(next_cells.where("__lo = __hi").select(*found.columns))
+        cells, bend = next_cells.where("__lo < __hi"), not bend
+    values = materialize(found.select(*keys, "__rank", F.col("__lo").alias("__x")))
+    of = lambda name: values.select(*keys, F.col("__rank").alias(name), F.col("__x").alias(name + "x"))
+    both = attach(attach(asked, of("__l"), [*keys, "__l"], "inner"), of("__h"), [*keys, "__h"], "inner")
+    value = F.when(F.col("__lx") == F.col("__hx"), F.col("__lx")).otherwise(F.col("__lx") * (1 - F.col("frac")) + F.col("__hx") * F.col("frac"))
+    return both.select(*keys, "q", value.alias("value"))
 
 
 def quantiles_wide(df: DataFrame, by: Sequence[str], col: str, named: dict[str, float]) -> DataFrame:

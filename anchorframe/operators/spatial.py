@@ -10,12 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorframe.functions.hashing import uniform
 from anchorframe.operators.joins import keyed_join
-from anchorframe.session import materialize
+from anchorframe.operators.ranking import attach
+from anchorframe.session import materialize, small_table
 
 EARTH_RADIUS_M = 6371007.2  # radius of the sphere with the earth's surface
 M2_PER_HA = 10_000.0
@@ -211,35 +213,66 @@ def _draw(polygons: DataFrame, ids: Sequence[str], seed) -> DataFrame:
     return p.filter(F.expr(_inside("__edges", "x", "y"))).select(*ids, "draw", "x", "y")
 
 
-def thin_points(points: DataFrame, ids: Sequence[str], min_dist: float) -> DataFrame:
-    """Keep a point unless an earlier kept one of the same polygon is nearer than ``min_dist``.
+def _decide(keys: int, min_dist: float):
+    """Of tiles' points in drawing order: which of its own a tile keeps or drops, and which wait for a point of another tile.
 
-    In rounds: a point is kept when no undecided one before it is near, and then decides against all points near it. In a
-    cell whose diagonal is ``min_dist`` only the earliest undecided point can be kept, so a round compares those few with
-    the points around them. Every round is written; the earliest point left is always decided, so rounds end.
+    Rows: the ``keys`` columns of the polygon, tile (two numbers), draw, x, y, state, own; sorted by polygon, tile and draw.
     """
-    small = min_dist / math.sqrt(2.0)
+    limit = min_dist * min_dist
+
+    def run(batches):
+        tile, grid = None, {}
+        for got in batches:
+            state, own = (got.column(keys + n).to_pylist() for n in (5, 6))
+            names = zip(*(got.column(n).to_pylist() for n in range(keys + 2)))
+            for i, (name, x, y) in enumerate(zip(names, *(got.column(keys + n).to_pylist() for n in (3, 4)))):
+                if name != tile:
+                    tile, grid = name, {}
+                cx, cy = math.floor(x / min_dist), math.floor(y / min_dist)
+                if own[i] and state[i] == OPEN:
+                    found = KEPT
+                    for cell in ((cx + dx, cy + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)):
+                        for x2, y2, other in grid.get(cell, ()):
+                            if found != DROPPED and (x - x2) ** 2 + (y - y2) ** 2 < limit:
+                                found = DROPPED if other == KEPT else OPEN
+                    state[i] = found
+                if state[i] != DROPPED:
+                    grid.setdefault((cx, cy), []).append((x, y, state[i]))
+            columns = [*got.columns[:keys], *got.columns[keys + 2:keys + 5], pa.array(state, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*got.schema.names[:keys], "draw", "x", "y", "state"]).filter(pa.array(own, pa.bool_()))
+
+    return run
+
+
+OPEN, KEPT, DROPPED = 0, 1, 2
+TILE_POINTS = 4096
 
-    def reach(df):
-        """Cells of side ``min_dist`` under the square of that side around the point: at most four."""
-        for axis in "xy":
-            lo, hi = ((F.floor((F.col(axis) + s * min_dist / 2) / min_dist)) for s in (-1, 1))
-            df = df.withColumn(f"c{axis}", F.explode(F.sequence(lo, hi)))
-        return df
 
-    left, kept = points.select(*ids, "draw", "x", "y"), None
+def thin_points(points: DataFrame, ids: Sequence[str], min_dist: float) -> DataFrame:
+    """Keep a point unless an earlier kept one of the same polygon is nearer than ``min_dist``.
+
+    A polygon is cut into square tiles of some ``TILE_POINTS`` points; a tile also gets the points within ``min_dist`` around it and decides
+    its own in drawing order. What depends on an undecided point of another tile waits for the next round, which sees only
+    kept and waiting points; the earliest one that waits is always decided, so rounds end, after two or three as a rule.
+    """
+    keys, span = list(ids), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    side = F.greatest(F.lit(8.0 * min_dist), span * F.sqrt(F.lit(float(TILE_POINTS)) / F.count(F.lit(1)))).alias("__side")
+    state = attach(points.select(*keys, "draw", "x", "y"), small_table(points.groupBy(*keys).agg(side)), keys, "inner").withColumn("state", F.lit(OPEN))
+    kept = None
     while True:
-        c = left.withColumn("sx", F.floor(F.col("x") / small)).withColumn("sy", F.floor(F.col("y") / small))
-        first = c.groupBy(*ids, "sx", "sy").agg(F.min(F.struct("draw", "x", "y")).alias("f")).select(*ids, "f.draw", "f.x", "f.y")
-        around = reach(left.select(*ids, F.col("draw").alias("o_draw"), "x", "y")).withColumnsRenamed({"x": "o_x", "y": "o_y"})
-        near = F.expr("pow(x - o_x, 2) + pow(y - o_y, 2)") < min_dist * min_dist
-        early = reach(first).join(around, [*ids, "cx", "cy"]).filter((F.col("o_draw") < F.col("draw")) & near)
-        now = materialize(first.join(early.select(*ids, "draw").distinct(), [*ids, "draw"], "left_anti"))
-        kept = now if kept is None else kept.unionByName(now)
-        gone = reach(now).join(around, [*ids, "cx", "cy"]).filter(near).select(*ids, F.col("o_draw").alias("draw")).distinct()
-        left = materialize(left.join(gone, [*ids, "draw"], "left_anti"))
-        if left.isEmpty():
-            return kept.select(*ids, "draw", "x", "y")
+        tiles = state
+        for axis in "xy":
+            lo, hi = (F.floor((F.col(axis) + s * min_dist) / F.col("__side")) for s in (-1, 1))
+            tiles = tiles.withColumn(f"t{axis}", F.explode(F.sequence(lo, hi)))
+        own = (F.col("tx") == F.floor(F.col("x") / F.col("__side"))) & (F.col("ty") == F.floor(F.col("y") / F.col("__side")))
+        tiles = tiles.withColumn("own", own)
+        schema = tiles.select(*keys, "draw", "x", "y", "state").schema
+        tiles = tiles.select(*keys, "tx", "ty", "draw", "x", "y", "state", "own").repartition(*keys, "tx", "ty").sortWithinPartitions(*keys, "tx", "ty", "draw", "x", "y")
+        decided = materialize(tiles.mapInArrow(_decide(len(keys), min_dist), schema))
+        kept = decided.where(F.col("state") == KEPT)
+        if decided.where(F.col("state") == OPEN).isEmpty():
+            return kept.select(*keys, "draw", "x", "y")
+        state = attach(decided.where(F.col("state") != DROPPED), small_table(state.select(*keys, "__side").distinct()), keys, "inner")
 
 
 def random_points(polygons: DataFrame, ids: Sequence[str], n: int, min_dist: float, seed, rounds: int = 8) -> DataFrame:

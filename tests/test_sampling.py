@@ -48,24 +48,36 @@ def test_take_with_negative_and_missing_counts(spark):
     assert drop_per_group(d, ["g"], "n", 1, "op", ["id"]).count() == 10
 
 
-@pytest.mark.parametrize("small", [50_000, 0])
-def test_exact_quantiles(spark, monkeypatch, small):
-    monkeypatch.setattr(ranking, "SMALL_GROUP", small)
-    monkeypatch.setattr(ranking, "SKETCH_ACCURACY", 100)
+@pytest.mark.parametrize("parts", [4096, 8])
+def test_exact_quantiles(spark, parts):
     rng = np.random.default_rng(5)
-    data = {"hot": np.concatenate([np.full(3000, 2.5), rng.lognormal(0, 2, 2000)]), "few": np.array([3.0, 1.0, 2.0]), "one": np.array([7.0])}
-    d = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v] + [("few", float("nan")), ("few", None)], "g string, x double")
+    data = {"hot": np.concatenate([np.full(3000, 2.5), rng.lognormal(0, 2, 2000)]), "few": np.array([3.0, 1.0, 2.0]), "one": np.array([7.0]), "flat": np.full(50, -1.0),
+            "wide": np.concatenate([10.0 ** rng.uniform(-300, 300, 400), -10.0 ** rng.uniform(-300, 300, 400), [0.0, -0.0, 5e-324, 1e-323]]),
+            "close": 1.0 + np.arange(300) * 2.0 ** -52, "ends": np.array([-np.inf, np.inf, 1.0, 2.0, 3.0] * 5)}
+    d = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v] + [("few", float("nan")), ("few", None), ("none", None)], "g string, x double")
     qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    if small == 0:  # brackets need groups larger than their margin
-        d, data = d.filter("g = 'hot'"), {"hot": data["hot"]}
-    got = {(r.g, r.q): r.value for r in exact_quantiles(d, ["g"], ["x"], qs).collect()}
+    got = {(r.g, r.q): r.value for r in exact_quantiles(d, ["g"], ["x"], qs, parts).collect()}
+    assert {g for g, _ in got} == set(data)
     for g, v in data.items():
         for q in qs:
-            assert got[(g, q)] == pytest.approx(np.quantile(v, q), rel=1e-12), (g, q)
-    whole = {r.q: r.value for r in exact_quantiles(d, [], ["x"], [0.5]).collect()}
+            at = np.sort(v)[[int(np.floor(q * (len(v) - 1))), int(np.ceil(q * (len(v) - 1)))]]
+            frac = q * (len(v) - 1) - np.floor(q * (len(v) - 1))
+            assert got[(g, q)] == pytest.approx(at[0] if at[0] == at[1] else at[0] * (1 - frac) + at[1] * frac, rel=1e-12, nan_ok=True), (g, q)
+    whole = {r.q: r.value for r in exact_quantiles(d, [], ["x"], [0.5], parts).collect()}
     assert whole[0.5] == pytest.approx(np.quantile(np.concatenate(list(data.values())), 0.5), rel=1e-12)
 
 
+@pytest.mark.parametrize("hot", [True, False])
+def test_ranges_of_ranks_are_of_about_equal_size(spark, monkeypatch, hot):
+    kept = []
+    write = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df: kept.append(write(df)) or kept[-1])
+    d = spark.range(40_000).select("id", (F.lit(1.0) if hot else F.rand(3)).alias("v"))
+    assert value_rank(d, [], "v", ["id"]).agg(F.countDistinct("rank"), F.max("rank")).first() == (40_000, 40_000)
+    sizes = [r["count"] for r in kept[0].groupBy("__bkt").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 40_000 / 8
+
+
 def test_value_rank_with_a_hot_value(spark):
     d = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.lit(1.5)).otherwise(F.col("id") * 37 % 991 / 100.0).alias("v"), (F.col("id") < 10).alias("g"))
     got = value_rank(d, ["g"], "v", ["id"]).collect()
