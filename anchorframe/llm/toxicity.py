@@ -343,8 +343,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 25
     known = known.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < share)
     own = docs.where(learn).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = own.join(F.broadcast(known), "id").select("label", "text").where(F.col("text").isNotNull())  # 2 * per_class ids
-    words = sample.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word"))
-    words = words.select("label", F.btrim("word", F.lit("".join(c for c in _EDGE if 31 < ord(c) < 128))).alias("word")).where(F.length("word").between(ORDER - 2, _WINDOW - 2))
+    edge = F.lit("".join(c for c in _EDGE if 31 < ord(c) < 128))
+    trimmed = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, edge))
+    words = sample.select("label", F.explode(F.array_distinct(trimmed)).alias("word")).where(F.length("word").between(ORDER - 2, _WINDOW - 2))  # a text counts once
     counted = words.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).persist()
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
@@ -353,7 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 25
     least = max(3, size[1] // 200)
 
     def odds(toxic: float, clean: float) -> float:
-        return float(np.log((toxic + 0.5) / (size[1] - toxic + 0.5) * (max(size[0] - clean, 0) + 0.5) / (clean + 0.5)))
+        return float(np.log((toxic + 0.5) / (max(size[1] - toxic, 0) + 0.5) * (max(size[0] - clean, 0) + 0.5) / (clean + 0.5)))
 
     ratio = F.log((F.col("toxic") + 0.5) / (F.lit(size[1]) - F.col("toxic") + 0.5) * (F.lit(size[0]) - F.col("clean") + 0.5) / (F.col("clean") + 0.5))
     telling = (F.col("toxic") >= least) & ((F.col("clean") == 0) | (ratio >= ODDS))
