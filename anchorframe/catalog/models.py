@@ -19,6 +19,7 @@ from anchorframe.operators.distributions import odds_map_table
 from anchorframe.operators.glm import (
     average_models, coef_table, compare_windows, crossed, fit_candidates, fit_gamma_identity, fit_logistic, fit_table,
     interaction_gate, profile_intervals, selection_table, standardized_average, standardized_effects, vif)
+from anchorframe.operators.joins import anti_join
 from anchorframe.operators.tables import keep_groups
 from anchorframe.session import materialize
 
@@ -276,6 +277,17 @@ def influence(t):
     return rounded(i.withColumn("max_cooks_d", F.col("max_cooks_d") * 1000))
 
 
+@query("refit_without_influential", f"""{_DIAG}, worst AS (SELECT region, arg_max(o_orderkey, cooks) AS k FROM dd GROUP BY 1), sig2 AS (SELECT * FROM sig WHERE o_orderkey NOT IN (SELECT k FROM worst)),
+ {newton_sql('w', 'sig2', 'region', 'y', 'price', 'crop')}, a AS ({_terms_sql('m', 'region', ['price', 'crop'], 'region, term, est')}), b AS ({_terms_sql('w', 'region', ['price', 'crop'], 'region, term, est')})
+ SELECT region, term, k AS left_out, {rsql('a.est')} AS estimate, {rsql('b.est')} AS estimate_without FROM a JOIN b USING (region, term) JOIN worst USING (region)""")
+def refitted(t):
+    d, f = _fit2(t)
+    worst = materialize(influential(row_diagnostics(d, f, ["o_orderkey"]), ["region"], "o_orderkey").select("region", F.col("max_row").alias("left_out")))
+    again = fit_logistic(anti_join(d, worst.select(F.col("left_out").alias("o_orderkey")), ["o_orderkey"]), "y", ["region"], ["price", "crop"])
+    both = coef_table(f).select("region", "term", "estimate").join(coef_table(again).select("region", "term", F.col("estimate").alias("estimate_without")), ["region", "term"])
+    return rounded(both.join(worst, "region"))
+
+
 @query("binned_residuals", f"""{_DIAG}, rk AS (SELECT region, mu, y - mu AS r, row_number() OVER (PARTITION BY region ORDER BY mu, md5('0:tie:' || o_orderkey)) AS k, n, floor(sqrt(n::DOUBLE))::BIGINT AS nb FROM dd)
  SELECT region, ((k * nb + n - 1) // n)::BIGINT AS bin, count(*) AS n, {rsql('avg(mu)')} AS mean_x, {rsql('avg(r)')} AS mean_residual, {rsql('2 * stddev_samp(r) / sqrt(count(*))')} AS two_se
  FROM rk GROUP BY 1, 2""")

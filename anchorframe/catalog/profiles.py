@@ -8,7 +8,7 @@ from anchorframe.catalog.base import query, rounded, rsql
 from anchorframe.catalog.proxies import COVER, REG_ORDERS, order_cover, regional_orders
 from anchorframe.catalog.tables import _SHARES, _TYPES, _class_shares
 from anchorframe.operators.aggregates import (
-    bad_value_report, balance_report, correlation_matrix, max_all_numeric, mean_profile_long, reconcile, row_audit,
+    bad_value_report, balance_report, correlation_matrix, max_all_numeric, mean_profile_long, mismatches, reconcile, reconcile_summary, row_audit,
     share_below, share_in_group, value_profile)
 from anchorframe.operators.tables import pivot_wide
 from anchorframe.session import materialize
@@ -97,11 +97,30 @@ def balance(t):
     return rounded(balance_report(d.filter("pa = 1"), controls, controls.filter(F.col("crop") <= 0.6), ["region"], ["crop", "hay"]))
 
 
+def _reconciled(t):
+    old = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("o_totalprice"))
+    return reconcile(t.orders.select("o_orderkey", "o_totalprice"), old, ["o_orderkey"], ["o_totalprice"], 100000)
+
+
+_RECONCILED = """n AS (SELECT o_orderkey, o_totalprice FROM orders), o AS (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS o_totalprice FROM lineitem GROUP BY 1),
+ d AS (SELECT n.o_orderkey, n.o_totalprice AS new, o.o_totalprice AS old, abs(n.o_totalprice - o.o_totalprice) AS diff FROM n LEFT JOIN o ON n.o_orderkey = o.l_orderkey)"""
+
+
+@query("reconcile_summary", f"""WITH {_RECONCILED} SELECT 'o_totalprice' AS variable, count(*) AS n, count(*) - count(old) AS n_missing, count(CASE WHEN diff > 100000 THEN 1 END) AS n_above,
+ {rsql('max(diff)', 4)} AS max_diff, {rsql('avg(diff)', 4)} AS mean_diff FROM d""")
+def reconciled_summary(t):
+    return rounded(reconcile_summary(_reconciled(t), ["o_totalprice"]), 4)
+
+
+@query("reconcile_mismatches", f"WITH {_RECONCILED} SELECT o_orderkey, 'o_totalprice' AS variable, {rsql('new', 4)} AS new, {rsql('old', 4)} AS old, {rsql('diff', 4)} AS diff FROM d WHERE diff > 100000")
+def reconciled_mismatches(t):
+    return rounded(mismatches(_reconciled(t), ["o_orderkey"], ["o_totalprice"]), 4)
+
+
 @query("reconcile", """WITH n AS (SELECT o_orderkey, o_totalprice FROM orders), o AS (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS o_totalprice FROM lineitem GROUP BY 1)
  SELECT n.o_orderkey, n.o_totalprice AS o_totalprice_new, o.o_totalprice AS o_totalprice_old, round(abs(n.o_totalprice - o.o_totalprice), 4) AS o_totalprice_diff,
  round(abs(n.o_totalprice - o.o_totalprice) / n.o_totalprice, 6) AS o_totalprice_rel, coalesce(abs(n.o_totalprice - o.o_totalprice) > 100000, false) AS o_totalprice_above
  FROM n LEFT JOIN o ON n.o_orderkey = o.l_orderkey""")
 def reconciled(t):
-    old = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("o_totalprice"))
-    out = reconcile(t.orders.select("o_orderkey", "o_totalprice"), old, ["o_orderkey"], ["o_totalprice"], 100000)
+    out = _reconciled(t)
     return out.withColumn("o_totalprice_diff", F.round("o_totalprice_diff", 4)).withColumn("o_totalprice_rel", F.round("o_totalprice_rel", 6))

@@ -177,3 +177,19 @@ def reconcile(new: DataFrame, old: DataFrame, keys: Sequence[str], cols: Sequenc
     return joined
 
 
+def reconcile_summary(diff: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Of a reconciliation, per column: rows, rows the old version lacks, rows above the tolerance, largest and mean difference."""
+    parts = F.array(*[F.struct(F.lit(c).alias("variable"), *[F.col(f"{c}__{n}").alias(n) for n in ("n", "n_missing", "n_above", "max_diff", "mean_diff")]) for c in cols])
+    aggs = []
+    for c in cols:
+        d = F.col(f"{c}_diff")
+        aggs += [F.count(F.lit(1)).alias(f"{c}__n"), F.count(F.when(F.col(f"{c}_old").isNull(), 1)).alias(f"{c}__n_missing"), F.count(F.when(F.col(f"{c}_above"), 1)).alias(f"{c}__n_above"),
+                 F.max(d).alias(f"{c}__max_diff"), F.avg(d).alias(f"{c}__mean_diff")]
+    return diff.agg(*aggs).select(F.explode(parts).alias("p")).select("p.*")
+
+
+def mismatches(diff: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """The rows of a reconciliation above the tolerance, long over the columns: keys, variable, new, old, diff."""
+    each = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"{c}_new").cast("double").alias("new"), F.col(f"{c}_old").cast("double").alias("old"), F.col(f"{c}_diff").alias("diff"),
+                              F.col(f"{c}_above").alias("above")) for c in cols])
+    return diff.select(*keys, F.explode(each).alias("p")).where("p.above").select(*keys, "p.variable", "p.new", "p.old", "p.diff")

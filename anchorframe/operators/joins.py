@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorframe.functions.text import in_list
@@ -95,6 +95,54 @@ def id_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
         F.min(F.when(~in_a & in_b, F.col(key))).alias("sample_only_b"))
 
 
+def unshared_ids(a: DataFrame, b: DataFrame, key: str, n: int) -> DataFrame:
+    """Of each side the first ``n`` ids that the other side lacks, with their place: ``side``, ``place``, the id."""
+    parts = []
+    for side, one, other in (("a", a, b), ("b", b, a)):
+        only = one.filter(F.col(key).isNotNull()).select(key).distinct().join(other.select(F.col(key).alias("__o")), F.col(key) == F.col("__o"), "left_anti")
+        first = only.orderBy(key).limit(n)  # n rows of each task at most
+        parts.append(first.select(F.lit(side).alias("side"), F.row_number().over(Window.orderBy(key)).alias("place"), key))
+    return parts[0].unionByName(parts[1])
+
+
+def _dealt(df: DataFrame, blocks: DataFrame, keys: Sequence[str], own: str, other: str) -> DataFrame:
+    """Rows of heavy keys with one block of their own side, for each block of the other one."""
+    rows = attach(df.withColumn("__at", F.monotonically_increasing_id()), blocks, keys, "inner")
+    rows = rows.withColumn(f"__{own}", F.pmod(F.xxhash64("__at"), F.col(f"__{own}_blocks")))
+    return rows.withColumn(f"__{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"__{other}_blocks") - 1))).drop("__at", "__l_blocks", "__r_blocks")
+
+
+def many_to_many_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", block: int = 10_000) -> DataFrame:
+    """All pairs of rows with equal keys (NULL matches NULL); ``how`` is ``inner`` or ``left``.
+
+    Keys are counted on both sides first. Those with more than ``block`` rows on a side are heavy: their rows are dealt to blocks of
+    about that size, by place, and each block of the left meets each of the right as a key of its own, so that no task holds
+    more than two blocks of a key. Other keys are joined as they are. The heavy keys are at most rows / ``block`` many.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("inner or left")
+    keys = list(keys)
+    counted = lambda df, n: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    big = lambda df, n: counted(df, n).where(F.col(n) > block)
+    heavy = materialize(keyed_join(big(left, "__nl"), big(right, "__nr"), keys, "full").select(*keys))
+    if heavy.isEmpty():
+        return keyed_join(left, right, keys, how)
+    sizes = attach(attach(heavy, semi_counts(left, heavy, keys, "__nl"), keys), semi_counts(right, heavy, keys, "__nr"), keys)
+    blocks = materialize(sizes.select(*keys, *[F.greatest(F.ceil(F.coalesce(n, F.lit(0)) / block), F.lit(1)).cast("long").alias(b) for n, b in (("__nl", "__l_blocks"), ("__nr", "__r_blocks"))]))
+    light = keyed_join(anti_join(left, heavy, keys), anti_join(right, heavy, keys), keys, how)
+    met = keyed_join(_dealt(left, blocks, keys, "l", "r"), _dealt(right, blocks, keys, "r", "l"), [*keys, "__l", "__r"], "inner").select(*light.columns)
+    out = light.unionByName(met)
+    if how == "left":  # heavy on the left alone
+        alone = anti_join(semi_join(left, heavy, keys), right, keys)
+        out = out.unionByName(alone.select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns if c not in keys]))
+    return out
+
+
+def semi_counts(df: DataFrame, listing: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Rows of each listed key."""
+    return semi_join(df, listing, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+
 def fan_out(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows a many-to-many join would give per left row, without making the pairs."""
     ca = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_left"))
