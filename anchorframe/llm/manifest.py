@@ -5,7 +5,7 @@ H is the lowercase hex SHA-256 of its inputs' concatenation, digests going in as
 while several nodes remain, every three neighbours become their H, the last run having fewer, even one. What remains is the
 source's subroot; subroots, by source (null first, bytewise), give the root in the same way.
 
-Only every ``STEP`` levels are stored. A stored level is a table of aligned subtrees: one row holds the 3 ** STEP nodes (or fewer)
+Only every sixth level (``step``) is stored. A stored level is a table of aligned subtrees: one row holds 3 ** 6 nodes (or fewer)
 below one node of the next stored level. Building a level reads such rows and writes only the node above. Proofs go down from the
 root: each subtree's missing interior nodes are made again from its stored descendants, every node's siblings are put before the
 path of the node above, and the interior nodes are forgotten. A task holds one subtree at a time.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from anchorframe.session import materialize
 
 STEP = 6  # levels between stored ones
-WIDTH = 3  # children of a node; the run-lengths below rely on it only through this name
+WIDTH = 3  # children of a node
 
 
 def field(value: Column) -> Column:
@@ -50,10 +50,10 @@ def _above(nodes: list[bytes]) -> list[bytes]:
     return [sha256("".join(texts[i:i + WIDTH]).encode()).digest() for i in range(0, len(texts), WIDTH)]
 
 
-def climb(nodes: list[bytes], alone: bool) -> list[list[bytes]]:
-    """All levels of a subtree, the given nodes first: up to its one node if it is the whole tree, else ``STEP`` levels up."""
+def climb(nodes: list[bytes], alone: bool, step: int = STEP) -> list[list[bytes]]:
+    """All levels of a subtree, the given nodes first: up to its one node if it is the whole tree, else ``step`` levels up."""
     levels = [nodes]
-    while len(levels[-1]) > 1 if alone else len(levels) <= STEP:
+    while len(levels[-1]) > 1 if alone else len(levels) <= step:
         levels.append(_above(levels[-1]))
     return levels
 
@@ -85,29 +85,35 @@ def fold(leaf: bytes, path: bytes) -> bytes:
     return node
 
 
-def paths(nodes: list[bytes], alone: bool, above: bytes) -> list[bytes]:
+def paths(nodes: list[bytes], alone: bool, above: bytes, step: int = STEP) -> list[bytes]:
     """The path of each node of a stored subtree, given the path of the node above it. Interior nodes are made for this and dropped."""
-    levels = climb(nodes, alone)
+    levels = climb(nodes, alone, step)
     found = [above]
     for level in levels[-2::-1]:
         found = [siblings(level, i) + found[i // WIDTH] for i in range(len(level))]
     return found
 
 
-def _tops(batches):
+def _tops(step: int):
     """The node above each stored subtree."""
-    for got in batches:
-        nodes = [climb(n, alone)[-1][0] for n, alone in zip(got.column(3).to_pylist(), got.column(4).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*got.columns[:3], pa.array(nodes, pa.binary())], names=["grp", "idx", "size", "node"])
+    def run(batches):
+        for got in batches:
+            nodes = [climb(n, alone, step)[-1][0] for n, alone in zip(got.column(3).to_pylist(), got.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*got.columns[:3], pa.array(nodes, pa.binary())], names=["grp", "idx", "size", "node"])
+
+    return run
 
 
-def _paths(batches):
+def _paths(step: int):
     """Rows (grp, block, nodes, alone, path above): the path of each node by its place."""
-    for got in batches:
-        for grp, block, nodes, alone, above in zip(*(c.to_pylist() for c in got.columns)):
-            found = paths(nodes, alone, above)
-            yield pa.RecordBatch.from_arrays([pa.array([grp] * len(found), got.schema.field(0).type), pa.array(range(block * WIDTH ** STEP, block * WIDTH ** STEP + len(found)), pa.int64()),
-                                              pa.array(found, pa.binary())], names=["grp", "idx", "path"])
+    def run(batches):
+        for got in batches:
+            for grp, block, nodes, alone, above in zip(*(c.to_pylist() for c in got.columns)):
+                found, first = paths(nodes, alone, above, step), block * WIDTH ** step
+                yield pa.RecordBatch.from_arrays([pa.array([grp] * len(found), pa.int64()), pa.array(range(first, first + len(found)), pa.int64()), pa.array(found, pa.binary())],
+                                                 names=["grp", "idx", "path"])
+
+    return run
 
 
 def _placed(rows: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -122,28 +128,28 @@ def _placed(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return found.withColumn("idx", F.col("at") + F.col("base")).drop("g", "p", "base", "at", "part")
 
 
-def _subtrees(rows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+def _subtrees(rows: DataFrame, step: int, extra: Sequence[str] = ()) -> DataFrame:
     """Placed nodes (grp, idx, size, node, extra) as stored subtrees (grp, block, size, nodes, alone, extra as arrays)."""
     held = F.sort_array(F.collect_list(F.struct("idx", "node", *extra))).alias("rows")
-    blocks = rows.groupBy("grp", F.expr(f"idx div {WIDTH ** STEP}").alias("block"), "size").agg(held)
+    blocks = rows.groupBy("grp", F.expr(f"idx div {WIDTH ** step}").alias("block"), "size").agg(held)
     arrays = [F.col(f"rows.{c}").alias(name) for c, name in (("node", "nodes"), *((c, c) for c in extra))]
-    return materialize(blocks.select("grp", "block", F.expr(f"(size + {WIDTH ** STEP - 1}) div {WIDTH ** STEP}").alias("size"), *arrays, F.expr(f"size <= {WIDTH ** STEP}").alias("alone")))
+    return materialize(blocks.select("grp", "block", F.expr(f"(size + {WIDTH ** step - 1}) div {WIDTH ** step}").alias("size"), *arrays, F.expr(f"size <= {WIDTH ** step}").alias("alone")))
 
 
-def _levels(first: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def _levels(first: DataFrame, step: int) -> tuple[list[DataFrame], DataFrame]:
     """All stored levels above the first, the first among them, and the top node of each group (grp, node)."""
     levels, tops = [first], None
     while True:
-        above = materialize(levels[-1].select("grp", "block", "size", "nodes", "alone").mapInArrow(_tops, "grp long, idx long, size long, node binary"))
+        above = materialize(levels[-1].select("grp", "block", "size", "nodes", "alone").mapInArrow(_tops(step), "grp long, idx long, size long, node binary"))
         ended = above.where("size = 1").select("grp", "node")
         tops = ended if tops is None else tops.unionByName(ended)
         going = above.where("size > 1")
         if going.isEmpty():
             return levels, materialize(tops)
-        levels.append(_subtrees(going))
+        levels.append(_subtrees(going, step))
 
 
-def _descend(levels: list[DataFrame], above: DataFrame) -> DataFrame:
+def _descend(levels: list[DataFrame], above: DataFrame, step: int) -> DataFrame:
     """The first level's subtrees, each with the path of the node above it; ``above``: grp and the path of its top node."""
     known = None
     for level in levels[::-1]:
@@ -153,11 +159,11 @@ def _descend(levels: list[DataFrame], above: DataFrame) -> DataFrame:
             ended = ended.unionByName(level.where("NOT alone").join(up, ["grp", "block"]))
         if level is levels[0]:
             return ended
-        known = materialize(ended.select("grp", "block", "nodes", "alone", "above").mapInArrow(_paths, "grp long, idx long, path binary"))
+        known = materialize(ended.select("grp", "block", "nodes", "alone", "above").mapInArrow(_paths(step), "grp long, idx long, path binary"))
     raise AssertionError("a tree has a level")
 
 
-def _proofs(root: bytes | None):
+def _proofs(root: bytes | None, step: int):
     """Of each subtree of leaves one row for each leaf: id, digests, proof and the root folded from the tampered leaf."""
     names = ["row_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
 
@@ -165,7 +171,7 @@ def _proofs(root: bytes | None):
         for got in batches:
             for ids, nodes, tampered, alone, above, subroot in zip(*(c.to_pylist() for c in got.columns)):
                 rows = []
-                for n, (leaf, path) in enumerate(zip(nodes, paths(nodes, alone, above))):
+                for n, (leaf, path) in enumerate(zip(nodes, paths(nodes, alone, above, step))):
                     proof = sha256("".join([x.hex() for left, right in parts_of(path) for x in (*left, *right)]).encode()).hexdigest()
                     folded = fold(tampered[n] or leaf, path)
                     rows.append((ids[n], leaf.hex(), subroot.hex(), root.hex(), proof, folded.hex(), folded == root))
@@ -176,7 +182,7 @@ def _proofs(root: bytes | None):
 
 
 def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), id_col: str = "doc_id", source_col: str = "source",
-             tampered: tuple[Column, dict[str, Column]] | None = None) -> DataFrame:
+             tampered: tuple[Column, dict[str, Column]] | None = None, step: int = STEP) -> DataFrame:
     """id, leaf, subroot, root, proof_sha256, folded_root and verified of every row.
 
     ``tampered`` (condition, column -> changed value) makes the leaf that is folded with the original siblings where the condition
@@ -189,13 +195,13 @@ def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang
     # Sources are numbered in their order, so that all later joins are on numbers; null has its own.
     named = materialize(_placed(placed.select(F.lit(0).cast("long").alias("grp"), F.col("grp").alias("name")).distinct(), ["name"]).select("name", F.col("idx").alias("number")))
     numbered = placed.join(named, placed["grp"].eqNullSafe(named["name"])).select(F.col("number").alias("grp"), "idx", "size", "row_id", "node", "tampered")
-    levels, subroots = _levels(_subtrees(numbered, ["row_id", "tampered"]))
+    levels, subroots = _levels(_subtrees(numbered, step, ["row_id", "tampered"]), step)
     sources = subroots.select(F.lit(0).cast("long").alias("grp"), F.col("grp").alias("idx"), F.lit(named.count()).cast("long").alias("size"), "node")
-    sources, tops = _levels(_subtrees(sources))
+    sources, tops = _levels(_subtrees(sources, step), step)
     top = tops.first()  # one row, of the tree over the sources
-    known = _descend(sources, tops.select("grp", F.lit(b"").alias("path"))).select("grp", "block", "nodes", "alone", "above")
-    known = materialize(known.mapInArrow(_paths, "grp long, idx long, path binary")).select(F.col("idx").alias("grp"), "path")
-    blocks = _descend(levels, known).join(subroots.withColumnRenamed("node", "subroot"), "grp")
+    known = _descend(sources, tops.select("grp", F.lit(b"").alias("path")), step).select("grp", "block", "nodes", "alone", "above")
+    known = materialize(known.mapInArrow(_paths(step), "grp long, idx long, path binary")).select(F.col("idx").alias("grp"), "path")
+    blocks = _descend(levels, known, step).join(subroots.withColumnRenamed("node", "subroot"), "grp")
     blocks = blocks.select("row_id", "nodes", "tampered", "alone", "above", "subroot")
     kinds = "row_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    return blocks.mapInArrow(_proofs(top["node"] if top else None), kinds).withColumnRenamed("row_id", id_col)
+    return blocks.mapInArrow(_proofs(top["node"] if top else None, step), kinds).withColumnRenamed("row_id", id_col)
