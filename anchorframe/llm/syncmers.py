@@ -73,7 +73,8 @@ def with_next(rows: DataFrame, columns: list[str], per_bucket: int = _ROWS) -> D
     """
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     step = max(1, ((high or 0) - (low or 0) + 1) * per_bucket // max(1, n))
-    bucket = F.coalesce(F.expr(f"(doc_id - {low or 0}) div {step}"), F.lit(-1)).cast("long")
+    # Ids may span more than a long holds.
+    bucket = F.coalesce(F.expr(f"(CAST(doc_id AS DECIMAL(38,0)) - CAST('{low or 0}' AS DECIMAL(38,0))) div CAST('{step}' AS DECIMAL(38,0))"), F.lit(-1)).cast("long")
     rows = rows.withColumn("bucket", bucket)
     heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("head"))
     order, every = Window.orderBy(F.desc("bucket")), Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
