@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 SURGE = 86
 WINDOW = 3
 MARKED = 4
+_READINGS = 16
 
+_HIDDEN = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|title|textarea|iframe)\b.*?(?:</(?P=raw)\s*>|\Z)"
+_UNCLOSED = re.compile(_HIDDEN, re.I | re.S)
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|title|textarea|iframe)\b.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?/][^>]*>", re.I | re.S)
+    _HIDDEN + r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?/][^>]*>", re.I | re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\s(hidden)\b", re.I)
 
 # Elements, roles and words of class and id names by their use in pages (fixed values).
@@ -57,6 +60,7 @@ def _named_other(value: str) -> bool:
     return False
 
 
+@lru_cache(maxsize=1 << 14)
 def _is_other(name: str, rest: str, in_main: bool) -> str | None:
     """Whether an element holds something else than content: by its "kind", or only by the "name" of its class or id."""
     if name in _OTHER or name == "header" and not in_main:
@@ -74,10 +78,26 @@ def _is_other(name: str, rest: str, in_main: bool) -> str | None:
     return named
 
 
-def lines_of(page: str, heeded: frozenset[int] = frozenset()) -> list[tuple[str, bool, bool, float, int | None]]:
+def _marks(page: str):
+    """Matches of markup, one after another. Behind the last ``>`` only what is hidden up to the page's end can begin.
+
+    So a tag is looked for only where one can end, and no unclosed one is read to the page's end again and again.
+    """
+    last, at = page.rfind(">"), page.find("<")
+    while 0 <= at <= last:
+        found = _MARKUP.match(page, at)
+        if found:
+            yield found
+        at = page.find("<", found.end() if found else at + 1)
+    if at >= 0 and (found := _UNCLOSED.search(page, at)):
+        yield found
+
+
+def lines_of(page: str, heeded: frozenset[int] | None = frozenset(), named: list[tuple[int, int]] | None = None) -> list[tuple[str, bool, bool, float, int | None]]:
     """(text, other, main, share of link text, place of the element that makes it other by its name) of each line.
 
-    Names of the elements at the places in ``heeded`` do not count.
+    Names of the elements at the places in ``heeded`` do not count; with None no name counts, and ``named`` receives (place, number of the
+    one around it or -1) of each element whose name would; a line then has the number of the innermost one in place of the place.
     """
     lines: list[tuple[str, bool, bool, float, int | None]] = []
     parts: list[str] = []
@@ -85,22 +105,24 @@ def lines_of(page: str, heeded: frozenset[int] = frozenset()) -> list[tuple[str,
     other: list[str] = []  # open elements from the outermost that is not content
     main: list[str] = []
     link, holder, at = 0, None, 0
+    inside: list[list] = []  # open elements whose name would count: name, open elements of that name, number
 
     def close_line():
         nonlocal links
         raw = "".join(parts)
         text = " ".join(references.unescape(raw).split())
         if text:
-            lines.append((text, bool(other), bool(main), links / max(1, len(raw)), holder if other else None))
+            within = (inside[-1][2] if inside else None) if heeded is None else holder if other else None
+            lines.append((text, bool(other), bool(main), links / max(1, len(raw)), within))
         parts.clear()
         links = 0
 
-    for m in _MARKUP.finditer(page):
+    for m in _marks(page):
         if m.start() > at:
             parts.append(page[at:m.start()])
             links += link and m.start() - at
         at = m.end()
-        name = m["name"]
+        name = m["name"] if m.re is _MARKUP else None
         if name is None:
             if m["raw"] is not None:
                 parts.append(" ")
@@ -114,7 +136,16 @@ def lines_of(page: str, heeded: frozenset[int] = frozenset()) -> list[tuple[str,
         opens = not end and name not in _VOID and not m["rest"].endswith("/")
         boundary = name not in _INLINE
         why = _is_other(name, m["rest"], bool(main)) if opens and not other else None
-        if why == "kind" or why and m.start() not in heeded:
+        if heeded is None and (why == "name" or inside and inside[-1][0] == name and not (end and name in _VOID)):
+            close_line()
+            if why == "name":
+                named.append((m.start(), inside[-1][2] if inside else -1))
+                inside.append([name, 1, len(named) - 1])
+            elif opens or end:
+                inside[-1][1] += 1 if opens else -1
+                if not inside[-1][1]:
+                    inside.pop()
+        if why == "kind" or why and heeded is not None and m.start() not in heeded:
             close_line()
             other.append(name)
             holder = m.start() if why == "name" else None
@@ -159,10 +190,28 @@ def _between(size: list[int], whole: bool = False) -> list[int]:
     return kept
 
 
+def _wrappers(page: str) -> list[int]:
+    """Places of the elements that only their names make other and that hold most of the page's text, from the outermost."""
+    named: list[tuple[int, int]] = []
+    lines = lines_of(page, None, named)
+    held = [0] * len(named)
+    for text, _, _, _, n in lines:
+        if n is not None:
+            held[n] += len(text)
+    for n in range(len(named) - 1, -1, -1):  # inner elements come later
+        if named[n][1] >= 0:
+            held[named[n][1]] += held[n]
+    most = sum(len(line[0]) for line in lines) / 2
+    return [place for (place, _), n in zip(named, held) if n > most]
+
+
 def _content_lines(page: str) -> list[tuple]:
-    """Lines that are not something else."""
+    """Lines that are not something else. A wrapper, whose name leaves out most of the text, is not heeded while no window of ``SURGE`` characters is left.
+
+    Wrappers are taken from the outermost on, one reading of the page for each; of more than ``_READINGS`` the number is found by halving.
+    """
     heeded: frozenset[int] = frozenset()
-    while True:
+    for _ in range(_READINGS):
         lines = lines_of(page, heeded)
         own = [line for line in lines if not line[1]]
         held: dict[int, int] = {}
@@ -170,11 +219,22 @@ def _content_lines(page: str) -> list[tuple]:
             if holder is not None:
                 held[holder] = held.get(holder, 0) + len(text)
         most = max(held, key=held.get, default=None)
-        if most is None or 2 * held[most] <= sum(len(line[0]) for line in lines):
-            return own
-        if max(_sums([0 if line[3] > 0.6 else len(line[0]) for line in own]), default=0) >= SURGE:
+        if most is None or 2 * held[most] <= sum(len(line[0]) for line in lines) or _surges(own):
             return own
         heeded |= {most}
+    wrappers = [w for w in _wrappers(page) if w not in heeded]
+    low, high = -1, len(wrappers)
+    while high - low > 1:
+        middle = (low + high) // 2
+        if _surges([line for line in lines_of(page, heeded.union(wrappers[:middle])) if not line[1]]):
+            high = middle
+        else:
+            low = middle
+    return [line for line in lines_of(page, heeded.union(wrappers[:high])) if not line[1]]
+
+
+def _surges(lines: list[tuple]) -> bool:
+    return max(_sums([0 if line[3] > 0.6 else len(line[0]) for line in lines]), default=0) >= SURGE
 
 
 def main_text(page: str | None) -> str:
