@@ -13,7 +13,7 @@ can leave those signatures out without losing a link. A set with more of them em
 Equal sets are one class from the start. Each set is first compared with the hub it shares most signatures with (of each
 signature, the set with most company), and linked sets are merged; then what still stands in different components under one signature is compared pair by
 pair. So components are complete, and a group of near copies costs one comparison for each member to find them. A
-pair's sizes and parity bits, a 64th of its sets, show first whether it can be similar at all; pairs that they rule out are
+pair's sizes and parity bits, some tenth of its sets, show first whether it can be similar at all; pairs that they rule out are
 never written as rows. A signature's sets meet in pairs of blocks of some ``_BLOCK`` sets, so that no task holds more than two
 blocks of a hot signature.
 
@@ -46,6 +46,7 @@ _BROADCAST_ROWS = 2_000_000  # ids of 8 bytes
 _TILE, _TILE_ELEMENTS = 1024, 1 << 20  # sets in a block, and their elements
 _BLOCK = 2048  # sets under one signature in a block
 _COLUMNS = 4096  # elements whose incidence is held at once
+_PAIRS = 1 << 14  # pairs whose parity bits are compared at once
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -142,11 +143,11 @@ def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def parity(elements: np.ndarray) -> np.ndarray:
-    """Bits (a power of two, about as many as elements) that count the elements of each hash class modulo 2.
+    """Bits (a power of two, four to eight for an element) that count the elements of each hash class modulo 2.
 
     Where two sets' bits differ, they differ in an element of that class, so sets have at least as many differences as bits.
     """
-    size = max(64, 1 << (len(elements) - 1).bit_length())
+    size = max(64, 4 << (len(elements) - 1).bit_length())
     bits = np.bincount((_mix(elements) % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8))
 
@@ -173,13 +174,22 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _some(batches, rows: int = 256):
+    """The same rows in batches of at most ``rows``."""
+    for got in batches:
+        for at in range(0, got.num_rows, rows):
+            yield got.slice(at, rows)
+
+
 def _sized(width: int):
-    """doc_id, size and name of the set of each row."""
+    """doc_id, size and name of the set of each row, and the hash of its text."""
     def run(batches):
         for got in batches:
-            sets = [shingle_set(t, width) for t in got.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([got.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())],
-                                             names=["doc_id", "n", "key"])
+            size, key = np.empty(got.num_rows, np.int64), np.empty(got.num_rows, np.int64)
+            for n, text in enumerate(got.column(1)):
+                elements = shingle_set(text.as_py(), width)
+                size[n], key[n] = len(elements), set_key(elements)
+            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(size), pa.array(key), got.column(2)], names=["doc_id", "n", "key", "x"])
 
     return run
 
@@ -188,7 +198,7 @@ def _signed_rows(width: int, num: int, den: int):
     """Signature and set name; of equal sets in a task, once."""
     def run(batches):
         done = set()
-        for got in batches:
+        for got in _some(batches):
             sigs, keys = [], []
             for text in got.column(0).to_pylist():
                 elements = shingle_set(text, width)
@@ -239,9 +249,13 @@ def _folded(bits: list[bytes], size: int) -> np.ndarray:
 
 
 def near_rows(left: tuple, right: tuple, num: int, den: int):
-    """Index pairs of sets (bits, sizes, components) on two sides, in different components, whose sizes and parity bits allow them to be similar."""
+    """Index pairs of sets (bits, sizes, components) on two sides, in different components, whose sizes and parity bits allow them to be similar.
+
+    All pairs are compared by their bits folded to an eighth; those that are left, by all bits.
+    """
     least = min(map(len, left[0] + right[0]))
-    (words, n, own), (words2, m, other) = ((_folded(x[0], least), *x[1:]) for x in (left, right))
+    (words, n, own), (words2, m, other) = ((_folded(x[0], max(8, least // 8)), *x[1:]) for x in (left, right))
+    every, every2 = (_folded(x[0], least) for x in (left, right))
     step = max(1, (1 << 20) // (words2.shape[0] * words2.shape[1]))
     for at in range(0, len(words), step):
         rows = slice(at, at + step)
@@ -250,7 +264,11 @@ def near_rows(left: tuple, right: tuple, num: int, den: int):
         maybe = ((den + num) * apart <= (den - num) * both) & (own[rows, None] != other[None])
         maybe &= den * np.minimum(n[rows, None], m[None]) >= num * np.maximum(n[rows, None], m[None])
         i, j = np.nonzero(maybe)
-        yield at + i, j
+        i = at + i
+        for low in range(0, len(i), _PAIRS):
+            x, y = i[low:low + _PAIRS], j[low:low + _PAIRS]
+            sure = (den + num) * np.bitwise_count(every[x] ^ every2[y]).sum(1, dtype=np.int64) <= (den - num) * (n[x] + m[y])
+            yield x[sure], y[sure]
 
 
 def _crossing(num: int, den: int):
@@ -299,7 +317,7 @@ def _block_pairs(crossing: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _sets(width: int):
     def run(batches):
-        for got in batches:
+        for got in _some(batches):
             sets = [shingle_set(t, width) for t in got.column(1).to_pylist()]
             own = pa.array([set_key(s) == k for s, k in zip(sets, got.column(0).to_pylist())], pa.bool_())  # else another row with this id
             yield pa.RecordBatch.from_arrays([got.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s).tobytes() for s in sets], pa.binary()),
@@ -451,7 +469,7 @@ def link(docs: DataFrame, num: int = 85, den: int = 100, width: int = 4, id_col:
 def _linked(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, n, key), sets (key, component, component_id, copies) and those with company (key, n, bits, elements)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sized = materialize(rows.mapInArrow(_sized(width), "doc_id long, n long, key long"))
+    sized = materialize(rows.select("*", F.xxhash64("text").alias("x")).mapInArrow(_sized(width), "doc_id long, n long, key long, x long"))
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = rows.select("text").mapInArrow(_signed_rows(width, num, den), "sig long, key long")
     shared = materialize(signed.repartition(parts, "sig").mapInArrow(_shared, "sig long, key long, others long"))
@@ -494,9 +512,12 @@ def _linked(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_c
 
 
 def keep_first(docs: DataFrame, num: int, den: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose id is the smallest of its component."""
+    """The rows, with all their columns, whose id is the smallest of their text's component. Of rows with one id, each is judged by its text."""
     sized, known, _ = _linked(docs, num, den, width, id_col, text_col)
-    found = materialize(sized.where("n > 0").join(known.select("key", "component_id"), "key").select("doc_id", "component_id"))
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    found = materialize(sized.where("n > 0").join(known.select("key", "component_id"), "key").select("doc_id", "x", "component_id"))
+    free = "_"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free += "_"
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(f"{free}id"), F.col("x").alias(f"{free}x")).distinct())
     few = F.broadcast(gone) if gone.count() <= _BROADCAST_ROWS else gone
-    return docs.join(few, docs[id_col] == few["_gone"], "left_anti")
+    return docs.join(few, (docs[id_col] == few[f"{free}id"]) & (F.xxhash64(docs[text_col].cast("string")) == few[f"{free}x"]), "left_anti")
