@@ -17,7 +17,8 @@ A hot passage costs a row for each of its fragments and tasks, not for each docu
 Long texts are read in slices.
 
 Null ids and null texts: a null text is empty; a row with a null id loses nothing and takes nothing from others. Rows with the
-same id take nothing from each other. Texts shorter than ``length`` are kept whole. An empty table gives an empty result.
+same id take nothing from each other, and each loses only what its own text repeats: where an id has several texts, their places
+are numbered apart. Texts shorter than ``length`` are kept whole. An empty table gives an empty result. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ _BLOCK = 1 << 20  # bytes of fragments sorted together, where one anchor has no
 _HOT = 1 << 14  # places of an anchor whose fragments one task judges
 _HELD = 1 << 27  # bytes of fragments and places that a task holds before it hands them on
 _BROADCAST_ROWS = 2_000_000
+_PLACES = 1 << 31  # places of one text; texts that share an id have places apart by this
 U4, U8 = np.uint32, np.uint64
 
 
@@ -174,7 +176,7 @@ def _fragments(length: int):
     def run(batches):
         held, hots, size = {}, set(), 0
         for got in batches:
-            for doc, text, shared, hot in zip(*(got.column(n).to_pylist() for n in range(4))):
+            for doc, text, shared, hot, base in zip(*(got.column(n).to_pylist() for n in range(5))):
                 hot = set(hot)
                 shared = np.sort(np.array(shared, np.int64))
                 for start, part in _slices(text.encode(), length):
@@ -186,13 +188,13 @@ def _fragments(length: int):
                         key = a, part[i:j + length - 1]
                         known = held.get(key)
                         if known is None:
-                            held[key] = [doc, start + i]
+                            held[key] = [doc, base + start + i]
                             size += j - i + length + 200
                             if a in hot:
                                 hots.add(a)
                                 size += (j - i) * (length + 250)  # as so many windows
                         else:
-                            known += doc, start + i
+                            known += doc, base + start + i
                             size += 64
                 if size >= _HELD:
                     yield from rows(held, hots)
@@ -208,13 +210,15 @@ def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
         return doc, start, stop
     order = np.lexsort((start, doc))
     doc, start, stop = doc[order], start[order], stop[order]
-    span = int(stop.max()) + 1
+    # Places by their rank, so that documents can follow each other on one line without an overflow.
+    place, ranks = np.unique(np.concatenate([start, stop]), return_inverse=True)
+    begin, end, span = ranks[:len(start)], ranks[len(start):], len(place) + 1
     rank = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
-    top = np.maximum.accumulate(stop + rank * span)
-    new = np.concatenate([[True], start[1:] + rank[1:] * span > top[:-1]])
+    top = np.maximum.accumulate(end + rank * span)
+    new = np.concatenate([[True], begin[1:] + rank[1:] * span > top[:-1]])
     new[1:] |= rank[1:] != rank[:-1]
     last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(doc) - 1]])
-    return doc[new], start[new], top[last] - rank[last] * span
+    return doc[new], start[new], place[top[last] - rank[last] * span]
 
 
 def _least(fragments: list[bytes], anchor: np.ndarray, own: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -305,48 +309,77 @@ def united(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def fragments_of(rows: DataFrame, length: int) -> DataFrame:
-    """What documents (doc, text) may share, by anchor, and spans that go for certain."""
-    found = rows.mapInArrow(_anchor_rows(length), "hash long, doc long")
+    """What documents (doc, text and perhaps base, the first place of the text) may share, by anchor, and spans that go for certain."""
+    if "base" not in rows.columns:
+        rows = rows.withColumn("base", F.lit(0).cast("long"))
+    found = rows.select("doc", "text").mapInArrow(_anchor_rows(length), "hash long, doc long")
     shared = found.repartition("hash").mapInArrow(_shared(_HOT), "doc long, hash long, hot boolean")
     lists = shared.groupBy("doc").agg(F.collect_list("hash").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("hash"))).alias("hots"))
-    return rows.join(materialize(lists), "doc").select("doc", "text", "shared", "hots").mapInArrow(_fragments(length), FRAGMENTS)
+    return rows.join(materialize(lists), "doc").select("doc", "text", "shared", "hots", "base").mapInArrow(_fragments(length), FRAGMENTS)
 
 
-def repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Documents that go as a whole (doc), and spans of others (doc, starts, ends)."""
+def _hashes() -> list:
+    return [F.xxhash64("text").alias("x"), F.xxhash64("text", F.lit(1)).alias("y")]
+
+
+def repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Texts that go as a whole (doc, x, y: id and hashes of the text), spans of others (doc, starts, ends), and the first place of
+    each text that shares its id with other texts (doc, x, y, base); None if there are none."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
-    texts = rows.select("doc", F.xxhash64("text").alias("x"), F.xxhash64("text", F.lit(1)).alias("y"), F.octet_length("text").alias("n"))
-    texts = materialize(texts)
+    rows = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)).select("doc", "text", *_hashes())
+    texts = materialize(rows.select("doc", "x", "y", F.octet_length("text").alias("n")))
     groups = texts.groupBy("x", "y", "n").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    copies = materialize(texts.join(groups, ["x", "y", "n"]).where("doc > least").select("doc").distinct())
-    few = F.broadcast(copies) if copies.count() <= _BROADCAST_ROWS else copies
-    rows = rows.join(few, "doc", "left_anti")
-    spans = fragments_of(rows, length).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_verdicts(length), "doc long, start long, stop long")
+    copies = materialize(texts.join(groups, ["x", "y", "n"]).where("doc > least").select("doc", "x", "y").distinct())
+    twins = texts.groupBy("doc").agg(F.count("*").alias("rows"), F.min(F.struct("x", "y")).alias("low"), F.max(F.struct("x", "y")).alias("high")).where("rows > 1 AND low <> high")
+    twins = materialize(texts.join(twins.select("doc"), "doc").select("doc", "x", "y").distinct())
+    bases = None
+    if not twins.isEmpty():
+        bases = materialize(twins.selectExpr("doc", "x", "y", f"(row_number() OVER (PARTITION BY doc ORDER BY x, y) - 1) * {_PLACES}L AS base"))
+    rows = rows.join(_few(copies), ["doc", "x", "y"], "left_anti")
+    rows = rows.withColumn("base", F.lit(0).cast("long")) if bases is None else rows.join(bases, ["doc", "x", "y"], "left").withColumn("base", F.coalesce("base", F.lit(0)))
+    spans = fragments_of(rows.select("doc", "text", "base"), length).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_verdicts(length), "doc long, start long, stop long")
     spans = spans.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("ends"))
     spans = spans.mapInArrow(_united, "doc long, starts array<long>, ends array<long>")
-    return copies, materialize(spans)
+    return copies, materialize(spans), bases
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= _BROADCAST_ROWS else rows
+
 
+_KEY, _SPANS = ["doc", "x", "y"], ["copy", "starts", "ends", "base"]
 
-def _marked(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """The rows with _copy (boolean) and the lists _starts and _ends, in columns of their own."""
-    copies, spans = repeats(docs, length, id_col, text_col)
-    copies = copies.select(F.col("doc").alias("_copy_doc"), F.lit(True).alias("_copy"))
-    spans = spans.select(F.col("doc").alias("_span_doc"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-    copies = F.broadcast(copies) if copies.count() <= _BROADCAST_ROWS else copies
-    total = spans.agg(F.coalesce(F.sum(F.size("_starts")), F.lit(0))).first()[0]
-    spans = F.broadcast(spans) if total <= _BROADCAST_ROWS else spans
-    doc = F.col(id_col).cast("long")
-    return docs.join(copies, doc == F.col("_copy_doc"), "left").join(spans, doc == F.col("_span_doc"), "left")
 
+def _marked(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns for a copy (boolean), lists of starts and ends of spans, and the text's first place; and those columns' names."""
+    copies, spans, bases = repeats(docs, length, id_col, text_col)
+    free = "_"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free += "_"
+    mine = lambda c, side: f"{free}{side}_{c}"
+    total = spans.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
+    hashed = docs.select("*", F.col(id_col).cast("long").alias(mine("doc", "own")), F.xxhash64(F.col(text_col).cast("string")).alias(mine("x", "own")),
+                         F.xxhash64(F.col(text_col).cast("string"), F.lit(1)).alias(mine("y", "own")))
 
-def _cut(data: bytes, copy: bool | None, starts: list | None, ends: list | None, length: int) -> tuple[list, bytes]:
-    """The spans that go, and what stays."""
+    def joined(rows: DataFrame, side: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        side = side.toDF(*[mine(c, name) for c in side.columns])
+        return rows.join(side, [rows[mine(c, "own")] == side[mine(c, name)] for c in keys], "left")
+
+    out = joined(hashed, _few(copies.withColumn("copy", F.lit(True))), "c", _KEY)
+    out = joined(out, F.broadcast(spans) if total <= _BROADCAST_ROWS else spans, "s", ["doc"])
+    out = out.withColumn(mine("base", "t"), F.lit(0).cast("long")) if bases is None else joined(out, bases, "t", _KEY)
+    return out, {"copy": mine("copy", "c"), "starts": mine("starts", "s"), "ends": mine("ends", "s"), "base": mine("base", "t")}
+
+
+def _cut(data: bytes, copy: bool | None, starts: list | None, ends: list | None, base: int | None, length: int) -> tuple[list, bytes]:
+    """The spans that go, and what stays; the text's places begin at ``base``."""
     if copy and len(data) >= length:
         return [(0, len(data))], b""
-    if not starts:
+    base = base or 0
+    own = [(s - base, e - base) for s, e in zip(starts or [], ends or []) if base <= s < base + _PLACES] if len(data) >= length else []
+    if not own:
         return [], data
-    gone = united(np.array(starts, np.int64), np.array(ends, np.int64))
+    gone = united(*np.array(own, np.int64).T)
     kept, at = [], 0
     for start, end in gone:
         kept.append(data[at:start])
@@ -359,16 +392,16 @@ def report(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     def run(batches):
         for got in batches:
             rows = []
-            for doc, text, copy, starts, ends in zip(*(got.column(n).to_pylist() for n in range(5))):
+            for doc, text, *found in zip(*(got.column(n).to_pylist() for n in range(6))):
                 data = (text or "").encode()
-                gone, kept = _cut(data, copy, starts, ends, length)
+                gone, kept = _cut(data, *found, length)
                 rows.append((doc, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
             columns = zip(*rows) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.string()])],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    marked = _marked(docs.select(id_col, text_col), length, id_col, text_col)
-    return marked.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), "_copy", "_starts", "_ends").mapInArrow(
+    marked, found = _marked(docs.select(id_col, text_col), length, id_col, text_col)
+    return marked.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *[found[c] for c in _SPANS]).mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -377,22 +410,21 @@ def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
 
     Bytes of a character that is cut in two go with it.
     """
-    marked = _marked(docs, length, id_col, text_col)
+    marked, found = _marked(docs, length, id_col, text_col)
     names, schema = docs.columns, docs.schema
+    marked = marked.select(*[F.col(f"`{c}`") for c in names], *[found[c] for c in _SPANS])
 
     def run(batches):
         for got in batches:
-            texts = []
-            for text, copy, starts, ends in zip(*(got.column(got.schema.get_field_index(n)).to_pylist() for n in (text_col, "_copy", "_starts", "_ends"))):
-                if text is None or not copy and not starts:
-                    texts.append(text)
-                else:
-                    texts.append(_cut(text.encode(), copy, starts, ends, length)[1].decode(errors="ignore"))
-            columns = {n: got.column(got.schema.get_field_index(n)) for n in names}
+            texts, gone = [], []
+            for text, *spans in zip(got.column(names.index(text_col)).to_pylist(), *(got.column(len(names) + n).to_pylist() for n in range(len(_SPANS)))):
+                cut, kept = ([], b"") if text is None else _cut(text.encode(), *spans, length)
+                texts.append(kept.decode(errors="ignore") if cut else text)
+                gone.append(bool(cut) and not texts[-1].strip())
+            columns = dict(zip(names, got.columns))
             columns[text_col] = pa.array(texts, pa.string())
             if chars_col in columns:
                 columns[chars_col] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            gone = pa.array([t is not None and not t.strip() and (bool(c) or bool(s)) for t, c, s in zip(texts, *(got.column(got.schema.get_field_index(n)).to_pylist() for n in ("_copy", "_starts")))], pa.bool_())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names).filter(pa.compute.invert(gone))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names).filter(pa.compute.invert(pa.array(gone, pa.bool_())))
 
     return marked.mapInArrow(run, schema)
