@@ -205,11 +205,12 @@ class Model:
     slopes: np.ndarray = field(default_factory=lambda: np.zeros(TOP))
     shift: float = 0.0
     constant: float | None = None
-    known: dict = field(default_factory=dict)
+    known: dict = field(default_factory=dict)  # of tokens
+    plain: dict = field(default_factory=dict)  # of words without their edges, as tokens share them
     table: Landmarks | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "table": None}
+        return self.__dict__ | {"known": {}, "plain": {}, "table": None}
 
     def margins(self, words: list[str]) -> np.ndarray:
         if self.table is None:
@@ -222,16 +223,17 @@ class Model:
         if not new:
             return
         parts = [_plain(t) for t in new]
-        words = sorted({w for p in parts for w in p})
-        margin = dict(zip(words, self.margins(words).tolist()))
+        words = sorted({w for p in parts for w in p if w not in self.plain})
+        if words:
+            self.plain.update(zip(words, self.margins(words).tolist()))
         for token, part in zip(new, parts):
-            self.known[token] = max((margin[w] for w in part), default=self.bias)
+            self.known[token] = max((self.plain[w] for w in part), default=self.bias)
 
     def best(self, texts: list[str | None]) -> list[list[tuple[float, str | None]]]:
         """The ``TOP`` largest margins in each text, with their words."""
         tokens = [words_of(t) for t in texts]
         if len(self.known) > _KNOWN:
-            self.known = {}
+            self.known, self.plain = {}, {}
         self.learn(set().union(*tokens) if tokens else set())
         none = [(self.bias, None)] * TOP
         return [(nlargest(TOP, [(self.known[t], t) for t in own]) + none)[:TOP] for own in tokens]
