@@ -2,11 +2,12 @@
 
 import hashlib
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from anchorframe.llm import jaccard, queries, substrings, toxicity
+from anchorframe.llm import html, jaccard, queries, substrings, syncmers, toxicity
 from conftest import SF_DIR
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _starts string, _c_copy string, _gone string"
@@ -95,3 +96,32 @@ def test_a_word_with_different_marks_counts_once_in_a_text(spark):
     model = toxicity.train(docs, labels, F.lit(True))
     got = {r.doc_id: r.score for r in toxicity.predict(docs, model, F.lit(False)).collect()}
     assert min(s for i, s in got.items() if i >= 100) > 0.5 > max(s for i, s in got.items() if i < 100)
+
+
+def test_fingerprints_of_ids_wider_than_a_long(spark):
+    rows = [(-2 ** 63, "first text of some length, twice over"), (2 ** 63 - 1, "last text of some length, twice over"), (0, "middle"), (5, None), (None, "none")]
+    got = {r.doc_id: r for r in syncmers.fingerprints(frame(spark, rows)).collect()}
+    whole = rows[1][1]
+    assert len(got) == 5 and got[2 ** 63 - 1].n_chars == len(whole)
+    assert got[2 ** 63 - 1].edited_sha256 == hashlib.sha256((whole[:len(whole) - len(whole) // 2] + "").encode()).hexdigest()  # the next one, of id 5, is null
+    assert got[5].n_chars == 0
+
+
+@pytest.mark.parametrize("page", [170_000 * "<a ", 170_000 * "<a \"", 100_000 * "<a \"><b '>", 250_000 * "<!-", 60_000 * "<script>", 3_000 * '<div class="ad">' + "text " * 40])
+def test_hostile_pages_are_read_in_time(page):
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 8
+
+
+def test_what_is_open_at_the_end_of_a_page_stays_hidden():
+    text = "A paragraph that is long enough to surge, as it has well over eighty-six characters in one line of text."
+    for end in ("<!-- hidden > too", "<script>var a > b", "<!-- hidden", "<script", "<![CDATA[ x > y"):
+        assert html.main_text(f"<article><p>{text}</p></article>{end}") == text
+    assert html.main_text(f"<article><p>{text} 3 < 4</p></article>") == text + " 3 < 4"
+
+
+def test_more_wrappers_than_readings_of_the_page():
+    text = "A paragraph that is long enough to surge, as it has well over eighty-six characters in one line of text."
+    page = "<div class='ad'>" * 40 + f"<p>{text}</p>" + "</div>" * 40
+    assert html.main_text(page) == text
