@@ -28,12 +28,13 @@ with the same id each is a row of its own. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorframe.llm.components import components
@@ -46,6 +47,7 @@ _BROADCAST_ROWS = 2_000_000  # ids of 8 bytes
 _TILE, _TILE_ELEMENTS = 1024, 1 << 20  # sets in a block, and their elements
 _BLOCK = 2048  # sets under one signature in a block
 _COLUMNS = 4096  # elements whose incidence is held at once
+_ROWS = 512  # rows of texts or of pairs of sets in a batch
 _PAIRS = 1 << 14  # pairs whose parity bits are compared at once
 
 
@@ -224,12 +226,12 @@ def _shared(batches):
     if not got:
         return
     sig, key = (np.concatenate(x) for x in zip(*got))
+    del got
     if not len(sig):
         return
-    order = np.argsort(key, kind="stable")
-    sig, key = sig[order], key[order]
-    order = np.argsort(sig, kind="stable")
+    order = np.lexsort((key, sig))
     sig, key = sig[order], key[order]
+    del order
     keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
     sig, key = sig[keep], key[keep]
     first, size = _runs(sig)
@@ -466,8 +468,26 @@ def link(docs: DataFrame, num: int = 85, den: int = 100, width: int = 4, id_col:
                                                    F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int):
+    """Tasks started inside hand Python at most so many rows at a time, as a pair's two sets may be large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _linked(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n, key), sets (key, component, component_id, copies) and those with company (key, n, bits, elements)."""
+    """Rows (doc_id, n, key, x), sets (key, component, component_id, copies) and those with company (key, n, bits, elements)."""
+    with _small_batches(docs.sparkSession, _ROWS):  # all tables below are written here
+        return _components_of(docs, num, den, width, id_col, text_col)
+
+
+def _components_of(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of ``_linked``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sized = materialize(rows.select("*", F.xxhash64("text").alias("x")).mapInArrow(_sized(width), "doc_id long, n long, key long, x long"))
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
