@@ -10,12 +10,18 @@ Signatures of partitions without any element would bring unlike sets together. T
 ``spare`` extra ones, more than ``spare`` groups agree, so a set with at most that many groups that have an empty subset
 can leave those signatures out without losing a link. A set with more of them emits them all.
 
+The spare groups serve once more when it is known how many sets each signature has: similar sets have several signatures in
+common (``least_common``), so each set gives up one less of its own, those that most sets have. All sets judge a signature
+alike, so of the ones that two similar sets share, the one with fewest sets stays in both. Most sets that merely
+share a passage have nothing left then.
+
 Equal sets are one class from the start. Each set is first compared with the hub it shares most signatures with (of each
 signature, the set with most company), and linked sets are merged; then what still stands in different components under one signature is compared pair by
 pair. So components are complete, and a group of near copies costs one comparison for each member to find them. A
 pair's sizes and parity bits, some tenth of its sets, show first whether it can be similar at all; pairs that they rule out are
 never written as rows. A signature's sets meet in pairs of blocks of some ``_BLOCK`` sets, so that no task holds more than two
-blocks of a hot signature.
+blocks of a hot signature. Under a signature of a few sets the pairs are rows from the start, each once before its bits are compared, as
+a pair has many signatures in common as a rule.
 
 All links lie inside components, so the links of each set are counted there: a component's sets are cut into bands of size and
 blocks of at most some ``_TILE`` sets, and each pair of blocks whose sizes allow a link is one tile, in which the common elements of
@@ -31,10 +37,11 @@ import re
 from contextlib import contextmanager
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from anchorframe.llm.components import components
@@ -46,9 +53,11 @@ _SPACE = re.compile(rb"[ \t-\r]")
 _BROADCAST_ROWS = 2_000_000  # ids of 8 bytes
 _TILE, _TILE_ELEMENTS = 1024, 1 << 20  # sets in a block, and their elements
 _BLOCK = 2048  # sets under one signature in a block
+_FEW_SETS = 8  # sets under one signature whose pairs become rows before their bits are compared
 _COLUMNS = 4096  # elements whose incidence is held at once
 _ROWS = 512  # rows of texts or of pairs of sets in a batch
 _PAIRS = 1 << 14  # pairs whose parity bits are compared at once
+_GATHERED = 1 << 18  # signatures gathered before they are dealt out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -118,16 +127,48 @@ def scheme(instance: int, num: int, den: int) -> tuple[int, int, int, int]:
     return need + spare, 3, 1, spare
 
 
+def least_common(instance: int, num: int, den: int) -> int:
+    """The least number of signatures that two similar sets of an instance have in common, those of empty partitions among them.
+
+    A group has three signatures in common where the sets don't differ, one where they differ once, and perhaps none beyond.
+    """
+    n1, n2, _, _ = scheme(instance, num, den)
+    k = 2 * _BANDS[num, den][instance + 1] * (den - num) // (den + num)
+    return 1 if n2 == 1 else max(3 * n1 - 2 * k, 2 * n1 - k)
+
+
+def _dealt(elements: np.ndarray, instance: int, n: int) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+    """An instance's seed, and of its ``n`` partitions that of each element and the sizes."""
+    seed = np.uint64((instance + 1) * int(_C1) % (1 << 64))
+    part = (_mix(elements + seed) % np.uint64(n)).astype(np.int64)
+    return seed, part, np.bincount(part, minlength=n)
+
+
+def spared(elements: np.ndarray, num: int, den: int) -> tuple[int, int]:
+    """How many of its signatures with an even and with an odd mark a set can give up."""
+    out = [0, 0]
+    if len(elements):
+        band = band_of(len(elements), num, den)
+        for instance in range(max(0, band - 1), band + 1):
+            n1, n2, k2, spare = scheme(instance, num, den)
+            out[instance & 1] = least_common(instance, num, den) - 1
+            empty = _dealt(elements, instance, n1 * n2)[2].reshape(n1, n2) == 0
+            some = empty[empty.sum(1) >= n2 - k2].sum(1).tolist()
+            if some:  # signatures left out already, or all of them kept
+                gone = sum(comb(e, n2 - k2) for e in some)
+                out[instance & 1] = max(0, out[instance & 1] - gone) if len(some) <= spare else 0
+    return out[0], out[1]
+
+
 def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
-    """All signatures of a set, for the two instances that its band belongs to."""
+    """All signatures of a set, for the two instances that its band belongs to. The lowest bit marks odd instances."""
     if not len(elements):
         return elements
     band, out = band_of(len(elements), num, den), []
     for instance in range(max(0, band - 1), band + 1):
         n1, n2, k2, spare = scheme(instance, num, den)
-        seed = np.uint64((instance + 1) * int(_C1) % (1 << 64))
-        part = (_mix(elements + seed) % np.uint64(n1 * n2)).astype(np.int64)
-        sums, sizes = np.zeros(n1 * n2, np.uint64), np.bincount(part, minlength=n1 * n2)
+        seed, part, sizes = _dealt(elements, instance, n1 * n2)
+        sums = np.zeros(n1 * n2, np.uint64)
         np.add.at(sums, part, _mix(elements * _C1 + seed))
         sums = _mix(sums + sizes.astype(np.uint64) * _C1).reshape(n1, n2)
         sizes = sizes.reshape(n1, n2)
@@ -140,7 +181,7 @@ def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
             empty.append(sizes[:, list(subset)].sum(1) == 0)
         empty = np.array(empty)
         skip = empty if empty.any(0).sum() <= spare else np.zeros_like(empty)
-        out.append(np.array(found)[~skip])
+        out.append(np.array(found)[~skip] >> np.uint64(1) << np.uint64(1) | np.uint64(instance & 1))
     return np.concatenate(out)
 
 
@@ -183,33 +224,47 @@ def _some(batches, rows: int = 256):
             yield got.slice(at, rows)
 
 
-def _sized(width: int):
-    """doc_id, size and name of the set of each row, and the hash of its text."""
+def _sized(width: int, num: int, den: int):
+    """doc_id, size and name of the set of each row, the hash of its text, and how many signatures the set can give up."""
     def run(batches):
         for got in batches:
-            size, key = np.empty(got.num_rows, np.int64), np.empty(got.num_rows, np.int64)
+            size, key, spare = np.empty(got.num_rows, np.int64), np.empty(got.num_rows, np.int64), np.empty((2, got.num_rows), np.int64)
             for n, text in enumerate(got.column(1)):
                 elements = shingle_set(text.as_py(), width)
                 size[n], key[n] = len(elements), set_key(elements)
-            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(size), pa.array(key), got.column(2)], names=["doc_id", "n", "key", "x"])
+                spare[:, n] = spared(elements, num, den)
+            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(size), pa.array(key), got.column(2), pa.array(spare[0]), pa.array(spare[1])],
+                                             names=["doc_id", "n", "key", "x", "even", "odd"])
 
     return run
 
 
-def _signed_rows(width: int, num: int, den: int):
-    """Signature and set name; of equal sets in a task, once."""
+def _signed_rows(width: int, num: int, den: int, parts: int):
+    """Signatures and set names, gathered by the part that the signature belongs to; of equal sets in a task, once."""
+    def gathered(sigs, keys):
+        sig, key = np.concatenate(sigs), np.repeat(np.array(keys, np.int64), [len(x) for x in sigs])
+        part = ((sig >> np.uint64(1)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        first, size = _runs(part[order])
+        ends = pa.array(np.concatenate([first, [len(sig)]]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (_signed(sig), key)]
+        return pa.RecordBatch.from_arrays([pa.array(part[order][first]), *lists], names=["part", "sig", "key"])
+
     def run(batches):
-        done = set()
+        done, sigs, keys, n = set(), [], [], 0
         for got in _some(batches):
-            sigs, keys = [], []
             for text in got.column(0).to_pylist():
                 elements = shingle_set(text, width)
                 if len(elements) and (key := set_key(elements)) not in done:
                     done.add(key)
                     sigs.append(signatures(elements, num, den))
-                    keys.append(np.full(len(sigs[-1]), key, np.int64))
-            if sigs:
-                yield _table({"sig": _signed(np.concatenate(sigs)), "key": np.concatenate(keys)})
+                    keys.append(key)
+                    n += len(sigs[-1])
+                if n > _GATHERED:
+                    yield gathered(sigs, keys)
+                    sigs, keys, n = [], [], 0
+        if n:
+            yield gathered(sigs, keys)
 
     return run
 
@@ -221,8 +276,8 @@ def _runs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(batches):
-    """Of the partition's signatures those that several sets have: sig, key, and how many others have it."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    """Of the partition's signatures (in lists) those that several sets have: sig, key, and how many others have it."""
+    got = [(b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()) for b in batches]
     if not got:
         return
     sig, key = (np.concatenate(x) for x in zip(*got))
@@ -239,6 +294,16 @@ def _shared(batches):
     yield _table({"sig": sig[many], "key": key[many], "others": np.repeat(size - 1, size)[many]})
 
 
+def _kept(shared: DataFrame, sized: DataFrame) -> DataFrame:
+    """Signatures that several sets still have when each has given up those it can, the ones with most sets first."""
+    spare = sized.where("n > 0").select("key", "even", "odd").distinct()
+    mark = F.col("sig").bitwiseAND(F.lit(1))
+    place = F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.desc("others"), "sig"))
+    left = shared.join(spare, "key").withColumn("mark", mark).withColumn("place", place)
+    left = left.where(F.col("place") > F.when(F.col("mark") == 0, F.col("even")).otherwise(F.col("odd"))).select("sig", "key")
+    return left.withColumn("others", F.count("*").over(Window.partitionBy("sig")) - 1).where("others > 0")
+
+
 def _folded(bits: list[bytes], size: int) -> np.ndarray:
     """Parity bits of sets, brought to ``size`` bytes each, as rows of 64-bit words."""
     folded = np.empty((len(bits), size), np.uint8)
@@ -317,6 +382,13 @@ def _block_pairs(crossing: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.select("sig", F.least("block", "met").alias("low"), F.greatest("block", "met").alias("high"), (F.col("block") <= F.col("met")).alias("side"), "key", "component", "n", "bits")
 
 
+def _pairs_of_few(crossing: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components under signatures of at most ``_FEW_SETS`` sets (sig, key, component)."""
+    own = crossing.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("key", "component"))).alias("own"))
+    pairs = own.select(F.explode("own").alias("x"), "own").select("x", F.explode("own").alias("y"))
+    return pairs.where("x.key < y.key AND x.component <> y.component").select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+
+
 def _sets(width: int):
     def run(batches):
         for got in _some(batches):
@@ -489,10 +561,11 @@ def _linked(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_c
 def _components_of(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The tables of ``_linked``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sized = materialize(rows.select("*", F.xxhash64("text").alias("x")).mapInArrow(_sized(width), "doc_id long, n long, key long, x long"))
+    sized = materialize(rows.select("*", F.xxhash64("text").alias("x")).mapInArrow(_sized(width, num, den), "doc_id long, n long, key long, x long, even long, odd long"))
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = rows.select("text").mapInArrow(_signed_rows(width, num, den), "sig long, key long")
-    shared = materialize(signed.repartition(parts, "sig").mapInArrow(_shared, "sig long, key long, others long"))
+    signed = rows.select("text").mapInArrow(_signed_rows(width, num, den, parts), "part int, sig array<long>, key array<long>")
+    shared = materialize(signed.repartitionById(parts, "part").select("sig", "key").mapInArrow(_shared, "sig long, key long, others long"))
+    shared = materialize(_kept(shared, sized))
     # One row with each set that has candidates. Few ids are sent to all tasks; many are joined.
     first = sized.where("n > 0").join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     first = materialize(first)
@@ -520,9 +593,11 @@ def _components_of(docs: DataFrame, num: int, den: int, width: int, id_col: str,
     named = shared.join(tree, shared["key"] == tree["node"], "left").select("sig", "key", F.coalesce("component", "key").alias("component"))
     mixed = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("sets")).where("low < high").select("sig", "sets")
     mixed = materialize(mixed)
-    crossing = named.join(mixed.select("sig"), "sig").join(sets.select("key", "n", "bits"), "key").select("sig", "key", "component", "n", "bits")
-    crossing = _block_pairs(crossing, mixed)
-    crossing = crossing.repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(_crossing(num, den), "a long, b long").distinct()
+    named = materialize(named.join(mixed, "sig").select("sig", "key", "component", "sets"))
+    crossing = named.where(F.col("sets") > _FEW_SETS).join(sets.select("key", "n", "bits"), "key").select("sig", "key", "component", "n", "bits")
+    crossing = _block_pairs(crossing, mixed.where(F.col("sets") > _FEW_SETS))
+    crossing = crossing.repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(_crossing(num, den), "a long, b long")
+    crossing = crossing.unionByName(_pairs_of_few(named.where(F.col("sets") <= _FEW_SETS))).distinct()
     links = links.unionByName(verify(materialize(crossing.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))).where("linked"))
     tree = components(links)
     known = sized.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(tree, F.col("key") == F.col("node"), "left")

@@ -384,6 +384,56 @@ def test_similar_sets_share_a_signature():
                 assert not jaccard.far(jaccard.parity(a), jaccard.parity(b), len(a), len(b), 85, 100)
 
 
+def test_similar_sets_have_a_signature_left_when_each_gives_up_some():
+    rng, given = np.random.default_rng(6), 0
+    for num in (85, 80):
+        for size in [*range(1, 40), 90, 400]:
+            for _ in range(10):
+                a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+                drop, add = rng.integers(0, size * (100 - num) // 100 + 1, 2)
+                b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64)]))
+                if not len(b) or not jaccard.similar(a, b, num, 100):
+                    continue
+                both = np.intersect1d(jaccard.signatures(a, num, 100), jaccard.signatures(b, num, 100)) & np.uint64(1)
+                bands = [jaccard.band_of(len(x), num, 100) for x in (a, b)]
+                for instance in range(max(0, max(bands) - 1), min(bands) + 1):
+                    most = max(jaccard.spared(x, num, 100)[instance & 1] for x in (a, b))
+                    given += most
+                    assert (both == instance & 1).sum() > most
+    assert given
+
+
+def test_sets_that_share_a_passage_are_no_candidates(spark):
+    rng = np.random.default_rng(7)
+    passage = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 63, 200).astype(np.uint64)])) for _ in range(12)]
+    sets.append(np.unique(np.concatenate([sets[0][4:], rng.integers(0, 1 << 63, 3).astype(np.uint64)])))  # similar to the first
+    rows = [(int(sig), n) for n, x in enumerate(sets) for sig in jaccard.signatures(x, 85, 100).view(np.int64)]
+    count = Counter(sig for sig, _ in rows)
+    shared = [(sig, n, count[sig] - 1) for sig, n in rows if count[sig] > 1]
+    sized = spark.createDataFrame([(n, len(x), *jaccard.spared(x, 85, 100)) for n, x in enumerate(sets)], "key long, n long, even long, odd long")
+    kept = jaccard._kept(spark.createDataFrame(shared, "sig long, key long, others long"), sized).collect()
+    assert {n for _, n, _ in shared} > {0, 12} and {r.key for r in kept} == {0, 12}
+
+
+def test_signatures_are_gathered_by_part(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_GATHERED", 3000)
+    texts = [" ".join(f"w{n * (m + 3) % 211}" for n in range(200)) for m in range(40)]
+    texts += [None, "", texts[0]]
+    sets = {jaccard.set_key(x): x for x in (jaccard.shingle_set(t, 4) for t in texts) if len(x)}
+    want = sorted((int(sig), key) for key, x in sets.items() for sig in jaccard.signatures(x, 85, 100).view(np.int64))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    rows = rows.mapInArrow(jaccard._signed_rows(4, 85, 100, 5), "part int, sig array<long>, key array<long>").collect()
+    assert sorted(x for r in rows for x in zip(r.sig, r.key)) == want and 5 < len(rows) < 100
+    assert all((sig % (1 << 64) >> 1) % 5 == r.part for r in rows for sig in r.sig)
+
+
+def test_pairs_under_signatures_of_a_few_sets(spark):
+    rows = [(1, 5, 5), (1, 7, 5), (1, 9, 9), (2, 9, 9), (2, 5, 5), (3, 4, 4)]
+    found = jaccard._pairs_of_few(spark.createDataFrame(rows, "sig long, key long, component long")).collect()
+    assert sorted((r.a, r.b) for r in found) == [(5, 9), (5, 9), (7, 9)]
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(n, n + 1) for n in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
