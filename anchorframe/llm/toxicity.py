@@ -36,6 +36,7 @@ ODDS = 3.0  # least log-odds ratio of a witness that clean texts have too
 TOP = 3  # words of a text that its score depends on
 _KNOWN = 400_000  # margins of words kept by a worker
 _EDGE = "".join(c for c in map(chr, range(0x3000)) if not c.isalpha() and not c.isspace())
+_ASCII_EDGE = "".join(c for c in _EDGE if c.isascii())  # a short set strips faster
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -118,10 +119,11 @@ class Landmarks:
         self.row[small] = np.flatnonzero(frequent)
 
     def _keys(self, codes: np.ndarray, places: np.ndarray, base: int, kind: type) -> np.ndarray:
-        keys = np.zeros((len(codes), places.shape[1]), kind)
-        for row in places:
-            keys *= kind(base)
-            keys += codes[:, row]
+        """Keys of four characters each, put together from those of all pairs of places."""
+        codes, size = codes.astype(kind), codes.shape[1]
+        pairs = (codes[:, :, None] * kind(base) + codes[:, None, :]).reshape(len(codes), -1)
+        keys = np.take(pairs * kind(base * base), places[0] * size + places[1], 1)
+        keys += np.take(pairs, places[2] * size + places[3], 1)
         return keys
 
     def _rows(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -177,6 +179,9 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 def words_of(text: str | None) -> list[str]:
     """The words of a text that a margin is asked for, each as often as it occurs."""
     tokens = (text or "").lower().split()
+    single = [n for n, t in enumerate(tokens) if len(t) == 1]
+    if not any(b - a == 2 for a, b in zip(single, single[2:])):
+        return tokens
     found, run = tokens[:], []
     for token in [*tokens, "--"]:
         if len(token) == 1 and token.isalpha():
@@ -190,7 +195,7 @@ def words_of(text: str | None) -> list[str]:
 
 def _plain(token: str) -> list[str]:
     """Words without their edges, long ones in windows."""
-    word = token.strip(_EDGE)
+    word = token if token[:1].isalpha() and token[-1:].isalpha() else token.strip(_ASCII_EDGE if token.isascii() else _EDGE)
     if len(word) < ORDER - 2:
         return []
     word = _START + word + _END
@@ -227,7 +232,7 @@ class Model:
         if words:
             self.plain.update(zip(words, self.margins(words).tolist()))
         for token, part in zip(new, parts):
-            self.known[token] = max((self.plain[w] for w in part), default=self.bias)
+            self.known[token] = self.plain[part[0]] if len(part) == 1 else max((self.plain[w] for w in part), default=self.bias)
 
     def best(self, texts: list[str | None]) -> list[list[tuple[float, str | None]]]:
         """The ``TOP`` largest margins in each text, with their words."""
@@ -235,8 +240,12 @@ class Model:
         if len(self.known) > _KNOWN:
             self.known, self.plain = {}, {}
         self.learn(set().union(*tokens) if tokens else set())
-        none = [(self.bias, None)] * TOP
-        return [(nlargest(TOP, [(self.known[t], t) for t in own]) + none)[:TOP] for own in tokens]
+        none, found = [(self.bias, None)] * TOP, []
+        for own in tokens:
+            margins = list(map(self.known.__getitem__, own))
+            least = min(nlargest(TOP, margins), default=0.0)
+            found.append((nlargest(TOP, [(m, t) for m, t in zip(margins, own) if m >= least]) + none)[:TOP])
+        return found
 
     def score(self, margins: list[float]) -> float:
         if self.constant is not None:
