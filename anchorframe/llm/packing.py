@@ -101,8 +101,11 @@ def _counter(partition: int) -> Iterator[int]:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: Iterable[int] = TIERS, round_tokens: int = 2_000_000,
-         step_tokens: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of documents in sequences: each id of each document in exactly one piece."""
+         step_tokens: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+    """Pieces of documents in sequences: each id of each document in exactly one piece.
+
+    Without ``keep`` a worker forgets its encoder's pieces when a task ends, as stages after it may need that memory.
+    """
     tiers = tuple(sorted(tiers))
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     kinds = [pa.int32() if f.split()[1] == "int" else pa.int64() for f in SCHEMA.split(", ")]
@@ -131,5 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: Iterable[int] = TI
                     held = {d: held[d] for d in {s[2] for s in packer.rest}}
         if packer.total:
             yield batch(_rows(packer, held, True, ids, groups, step_tokens))
+        if not keep:
+            encoder.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)

@@ -81,6 +81,10 @@ class PieceEncoder:
             _SHARED[path] = cls(path)
         return _SHARED[path]
 
+    def forget(self) -> None:
+        """Gives up the memory of all pieces seen."""
+        self.new, self.old, self.runs = {}, {}, {}
+
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 

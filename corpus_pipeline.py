@@ -40,7 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 512 to 4096 ids."""
-    return packing.pack(docs, tokenizer_path(WORD_BPE), WORD_END)
+    return packing.pack(docs, tokenizer_path(WORD_BPE), WORD_END, keep=False)
 
 
 STAGES = [("language_id", known_language), ("jaccard_join", one_of_each), ("suffix_dedup", without_repeats), ("mixing", mixed), ("packing", packed)]

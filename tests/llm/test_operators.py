@@ -3,6 +3,7 @@
 import hashlib
 import html as references
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -434,6 +435,35 @@ def test_pairs_under_signatures_of_a_few_sets(spark):
     assert sorted((r.a, r.b) for r in found) == [(5, 9), (5, 9), (7, 9)]
 
 
+def test_edges_of_words_are_cut_by_short_sets():
+    odd = ["word", "(word)", "\u00abword\u00bb", "-a", "w\u00e9", "\u2026word!", "123word", "a" * 30 + ".", "...", "\u4e00word", "word\u4e00", "\U0001f600ab"]
+    for token in odd:
+        word = token.strip(toxicity._EDGE)
+        assert [w[1:] for w in toxicity._plain(token)[:1]] in ([], [word[:16]], [word + toxicity._END])
+    assert toxicity._ASCII_EDGE.isascii() and set(toxicity._ASCII_EDGE) == {c for c in toxicity._EDGE if c.isascii()}
+    assert toxicity.words_of("a b x yz q r") == "a b x yz q r abx".split() and toxicity.words_of("a bc d e") == "a bc d e".split()
+
+
+def test_packing_may_forget_its_pieces(spark, docs, tmp_path):
+    import pyarrow as pa
+
+    path = str(tmp_path / "own.json")  # an encoder that no other test has
+    shutil.copy(tokens.tokenizer_path(queries.WORD_BPE), path)
+
+    def held(batches):
+        for got in batches:
+            own = tokens._SHARED.get(path)
+            yield pa.RecordBatch.from_arrays([pa.array([len(own.new) + len(own.runs) if own else 0] * got.num_rows)], names=["n"])
+
+    plain, forgot = (sorted(map(tuple, packing.pack(docs, path, 2, keep=keep).collect())) for keep in (True, False))
+    assert plain == forgot
+    other = str(tmp_path / "other.json")
+    shutil.copy(path, other)
+    path = other
+    packing.pack(docs, path, 2, keep=False).collect()
+    assert spark.range(0, 64, 1, 16).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(n, n + 1) for n in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
