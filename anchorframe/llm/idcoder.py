@@ -37,41 +37,42 @@ _HEAD = "<4sIIII"  # magic, ids, lanes, size of the vocabulary, crc32 of the ids
 _TOTAL = 24  # bits of a mixed distribution
 _BASE = 21  # bits of the order-0 distribution
 _SLOTS = 18  # bits of the order-2 table
+_CELL = 5  # bits of the cells of the order-0 distribution in which an id is searched
 _EVERY = 16  # steps between two refreshes of the order-0 table
 _LANES = 4096
-U = np.uint64
+_SMALL = 1 << 32  # intervals below this give up a digit
 BLOCK_SCHEMA = "shard int, block int, start long, ids long, payload binary"
 PIECE_SCHEMA = "shard int, doc_start long, doc_id long, doc_tokens long, crc long"
 
 
 class _Guesses:
-    """One guess and its confidence (0 to 7) for each context."""
+    """One guess and its confidence (0 to 7) for each context; a table entry is eight times the guess, plus the confidence."""
 
     def __init__(self, slots: int):
-        self.guess = np.zeros(slots, np.int32)
-        self.sure = np.zeros(slots, np.int8)
+        self.table = np.zeros(slots, np.int32)
         self.right = np.ones(8, np.int64)
         self.tried = np.full(8, 2, np.int64)
-        self.chance = np.zeros(8, U)
+        self.chance = np.zeros(8, np.int64)
 
     def look(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Guess, confidence, and the chance in 65536ths that it is right."""
-        sure = self.sure[at]
-        return self.guess[at], sure, self.chance[sure]
+        entry = self.table.take(at).astype(np.int64)
+        sure = entry & 7
+        return entry >> 3, sure, self.chance.take(sure)
 
     def learn(self, at: np.ndarray, guess: np.ndarray, sure: np.ndarray, ids: np.ndarray, count: bool) -> None:
         hit = guess == ids
         if count:
             self.tried += np.bincount(sure, minlength=8)
             self.right += np.bincount(sure[hit], minlength=8)
-            self.chance = ((self.right << 16) // self.tried).astype(U)
+            self.chance = (self.right << 16) // self.tried
             self.chance[0] = 0
-        self.guess[at] = np.where(hit | (sure > 1), guess, ids)
-        self.sure[at] = _NEXT[sure + 8 * hit]
+        # A guess that was right is the id itself, so only the confidence decides.
+        self.table[at] = (np.where(sure > 1, guess, ids) << 3) + _NEXT.take(sure + (hit.view(np.int8) << 3))
 
 
 # The confidence that follows each one: after a miss (0 to 7), after a hit.
-_NEXT = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.int8)
+_NEXT = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7])
 
 
 class _Model:
@@ -87,10 +88,8 @@ class _Model:
             self.count += 24 * np.bincount(np.concatenate(self.seen), minlength=self.size)
             self.seen = []
         grown = np.concatenate([[0], np.cumsum(self.count)])
-        base = grown * ((1 << _BASE) - self.size) // grown[-1] + np.arange(self.size + 1)
-        self.base = base.astype(U)
-        # For each 32nd value the last id that begins at or below it.
-        self.near = np.cumsum(np.bincount((base + 31) >> 5, minlength=(1 << (_BASE - 5)) + 1)) - 1
+        self.base = grown * ((1 << _BASE) - self.size) // grown[-1] + np.arange(self.size + 1)
+        self.next, self.near = self.base[1:], None
 
     def begin(self, active: int) -> None:
         """Look up what the models say about the next id of each active lane."""
@@ -101,13 +100,13 @@ class _Model:
         self.at2 = ((last * 0x9E3779B1 + before * 0x85EBCA77) >> 9) & ((1 << _SLOTS) - 1)
         self.guess1, self.sure1, chance1 = self.one.look(self.at1)
         self.guess2, self.sure2, chance2 = self.two.look(self.at2)
-        self.w2 = chance2 * U(160)
-        self.w1 = (chance1 * (U(7 << (_TOTAL - 3)) - self.w2)) >> U(16)
-        self.w0 = U(1 << _TOTAL) - self.w1 - self.w2
+        self.w2 = chance2 * 160
+        self.w1 = (chance1 * ((7 << (_TOTAL - 3)) - self.w2)) >> 16
+        self.w0 = (1 << _TOTAL) - self.w1 - self.w2
 
     def _own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the order-0 shares of ``ids`` begin and end, other weights left out."""
-        return (self.base[ids] * self.w0) >> U(_BASE), (self.base[ids + 1] * self.w0) >> U(_BASE)
+        return (self.base.take(ids) * self.w0) >> _BASE, (self.next.take(ids) * self.w0) >> _BASE
 
     def share(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the share of each of ``ids`` begins, and its size."""
@@ -115,33 +114,40 @@ class _Model:
         return (begin + self.w2 * (self.guess2 < ids) + self.w1 * (self.guess1 < ids),
                 end - begin + self.w2 * (self.guess2 == ids) + self.w1 * (self.guess1 == ids))
 
+    def _search(self, goal: np.ndarray) -> np.ndarray:
+        """The id whose order-0 share holds each value."""
+        if self.near is None:  # for the first value of each cell the last id that begins at or below it
+            self.near = np.cumsum(np.bincount((self.base + (1 << _CELL) - 1) >> _CELL, minlength=(1 << (_BASE - _CELL)) + 1), dtype=np.int32) - 1
+        found = self.near.take(goal >> _CELL).astype(np.int64)
+        late = np.flatnonzero(self.next.take(found) <= goal)
+        while len(late):
+            more = found.take(late) + 1
+            found[late] = more
+            late = late[self.next.take(more) <= goal.take(late)]
+        return found
+
     def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id whose share of the distribution holds each value, where that begins, and its size."""
         begin2, end2 = self._own(self.guess2)
         begin1, end1 = self._own(self.guess1)
-        first, both = self.guess1 < self.guess2, self.guess1 == self.guess2
+        first, last = self.guess1 < self.guess2, self.guess1 > self.guess2
         begin2 += self.w1 * first
-        end2 += self.w2 + self.w1 * (first | both)
-        begin1 += self.w2 * ~(first | both)
+        end2 += self.w2 + self.w1 * ~last
+        begin1 += self.w2 * last
         end1 += self.w1 + self.w2 * ~first
         over2, over1 = value >= end2, value >= end1
         in2 = ~over2 & (value >= begin2)
         in1 = ~over1 & (value >= begin1)
-        ids = np.where(in2, self.guess2, self.guess1).astype(np.int64)
+        ids = np.where(in2, self.guess2, self.guess1)
         begin, end = np.where(in2, begin2, begin1), np.where(in2, end2, end1)
         rest = np.flatnonzero(~(in2 | in1))
         if len(rest):
-            added = (self.w2 * over2 + self.w1 * over1)[rest]
-            weight = self.w0[rest]
-            goal = (((value[rest] - added + U(1)) << U(_BASE)) - U(1)) // weight
-            found = self.near[(goal >> U(5)).astype(np.int64)]
-            late = np.flatnonzero(self.base[found + 1] <= goal)
-            while len(late):
-                found[late] += 1
-                late = late[self.base[found[late] + 1] <= goal[late]]
+            added = (self.w2 * over2 + self.w1 * over1).take(rest)
+            weight = self.w0.take(rest)
+            found = self._search(_quotient(((value.take(rest) - added + 1) << _BASE) - 1, weight))
             ids[rest] = found
-            begin[rest] = ((self.base[found] * weight) >> U(_BASE)) + added
-            end[rest] = ((self.base[found + 1] * weight) >> U(_BASE)) + added
+            begin[rest] = ((self.base.take(found) * weight) >> _BASE) + added
+            end[rest] = ((self.next.take(found) * weight) >> _BASE) + added
         return ids, begin, end - begin
 
     def end(self, ids: np.ndarray) -> None:
@@ -155,6 +161,11 @@ class _Model:
         self.steps += 1
 
 
+def _quotient(number: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Whole quotients of numbers below 2 ** 48, for which floating point division never rounds up to the next whole number."""
+    return (number / by).astype(np.int64)
+
+
 def _shape(n: int) -> tuple[int, int]:
     """Lanes and steps of a block of n ids."""
     steps = max(1, min(n, max(256, -(-n // _LANES))))
@@ -171,33 +182,38 @@ def encode_block(ids: np.ndarray, size: int) -> bytes:
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model, low, width = _Model(size, lanes), np.zeros(lanes, U), np.full(lanes, 1 << 48, U)
-    out, used = np.zeros((2 * steps + 8, lanes), np.uint32), np.zeros(lanes, np.int64)
+    model, low, width = _Model(size, lanes), np.zeros(lanes, np.int64), np.full(lanes, 1 << 48)
+    given = []  # lanes and the digits they gave up, which may have a carry
 
     def shift(at):
-        out[used[at], at] = low[at] >> U(32)
-        used[at] += 1
-        low[at] = (low[at] & U(0xFFFFFFFF)) << U(16)
+        now = low.take(at)
+        given.append((at.astype(np.uint16), (now >> 32).astype(np.uint32)))
+        low[at] = (now & 0xFFFFFFFF) << 16
 
     for step in range(steps):
         active = -(-(n - step) // steps)
         now = grid[step, :active]
         model.begin(active)
         begin, size_of = model.share(now)
-        part = width[:active] >> U(_TOTAL)
+        part = width[:active] >> _TOTAL
         low[:active] += part * begin
-        width[:active] = part * size_of
-        while len(small := np.flatnonzero(width[:active] < U(1 << 32))):
+        part *= size_of
+        small = np.flatnonzero(part < _SMALL)
+        width[:active] = part
+        while len(small):
             shift(small)
-            width[small] <<= U(16)
+            wide = width.take(small) << 16
+            width[small] = wide
+            small = small[wide < _SMALL]
         model.end(now)
     for _ in range(3):
         shift(np.arange(lanes))
-    for row in range(int(used.max()) - 1, 0, -1):  # carries
-        out[row - 1] += out[row] >> 16
-        out[row] &= 0xFFFF
-    digits = out.T[np.arange(out.shape[0])[None, :] < used[:, None]].astype("<u2")
-    return head + used.astype("<u4").tobytes() + digits.tobytes()
+    lane, digits = (np.concatenate(x) for x in zip(*given))
+    digits = digits.take(np.argsort(lane, kind="stable"))
+    while len(over := np.flatnonzero(digits >> 16)):  # carries, never out of a lane's first digit
+        digits[over] &= 0xFFFF
+        digits[over - 1] += 1
+    return head + np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + digits.astype("<u2").tobytes()
 
 
 def decode_block(data: bytes) -> np.ndarray:
@@ -210,23 +226,28 @@ def decode_block(data: bytes) -> np.ndarray:
         steps = _shape(n)[1]
         at = struct.calcsize(_HEAD)
         used = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
-        digits = np.concatenate([np.frombuffer(data, "<u2", offset=at + 4 * lanes).astype(U), np.zeros(4, U)])
+        digits = np.concatenate([np.frombuffer(data, "<u2", offset=at + 4 * lanes), np.zeros(4, "<u2")]).astype(np.int64)
         place = np.concatenate([[0], np.cumsum(used)[:-1]])
-        model, width = _Model(size, lanes), np.full(lanes, 1 << 48, U)
-        value = (digits[place] << U(32)) | (digits[place + 1] << U(16)) | digits[place + 2]
+        model, width = _Model(size, lanes), np.full(lanes, 1 << 48)
+        value = (digits[place] << 32) | (digits[place + 1] << 16) | digits[place + 2]
         place += 3
         grid = np.zeros((steps, lanes), np.int64)
         for step in range(steps):
             active = -(-(n - step) // steps)
             model.begin(active)
-            part = width[:active] >> U(_TOTAL)
-            now, begin, size_of = model.find(np.minimum(value[:active] // part, U((1 << _TOTAL) - 1)))
+            part = width[:active] >> _TOTAL
+            now, begin, size_of = model.find(np.minimum(_quotient(value[:active], part), (1 << _TOTAL) - 1))
             value[:active] -= part * begin
-            width[:active] = part * size_of
-            while len(small := np.flatnonzero(width[:active] < U(1 << 32))):
-                value[small] = (value[small] << U(16)) | digits[np.minimum(place[small], len(digits) - 1)]
+            part *= size_of
+            small = np.flatnonzero(part < _SMALL)
+            width[:active] = part
+            while len(small):
+                # The mask is for damaged blocks, whose values may lie outside their intervals.
+                value[small] = ((value.take(small) << 16) & 0xFFFFFFFFFFFF) | digits.take(place.take(small), mode="clip")
                 place[small] += 1
-                width[small] <<= U(16)
+                wide = width.take(small) << 16
+                width[small] = wide
+                small = small[wide < _SMALL]
             grid[step, :active] = now
             model.end(now)
         ids = grid.T.reshape(-1)[:n].astype("<u4")

@@ -4,6 +4,7 @@ A tokenizer's splitting rule never joins what stands on both sides of a single b
 ids of its pieces, one after another. Texts with other white space than single blanks and line ends, where that
 does not hold plainly, are encoded in one call. A piece that is one run of Latin letters, with or without a run of
 plain marks behind it, goes straight to the tokenizer's merge model, without the splitting that it does not need.
+With a byte-level tokenizer many texts are cut and their distinct pieces numbered together, by Arrow.
 """
 
 from __future__ import annotations
@@ -11,13 +12,22 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # White space other than blank and line feed, as Python or the tokenizers see it.
 _ODD = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 _MARKS = ".,;:!?*%$&#|()-"
 _LATIN = "\u0100"  # letters below it have simple case and composition
+_CUT = "\x01"  # stands between pieces while texts are cut together
+_WHOLE = (*_ODD, _CUT, "  ", "\n ", " \n", "\n\n")  # a text that has one of them is not cut
+_TOGETHER = 1 << 21  # characters of the texts cut together
 _SHARED: dict[str, PieceEncoder] = {}
 
 
@@ -35,7 +45,7 @@ def byte_letters() -> dict[int, str]:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return struct.pack(f"<{len(ids)}I", *ids) if sys.byteorder == "big" else array("I", ids).tobytes()
 
 
 def pieces_of(text: str, blanks: bool) -> list[str]:
@@ -88,13 +98,18 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _merged(self, run: str) -> bytes:
+        """The ids of a run by the merge model."""
+        # Only a run's first character can be a blank, all others of an ASCII run stand for themselves.
+        spelt = run.replace(" ", self.letters[32]) if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
+        return _packed([t.id for t in self.model.tokenize(spelt)])
+
     def _run(self, run: str) -> bytes:
         known = self.runs.get(run)
         if known is None:
             if len(self.runs) > self.limit:
                 self.runs = {}
-            spelt = run if run.isascii() and " " not in run else "".join(map(self.letters.__getitem__, run.encode()))
-            known = self.runs[run] = _packed([t.id for t in self.model.tokenize(spelt)])
+            known = self.runs[run] = self._merged(run)
         return known
 
     def _piece(self, piece: str) -> bytes:
@@ -106,10 +121,65 @@ class PieceEncoder:
         marks = piece[len(body):]
         if self.lower:
             body = body.lower() if plain else "".join([c.lower() for c in unicodedata.normalize("NFC", body)])
+        elif not marks:
+            return self._merged(body)  # kept as a piece
+        elif body in self.new:
+            return self.new[body] + self._run(marks)
         return self._run(body) + (self._run(marks) if marks else b"")
 
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of the pieces, which are distinct."""
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        known = list(map(new.get, pieces))
+        for n, ids in enumerate(known):
+            if ids is None:
+                p = pieces[n]
+                known[n] = new[p] = old.get(p) or self._piece(p)
+        return known
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that can be cut at each blank and line feed."""
+        marked = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", f"{_CUT}\n{_CUT}")
+        pieces = pc.split_pattern(pc.replace_substring(marked, " ", f"{_CUT} "), _CUT)
+        coded = pieces.values.dictionary_encode()
+        known = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first, at = np.cumsum(size) - size, coded.indices.to_numpy()
+        own = size[at]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        place = np.arange(ends[-1])
+        place += np.repeat(first[at] - ends[:-1], own)
+        ids, bounds = np.frombuffer(b"".join(known), "<u4").take(place), ends[pieces.offsets.to_numpy()].tolist()
+        return [ids[low:high].tobytes() for low, high in zip(bounds, bounds[1:])]
+
+    def _grouped(self, texts: Iterable[str | None]) -> Iterable[bytes]:
+        """``encode`` by groups of texts."""
+        def ready():
+            each = iter(self._together(cut) if cut else [])
+            return [next(each) if known is None else known for known in held]
+
+        held, cut, chars = [], [], 0  # ids of each text of the group, None for those to cut; these
+        for text in texts:
+            if not text:
+                held.append(b"")
+            elif not (" " in text or "\n" in text) or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in _WHOLE):
+                held.append(self.whole(text))
+            else:
+                held.append(None)
+                cut.append(text)
+            chars += len(text or "")
+            if chars >= _TOGETHER:
+                yield from ready()
+                held, cut, chars = [], [], 0
+        yield from ready()
+
     def encode(self, texts: Iterable[str | None]) -> Iterable[bytes]:
         """The ids of each text, in order; null is the empty text."""
+        if self.blanks:
+            yield from self._grouped(texts)
+            return
         for text in texts:
             if not text:
                 yield b""

@@ -89,6 +89,40 @@ def test_coder_round_trip(n):
             idcoder.decode_block(bytes(damaged))
 
 
+def test_blocks_keep_their_format():
+    ids = (np.arange(70_000) ** 2 // 7 % 5003 * (np.arange(70_000) % 3)).astype("<u4")
+    assert hashlib.sha256(idcoder.encode_block(ids, 50257)).hexdigest() == "1e225c7e90cb91d0a2715eb38b9936eac286efaee0ed4f367d27bdcf8fea824b"
+
+
+class Counted(dict):
+    asked = 0
+
+    def get(self, key, *default):
+        Counted.asked += 1
+        return super().get(key, *default)
+
+    def __getitem__(self, key):
+        Counted.asked += 1
+        return super().__getitem__(key)
+
+
+def test_texts_are_cut_together():
+    encoder = tokens.PieceEncoder(tokens.tokenizer_path(queries.BYTE_BPE))
+    words = [f"{a}{b}na" for a in "bcdfghjk" for b in "aeiou"]
+    texts = [" ".join(words[n % 7:]) + "." for n in range(300)]
+    encoder.new = Counted()
+    assert list(encoder.encode(texts)) == [encoder.whole(t) for t in texts]
+    assert Counted.asked < 300  # a look-up for each distinct piece of all texts, not of each text
+
+
+def test_groups_of_texts_keep_their_order(monkeypatch):
+    monkeypatch.setattr(tokens, "_TOGETHER", 40)
+    encoder = tokens.PieceEncoder(tokens.tokenizer_path(queries.BYTE_BPE))
+    texts = ["one two", None, "", " a", "a ", "a  b", "a\n\nb", "a\nb c", "x\x01 y", "caf\u00e9 na\u00efve, \u65e5\u672c \U0001f600!", "it's 3rd, no?", "word", "a\tb c", "tw\u00f6,, tw\u00f6", "tw\u00f6"] * 5
+    assert list(encoder.encode(iter(texts))) == [encoder.whole(t) if t else b"" for t in texts]
+    assert list(encoder.encode([])) == []
+
+
 def test_checksums_of_parts_join():
     assert idcoder.join_crc(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
 
