@@ -244,6 +244,7 @@ class _State:
     move: np.ndarray
     sound: bool
     spread: np.ndarray  # variances of the intercepts
+    carry: tuple[np.ndarray, np.ndarray, np.ndarray]  # weights of the cells, and how they change with a row's predictor: sums, and times terms
 
 
 class _Model:
@@ -333,7 +334,8 @@ class _Model:
         weight = lever * s["v"]
         g_beta = xr.sum(axis=0) - 0.5 * ((lever[:, None] * s["xv"]).sum(axis=0) + weight @ cells.gather(by_beta))
         g_sigma = [float(d[own] @ b[own] ** 2) - (own.stop - own.start) + float(diagonal[own] @ d[own]) - 0.5 * float(weight @ cells.gather(by_sigma[:, f])) for f, own in enumerate(slices)]
-        return _State(theta, float(value), np.concatenate([g_beta, g_sigma]), b, np.column_stack([by_beta, by_sigma]), sound, diagonal)
+        return _State(theta, float(value), np.concatenate([g_beta, g_sigma]), b, np.column_stack([by_beta, by_sigma]), sound, diagonal,
+                      (w, s["v"], s["xv"]))
 
     def climb(self, at: _State, inv: np.ndarray) -> Generator:
         """Quasi-Newton ascent with a backtracking step; intercepts are predicted along each step."""
@@ -390,9 +392,12 @@ class _Model:
             hess = -(hess + hess.T) / 2
             cov[np.ix_(free, free)] = np.linalg.pinv(hess[np.ix_(free, free)])
             inv = np.nan_to_num(cov)
-        # The last step is too short to matter for anything but the last digits of the estimates.
+        # The last step is too short to matter for anything but the last digits of the estimates; the variances take it too.
         last = inv @ at.grad
-        at.theta, at.b = at.theta + last, at.b + at.move @ last
+        shift, (w, v, xv) = at.move @ last, at.carry
+        at.theta, at.b = at.theta + last, at.b + shift
+        w = np.maximum(w + v * self.cells.gather(shift) + xv @ last[:p], 0.0)
+        at.spread = _Precision(self.cells, w, self.shrink(np.exp(at.theta[p:]))).variances()[0]
         return at, cov, ok
 
 

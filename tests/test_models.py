@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from anchorframe.catalog.base import Tables
+from anchorframe.catalog.models import signal_rows
 from anchorframe.operators import glm, glmm
 from anchorframe.operators.diagnostics import binned_residuals, influential, ks_distance, predict_grid, quantile_residuals, row_diagnostics
 from anchorframe.operators.distributions import odds_map_table
@@ -13,6 +15,7 @@ from anchorframe.operators.glm import (
     p_value, profile_intervals, selection_table, standardized_effects)
 from anchorframe.operators.glmm import fit_random_intercept
 from anchorframe.plans.regional import regional_models
+from conftest import SF_DIR
 
 
 @pytest.fixture(scope="module")
@@ -297,6 +300,15 @@ def test_mixed_fit_is_the_optimum_with_its_curvature(spark, crossed_rows, factor
     assert np.array(table.vcov).reshape(2, 2) == pytest.approx(np.linalg.inv(-hess)[:2, :2], rel=2e-3)
 
 
+def test_variances_of_intercepts_belong_to_the_estimates(spark):
+    rows = signal_rows(Tables(spark, SF_DIR))
+    f, d = fit_random_intercept(rows, "y", ["price", "crop"], ["nation"], errors=False), rows.select("y", "price", "crop", "nation").toPandas()
+    beta, levels = f.fixed.table.first().beta, f.random.toPandas().set_index("level")
+    mu = 1 / (1 + np.exp(-(beta[0] + beta[1] * d.price + beta[2] * d.crop + levels["mode"].loc[d.nation].to_numpy())))
+    weight = (mu * (1 - mu)).groupby(d.nation).sum()
+    assert np.abs(levels["sd"] - (weight + f.fit.first().sigma_nation ** -2) ** -0.5).max() < 3e-8
+
+
 def test_mixed_models_share_their_passes_and_keep_their_own_rows(spark, crossed_rows):
     d = crossed_rows[0].copy()
     d["part"] = np.where(np.arange(len(d)) % 3 == 0, np.nan, d.x)
